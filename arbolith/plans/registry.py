@@ -2,10 +2,405 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import wl
+from ..operators import cluster, compare, expr, search
+from ..sources import fixtures, store
+from ..sources.fixtures import NODES_SQL, read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+NODES = f"WITH {NODES_SQL}"
+
+
+def _round(r: int) -> str:
+    return f"""r{r} AS (SELECT n.name, n.id, n.parent, md5(n.l || coalesce('(' || c.ls || ')', '')) AS l FROM r{r - 1} n
+    LEFT JOIN (SELECT name, parent, string_agg(l, ',' ORDER BY l) AS ls FROM r{r - 1} GROUP BY name, parent) c ON c.name = n.name AND c.parent = n.id)"""
+
+
+LABELS = NODES + """, r0 AS (SELECT name, id, parent, CASE WHEN regexp_matches(label, '^(Const|FVar|BVar|MVar|Sort)[(]') THEN regexp_extract(label, '^([A-Za-z]+)', 1) ELSE label END || '_d' || CAST(depth AS VARCHAR) AS l FROM nodes)"""
+ROUNDS = LABELS + "".join(f", {_round(r)}" for r in (1, 2, 3))
+HISTOGRAM = ROUNDS + ", hist AS (" + " UNION ALL ".join(f"SELECT name, '{r - 1}_' || l AS feature, count(*) AS cnt FROM r{r} GROUP BY name, l" for r in (1, 2, 3)) + ")"
+NORMS = HISTOGRAM + ", norms AS (SELECT name, CAST(sum(cnt * cnt) AS BIGINT) AS norm2, count(*) AS n_features, CAST(sum(cnt) AS BIGINT) AS n_labels FROM hist GROUP BY name), target AS (SELECT min(name) AS name FROM trees)"
+DOTS = NORMS + """, dots AS (SELECT n.name, n.norm2, coalesce(d.dot, 0) AS dot, (SELECT norm2 FROM norms WHERE name = (SELECT name FROM target)) AS t2, t.simp_node_count, t.node_count FROM norms n JOIN trees t ON t.name = n.name
+    LEFT JOIN (SELECT h.name, CAST(sum(h.cnt * q.cnt) AS BIGINT) AS dot FROM hist h JOIN hist q ON q.feature = h.feature WHERE q.name = (SELECT name FROM target) GROUP BY h.name) d ON d.name = n.name),
+    cosines AS (SELECT *, CASE WHEN dot = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, dot / (sqrt(CAST(norm2 AS DOUBLE)) * sqrt(CAST(t2 AS DOUBLE))))) END AS wl FROM dots),
+    near AS (SELECT c.*, t.simp_node_count AS tn, t.node_count AS tm FROM cosines c, (SELECT * FROM trees WHERE name = (SELECT name FROM target)) t
+        WHERE c.simp_node_count BETWEEN greatest(0, least(t.simp_node_count / CAST(1.2 AS DOUBLE), t.simp_node_count - 25)) AND greatest(t.simp_node_count * CAST(1.2 AS DOUBLE), t.simp_node_count + 25)),
+    top AS (SELECT * FROM near ORDER BY wl DESC, name LIMIT 1500)"""
+WALK = """, kids AS (SELECT n.name, n.id, n.parent, n.label, row_number() OVER (PARTITION BY n.name, n.parent ORDER BY n.id) AS ord, coalesce(c.arity, 0) AS arity FROM nodes n LEFT JOIN (SELECT name, parent, count(*) AS arity FROM nodes GROUP BY name, parent) c ON c.name = n.name AND c.parent = n.id),
+    t1 AS (SELECT * FROM kids WHERE name = (SELECT name FROM target)), t2 AS (SELECT * FROM kids WHERE name IN (SELECT name FROM top)),
+    walk AS (SELECT b.name, a.id AS i, b.id AS j, b.arity, a.label = b.label AND a.arity = b.arity AS same FROM t1 a JOIN t2 b ON a.id = 0 AND b.id = 0
+        UNION ALL SELECT w.name, a.id, b.id, b.arity, a.label = b.label AND a.arity = b.arity FROM walk w JOIN t2 b ON b.name = w.name AND b.parent = w.j JOIN t1 a ON a.parent = w.i AND a.ord = b.ord WHERE w.same AND w.arity > 0),
+    collapse AS (SELECT w.name, CAST(count(*) FILTER (WHERE arity = 0 OR same) AS BIGINT) AS raw, bool_and(arity = 0 OR same) AS whole FROM walk w GROUP BY w.name)"""
+CONSTS = """, consts AS (SELECT DISTINCT name, regexp_extract(label, 'Const[(]([\\p{L}\\p{N}_]+)', 1) AS c FROM nodes WHERE starts_with(label, 'Const('))"""
+JACCARD = CONSTS + """, own AS (SELECT name, c FROM consts WHERE c <> '' AND NOT contains(c, 'inst')),
+    jac AS (SELECT t.name, CAST(count(q.c) AS DOUBLE) / (count(*) + (SELECT count(*) FROM own WHERE name = (SELECT name FROM target)) - count(q.c)) AS jaccard FROM top t JOIN own o ON o.name = t.name LEFT JOIN (SELECT c FROM own WHERE name = (SELECT name FROM target)) q ON q.c = o.c GROUP BY t.name)"""
+RECURSIVE = "WITH RECURSIVE" + DOTS.removeprefix("WITH")
+
+
+def query(sql: str | None = None):
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def trees(spark, d):
+    return fixtures.order_trees(spark, d)
+
+
+def encoded(spark, d):
+    return wl.encode(trees(spark, d))
+
+
+def target_of(spark, d) -> search.Target:
+    """The tree of the least name. Orders are few columns wide, so only one order's lines are read for it."""
+    rows = trees(spark, d)
+    return search.Target.of(rows.orderBy("name").limit(1))
+
+
+def long_target(t: search.Target) -> search.Target:
+    t.node_count = max(t.node_count, search.EDIT_LIMIT + 1)
+    return t
+
+
+@query(NODES + " SELECT t.name, t.simp_node_count FROM trees t, (SELECT * FROM trees WHERE name = (SELECT min(name) FROM trees)) q WHERE t.simp_node_count BETWEEN greatest(0, least(q.simp_node_count / CAST(1.2 AS DOUBLE), q.simp_node_count - 25)) AND greatest(q.simp_node_count * CAST(1.2 AS DOUBLE), q.simp_node_count + 25)")
+def size_range_filter(spark, d):
+    return search.in_range(trees(spark, d), target_of(spark, d), 1.2).select("name", "simp_node_count")
+
+
+@query("SELECT event_id, props FROM events WHERE props IS NOT NULL AND trim(props) <> 'null'")
+def json_not_null_filter(spark, d):
+    return read(spark, d, "events").where(store.has_json("props")).select("event_id", "props")
+
+
+@query(LABELS + " SELECT l AS label, count(*) AS n FROM r0 GROUP BY l")
+def wl_initial_labels(spark, d):
+    return trees(spark, d).select(F.explode(wl.initial_labels(F.col("nodes"))).alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(LABELS + f", {_round(1)} SELECT l AS label, count(*) AS n FROM r1 GROUP BY l")
+def wl_round(spark, d):
+    rows = trees(spark, d).withColumn("l", wl.initial_labels(F.col("nodes"))).select(F.explode(wl.next_labels("nodes", "l")).alias("label"))
+    return rows.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query(HISTOGRAM + " SELECT name, md5(string_agg(feature || ':' || CAST(cnt AS VARCHAR), ',' ORDER BY feature)) AS digest FROM hist GROUP BY name")
+def wl_encode(spark, d):
+    return encoded(spark, d).select("name", F.md5(F.array_join(F.transform(F.array_sort(F.map_entries("enc")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")).alias("digest"))
+
+
+@query(HISTOGRAM + " SELECT feature, count(*) AS trees, CAST(sum(cnt) AS BIGINT) AS total FROM hist GROUP BY feature")
+def wl_histogram(spark, d):
+    return encoded(spark, d).select(F.explode("enc").alias("feature", "cnt")).groupBy("feature").agg(F.count("*").alias("trees"), F.sum("cnt").alias("total"))
+
+
+@query(DOTS + " SELECT name, dot, norm2 FROM dots")
+def wl_dot_norms(spark, d):
+    return search.with_cosine(encoded(spark, d), target_of(spark, d)).select("name", "dot", "norm2")
+
+
+@query(DOTS + " SELECT name, round(wl, 9) AS wl FROM cosines")
+def wl_cosine(spark, d):
+    return search.with_cosine(encoded(spark, d), target_of(spark, d)).select("name", F.round("wl", 9).alias("wl"))
+
+
+_SUM = ", ".join(f"h{r} AS (SELECT name, l, count(*) AS c FROM r{r} GROUP BY name, l), k{r} AS (SELECT a.name, sum(a.c * b.c) AS dot FROM h{r} a JOIN h{r} b ON a.l = b.l WHERE b.name = (SELECT name FROM target) GROUP BY a.name)" for r in (0, 1, 2))
+_SIZE = "(t.simp_node_count * CAST((SELECT simp_node_count FROM trees WHERE name = (SELECT name FROM target)) AS DOUBLE))"
+
+
+@query(ROUNDS + f", target AS (SELECT min(name) AS name FROM trees), {_SUM} SELECT t.name, round(coalesce(k0.dot, 0) / {_SIZE} + coalesce(k1.dot, 0) / {_SIZE} + coalesce(k2.dot, 0) / {_SIZE}, 9) AS kernel FROM trees t LEFT JOIN k0 ON k0.name = t.name LEFT JOIN k1 ON k1.name = t.name LEFT JOIN k2 ON k2.name = t.name")
+def wl_kernel_sum(spark, d):
+    """The unnormalised kernel: raw labels and two rounds, each dot product over the product of sizes."""
+    base = trees(spark, d)
+    one = base.orderBy("name").limit(1)
+    per = lambda df: df.withColumn("l0", wl.initial_labels(F.col("nodes"))).withColumn("l1", wl.next_labels("nodes", "l0")).withColumn("l2", wl.next_labels("nodes", "l1"))
+    t = per(one).select(*[F.map_from_entries(wl.counted(f"l{r}", "")).alias(f"h{r}") for r in range(3)], F.size("nodes").alias("n")).first()
+    out = per(base)
+    for r in range(3):
+        out = out.withColumn(f"h{r}", F.map_from_entries(wl.counted(f"l{r}", "")))
+    kernel = sum((wl.dot(f"h{r}", t[f"h{r}"]) / (F.size("nodes") * F.lit(float(t["n"]))) for r in range(3)), F.lit(0.0))
+    return out.select("name", F.round(kernel, 9).alias("kernel"))
+
+
+@query(DOTS + " SELECT name, round(wl, 9) AS wl, simp_node_count FROM near ORDER BY wl DESC, name LIMIT 20")
+def wl_topk(spark, d):
+    return search.stage1(encoded(spark, d), target_of(spark, d), 20, 1.2).select("name", F.round("wl", 9).alias("wl"), "simp_node_count")
+
+
+@query(RECURSIVE + WALK + " SELECT t.name, coalesce(c.whole, FALSE) AS matches FROM top t LEFT JOIN collapse c ON c.name = t.name")
+def collapse_bool(spark, d):
+    t = target_of(spark, d)
+    return search.pair_scores(search.stage1(encoded(spark, d), t, ratio=1.2), t, False).select("name", F.col("collapse_match").alias("matches"))
+
+
+@query(RECURSIVE + WALK + " SELECT t.name, round(CAST(coalesce(c.raw, 0) AS DOUBLE) / t.simp_node_count, 6) AS collapse FROM top t LEFT JOIN collapse c ON c.name = t.name")
+def collapse_soft(spark, d):
+    t = target_of(spark, d)
+    return search.pair_scores(search.stage1(encoded(spark, d), t, ratio=1.2), t, False).select("name", F.round("collapse", 6).alias("collapse"))
+
+
+@query(NODES + " SELECT name, count(*) AS n FROM nodes GROUP BY name")
+def node_count(spark, d):
+    return trees(spark, d).select("name", F.size("nodes").cast("long").alias("n"))
+
+
+@query(NODES + " SELECT name, CAST(max(depth) AS INTEGER) AS depth FROM nodes GROUP BY name")
+def tree_depth(spark, d):
+    return trees(spark, d).select("name", wl.depth_of(F.col("nodes")).alias("depth"))
+
+
+@query(NODES + CONSTS + " SELECT name, string_agg(c, ',' ORDER BY c) AS names FROM consts WHERE c <> '' AND NOT contains(c, 'inst') GROUP BY name")
+def const_names(spark, d):
+    return trees(spark, d).select("name", F.array_join(wl.const_names(F.col("nodes")), ",").alias("names"))
+
+
+@query(DOTS + JACCARD + " SELECT name, round(jaccard, 9) AS jaccard FROM jac")
+def const_jaccard(spark, d):
+    t = target_of(spark, d)
+    return search.pair_scores(search.stage1(encoded(spark, d), t, ratio=1.2), t, False).select("name", F.round("jaccard", 9).alias("jaccard"))
+
+
+@query()
+def subexpr_counts(spark, d):
+    """Sub-expressions that occur twice or more in an order's expression."""
+
+    @F.pandas_udf("distinct_parts int, repeated int")
+    def parts(texts):
+        import pandas as pd
+
+        keys = [expr.structure(expr.parse(t)) for t in texts]
+        return pd.DataFrame({"distinct_parts": [len(set(k)) for k in keys], "repeated": [len(k) - len(set(k)) for k in keys]})
+
+    return fixtures.order_json(spark, d).select("name", parts("expr_json").alias("p")).select("name", "p.*")
+
+
+@query(NODES + " SELECT name, CAST(node_count AS INTEGER) AS node_count, CAST(simp_node_count AS INTEGER) AS simp_node_count FROM trees")
+def forall_simplify_counts(spark, d):
+    """From JSON through the parser and the rewrite."""
+    return search.parse_trees(fixtures.order_json(spark, d)).select("name", "node_count", "simp_node_count")
+
+
+@query(RECURSIVE + WALK + JACCARD + " SELECT t.name, round(0.15 * t.wl + 0.30 * (CAST(coalesce(c.raw, 0) AS DOUBLE) / t.simp_node_count) + 0.15 * j.jaccard, 6) AS similarity FROM top t LEFT JOIN collapse c ON c.name = t.name JOIN jac j ON j.name = t.name")
+def composite_no_edit(spark, d):
+    t = long_target(target_of(spark, d))
+    return search.ranked(encoded(spark, d), t, ratio=1.2).select("name", F.round("similarity", 6).alias("similarity"))
+
+
+@query(DOTS + " SELECT name, rank() OVER (ORDER BY round(wl, 9) DESC) AS rank FROM top")
+def competition_rank(spark, d):
+    s = search.stage1(encoded(spark, d), target_of(spark, d), ratio=1.2).withColumn("query", F.lit(0)).withColumn("wl", F.round("wl", 9))
+    return search.competition_rank(s).select("name", F.col("rank").cast("long").alias("rank"))
+
+
+@query(DOTS + " SELECT min(pos) AS pos FROM (SELECT name, row_number() OVER (ORDER BY wl DESC, name) AS pos FROM top) WHERE name = (SELECT name FROM target)")
+def target_position(spark, d):
+    top = search.stage1(encoded(spark, d), target_of(spark, d), ratio=1.2)
+    at = top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("wl"), "name")))
+    name = trees(spark, d).agg(F.min("name")).first()[0]
+    return at.where(F.col("name") == name).agg(F.min("pos").cast("long").alias("pos"))
+
+
+@query(DOTS + " SELECT coalesce(round(min(wl), 6), 0.0) AS least, coalesce(round(max(wl), 6), 0.0) AS most, coalesce(round(avg(wl), 6), 0.0) AS mean, count(*) AS n FROM top")
+def score_stats(spark, d):
+    top = search.stage1(encoded(spark, d), target_of(spark, d), ratio=1.2)
+    return top.agg(*[F.coalesce(F.round(f("wl"), 6), F.lit(0.0)).alias(k) for f, k in ((F.min, "least"), (F.max, "most"), (F.avg, "mean"))], F.count("*").alias("n"))
+
+
+_RANKS = "(SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL ELSE event_id % 23 + 1 END AS rank FROM events)"
+
+
+@query("SELECT " + ", ".join(f"round(avg(CASE WHEN rank <= {k} THEN {v} ELSE 0.0 END), 9) AS {n}_{k}" for k in (1, 5, 10) for n, v in (("recall", "1.0"), ("precision", f"1.0 / {k}"), ("f1", f"2.0 * (1.0 / {k}) / (1.0 + 1.0 / {k})"), ("ndcg", "1.0 / log2(rank + 1)"))) + f", round(avg(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0.0 END), 9) AS mrr FROM {_RANKS}")
+def ir_metrics(spark, d):
+    ranks = read(spark, d, "events").select(F.when(F.col("event_id") % 7 != 0, F.col("event_id") % 23 + 1).alias("rank"))
+    out = search.ir_metrics(ranks)
+    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+
+
+@query(HISTOGRAM + " SELECT feature, count(*) AS df FROM hist GROUP BY feature")
+def document_frequency(spark, d):
+    return cluster.document_frequency(encoded(spark, d))
+
+
+@query(HISTOGRAM + " SELECT feature, count(*) AS df, round(ln(330000.0 / count(*)), 9) AS weight FROM hist GROUP BY feature HAVING count(*) > 5")
+def idf_weights(spark, d):
+    return cluster.idf(cluster.document_frequency(encoded(spark, d))).withColumn("weight", F.round("weight", 9))
+
+
+_MAP = HISTOGRAM + ", fm AS (SELECT feature, count(*) AS df, row_number() OVER (ORDER BY count(*) DESC, feature) - 1 AS idx FROM hist GROUP BY feature ORDER BY df DESC, feature LIMIT {})"
+
+
+@query(_MAP.format(500) + " SELECT feature, df, CAST(idx AS INTEGER) AS idx FROM fm")
+def feature_map_topn(spark, d):
+    return cluster.feature_map(cluster.document_frequency(encoded(spark, d)), 500).select("feature", "df", "idx")
+
+
+@query(_MAP.format(200) + " SELECT h.name, CAST(f.idx AS INTEGER) AS idx, round(h.cnt * CASE WHEN f.df > 5 THEN ln(330000.0 / f.df) ELSE 1.0 END, 6) AS value FROM hist h JOIN fm f ON f.feature = h.feature")
+def tfidf_vector_long(spark, d):
+    enc = encoded(spark, d)
+    return cluster.vector_entries(enc, cluster.feature_map(cluster.document_frequency(enc), 200)).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT label AS cluster_id, count(*) AS n FROM embeddings GROUP BY label ORDER BY label NULLS LAST")
+def cluster_counts(spark, d):
+    return cluster.cluster_counts(read(spark, d, "embeddings").withColumnRenamed("label", "cluster_id"))
+
+
+_CHOSEN = "(SELECT DISTINCT label FROM embeddings WHERE label % 3 = 0)"
+
+
+@query(f"SELECT vec_id, label AS cluster_id FROM embeddings WHERE label IN {_CHOSEN}")
+def cluster_prune_filter(spark, d):
+    rows = read(spark, d, "embeddings").select("vec_id", F.col("label").alias("cluster_id"))
+    return cluster.pruned(rows, rows.where("cluster_id % 3 = 0").select("cluster_id").distinct())
+
+
+@query(f"SELECT vec_id, CASE WHEN vec_id % 5 <> 0 THEN label END AS cluster_id FROM embeddings WHERE vec_id % 5 = 0 OR label NOT IN {_CHOSEN}")
+def null_aware_anti(spark, d):
+    rows = read(spark, d, "embeddings")
+    chosen = rows.where("label % 3 = 0").select(F.col("label").alias("cluster_id")).distinct()
+    return cluster.outside(rows.select("vec_id", F.when(F.col("vec_id") % 5 != 0, F.col("label")).alias("cluster_id")), chosen).select("vec_id", "cluster_id")
+
+
+@query("""WITH e AS (SELECT vec_id, label, unnest(range(64)) AS i, unnest(embedding) AS x FROM embeddings), c AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS x FROM e GROUP BY label, i),
+    far AS (SELECT e.vec_id, c.label, sum((e.x - c.x) * (e.x - c.x)) AS dist FROM e JOIN c ON c.i = e.i GROUP BY e.vec_id, c.label)
+    SELECT vec_id, label AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dist, 9), label) AS r FROM far) WHERE r = 1""")
+def nearest_centroid(spark, d):
+    """Each vector's nearest label mean; the means are as many as labels, and each row scans them once."""
+    e = read(spark, d, "embeddings")
+    mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    rows = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).orderBy("label").collect()
+    far = [F.struct(F.round(F.aggregate(F.zip_with(F.col("embedding"), F.array(*[F.lit(float(p["x"])) for p in r["c"]]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v), 9).alias("d"), F.lit(r["label"]).alias("label")) for r in rows]
+    return e.select("vec_id", F.array_min(F.array(*far))["label"].alias("nearest"))
+
+
+@query("SELECT event_id, trim(replace(event_type, chr(10), ' ')) AS name, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY event_id")
+def json_log_projection(spark, d):
+    e = read(spark, d, "events")
+    kind = e.agg(F.min("event_type")).first()[0]
+    return e.where(F.col("event_type") == kind).select("event_id", F.trim(F.replace("event_type", F.lit("\n"), F.lit(" "))).alias("name"), F.get_json_object("props", "$.k").alias("k")).orderBy("event_id")
+
+
+@query(DOTS + " SELECT n.name, t.statement_str, CAST(t.node_count AS INTEGER) AS node_count FROM (SELECT * FROM near ORDER BY wl DESC, name LIMIT 50) n JOIN trees t ON t.name = n.name")
+def details_lookup(spark, d):
+    base = encoded(spark, d)
+    return store.details(search.stage1(base, target_of(spark, d), 50, 1.2).select("name"), trees(spark, d)).select("name", "statement_str", "node_count")
+
+
+@query(NODES + ", q AS (SELECT name AS qn, node_count AS m FROM trees WHERE name = (SELECT min(name) FROM trees)) SELECT count(*) AS total, count(*) FILTER (WHERE name = qn) AS found, CAST(max(CASE WHEN name = qn THEN node_count END) AS INTEGER) AS target_nodes, count(*) FILTER (WHERE node_count BETWEEN m / CAST(1.2 AS DOUBLE) AND m * CAST(1.2 AS DOUBLE)) AS in_range, count(*) FILTER (WHERE name = qn AND node_count BETWEEN m / CAST(1.2 AS DOUBLE) AND m * CAST(1.2 AS DOUBLE)) AS found_in_range FROM trees, q")
+def existence_audit(spark, d):
+    t = trees(spark, d)
+    one = t.orderBy("name").limit(1).select("name", "node_count").first()
+    return store.audit(t, one["name"], one["node_count"])
+
+
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def upsert_latest(spark, d):
+    e = read(spark, d, "events").select("user_id", "event_type", "event_id")
+    return store.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "event_id")
+
+
+@query("SELECT vec_id, label FROM embeddings WHERE label % 3 = 0 UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id % 10 = 1")
+def union_candidates(spark, d):
+    e = read(spark, d, "embeddings").select("vec_id", "label")
+    return e.where("label % 3 = 0").unionByName(e.where("vec_id % 10 = 1"))
+
+
+@query(DOTS + " SELECT string_agg(name, '; ' ORDER BY wl DESC, name) AS names, string_agg(printf('%.4f', round(wl, 9)), '; ' ORDER BY wl DESC, name) AS scores FROM (SELECT * FROM near ORDER BY wl DESC, name LIMIT 10)")
+def topk_display_strings(spark, d):
+    top = search.stage1(encoded(spark, d), target_of(spark, d), 10, 1.2).withColumn("similarity", F.col("wl"))
+    return search.display(top).select("names", F.col("wl_scores").alias("scores"))
+
+
+@query("""WITH t AS (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS name, lang, string_split(text, chr(10)) AS ls FROM documents WHERE n_chars <= 2000),
+    l AS (SELECT name, unnest(ls) AS line FROM t), w AS (SELECT name, count(*) AS n_lines, CAST(sum(len(list_filter(string_split_regex(line, '[ \\t]+'), x -> x <> ''))) AS BIGINT) AS n_words FROM l GROUP BY name)
+    SELECT name, n_lines + n_words + 1 AS n FROM w""")
+def doc_tree_sizes(spark, d):
+    return fixtures.doc_trees(spark, d).select("name", F.size("nodes").cast("long").alias("n"))
+
+
+@query()
+def doc_near_duplicates(spark, d):
+    """Documents nearest to the first one, as word trees."""
+    docs = fixtures.doc_trees(spark, d).withColumn("simp_node_count", F.size("nodes")).withColumn("node_count", F.size("nodes"))
+    t = search.Target.of(docs.orderBy("name").limit(1), 1)
+    return search.stage1(wl.encode(docs, 1), t, 20).select("name", F.round("wl", 9).alias("wl"))
+
+
+@query()
+def tree_edit_distance(spark, d):
+    t = target_of(spark, d)
+    return search.pair_scores(search.stage1(encoded(spark, d), t), t, True).select("name", "ted")
+
+
+@query()
+def composite_full(spark, d):
+    t = target_of(spark, d)
+    return search.ranked(encoded(spark, d), t).select("name", "similarity")
+
+
+@query()
+def search_e2e(spark, d):
+    return search.search(encoded(spark, d), target_of(spark, d))
+
+
+@query()
+def batch_search(spark, d):
+    """Ranks for a set of stated queries (orders whose key is divisible by 1000) in one job."""
+    enc = encoded(spark, d)
+    pairs = search.batch_cosine(enc, enc.where("cast(substr(name, 2) as bigint) % 1000 = 0"))
+    return search.competition_rank(pairs).where("rank <= 10").select("query", "name", F.round("wl", 9).alias("wl"), "rank")
+
+
+@query()
+def cse_normalize(spark, d):
+    rows = search.parse_trees(fixtures.order_json(spark, d), normalized=False)
+    return rows.select("name", "node_count", "simp_node_count", F.array_join(F.transform("nodes", lambda n: n["label"]), " ").alias("labels"))
+
+
+@query()
+def pca_kmeans_assign(spark, d):
+    enc = encoded(spark, d)
+    vecs = cluster.vectors(cluster.vector_entries(enc, cluster.feature_map(cluster.document_frequency(enc), 64)), 64)
+    return cluster.assign(cluster.fit(vecs, 8, 10), vecs)
+
+
+@query()
+def random_topup(spark, d):
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("name"), F.col("label").alias("cluster_id"))
+    return cluster.with_top_up(rows, rows.where("cluster_id = 0").select("cluster_id").distinct(), 1500, 100)
+
+
+@query()
+def pretty_print(spark, d):
+    show = F.udf(lambda labels, kids: expr.pretty(labels, kids), "string")
+    one = trees(spark, d).orderBy("name").limit(5)
+    return one.select("name", show(F.expr("transform(nodes, n -> n.label)"), F.expr("transform(nodes, n -> n.children)")).alias("text"))
+
+
+@query()
+def legacy_edit_distance(spark, d):
+    t = target_of(spark, d)
+
+    @F.udf("double")
+    def far(labels, kids):
+        return compare.limited_distance(t.tree, (labels, kids))
+
+    return search.stage1(encoded(spark, d), t, 200).select("name", far(F.expr("transform(nodes, n -> n.label)"), F.expr("transform(nodes, n -> n.children)")).alias("distance"))
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)
