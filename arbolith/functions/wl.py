@@ -14,30 +14,46 @@ def initial_labels(nodes: Column) -> Column:
     return F.transform(nodes, lambda n: initial(n["label"], n["depth"]))
 
 
-def next_labels(nodes: str, labels: str) -> Column:
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def next_labels(nodes: Column, labels: Column) -> Column:
     """One round: md5 of the own label and the sorted labels of the children."""
-    return F.expr(f"transform({nodes}, (n, i) -> md5(concat({labels}[i], if(size(n.children) = 0, '', concat('(', array_join(array_sort(transform(n.children, c -> {labels}[c])), ','), ')')))))")
+
+    def one(n: Column, i: Column) -> Column:
+        below = F.array_join(F.array_sort(F.transform(n["children"], lambda c: F.get(labels, c))), ",")
+        return F.md5(F.concat(F.get(labels, i), F.when(F.size(n["children"]) == 0, "").otherwise(F.concat(F.lit("("), below, F.lit(")")))))
+
+    return F.transform(nodes, one)
 
 
-def counted(labels: str, prefix: str) -> Column:
-    """Entries (label with prefix, count) of an array, from the runs of the sorted array."""
-    return F.expr(f"transform(array_distinct({labels}), d -> struct(concat('{prefix}', d) as key, size(filter({labels}, x -> x = d)) as value))")
+def counted(labels: Column, prefix: str = "") -> Column:
+    """Entries (label with prefix, count) of an array."""
+    return F.transform(F.array_distinct(labels), lambda d: F.struct(F.concat(F.lit(prefix), d).alias("key"), F.size(F.filter(labels, lambda x: x == d)).alias("value")))
 
 
 def depth_of(nodes: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(nodes, lambda n: n["depth"])), F.lit(0))
 
 
+def histogram(nodes: Column, rounds: int) -> Column:
+    """Entries of the hashed rounds up to the depth; raw labels don't count."""
+
+    def step(n: Column, depth: Column, labels: Column, r: int) -> Column:
+        if r == rounds:
+            return F.expr("cast(array() as array<struct<key:string,value:int>>)")
+        new = F.when(depth > r, next_labels(n, labels)).otherwise(F.expr("cast(array() as array<string>)"))
+        return let(new, lambda x: F.concat(counted(x, f"{r}_"), step(n, depth, x, r + 1)))
+
+    return let(nodes, lambda n: let(depth_of(n), lambda d: let(initial_labels(n), lambda x: step(n, d, x, 0))))
+
+
 def encode(trees: DataFrame, rounds: int = 3, nodes: str = "nodes") -> DataFrame:
-    """Add enc (map feature -> count over hashed rounds up to the depth), norm2 and tree_depth. Row-local: no shuffle."""
-    out = trees.withColumn("tree_depth", depth_of(F.col(nodes))).withColumn("__l", initial_labels(F.col(nodes)))
-    parts = []
-    for r in range(rounds):
-        out = out.withColumn("__l", F.when(F.col("tree_depth") > r, next_labels(nodes, "__l")).otherwise(F.expr("cast(array() as array<string>)")))
-        out = out.withColumn(f"__h{r}", counted("__l", f"{r}_"))
-        parts.append(f"__h{r}")
-    out = out.withColumn("enc", F.map_from_entries(F.concat(*parts)))
-    return out.withColumn("norm2", F.expr("aggregate(map_values(enc), 0L, (s, v) -> s + cast(v as bigint) * v)")).drop("__l", *parts)
+    """Add enc (map feature -> count), norm2 and tree_depth. Row-local: no shuffle."""
+    out = trees.withColumn("tree_depth", depth_of(F.col(nodes))).withColumn("enc", F.map_from_entries(histogram(F.col(nodes), rounds)))
+    return out.withColumn("norm2", F.aggregate(F.map_values("enc"), F.lit(0).cast("bigint"), lambda s, v: s + v.cast("bigint") * v))
 
 
 def dot(enc: str, target: dict[str, int]) -> Column:

@@ -90,7 +90,7 @@ def wl_initial_labels(spark, d):
 
 @query(LABELS + f", {_round(1)} SELECT l AS label, count(*) AS n FROM r1 GROUP BY l")
 def wl_round(spark, d):
-    rows = trees(spark, d).withColumn("l", wl.initial_labels(F.col("nodes"))).select(F.explode(wl.next_labels("nodes", "l")).alias("label"))
+    rows = trees(spark, d).select(F.explode(wl.let(F.col("nodes"), lambda n: wl.let(wl.initial_labels(n), lambda x: wl.next_labels(n, x)))).alias("label"))
     return rows.groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -122,13 +122,14 @@ _SIZE = "(t.simp_node_count * CAST((SELECT simp_node_count FROM trees WHERE name
 def wl_kernel_sum(spark, d):
     """The unnormalised kernel: raw labels and two rounds, each dot product over the product of sizes."""
     base = trees(spark, d)
-    one = base.orderBy("name").limit(1)
-    per = lambda df: df.withColumn("l0", wl.initial_labels(F.col("nodes"))).withColumn("l1", wl.next_labels("nodes", "l0")).withColumn("l2", wl.next_labels("nodes", "l1"))
-    t = per(one).select(*[F.map_from_entries(wl.counted(f"l{r}", "")).alias(f"h{r}") for r in range(3)], F.size("nodes").alias("n")).first()
-    out = per(base)
-    for r in range(3):
-        out = out.withColumn(f"h{r}", F.map_from_entries(wl.counted(f"l{r}", "")))
-    kernel = sum((wl.dot(f"h{r}", t[f"h{r}"]) / (F.size("nodes") * F.lit(float(t["n"]))) for r in range(3)), F.lit(0.0))
+
+    def per(df: DataFrame) -> DataFrame:
+        all_ = lambda n, x0: wl.let(wl.next_labels(n, x0), lambda x1: F.array(*map(wl.counted, (x0, x1, wl.next_labels(n, x1)))))
+        rows = df.withColumn("h", wl.let(F.col("nodes"), lambda n: wl.let(wl.initial_labels(n), lambda x: all_(n, x))))
+        return rows.select("name", F.size("nodes").alias("n"), *[F.map_from_entries(F.col("h")[r]).alias(f"h{r}") for r in range(3)])
+
+    t, out = per(base.orderBy("name").limit(1)).first(), per(base)
+    kernel = sum((wl.dot(f"h{r}", t[f"h{r}"]) / (F.col("n") * F.lit(float(t["n"]))) for r in range(3)), F.lit(0.0))
     return out.select("name", F.round(kernel, 9).alias("kernel"))
 
 
@@ -322,7 +323,7 @@ def topk_display_strings(spark, d):
 
 
 @query("""WITH t AS (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS name, lang, string_split(text, chr(10)) AS ls FROM documents WHERE n_chars <= 2000),
-    l AS (SELECT name, unnest(ls) AS line FROM t), w AS (SELECT name, count(*) AS n_lines, CAST(sum(len(list_filter(string_split_regex(line, '[ \\t]+'), x -> x <> ''))) AS BIGINT) AS n_words FROM l GROUP BY name)
+    l AS (SELECT name, unnest(ls) AS line FROM t), w AS (SELECT name, count(*) AS n_lines, CAST(sum(len(list_filter(string_split_regex(line, '[ \\t]+'), lambda x: x <> ''))) AS BIGINT) AS n_words FROM l GROUP BY name)
     SELECT name, n_lines + n_words + 1 AS n FROM w""")
 def doc_tree_sizes(spark, d):
     return fixtures.doc_trees(spark, d).select("name", F.size("nodes").cast("long").alias("n"))
@@ -332,7 +333,8 @@ def doc_tree_sizes(spark, d):
 def doc_near_duplicates(spark, d):
     """Documents nearest to the first one, as word trees."""
     docs = fixtures.doc_trees(spark, d).withColumn("simp_node_count", F.size("nodes")).withColumn("node_count", F.size("nodes"))
-    t = search.Target.of(docs.orderBy("name").limit(1), 1)
+    first = read(spark, d, "documents").where("n_chars <= 2000").agg(F.min("doc_id")).first()[0]
+    t = search.Target.of(docs.where(F.col("name") == F.lit(f"d{first:012d}")), 1)
     return search.stage1(wl.encode(docs, 1), t, 20).select("name", F.round("wl", 9).alias("wl"))
 
 
@@ -370,7 +372,7 @@ def cse_normalize(spark, d):
 @query()
 def pca_kmeans_assign(spark, d):
     enc = encoded(spark, d)
-    vecs = cluster.vectors(cluster.vector_entries(enc, cluster.feature_map(cluster.document_frequency(enc), 64)), 64)
+    vecs = cluster.vectors(cluster.vector_entries(enc, cluster.feature_map(cluster.document_frequency(enc), 64)), 64).persist()
     return cluster.assign(cluster.fit(vecs, 8, 10), vecs)
 
 

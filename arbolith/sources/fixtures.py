@@ -57,29 +57,32 @@ def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def doc_trees(spark: SparkSession, sf_dir: str, most: int = 2000) -> DataFrame:
     """Doc -> Line -> Lit(word) trees of documents of up to `most` characters."""
     docs = read(spark, sf_dir, "documents").where(F.col("n_chars") <= most)
-    rows = docs.select(F.expr("concat('d', lpad(cast(doc_id as string), 12, '0'))").alias("name"), "lang", F.expr("transform(split(text, '\\n'), l -> filter(split(l, '[ \\t]+'), w -> w <> ''))").alias("ws"))
-    rows = rows.withColumn("at", F.expr("transform(ws, (l, i) -> 1 + aggregate(slice(ws, 1, i), 0, (s, x) -> s + 1 + size(x)))"))
+    words = "transform(split(text, '\\n'), l -> filter(split(l, '[ \\t]+'), w -> w <> ''))"
+    starts = "transform(ws, (l, i) -> 1 + aggregate(slice(ws, 1, i), 0, (s, x) -> s + 1 + size(x)))"
     leaf = "cast(array() as array<int>)"
-    body = f"""flatten(transform(ws, (l, i) -> concat(array(named_struct('kind', 'Line', 'label', 'Line', 'depth', 1, 'parent', 0, 'children', if(size(l) = 0, {leaf}, sequence(at[i] + 1, at[i] + size(l))))),
-        transform(l, w -> named_struct('kind', 'Lit', 'label', concat('Lit(', w, ')'), 'depth', 2, 'parent', at[i], 'children', {leaf})))))"""
-    return rows.select("name", F.expr(f"concat(array(named_struct('kind', 'Doc', 'label', concat('Doc(', lang, ')'), 'depth', 0, 'parent', -1, 'children', at)), {body})").alias("nodes"))
+    body = f"""concat(array(named_struct('kind', 'Doc', 'label', concat('Doc(', lang, ')'), 'depth', 0, 'parent', -1, 'children', at)),
+        flatten(transform(ws, (l, i) -> concat(array(named_struct('kind', 'Line', 'label', 'Line', 'depth', 1, 'parent', 0, 'children', if(size(l) = 0, {leaf}, sequence(at[i] + 1, at[i] + size(l))))),
+        transform(l, w -> named_struct('kind', 'Lit', 'label', concat('Lit(', w, ')'), 'depth', 2, 'parent', at[i], 'children', {leaf}))))))"""
+    # Lambda variables hold the words and their places, so that they are computed once.
+    nodes = f"transform(array({words}), ws -> transform(array({starts}), at -> {body})[0])[0]"
+    return docs.select(F.expr("concat('d', lpad(cast(doc_id as string), 12, '0'))").alias("name"), F.expr(nodes).alias("nodes"))
 
 
 #: The same order trees as rows, for SQL.
 NODES_SQL = """lines AS (SELECT l_orderkey AS ok, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) AS i,
-    l_returnflag || '.' || l_linestatus AS flag, p_type || '.' || p_brand AS part, p_size AS size FROM lineitem JOIN part ON l_partkey = p_partkey),
+    l_returnflag || '.' || l_linestatus AS flag, p_type || '.' || p_brand AS prt, p_size AS psize FROM lineitem JOIN part ON l_partkey = p_partkey),
 ords AS (SELECT o_orderkey AS ok, 'o' || lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS name, o_orderstatus AS st, o_orderpriority AS pr, c.n AS n,
     CASE WHEN o_orderstatus = 'P' THEN 4 ELSE 0 END AS off, CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 0 END AS b FROM orders JOIN (SELECT ok, count(*) AS n FROM lines GROUP BY ok) c ON c.ok = o_orderkey),
-ol AS (SELECT o.*, i, flag, part, size, o.off + o.n + 1 + 5 * (i - 1) AS at, o.b + o.n - i + 1 AS deep FROM ords o JOIN lines l ON o.ok = l.ok),
+ol AS (SELECT o.*, i, flag, prt, psize, o.off + o.n + 1 + 5 * (i - 1) AS lid, o.b + o.n - i + 1 AS deep FROM ords o JOIN lines l ON o.ok = l.ok),
 trees AS (SELECT name, 'order ' || CAST(ok AS VARCHAR) || ' with ' || CAST(n AS VARCHAR) || ' lines' AS statement_str, 6 * n + CASE WHEN st = 'P' THEN 5 ELSE 3 END AS node_count, 6 * n + CASE WHEN st = 'P' THEN 5 ELSE 1 END AS simp_node_count, n + b + 2 AS depth FROM ords),
 nodes AS (
  SELECT name, off + n - i AS id, CASE WHEN i < n THEN off + n - i - 1 WHEN off > 0 THEN 0 ELSE -1 END AS parent, b + n - i AS depth, 'App' AS label, CASE WHEN i < n THEN 0 ELSE 1 END AS ord FROM ol
  UNION ALL SELECT name, off + n, off + n - 1, b + n, 'Const(Order.' || pr || ', [])', 0 FROM ords
- UNION ALL SELECT name, at, off + n - i, deep, 'App', 1 FROM ol
- UNION ALL SELECT name, at + 1, at, deep + 1, 'App', 0 FROM ol
- UNION ALL SELECT name, at + 2, at + 1, deep + 2, 'Const(' || flag || ', [''u''])', 0 FROM ol
- UNION ALL SELECT name, at + 3, at + 1, deep + 2, 'Const(' || part || ', [])', 1 FROM ol
- UNION ALL SELECT name, at + 4, at, deep + 1, 'Lit(' || CAST(size AS VARCHAR) || ')', 1 FROM ol
+ UNION ALL SELECT name, lid, off + n - i, deep, 'App', 1 FROM ol
+ UNION ALL SELECT name, lid + 1, lid, deep + 1, 'App', 0 FROM ol
+ UNION ALL SELECT name, lid + 2, lid + 1, deep + 2, 'Const(' || flag || ', [''u''])', 0 FROM ol
+ UNION ALL SELECT name, lid + 3, lid + 1, deep + 2, 'Const(' || prt || ', [])', 1 FROM ol
+ UNION ALL SELECT name, lid + 4, lid, deep + 1, 'Lit(' || CAST(psize AS VARCHAR) || ')', 1 FROM ol
  UNION ALL SELECT name, 0, -1, 0, 'ForallE', 0 FROM ords WHERE st = 'P'
  UNION ALL SELECT name, 1, 0, 1, 'App', 0 FROM ords WHERE st = 'P'
  UNION ALL SELECT name, 2, 1, 2, 'Const(inst' || pr || ', [])', 0 FROM ords WHERE st = 'P'
