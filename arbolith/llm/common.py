@@ -57,8 +57,8 @@ def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def tree_sum(parts: DataFrame, width: int, fan: int = 64) -> np.ndarray | None:
-    """Sum of arrays (k, blob of float64) of width numbers, in rounds of groups of up to `fan`, so that the driver gets few."""
+def tree_sum(parts: DataFrame, width: int, fan: int = 16) -> np.ndarray | None:
+    """Sum of arrays (k, blob of float64) of width numbers, in rounds of groups of up to `fan`, so that the driver gets four at most."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(width)
@@ -67,7 +67,7 @@ def tree_sum(parts: DataFrame, width: int, fan: int = 64) -> np.ndarray | None:
         return pa.table({"k": pa.array([table["k"][0].as_py() // fan], pa.int64()), "blob": [total.tobytes()]})
 
     parts = written(parts, "parts")
-    while parts.count() > fan:
+    while parts.count() > 4:
         parts = written(parts.groupBy(F.floor(F.col("k") / fan).alias("g")).applyInArrow(add, "k long, blob binary"), "parts")
     rows = parts.collect()
     return np.sum([np.frombuffer(r["blob"]) for r in rows], axis=0) if rows else None

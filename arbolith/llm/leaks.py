@@ -3,11 +3,11 @@
 Documents are cut into passages of two blocks of words, each block shared with the next passage. Terms are the words of
 the benchmark; document frequencies and the TF-IDF matrix are over all passages of the corpus. Its singular vectors come from a
 distributed randomised SVD: tasks send A'(A G) for a Gaussian G, which are summed as a tree, and a Nystroem step gives
-the vectors. Passages and items are compared by cosine in that space. Of candidates, the longest common subsequence of
+the vectors. Passages and items are compared by cosine, with dot products in that space and the lengths of whole vectors. Of candidates, the longest common subsequence of
 the item with the words around the passage decides: nearly the whole item is a copy; most of it, with its answer (its
 last quarter) near complete, is a paraphrase.
 Null and empty texts are clean; items without words match nothing; an empty benchmark or corpus gives clean rows.
-The benchmark, and V x rank numbers, are broadcast: V is at most 65,536 hashed terms.
+The benchmark, and V x rank numbers (rank is 512 at most), are broadcast: V is at most 65,536 hashed terms.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ from .licenses import common_subsequence
 TERM = re.compile(r"[^\W_]+")
 #: Words of a block; terms in more than this share of passages aren't features; terms beyond this count are hashed.
 STEP, MOST, TERMS = 32, 0.1, 65_536
-RANK, COSINE = 96, 0.5
+#: Directions: at least RANK, and 32 beyond the number of items up to MOST_RANK; the items' weight beside the corpus.
+RANK, MOST_RANK, ITEM_WEIGHT, COSINE = 96, 512, 100.0, 0.5
 #: Share of an item's words in order that makes a copy, and a paraphrase if this share of its answer is there too.
 COPY, PARAPHRASE, ANSWER = 0.85, 0.65, 0.75
 
@@ -88,8 +89,8 @@ def summed(docs: DataFrame, width: int, each) -> np.ndarray | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                total += each(batch.column(1).slice(at, 1024).to_pylist())
+            for at in range(0, batch.num_rows, 512):
+                total += each(batch.column(1).slice(at, 512).to_pylist())
         yield pa.RecordBatch.from_pydict({"k": pa.array([TaskContext.get().partitionId()], pa.int64()), "blob": [total.tobytes()]})
 
     return tree_sum(docs.mapInArrow(run, "k long, blob binary"), width)
@@ -121,22 +122,23 @@ def fit(texts: DataFrame, bench: Benchmark, rank: int, seed: int = 5) -> tuple[n
         on = useful[term]
         block, term, n = block[on], term[on], int(starts[-1])
         y = project(block, term, n, weighted)
-        p, t = passages(block, term, n)
-        order = np.argsort(t, kind="stable")
-        t, p = t[order], p[order]
+        y[1:] += y[:-1].copy()  # a block counts in its own passage and in the one before
+        order = np.argsort(term, kind="stable")
+        t, b = term[order], block[order]
         out = np.zeros((v, width))
         if len(t):
             begins = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-            out[t[begins]] = np.add.reduceat(y[p], begins, axis=0) * idf[t[begins], None]
+            out[t[begins]] = np.add.reduceat(y[b], begins, axis=0) * idf[t[begins], None]
         return out.ravel()
 
     z = summed(texts, v * width, sketch)
     z = np.zeros((v, width)) if z is None else z.reshape(v, width)
-    # The items stand in for one passage each, so that the space spans them also where the corpus doesn't.
+    # The items join with much weight, so that the space spans them wherever the corpus' own directions lie.
     own = np.zeros((len(bench.words), v))
     for i, w in enumerate(bench.words):
         np.add.at(own[i], [bench.vocabulary[x] for x in w], 1)
     own *= idf
+    own *= np.sqrt(ITEM_WEIGHT * max(np.linalg.norm(z), 1e-9) / np.linalg.norm(gauss)) / (np.linalg.norm(own, axis=1, keepdims=True) + 1e-30)
     z += own.T @ (own @ gauss)
     core = gauss.T @ z
     shift = 1e-9 * np.linalg.norm(z) + 1e-12
@@ -153,9 +155,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     bench = Benchmark(items)
     texts = id_text(docs, id_col, text_col)
     if bench.words:
-        _, vectors = fit(texts.where("text <> ''"), bench, rank)
+        idf, vectors = fit(texts.where("text <> ''"), bench, min(bench.size, max(rank, min(MOST_RANK, len(bench.words) + 32))))
         queries = np.stack([vectors[[bench.vocabulary[w] for w in t]].sum(0) for t in bench.words])
-        queries /= np.linalg.norm(queries, axis=1, keepdims=True) + 1e-30
+        queries /= np.array([[np.sqrt((np.bincount([bench.vocabulary[w] for w in t]) ** 2 @ idf[: max(bench.vocabulary[w] for w in t) + 1] ** 2) + 1e-30)] for t in bench.words])
+        square = idf[:, None].astype(np.float32) ** 2
         used = np.abs(vectors).sum(1) > 0
 
     def check(found: list[str], near: dict[int, list[int]]) -> dict[int, float]:
@@ -177,8 +180,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         block, term, starts, found = blocks_of(bench, batch)
         on = used[term]
         x = project(block[on], term[on], int(starts[-1]), vectors)
-        some = np.flatnonzero(x.any(1))
-        x = x[some] / (np.linalg.norm(x[some], axis=1, keepdims=True) + 1e-30)
+        size = np.sqrt(project(block[on], term[on], int(starts[-1]), square)[:, 0])  # of the whole passage, not of its projection
+        some = np.flatnonzero(size > 0)
+        x = x[some] / size[some, None]
         for at in range(0, len(some), 8192):
             for lo in range(0, len(queries), 4096):
                 for p, i in zip(*np.nonzero(x[at : at + 8192] @ queries[lo : lo + 4096].T >= cosine), strict=True):
@@ -189,7 +193,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     def start():
         def step(batch):
-            got = [g for at in range(0, batch.num_rows, 1024) for g in search(batch.column(1).slice(at, 1024).to_pylist())]
+            got = [g for at in range(0, batch.num_rows, 128) for g in search(batch.column(1).slice(at, 128).to_pylist())]
             ids = [sorted({bench.ids[i] for i in g}) for g in got]
             return {"doc_id": batch.column(0), "contaminated": [bool(g) for g in got], "n_items": [len(x) for x in ids], "items": ids, "best_overlap": [max(g.values(), default=0.0) for g in got]}
 
