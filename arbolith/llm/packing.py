@@ -9,9 +9,12 @@ Documents stand in ascending doc_id order (nulls first, ties by text), each with
 
 from __future__ import annotations
 
+import functools
 import os
+import string
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -26,8 +29,10 @@ from .common import id_text, map_rows, written
 MAGIC, HEAD = b"IDPACK1\0", "<8sIIQII"
 #: Ids in a block; ids after which a segment is closed.
 BLOCK, SEGMENT = 4096, 1 << 20
-#: Chunks held by a task at once, and the longest that is held.
-TABLE_SIZE, LONGEST = 400_000, 64
+#: Chunks of a table, of which a worker holds two, and the longest that is held.
+TABLE_SIZE, LONGEST = 600_000, 64
+#: Letters before this one are cut from marks behind them; chunks coded in one call.
+LATIN, JOINED = "\u0180", 256
 
 
 def width(vocabulary: int) -> int:
@@ -94,33 +99,88 @@ class WordTable:
     """Ids of each distinct chunk between blanks, as little-endian 32-bit bytes.
 
     The tokenizer's normaliser and splitter never join characters over a blank or line end, so chunks can be coded
-    apart. A text with the start of an added token is coded whole.
+    apart, many of them in one call. It lower-cases, so an ASCII chunk has the ids of its lower-case form, and it cuts
+    between a letter or digit and the ASCII marks behind it, so those two parts are looked up apart. A text with the
+    start of an added token is coded whole. Two tables are held: a full one is kept until the next is full, and what
+    is still in use moves over.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        if "Lowercase" not in str(self.tok.normalizer) or "ByteLevel" not in str(self.tok.pre_tokenizer):
+            raise ValueError("this tokenizer's words can't be coded apart")
         self.vocabulary = self.tok.get_vocab_size(with_added_tokens=True)
         self.table: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelled = {ord(c): spell(c)[0][0] for c in map(chr, range(128, ord(LATIN)))}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
 
+    def chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks without blanks. Lower-case Latin words go to the model as they are spelled in bytes, for the
+        normaliser and the splitter would leave them whole; others are coded in joined runs and cut where the next
+        chunk's first character begins."""
+        out, rest, model = [b""] * len(chunks), [], self.tok.model
+        for i, c in enumerate(chunks):
+            if c.isalpha() and c.islower() and max(c) < LATIN:
+                out[i] = array("I", [t.id for t in model.tokenize(c if c.isascii() else c.translate(self.spelled))]).tobytes()
+            else:
+                rest.append(i)
+        for at in range(0, len(rest), JOINED):
+            run = rest[at : at + JOINED]
+            got = self.tok.encode(" ".join(chunks[i] for i in run), add_special_tokens=False)
+            begins = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids))
+            cuts = np.searchsorted(begins, np.cumsum([0, *(len(chunks[i]) + 1 for i in run)])).tolist()
+            data = np.array(got.ids, "<u4").tobytes()
+            for i, k, j in zip(run, cuts, cuts[1:], strict=False):
+                out[i] = data[4 * k : 4 * j]
+        return out
+
+    def learn(self, new: list[str]) -> None:
+        """Add the ids of chunks that the table lacks; those of the table before it move over."""
+        if len(self.table) > TABLE_SIZE:
+            self.before, self.table = self.table, {}
+        table, before, cut = self.table, self.before, []
+        for c in new:
+            if (found := before.get(c)) is not None:
+                table[c] = found
+                continue
+            plain = c.lower() if c.isascii() else c
+            stem = plain.rstrip(string.punctuation)
+            if not stem or stem[-1] >= LATIN or not stem[-1].lower().isalnum():
+                stem = plain
+            cut.append((c, stem, plain[len(stem) :]))
+        lack = list(dict.fromkeys(x for _, *parts in cut for x in parts if x not in table))
+        known = {x: found for x in lack if (found := before.get(x)) is not None}
+        table.update(known)
+        lack = [x for x in lack if x not in known]
+        table.update(zip(lack, self.chunks(lack), strict=True))
+        for c, stem, marks in cut:
+            table[c] = table[stem] + table[marks]
+
     def code(self, texts: list[str]) -> list[bytes]:
         cut = [None if "<|" in t else t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.table) > TABLE_SIZE:
-            self.table.clear()
-        new = list({c for t in cut if t for c in t if c not in self.table and len(c) <= LONGEST})
-        self.table.update(zip(new, self.whole(new), strict=True))
-        get = self.table.get
+        new = set().union(*(c for c in cut if c is not None)).difference(self.table)
+        if len(self.table) > TABLE_SIZE:  # learn() will start a new table
+            new = set().union(*(c for c in cut if c is not None))
+        self.learn(list(new))
+        get = self.table.__getitem__
+        out = [b"".join(map(get, c)) if c is not None else self.whole([t])[0] for c, t in zip(cut, texts, strict=True)]
+        for c in [c for c in new if len(c) > LONGEST]:  # long chunks seldom come back
+            for x in (c, c.lower(), c.lower().rstrip(string.punctuation)):
+                self.table.pop(x, None)
+        return out
 
-        def part(c: str) -> bytes:
-            found = get(c)
-            return found if found is not None else self.whole([c])[0]
 
-        return [b"".join(map(part, c)) if c is not None else self.whole([t])[0] for c, t in zip(cut, texts, strict=True)]
+@functools.cache
+def word_table(path: str) -> WordTable:
+    """The table of a Python worker: the tasks that one process runs share it."""
+    return WordTable(path)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,7 +188,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
     schema = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordTable(tokenizer)
+        table = word_table(tokenizer)
         bits, end = width(max(table.vocabulary, end_id + 1)), np.array([end_id], "<u4").tobytes()
         part, seg, first, held = TaskContext.get().partitionId(), 0, 0, []
 

@@ -91,6 +91,18 @@ def test_packing(docs, rows, tmp_path):
     assert sum(packing.Segment(open(f, "rb").read()).n_ids for f in files) == at
 
 
+def test_word_table(monkeypatch):
+    import random
+
+    monkeypatch.setattr(packing, "TABLE_SIZE", 300)
+    table = packing.WordTable(tokenizer("word_bpe_49k.json"))
+    bits = ["a", "B", "é", "e\u0301", "Σ", "ß", "İ", "'s", "''", ",", ".", "!?", "1", "22", "½", "<", "|", "_", " ", "\n", "\t", "\xa0", "日", "\u200d", "😀", "</w>", "ĳ", "ª", "\x1c", "<|endoftext|>", "The", "x" * 70]
+    draw = random.Random(1)
+    texts = ["".join(draw.choices(bits, k=draw.randrange(40))) for _ in range(3000)]
+    got = [x for at in range(0, len(texts), 100) for x in table.code(texts[at : at + 100])]
+    assert got == table.whole(texts)
+
+
 def test_packing_widths():
     rng = np.random.default_rng(0)
     for bits in (1, 3, 7, 8, 13, 16, 17, 31, 32):
