@@ -3,7 +3,9 @@
 Documents are cut into passages of two blocks of words, each block shared with the next passage. Terms are the words of
 the benchmark; document frequencies and the TF-IDF matrix are over all passages of the corpus. Its singular vectors come from a
 distributed randomised SVD: tasks send A'(A G) for a Gaussian G, which are summed as a tree, and a Nystroem step gives
-the vectors. Passages and items are compared by cosine, with dot products in that space and the lengths of whole vectors. Of candidates, the longest common subsequence of
+the vectors; a second one joins the items to them. Passages and items are compared by cosine, with dot products in that
+space and the lengths of whole vectors; an index of the largest weights bounds the scores, so that few passages are
+projected. Texts are cut into terms once, in a written table. Of candidates, the longest common subsequence of
 the item with the words around the passage decides: nearly the whole item is a copy; most of it, with its answer (its
 last quarter) near complete, is a paraphrase.
 Null and empty texts are clean; items without words match nothing; an empty benchmark or corpus gives clean rows.
@@ -59,23 +61,31 @@ class Benchmark:
         return at // STEP, ids[at], (len(found) + STEP - 1) // STEP
 
 
-def blocks_of(bench: Benchmark, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
-    """Of many texts: block and term of each term in it, first block of each text (and one past the last), words."""
-    found = [terms_of(t) for t in texts]
-    parts = [bench.blocks(f) for f in found]
-    starts = np.cumsum([0, *(p[2] + 1 for p in parts)])  # an empty block stands between texts
-    block = np.concatenate([p[0] + s for p, s in zip(parts, starts, strict=False)]) if parts else np.zeros(0, np.int64)
-    term = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-    return block, term, starts, found
+def coded(texts: DataFrame, bench: Benchmark) -> DataFrame:
+    """Write, once for all passes, of each text: number of blocks, and block and term of each term in it."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n", pa.int64()), ("block", pa.binary()), ("term", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                got = [bench.blocks(terms_of(t)) for t in part.column(1).to_pylist()]
+                columns = [part.column(0), part.column(1), [g[2] for g in got], [g[0].astype("<i4").tobytes() for g in got], [g[1].astype("<u2").tobytes() for g in got]]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return written(texts.mapInArrow(run, "doc_id long, text string, n long, block binary, term binary"), "coded")
 
 
-def passages(block: np.ndarray, term: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(passage, term) with repeats: passage p is blocks p and p + 1 (the last one of a text is a block alone)."""
-    return np.concatenate([block, np.maximum(block - 1, 0)[block > 0]]), np.concatenate([term, term[block > 0]])
+def blocks_of(n, block, term) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of many coded texts: block and term of each term in them, first block of each text (and one past the last)."""
+    starts = np.concatenate([[0], np.cumsum(n.to_numpy() + 1)])  # an empty block stands between texts
+    parts = block.to_pylist()
+    blocks = np.frombuffer(b"".join(parts), "<i4") + np.repeat(starts[:-1], [len(p) // 4 for p in parts])
+    return blocks, np.frombuffer(b"".join(term.to_pylist()), "<u2"), starts
 
 
 def project(block: np.ndarray, term: np.ndarray, n: int, vectors: np.ndarray) -> np.ndarray:
-    """Sum of the terms' vectors over the two blocks of each of n passages."""
+    """Sum of the terms' vectors over the two blocks of each of n passages: passage p is blocks p and p + 1."""
     out = np.zeros((n + 1, vectors.shape[1]), np.float32)
     if len(block):
         begins = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
@@ -83,27 +93,47 @@ def project(block: np.ndarray, term: np.ndarray, n: int, vectors: np.ndarray) ->
     return out[:-1] + out[1:]
 
 
-def summed(docs: DataFrame, width: int, each) -> np.ndarray | None:
-    """Sum over all texts of each(texts) -> array of width float64, one array for each task."""
+def summed(texts: DataFrame, width: int, add) -> np.ndarray | None:
+    """Sum over all coded texts: add(total, block, term, starts) adds to an array of width float64, one for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                total += each(batch.column(1).slice(at, 512).to_pylist())
+                add(total, *blocks_of(*batch.slice(at, 512).columns))
         yield pa.RecordBatch.from_pydict({"k": pa.array([TaskContext.get().partitionId()], pa.int64()), "blob": [total.tobytes()]})
 
-    return tree_sum(docs.mapInArrow(run, "k long, blob binary"), width)
+    return tree_sum(texts.select("n", "block", "term").mapInArrow(run, "k long, blob binary"), width)
+
+
+def factor(z: np.ndarray, gauss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Singular vectors and values of a factor F of the matrix M ~ F F', of which z = M gauss (Nystroem)."""
+    core = gauss.T @ z
+    shift = 1e-9 * np.linalg.norm(z) + 1e-12
+    core = (core + core.T) / 2 + shift * np.eye(z.shape[1])
+    lam, u = np.linalg.eigh(core)
+    root = u / np.sqrt(np.maximum(lam, 1e-9 * max(lam.max(), 1e-12)))
+    left, values, _ = np.linalg.svd((z + shift * gauss) @ root, full_matrices=False)
+    return left, values
 
 
 def fit(texts: DataFrame, bench: Benchmark, rank: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """IDF weights of the terms, and weights x right singular vectors (terms x rank) of the passages' matrix."""
+    """IDF weights of the terms, and weights x singular vectors (terms x directions) of the corpus' passages and the items."""
     v = bench.size
 
-    def frequency(batch: list[str]) -> np.ndarray:
-        block, term, starts, _ = blocks_of(bench, batch)
-        p, t = passages(block, term, int(starts[-1]))
-        return np.r_[np.bincount(np.unique(p * v + t) % v, minlength=v), starts[-1]].astype(float)
+    def frequency(total: np.ndarray, block: np.ndarray, term: np.ndarray, starts: np.ndarray) -> None:
+        """A term's passages: two for each of its blocks, less one for each pair of neighbours and for a first block."""
+        total[v] += starts[-1]
+        if not len(term):
+            return
+        key = term.astype(np.int64) * int(starts[-1] + 1) + block  # an empty block ends each text, so neighbours are of one text
+        key.sort()
+        key = key[np.r_[True, key[1:] != key[:-1]]]
+        at = key // int(starts[-1] + 1)
+        total[:v] += 2 * np.bincount(at, minlength=v)
+        total[:v] -= np.bincount(at[1:][key[1:] == key[:-1] + 1], minlength=v)
+        firsts = np.isin(key % int(starts[-1] + 1), starts[:-1])
+        total[:v] -= np.bincount(at[firsts], minlength=v)
 
     df = summed(texts, v + 1, frequency)
     if df is None or not df[-1]:
@@ -112,41 +142,81 @@ def fit(texts: DataFrame, bench: Benchmark, rank: int, seed: int = 5) -> tuple[n
     idf = np.where(df[:v] > MOST * n, 0.0, np.log((n + 1) / (df[:v] + 1)))
     if not idf.any():
         idf = np.ones(v)
+    rng = np.random.default_rng(seed)
     width = min(v, rank + 16)
-    gauss = np.random.default_rng(seed).standard_normal((v, width))
+    gauss = rng.standard_normal((v, width))
     weighted = (idf[:, None] * gauss).astype(np.float32)
     useful = idf > 0
 
-    def sketch(batch: list[str]) -> np.ndarray:
-        block, term, starts, _ = blocks_of(bench, batch)
+    def sketch(total: np.ndarray, block: np.ndarray, term: np.ndarray, starts: np.ndarray) -> None:
         on = useful[term]
-        block, term, n = block[on], term[on], int(starts[-1])
-        y = project(block, term, n, weighted)
+        block, term = block[on], term[on]
+        if not len(term):
+            return
+        y = project(block, term, int(starts[-1]), weighted)
         y[1:] += y[:-1].copy()  # a block counts in its own passage and in the one before
         order = np.argsort(term, kind="stable")
         t, b = term[order], block[order]
-        out = np.zeros((v, width))
-        if len(t):
-            begins = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-            out[t[begins]] = np.add.reduceat(y[b], begins, axis=0) * idf[t[begins], None]
-        return out.ravel()
+        begins = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        total.reshape(v, width)[t[begins]] += np.add.reduceat(y[b], begins, axis=0) * idf[t[begins], None]
 
     z = summed(texts, v * width, sketch)
     z = np.zeros((v, width)) if z is None else z.reshape(v, width)
-    # The items join with much weight, so that the space spans them wherever the corpus' own directions lie.
-    own = np.zeros((len(bench.words), v))
-    for i, w in enumerate(bench.words):
-        np.add.at(own[i], [bench.vocabulary[x] for x in w], 1)
-    own *= idf
-    own *= np.sqrt(ITEM_WEIGHT * max(np.linalg.norm(z), 1e-9) / np.linalg.norm(gauss)) / (np.linalg.norm(own, axis=1, keepdims=True) + 1e-30)
-    z += own.T @ (own @ gauss)
-    core = gauss.T @ z
-    shift = 1e-9 * np.linalg.norm(z) + 1e-12
-    core = (core + core.T) / 2 + shift * np.eye(width)
-    lam, u = np.linalg.eigh(core)
-    root = u / np.sqrt(np.maximum(lam, 1e-9 * max(lam.max(), 1e-12)))
-    left, _, _ = np.linalg.svd((z + shift * gauss) @ root, full_matrices=False)
-    return idf, (idf[:, None] * left[:, :rank]).astype(np.float32)
+    left, values = factor(z, gauss)
+    corpus = left[:, :rank] * values[:rank]
+    # The items join the corpus' directions with much weight, so that the space spans them wherever those lie.
+    weight = np.sqrt(ITEM_WEIGHT * max(np.linalg.norm(z), 1e-9) / np.linalg.norm(gauss))
+    most = min(v, max(rank, min(MOST_RANK, len(bench.words) + 32)))
+    gauss = rng.standard_normal((v, min(v, most + 16)))
+    z = corpus @ (corpus.T @ gauss)
+    for w in bench.words:
+        t, k = np.unique([bench.vocabulary[x] for x in w], return_counts=True)
+        own = k * idf[t]
+        own *= weight / (np.linalg.norm(own) + 1e-30)
+        z[t] += np.outer(own, own @ gauss[t])
+    return idf, (idf[:, None] * factor(z, gauss)[0][:, :most]).astype(np.float32)
+
+
+class Index:
+    """For each term, the items in whose latent score it weighs most; `slack` bounds each other term's weight by item.
+
+    A passage's score with an item is the sum of its terms' weights, so the sum over the postings plus slack for every
+    term bounds it from above: passages below the bar with all items are surely no candidates.
+    """
+
+    def __init__(self, bench: Benchmark, vectors: np.ndarray, queries: np.ndarray):
+        terms, items, weights, slack = [], [], [], []
+        for i, w in enumerate(bench.words):
+            score = vectors @ queries[i]
+            k = min(len(set(w)), len(score))
+            order = np.argpartition(-np.abs(score), k - 1)
+            terms.append(order[:k])
+            items.append(np.full(k, i))
+            weights.append(score[order[:k]])
+            slack.append(np.abs(score[order[k:]]).max(initial=0.0))
+        term = np.concatenate(terms)
+        order = np.argsort(term, kind="stable")
+        self.items, self.weights = np.concatenate(items)[order], np.concatenate(weights)[order]
+        self.begins = np.searchsorted(term[order], np.arange(bench.size + 1))
+        self.slack = np.array(slack)
+
+    def candidates(self, block: np.ndarray, term: np.ndarray, n: int, bar: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Passages and their items whose bound reaches bar[passage]."""
+        wide = len(self.slack)
+        step = max(1, 4_000_000 // wide)
+        for a in range(0, n, step):
+            rows = min(step, n - a)
+            lo, hi = np.searchsorted(block, [a, a + rows + 1])
+            t, b = term[lo:hi], block[lo:hi] - a
+            k = self.begins[t.astype(np.int64) + 1] - self.begins[t]
+            at = np.repeat(self.begins[t] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            got = np.bincount(np.repeat(b, k) * wide + self.items[at], self.weights[at], (rows + 1) * wide).reshape(rows + 1, wide)
+            count = np.bincount(b, minlength=rows + 1)
+            bound = got[:-1] + got[1:] + np.outer(count[:-1] + count[1:], self.slack)
+            p, i = np.nonzero(bound >= bar[a : a + rows, None])
+            cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else []
+            for x, items in zip(p[cuts], np.split(i, cuts[1:]), strict=True) if len(p) else ():
+                yield a + int(x), items
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, cosine: float = COSINE) -> DataFrame:
@@ -154,12 +224,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna().distinct().orderBy("item_id", "text").collect()]
     bench = Benchmark(items)
     texts = id_text(docs, id_col, text_col)
+    texts = coded(texts, bench)
     if bench.words:
-        idf, vectors = fit(texts.where("text <> ''"), bench, min(bench.size, max(rank, min(MOST_RANK, len(bench.words) + 32))))
+        idf, vectors = fit(texts.where("n > 0"), bench, min(bench.size, rank))
         queries = np.stack([vectors[[bench.vocabulary[w] for w in t]].sum(0) for t in bench.words])
         queries /= np.array([[np.sqrt((np.bincount([bench.vocabulary[w] for w in t]) ** 2 @ idf[: max(bench.vocabulary[w] for w in t) + 1] ** 2) + 1e-30)] for t in bench.words])
         square = idf[:, None].astype(np.float32) ** 2
         used = np.abs(vectors).sum(1) > 0
+        index = Index(bench, vectors, queries)
 
     def check(found: list[str], near: dict[int, list[int]]) -> dict[int, float]:
         """Items that the words around their passages hold, with the share of their words in order."""
@@ -173,27 +245,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     out[i] = max(out.get(i, 0.0), share)
         return out
 
-    def search(batch: list[str]) -> list[dict[int, float]]:
-        hits: list[dict[int, list[int]]] = [{} for _ in batch]
+    def search(batch: pa.RecordBatch) -> list[dict[int, float]]:
+        hits: list[dict[int, list[int]]] = [{} for _ in range(batch.num_rows)]
         if not bench.words:
-            return [{} for _ in batch]
-        block, term, starts, found = blocks_of(bench, batch)
+            return [{} for _ in hits]
+        block, term, starts = blocks_of(*batch.columns[2:])
         on = used[term]
-        x = project(block[on], term[on], int(starts[-1]), vectors)
-        size = np.sqrt(project(block[on], term[on], int(starts[-1]), square)[:, 0])  # of the whole passage, not of its projection
-        some = np.flatnonzero(size > 0)
-        x = x[some] / size[some, None]
-        for at in range(0, len(some), 8192):
-            for lo in range(0, len(queries), 4096):
-                for p, i in zip(*np.nonzero(x[at : at + 8192] @ queries[lo : lo + 4096].T >= cosine), strict=True):
-                    p = int(some[at + p])
-                    d = int(np.searchsorted(starts, p, "right")) - 1
-                    hits[d].setdefault(lo + int(i), []).append(p - int(starts[d]))
-        return [check(f, h) if h else {} for f, h in zip(found, hits, strict=True)]
+        block, term, n = block[on], term[on], int(starts[-1])
+        size = np.sqrt(project(block, term, n, square)[:, 0])  # of the whole passage, not of its projection
+        for p, near in index.candidates(block, term, n, np.where(size > 0, (cosine - 1e-4) * size, np.inf)):
+            lo, hi = np.searchsorted(block, [p, p + 2])
+            near = near[queries[near] @ vectors[term[lo:hi]].sum(0) >= cosine * size[p]]
+            d = int(np.searchsorted(starts, p, "right")) - 1
+            for i in near.tolist():
+                hits[d].setdefault(i, []).append(p - int(starts[d]))
+        return [check(terms_of(batch.column(1)[d].as_py()), h) if h else {} for d, h in enumerate(hits)]
 
     def start():
         def step(batch):
-            got = [g for at in range(0, batch.num_rows, 128) for g in search(batch.column(1).slice(at, 128).to_pylist())]
+            got = [g for at in range(0, batch.num_rows, 256) for g in search(batch.slice(at, 256))]
             ids = [sorted({bench.ids[i] for i in g}) for g in got]
             return {"doc_id": batch.column(0), "contaminated": [bool(g) for g in got], "n_items": [len(x) for x in ids], "items": ids, "best_overlap": [max(g.values(), default=0.0) for g in got]}
 
