@@ -3,13 +3,15 @@
 Documents are cut into passages of two blocks of words, each block shared with the next passage. Terms are the words of
 the benchmark; document frequencies and the TF-IDF matrix are over all passages of the corpus. Its singular vectors come from a
 distributed randomised SVD: tasks send A'(A G) for a Gaussian G, which are summed as a tree, and a Nystroem step gives
-the vectors; a second one joins the items to them. Passages and items are compared by cosine, with dot products in that
-space and the lengths of whole vectors; an index of the largest weights bounds the scores, so that few passages are
-projected. Texts are cut into terms once, in a written table. Of candidates, the longest common subsequence of
+the vectors; a second one joins the items to them, SPACE items at a time, each group in a space of its own that spans
+all its items, however many groups there are. Passages and items are compared by dot products in that space against the
+length of the shorter of the two whole vectors, so that no verbatim copy in a passage is below the bar; an index of the
+weights by term gives the scores. Texts are cut into terms once, in a written table. Of candidates, the longest common subsequence of
 the item with the words around the passage decides: nearly the whole item is a copy; most of it, with its answer (its
 last quarter) near complete, is a paraphrase.
 Null and empty texts are clean; items without words match nothing; an empty benchmark or corpus gives clean rows.
-The benchmark, and V x rank numbers (rank is 512 at most), are broadcast: V is at most 65,536 hashed terms.
+The benchmark and the index (a weight for each distinct word of an item) are broadcast; the driver holds one group's V x
+(rank + SPACE) numbers at a time. V is at most 65,536 hashed terms.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from .licenses import common_subsequence
 TERM = re.compile(r"[^\W_]+")
 #: Words of a block; terms in more than this share of passages aren't features; terms beyond this count are hashed.
 STEP, MOST, TERMS = 32, 0.1, 65_536
-#: Directions: at least RANK, and 32 beyond the number of items up to MOST_RANK; the items' weight beside the corpus.
-RANK, MOST_RANK, ITEM_WEIGHT, COSINE = 96, 512, 100.0, 0.5
+#: Directions of the corpus; items that join them in one space; the items' weight beside the corpus; the bar.
+RANK, SPACE, ITEM_WEIGHT, COSINE = 96, 256, 100.0, 0.5
 #: Share of an item's words in order that makes a copy, and a paraphrase if this share of its answer is there too.
 COPY, PARAPHRASE, ANSWER = 0.85, 0.65, 0.75
 
@@ -117,8 +119,8 @@ def factor(z: np.ndarray, gauss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, values
 
 
-def fit(texts: DataFrame, bench: Benchmark, rank: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """IDF weights of the terms, and weights x singular vectors (terms x directions) of the corpus' passages and the items."""
+def fit(texts: DataFrame, bench: Benchmark, rank: int, seed: int = 5) -> tuple[np.ndarray, Iterator[tuple[range, np.ndarray]]]:
+    """IDF weights of the terms, and for each group of items weights x singular vectors (terms x directions) of the corpus' passages and these items."""
     v = bench.size
 
     def frequency(total: np.ndarray, block: np.ndarray, term: np.ndarray, starts: np.ndarray) -> None:
@@ -166,44 +168,54 @@ def fit(texts: DataFrame, bench: Benchmark, rank: int, seed: int = 5) -> tuple[n
     corpus = left[:, :rank] * values[:rank]
     # The items join the corpus' directions with much weight, so that the space spans them wherever those lie.
     weight = np.sqrt(ITEM_WEIGHT * max(np.linalg.norm(z), 1e-9) / np.linalg.norm(gauss))
-    most = min(v, max(rank, min(MOST_RANK, len(bench.words) + 32)))
-    gauss = rng.standard_normal((v, min(v, most + 16)))
-    z = corpus @ (corpus.T @ gauss)
-    for w in bench.words:
-        t, k = np.unique([bench.vocabulary[x] for x in w], return_counts=True)
-        own = k * idf[t]
-        own *= weight / (np.linalg.norm(own) + 1e-30)
-        z[t] += np.outer(own, own @ gauss[t])
-    return idf, (idf[:, None] * factor(z, gauss)[0][:, :most]).astype(np.float32)
+
+    def spaces() -> Iterator[tuple[range, np.ndarray]]:
+        for first in range(0, len(bench.words), SPACE):
+            group = range(first, min(first + SPACE, len(bench.words)))
+            most = min(v, rank + len(group))
+            gauss = rng.standard_normal((v, min(v, most + 16)))
+            z = corpus @ (corpus.T @ gauss)
+            for i in group:
+                t, k = np.unique([bench.vocabulary[x] for x in bench.words[i]], return_counts=True)
+                own = k * idf[t]
+                own *= weight / (np.linalg.norm(own) + 1e-30)
+                z[t] += np.outer(own, own @ gauss[t])
+            yield group, (idf[:, None] * factor(z, gauss)[0][:, :most]).astype(np.float32)
+
+    return idf, spaces()
 
 
 class Index:
     """For each term, the items in whose latent score it weighs most; `slack` bounds each other term's weight by item.
 
     A passage's score with an item is the sum of its terms' weights, so the sum over the postings plus slack for every
-    term bounds it from above: passages below the bar with all items are surely no candidates.
+    term bounds it from above. The spaces span their items, so slack is next to nothing and the bound is the score.
     """
 
-    def __init__(self, bench: Benchmark, vectors: np.ndarray, queries: np.ndarray):
-        terms, items, weights, slack = [], [], [], []
-        for i, w in enumerate(bench.words):
-            score = vectors @ queries[i]
-            k = min(len(set(w)), len(score))
-            order = np.argpartition(-np.abs(score), k - 1)
-            terms.append(order[:k])
-            items.append(np.full(k, i))
-            weights.append(score[order[:k]])
-            slack.append(np.abs(score[order[k:]]).max(initial=0.0))
+    def __init__(self, bench: Benchmark, idf: np.ndarray, spaces: Iterator[tuple[range, np.ndarray]]):
+        terms, items, weights, slack, lengths = [], [], [], [], []
+        for group, vectors in spaces:
+            for i in group:
+                t, k = np.unique([bench.vocabulary[w] for w in bench.words[i]], return_counts=True)
+                length = np.sqrt((k * idf[t]) ** 2 @ np.ones(len(t)) + 1e-30)
+                score = vectors @ (k @ vectors[t] / length).astype(np.float32)
+                order = np.argpartition(-np.abs(score), len(t) - 1)
+                terms.append(order[: len(t)])
+                items.append(np.full(len(t), i))
+                weights.append(score[order[: len(t)]])
+                slack.append(np.abs(score[order[len(t) :]]).max(initial=0.0))
+                lengths.append(length)
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
         self.items, self.weights = np.concatenate(items)[order], np.concatenate(weights)[order]
         self.begins = np.searchsorted(term[order], np.arange(bench.size + 1))
-        self.slack = np.array(slack)
+        self.slack, self.lengths = np.array(slack), np.array(lengths)
 
-    def candidates(self, block: np.ndarray, term: np.ndarray, n: int, bar: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Passages and their items whose bound reaches bar[passage]."""
-        wide = len(self.slack)
+    def candidates(self, block: np.ndarray, term: np.ndarray, size: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray]]:
+        """Passages and their items whose score reaches this share of the shorter length; size is the passages' length."""
+        wide, n = len(self.slack), len(size)
         step = max(1, 4_000_000 // wide)
+        size = np.where(size > 0, size, np.inf)
         for a in range(0, n, step):
             rows = min(step, n - a)
             lo, hi = np.searchsorted(block, [a, a + rows + 1])
@@ -213,7 +225,7 @@ class Index:
             got = np.bincount(np.repeat(b, k) * wide + self.items[at], self.weights[at], (rows + 1) * wide).reshape(rows + 1, wide)
             count = np.bincount(b, minlength=rows + 1)
             bound = got[:-1] + got[1:] + np.outer(count[:-1] + count[1:], self.slack)
-            p, i = np.nonzero(bound >= bar[a : a + rows, None])
+            p, i = np.nonzero((bound >= (cosine - 1e-4) * np.minimum.outer(size[a : a + rows], self.lengths)) & np.isfinite(size[a : a + rows, None]))
             cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else []
             for x, items in zip(p[cuts], np.split(i, cuts[1:]), strict=True) if len(p) else ():
                 yield a + int(x), items
@@ -226,12 +238,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     texts = id_text(docs, id_col, text_col)
     texts = coded(texts, bench)
     if bench.words:
-        idf, vectors = fit(texts.where("n > 0"), bench, min(bench.size, rank))
-        queries = np.stack([vectors[[bench.vocabulary[w] for w in t]].sum(0) for t in bench.words])
-        queries /= np.array([[np.sqrt((np.bincount([bench.vocabulary[w] for w in t]) ** 2 @ idf[: max(bench.vocabulary[w] for w in t) + 1] ** 2) + 1e-30)] for t in bench.words])
+        idf, spaces = fit(texts.where("n > 0"), bench, min(bench.size, rank))
+        index = Index(bench, idf, spaces)
         square = idf[:, None].astype(np.float32) ** 2
-        used = np.abs(vectors).sum(1) > 0
-        index = Index(bench, vectors, queries)
+        used = idf > 0
 
     def check(found: list[str], near: dict[int, list[int]]) -> dict[int, float]:
         """Items that the words around their passages hold, with the share of their words in order."""
@@ -253,9 +263,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         on = used[term]
         block, term, n = block[on], term[on], int(starts[-1])
         size = np.sqrt(project(block, term, n, square)[:, 0])  # of the whole passage, not of its projection
-        for p, near in index.candidates(block, term, n, np.where(size > 0, (cosine - 1e-4) * size, np.inf)):
-            lo, hi = np.searchsorted(block, [p, p + 2])
-            near = near[queries[near] @ vectors[term[lo:hi]].sum(0) >= cosine * size[p]]
+        for p, near in index.candidates(block, term, size, cosine):
             d = int(np.searchsorted(starts, p, "right")) - 1
             for i in near.tolist():
                 hits[d].setdefault(i, []).append(p - int(starts[d]))

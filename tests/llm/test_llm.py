@@ -264,6 +264,25 @@ def test_leaks_paraphrase(spark):
     assert leaks.keep_clean(df.withColumn("extra", df.doc_id), bench).columns == ["doc_id", "text", "extra"]
 
 
+def leaks_text(rng, n, size=8000):
+    """Words with the frequencies of a language: the k-th is met 1/k as often."""
+    return [f"term{int(x)}" for x in np.exp(rng.random(n) * np.log(size))]
+
+
+def found_leaks(spark, texts, items):
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
+    return {r["doc_id"]: set(r["items"]) for r in leaks.find_leaks(df, bench).collect()}
+
+
+def test_leaks_many_items(spark):
+    rng = np.random.default_rng(6)
+    texts = [leaks_text(rng, 200) for _ in range(2000)]
+    items = [t[(a := int(rng.integers(140))) : a + int(rng.integers(15, 61))] for t in texts]
+    got = found_leaks(spark, texts, items)
+    assert [i for i in range(2000) if i not in got[i]] == []
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "How do I sort?\nI use a list."), (1, 1, "bot", "> How do I sort?\nCall sorted()."), (1, 2, "user", "On Monday bot wrote:\n> > how do  I sort?\n> Call sorted().\n\nThanks."),
