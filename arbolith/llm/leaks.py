@@ -30,8 +30,9 @@ from .common import id_text, map_rows, tree_sum, written
 from .licenses import common_subsequence
 
 TERM = re.compile(r"[^\W_]+")
-#: Words of a block; terms in more than this share of passages aren't features; terms beyond this count are hashed.
-STEP, MOST, TERMS = 32, 0.1, 65_536
+#: Words of a block; terms in more than this share of passages aren't features, but for items that would keep under KEPT
+#: of their words (a text that is repeated over and over); the least weight of those; terms beyond this count are hashed.
+STEP, MOST, KEPT, LEAST, TERMS = 32, 0.1, 0.5, 0.1, 65_536
 #: Directions of the corpus; items that join them in one space; the items' weight beside the corpus; the bar.
 RANK, SPACE, ITEM_WEIGHT, COSINE = 96, 256, 100.0, 0.5
 #: Share of an item's words in order that makes a copy, and a paraphrase if this share of its answer is there too.
@@ -141,9 +142,12 @@ def fit(texts: DataFrame, bench: Benchmark, rank: int, seed: int = 5) -> tuple[n
     if df is None or not df[-1]:
         df = np.ones(v + 1)
     n = df[-1]
-    idf = np.where(df[:v] > MOST * n, 0.0, np.log((n + 1) / (df[:v] + 1)))
-    if not idf.any():
-        idf = np.ones(v)
+    frequent, needed = df[:v] > MOST * n, np.zeros(v, bool)
+    for w in bench.words:
+        t = [bench.vocabulary[x] for x in w]
+        if frequent[t].mean() > 1 - KEPT:
+            needed[t] = True
+    idf = np.where(frequent & ~needed, 0.0, np.maximum(np.log((n + 1) / (df[:v] + 1)), LEAST))
     rng = np.random.default_rng(seed)
     width = min(v, rank + 16)
     gauss = rng.standard_normal((v, width))

@@ -283,6 +283,16 @@ def test_leaks_many_items(spark):
     assert [i for i in range(2000) if i not in got[i]] == []
 
 
+def test_leaks_hot_copies(spark):
+    rng = np.random.default_rng(7)
+    texts = [leaks_text(rng, int(rng.integers(40, 151))) for _ in range(400)]
+    texts[0] = leaks_text(rng, 60)
+    items = [t[5:35] for t in texts[:50]]
+    texts[200:] = [texts[0]] * 200
+    got = found_leaks(spark, texts, items)
+    assert [i for i in range(50) if i not in got[i]] == [] and [i for i in range(200, 400) if 0 not in got[i]] == []
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "How do I sort?\nI use a list."), (1, 1, "bot", "> How do I sort?\nCall sorted()."), (1, 2, "user", "On Monday bot wrote:\n> > how do  I sort?\n> Call sorted().\n\nThanks."),
