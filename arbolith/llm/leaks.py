@@ -3,14 +3,15 @@
 Documents are cut into passages of two blocks of words, each block shared with the next passage. Terms are the words of
 the benchmark; document frequencies and the TF-IDF matrix are over all passages of the corpus. Its singular vectors come from a
 distributed randomised SVD: tasks send A'(A G) for a Gaussian G, which are summed as a tree, and a Nystroem step gives
-the vectors; a second one joins the items to them, SPACE items at a time, each group in a space of its own that spans
-all its items, however many groups there are. Passages and items are compared by dot products in that space against the
-length of the shorter of the two whole vectors, so that no verbatim copy in a passage is below the bar; an index of the
-weights by term gives the scores. Texts are cut into terms once, in a written table. Of candidates, the longest common subsequence of
-the item with the words around the passage decides: nearly the whole item is a copy; most of it, with its answer (its
+the vectors. Items are cut into parts no longer than a passage. A second step joins the parts to the vectors, SPACE parts
+at a time, each group in a space of its own that spans all its parts, however many groups there are. Passages and parts
+are compared by dot products in that space against the length of the shorter of the two whole vectors: of two neighbouring
+passages that hold a verbatim copy, one is not below the bar. An index of the weights by term gives the scores. Texts are
+cut into terms once, in a written table. Of candidates, the longest common subsequence of the whole item with the words
+around the passage decides: nearly the whole item is a copy; most of it, with its answer (its
 last quarter) near complete, is a paraphrase.
 Null and empty texts are clean; items without words match nothing; an empty benchmark or corpus gives clean rows.
-The benchmark and the index (a weight for each distinct word of an item) are broadcast; the driver holds one group's V x
+The benchmark and the index (a weight for each distinct word of a part) are broadcast; the driver holds one group's V x
 (rank + SPACE) numbers at a time. V is at most 65,536 hashed terms.
 """
 
@@ -33,7 +34,7 @@ TERM = re.compile(r"[^\W_]+")
 #: Words of a block; terms in more than this share of passages aren't features, but for items that would keep under KEPT
 #: of their words (a text that is repeated over and over); the least weight of those; terms beyond this count are hashed.
 STEP, MOST, KEPT, LEAST, TERMS = 32, 0.1, 0.5, 0.1, 65_536
-#: Directions of the corpus; items that join them in one space; the items' weight beside the corpus; the bar.
+#: Directions of the corpus; parts of items that join them in one space; the parts' weight beside the corpus; the bar.
 RANK, SPACE, ITEM_WEIGHT, COSINE = 96, 256, 100.0, 0.5
 #: Share of an item's words in order that makes a copy, and a paraphrase if this share of its answer is there too.
 COPY, PARAPHRASE, ANSWER = 0.85, 0.65, 0.75
@@ -44,7 +45,7 @@ def terms_of(text: str | None) -> list[str]:
 
 
 class Benchmark:
-    """The items' words and the vocabulary; beyond TERMS words, ids are hashes."""
+    """The items' words, their parts of at most two blocks (as ids) and the vocabulary; beyond TERMS words, ids are hashes."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = [i for i, t in items if terms_of(t)]
@@ -55,6 +56,8 @@ class Benchmark:
         self.size = n
         answers = [max(1, len(w) // 4) for w in self.words]
         self.answers = [w[-n:] for w, n in zip(self.words, answers, strict=True)]
+        cut = [(i, np.array_split([self.vocabulary[x] for x in w], -(-len(w) // (2 * STEP)))) for i, w in enumerate(self.words)]
+        self.parts, self.owner = [p for _, ps in cut for p in ps], np.array([i for i, ps in cut for _ in ps], np.int64)
 
     def blocks(self, found: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
         """Block and term of each word that is a term, and the number of blocks."""
@@ -121,7 +124,7 @@ def factor(z: np.ndarray, gauss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(texts: DataFrame, bench: Benchmark, rank: int, seed: int = 5) -> tuple[np.ndarray, Iterator[tuple[range, np.ndarray]]]:
-    """IDF weights of the terms, and for each group of items weights x singular vectors (terms x directions) of the corpus' passages and these items."""
+    """IDF weights of the terms, and for each group of parts weights x singular vectors (terms x directions) of the corpus' passages and these parts."""
     v = bench.size
 
     def frequency(total: np.ndarray, block: np.ndarray, term: np.ndarray, starts: np.ndarray) -> None:
@@ -143,8 +146,7 @@ def fit(texts: DataFrame, bench: Benchmark, rank: int, seed: int = 5) -> tuple[n
         df = np.ones(v + 1)
     n = df[-1]
     frequent, needed = df[:v] > MOST * n, np.zeros(v, bool)
-    for w in bench.words:
-        t = [bench.vocabulary[x] for x in w]
+    for t in bench.parts:
         if frequent[t].mean() > 1 - KEPT:
             needed[t] = True
     idf = np.where(frequent & ~needed, 0.0, np.maximum(np.log((n + 1) / (df[:v] + 1)), LEAST))
@@ -170,17 +172,17 @@ def fit(texts: DataFrame, bench: Benchmark, rank: int, seed: int = 5) -> tuple[n
     z = np.zeros((v, width)) if z is None else z.reshape(v, width)
     left, values = factor(z, gauss)
     corpus = left[:, :rank] * values[:rank]
-    # The items join the corpus' directions with much weight, so that the space spans them wherever those lie.
+    # The parts join the corpus' directions with much weight, so that the space spans them wherever those lie.
     weight = np.sqrt(ITEM_WEIGHT * max(np.linalg.norm(z), 1e-9) / np.linalg.norm(gauss))
 
     def spaces() -> Iterator[tuple[range, np.ndarray]]:
-        for first in range(0, len(bench.words), SPACE):
-            group = range(first, min(first + SPACE, len(bench.words)))
+        for first in range(0, len(bench.parts), SPACE):
+            group = range(first, min(first + SPACE, len(bench.parts)))
             most = min(v, rank + len(group))
             gauss = rng.standard_normal((v, min(v, most + 16)))
             z = corpus @ (corpus.T @ gauss)
             for i in group:
-                t, k = np.unique([bench.vocabulary[x] for x in bench.words[i]], return_counts=True)
+                t, k = np.unique(bench.parts[i], return_counts=True)
                 own = k * idf[t]
                 own *= weight / (np.linalg.norm(own) + 1e-30)
                 z[t] += np.outer(own, own @ gauss[t])
@@ -190,33 +192,33 @@ def fit(texts: DataFrame, bench: Benchmark, rank: int, seed: int = 5) -> tuple[n
 
 
 class Index:
-    """For each term, the items in whose latent score it weighs most; `slack` bounds each other term's weight by item.
+    """For each term, the parts in whose latent score it weighs most; `slack` bounds each other term's weight by part.
 
-    A passage's score with an item is the sum of its terms' weights, so the sum over the postings plus slack for every
-    term bounds it from above. The spaces span their items, so slack is next to nothing and the bound is the score.
+    A passage's score with a part is the sum of its terms' weights, so the sum over the postings plus slack for every
+    term bounds it from above. The spaces span their parts, so slack is next to nothing and the bound is the score.
     """
 
     def __init__(self, bench: Benchmark, idf: np.ndarray, spaces: Iterator[tuple[range, np.ndarray]]):
-        terms, items, weights, slack, lengths = [], [], [], [], []
+        terms, parts, weights, slack, lengths = [], [], [], [], []
         for group, vectors in spaces:
             for i in group:
-                t, k = np.unique([bench.vocabulary[w] for w in bench.words[i]], return_counts=True)
+                t, k = np.unique(bench.parts[i], return_counts=True)
                 length = np.sqrt((k * idf[t]) ** 2 @ np.ones(len(t)) + 1e-30)
                 score = vectors @ (k @ vectors[t] / length).astype(np.float32)
                 order = np.argpartition(-np.abs(score), len(t) - 1)
                 terms.append(order[: len(t)])
-                items.append(np.full(len(t), i))
+                parts.append(np.full(len(t), i))
                 weights.append(score[order[: len(t)]])
                 slack.append(np.abs(score[order[len(t) :]]).max(initial=0.0))
                 lengths.append(length)
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
-        self.items, self.weights = np.concatenate(items)[order], np.concatenate(weights)[order]
+        self.parts, self.weights = np.concatenate(parts)[order], np.concatenate(weights)[order]
         self.begins = np.searchsorted(term[order], np.arange(bench.size + 1))
         self.slack, self.lengths = np.array(slack), np.array(lengths)
 
     def candidates(self, block: np.ndarray, term: np.ndarray, size: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray]]:
-        """Passages and their items whose score reaches this share of the shorter length; size is the passages' length."""
+        """Passages and their parts whose score reaches this share of the shorter length; size is the passages' length."""
         wide, n = len(self.slack), len(size)
         step = max(1, 4_000_000 // wide)
         size = np.where(size > 0, size, np.inf)
@@ -226,13 +228,13 @@ class Index:
             t, b = term[lo:hi], block[lo:hi] - a
             k = self.begins[t.astype(np.int64) + 1] - self.begins[t]
             at = np.repeat(self.begins[t] - np.cumsum(k) + k, k) + np.arange(k.sum())
-            got = np.bincount(np.repeat(b, k) * wide + self.items[at], self.weights[at], (rows + 1) * wide).reshape(rows + 1, wide)
+            got = np.bincount(np.repeat(b, k) * wide + self.parts[at], self.weights[at], (rows + 1) * wide).reshape(rows + 1, wide)
             count = np.bincount(b, minlength=rows + 1)
             bound = got[:-1] + got[1:] + np.outer(count[:-1] + count[1:], self.slack)
             p, i = np.nonzero((bound >= (cosine - 1e-4) * np.minimum.outer(size[a : a + rows], self.lengths)) & np.isfinite(size[a : a + rows, None]))
             cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else []
-            for x, items in zip(p[cuts], np.split(i, cuts[1:]), strict=True) if len(p) else ():
-                yield a + int(x), items
+            for x, parts in zip(p[cuts], np.split(i, cuts[1:]), strict=True) if len(p) else ():
+                yield a + int(x), parts
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, cosine: float = COSINE) -> DataFrame:
@@ -253,6 +255,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         for i, at in near.items():
             item, answer = bench.words[i], bench.answers[i]
             for p in at:
+                if out.get(i) == 1.0:
+                    break
                 region = found[max(0, p * STEP - len(item)) : (p + 2) * STEP + len(item)]
                 share = common_subsequence(item, region) / len(item)
                 if share >= COPY or share >= PARAPHRASE and common_subsequence(answer, region) >= ANSWER * len(answer):
@@ -269,7 +273,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         size = np.sqrt(project(block, term, n, square)[:, 0])  # of the whole passage, not of its projection
         for p, near in index.candidates(block, term, size, cosine):
             d = int(np.searchsorted(starts, p, "right")) - 1
-            for i in near.tolist():
+            for i in np.unique(bench.owner[near]).tolist():
                 hits[d].setdefault(i, []).append(p - int(starts[d]))
         return [check(terms_of(batch.column(1)[d].as_py()), h) if h else {} for d, h in enumerate(hits)]
 

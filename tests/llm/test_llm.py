@@ -293,6 +293,17 @@ def test_leaks_hot_copies(spark):
     assert [i for i in range(50) if i not in got[i]] == [] and [i for i in range(200, 400) if 0 not in got[i]] == []
 
 
+def test_leaks_long_items(spark):
+    rng = np.random.default_rng(8)
+    texts = [leaks_text(rng, 900) for _ in range(200)]
+    items = [t[100 : 100 + (300, 500)[i % 2]] for i, t in enumerate(texts)]
+    for i in range(100, 200):  # every third word changed, every sixth in the answer
+        n = len(items[i])
+        texts[i] = [f"other{k}" if 100 <= k < 100 + n and k % (3 if k < 100 + n * 3 // 4 else 6) == 0 else w for k, w in enumerate(texts[i])]
+    got = found_leaks(spark, texts, items)
+    assert [i for i in range(200) if got[i] != {i}] == []
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "How do I sort?\nI use a list."), (1, 1, "bot", "> How do I sort?\nCall sorted()."), (1, 2, "user", "On Monday bot wrote:\n> > how do  I sort?\n> Call sorted().\n\nThanks."),
