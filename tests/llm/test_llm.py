@@ -384,6 +384,14 @@ def test_attention_base(spark, sf, docs, rows):
     assert all(g[6] < 0 for g in got)
 
 
+def test_attention_windows(spark):
+    rows = [(i, " ".join(f"w{k}" for k in range(i % 300))) for i in range(600)]
+    train = [(d, t) for d, t in rows if not attention.held_out(d)]
+    path = tokenizer("word_bpe_49k.json")
+    got = attention.gather(spark.createDataFrame(train, "doc_id long, text string").repartition(4), path, attention.WordTable(path).vocabulary)
+    assert got.where("kind = 0").count() >= len(train)
+
+
 def test_attention_model():
     rng = np.random.default_rng(0)
     net = attention.Net.new(20, 12, rng)
