@@ -392,6 +392,17 @@ def test_attention_windows(spark):
     assert got.where("kind = 0").count() >= len(train)
 
 
+def test_attention_classes(spark):
+    rng = np.random.default_rng(3)
+    windows = rng.integers(0, 2000, size=(30_000, attention.WINDOW + 1)).astype(np.int32)
+    for k in range(50):  # ids that three windows hold, with a neighbour on either side
+        windows[[k, 10_000 + k, 20_000 + k], 5] = 2000 + k
+    counts = np.bincount(windows.ravel(), minlength=2050).astype(float)
+    df = spark.createDataFrame([(i, w.tobytes()) for i, w in enumerate(windows)], "k long, blob binary")
+    _, classes = attention.fit(df, counts, rounds=0)
+    assert [k for k in range(2000, 2050) if classes.of[k] == attention.CLASSES - 1] == []
+
+
 def test_attention_model():
     rng = np.random.default_rng(0)
     net = attention.Net.new(20, 12, rng)
