@@ -368,6 +368,15 @@ def test_licenses(spark, docs, rows):
     assert scan(filler) == [] and scan("") == []
 
 
+def test_licenses_whole(spark):
+    two, three, mit, isc = (licenses.TEMPLATES[k] for k in ("BSD-2-Clause", "BSD-3-Clause", "MIT", "ISC"))
+    half = mit[: mit.index("THE SOFTWARE IS")]
+    df = spark.createDataFrame(list(enumerate([two, three, mit, isc, half, isc[: isc.index("THE SOFTWARE IS")]])), "doc_id long, text string")
+    got = {r["doc_id"]: (r["best_license"], r["best_coverage"]) for r in licenses.scan_licenses(df).collect()}
+    assert [got[i] for i in range(6)] == [("BSD-2-Clause", 1.0), ("BSD-3-Clause", 1.0), ("MIT", 1.0), ("ISC", 1.0), (None, 0.0), (None, 0.0)]
+    assert "endorse" in three and "endorse" not in two
+
+
 def test_attention_base(spark, sf, docs, rows):
     import math
     from collections import Counter
