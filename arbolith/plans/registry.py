@@ -332,8 +332,8 @@ def doc_tree_sizes(spark, d):
 @query()
 def doc_near_duplicates(spark, d):
     """Documents nearest to the first one, as word trees."""
-    docs = fixtures.doc_trees(spark, d).withColumn("simp_node_count", F.size("nodes")).withColumn("node_count", F.size("nodes"))
-    first = read(spark, d, "documents").where("n_chars <= 2000").agg(F.min("doc_id")).first()[0]
+    docs = fixtures.doc_trees(spark, d, None).withColumn("simp_node_count", F.size("nodes")).withColumn("node_count", F.size("nodes"))
+    first = read(spark, d, "documents").agg(F.min("doc_id")).first()[0]
     t = search.Target.of(docs.where(F.col("name") == F.lit(f"d{first:012d}")), 1)
     return search.stage1(wl.encode(docs, 1), t, 20).select("name", F.round("wl", 9).alias("wl"))
 

@@ -6,6 +6,7 @@ import random
 import pytest
 
 from arbolith.operators import cluster, compare, expr, search
+from arbolith.plans import registry
 from arbolith.sources import store
 
 
@@ -199,3 +200,12 @@ def test_streaming(spark, tmp_path):
 
 def test_nearest():
     assert cluster.nearest([(0, [0.0, 0.0]), (1, [1.0, 1.0]), (2, [5.0, 5.0])], [1.2, 1.0], 2) == [1, 0]
+
+
+def test_near_duplicates_of_long_documents(spark, sf, tmp_path):
+    text = "\n".join(" ".join(f"w{k}" for k in range(j, j + 20)) for j in range(60))
+    short = "a b c\nd e"
+    rows = [(1, text, "en", len(text)), (2, text, "en", len(text)), (3, short, "en", len(short)), (4, short, "en", len(short))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["name"] for r in registry.queries()["doc_near_duplicates"](spark, str(tmp_path)).collect()}
+    assert {"d000000000001", "d000000000002"} & got and "d000000000003" not in got
