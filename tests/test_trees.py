@@ -209,3 +209,7 @@ def test_near_duplicates_of_long_documents(spark, sf, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["name"] for r in registry.queries()["doc_near_duplicates"](spark, str(tmp_path)).collect()}
     assert {"d000000000001", "d000000000002"} & got and "d000000000003" not in got
+
+
+def test_pretty_print_is_of_all_trees(spark, sf):
+    assert registry.queries()["pretty_print"](spark, sf).count() == registry.trees(spark, sf).count() > 5
