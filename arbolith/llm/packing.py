@@ -9,10 +9,11 @@ Documents stand in ascending doc_id order (nulls first, ties by text), each with
 
 from __future__ import annotations
 
-import functools
 import os
 import string
 import struct
+import sys
+import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -177,10 +178,13 @@ class WordTable:
         return out
 
 
-@functools.cache
 def word_table(path: str) -> WordTable:
-    """The table of a Python worker: the tasks that one process runs share it."""
-    return WordTable(path)
+    """The table of a Python worker: the tasks that one process runs share it. Functions come to workers by value, each time
+    with globals of their own, so the table is kept as a module of the process, which needs no file on the executor."""
+    held = sys.modules.setdefault("arbolith_worker_tables", types.ModuleType("arbolith_worker_tables"))
+    if path not in held.__dict__:
+        held.__dict__[path] = WordTable(path)
+    return held.__dict__[path]
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
