@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arbolith.llm import jaccard, leaks, lines, pieces, quality
-from arbolith.llm.common import written
 from arbolith.llm.files import tokenizer
+from arbolith.sources.shared import written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
