@@ -1,38 +1,22 @@
-"""Shared pieces: word pattern, shared folder, written intermediate tables."""
+"""Shared pieces: words, rows through Arrow, sums over tasks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def words(text: str | None) -> list[bytes]:
     """Runs without ASCII white space, in UTF-8: bytes.split() knows just the six blanks \\x20 and \\x09-\\x0D."""
     return text.encode("utf-8", "replace").split() if text else []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="arbolith-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it again, which cuts the lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable]) -> DataFrame:
     """Apply a function of whole Arrow batches. start() runs once in each task and gives batch -> dict of columns."""
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -71,3 +55,19 @@ def tree_sum(parts: DataFrame, width: int, fan: int = 16) -> np.ndarray | None:
         parts = written(parts.groupBy(F.floor(F.col("k") / fan).alias("g")).applyInArrow(add, "k long, blob binary"), "parts")
     rows = parts.collect()
     return np.sum([np.frombuffer(r["blob"]) for r in rows], axis=0) if rows else None
+
+
+def slab_sum(parts: DataFrame, fan: int = 16) -> list[tuple[int, bytes]]:
+    """Sums of arrays (slab, k, blob of float64) by slab, in rounds of groups of up to `fan` tasks k, so that no task and no
+    message is longer than `fan` slabs. The driver gets one blob for each slab."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.sum([np.frombuffer(x.as_py()) for x in table["blob"]], axis=0)
+        return pa.table({"slab": table["slab"].slice(0, 1), "k": pa.array([table["k"][0].as_py() // fan], pa.int64()), "blob": [total.tobytes()]})
+
+    parts = written(parts, "parts")
+    tasks = (parts.agg(F.max("k")).first()[0] or 0) + 1
+    while tasks > 1:
+        parts = written(parts.groupBy("slab", F.floor(F.col("k") / fan).alias("g")).applyInArrow(add, "slab long, k long, blob binary"), "parts")
+        tasks = -(-tasks // fan)
+    return [(r["slab"], r["blob"]) for r in parts.toLocalIterator()]

@@ -1,18 +1,23 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are cut into passages of two blocks of words, each block shared with the next passage. Terms are the words of
-the benchmark; document frequencies and the TF-IDF matrix are over all passages of the corpus. Its singular vectors come from a
-distributed randomised SVD: tasks send A'(A G) for a Gaussian G, which are summed as a tree, and a Nystroem step gives
-the vectors. Items are cut into parts no longer than a passage. A second step joins the parts to the vectors, SPACE parts
-at a time, each group in a space of its own that spans all its parts, however many groups there are. Passages and parts
-are compared by dot products in that space against the length of the shorter of the two whole vectors: of two neighbouring
-passages that hold a verbatim copy, one is not below the bar. An index of the weights by term gives the scores. Texts are
-cut into terms once, in a written table. Of candidates, the longest common subsequence of the whole item with the words
-around the passage decides: nearly the whole item is a copy; most of it, with its answer (its
-last quarter) near complete, is a paraphrase.
-Null and empty texts are clean; items without words match nothing; an empty benchmark or corpus gives clean rows.
-The benchmark and the index (a weight for each distinct word of a part) are broadcast; the driver holds one group's V x
-(rank + SPACE) numbers at a time. V is at most 65,536 hashed terms.
+Documents are cut into passages of two blocks of words, each block shared with the next passage. Terms are words: each word
+of the benchmark is one, other words share HASHED terms by a hash. Document frequencies and the TF-IDF matrix are over all
+passages of the corpus. Its singular vectors come from a distributed randomised SVD: tasks send A'(A G) for a Gaussian G in
+slabs of terms, which are summed as a tree, and a Nystroem step gives vectors and values.
+Items are cut into parts no longer than a passage. Candidates are the pairs of passage and part
+- whose cosine reaches `latent` in the space of the singular vectors, each divided by its value. There words that the corpus
+  uses alike are alike, so a part and a passage may meet that share few rare words;
+- whose dot product over the benchmark's words reaches `cosine` of the shorter one's squared length. It is exact, by an index
+  of the parts, so a verbatim copy, short or long, is a candidate whatever directions the corpus has.
+Of candidates, the longest common subsequence of the whole item with the words around the passage decides: nearly the whole
+item is a copy; most of it, with its answer (its last quarter) near complete, is a paraphrase.
+
+Null and empty texts are clean. Items without id, text or words match nothing, items that repeat count once, items of equal
+text under several ids are all named. An empty benchmark or corpus gives clean rows. Every row gives one row, rows that repeat
+an id too, and null ids stay null. Terms in more than MOST of the passages have no weight, but for parts that would keep
+under KEPT of their words.
+A benchmark is searched in groups of items of at most GROUP_TERMS distinct words and GROUP_WORDS words, one pass each, so that
+what is broadcast (weights of the parts' words, and rank numbers for each term) and what the driver holds have a bound.
 """
 
 from __future__ import annotations
@@ -26,71 +31,103 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import id_text, map_rows, tree_sum, written
+from ..sources.shared import written
+from .common import slab_sum, tree_sum
 from .licenses import common_subsequence
 
 TERM = re.compile(r"[^\W_]+")
-#: Words of a block; terms in more than this share of passages aren't features, but for items that would keep under KEPT
-#: of their words (a text that is repeated over and over); the least weight of those; terms beyond this count are hashed.
-STEP, MOST, KEPT, LEAST, TERMS = 32, 0.1, 0.5, 0.1, 65_536
-#: Directions of the corpus; parts of items that join them in one space; the parts' weight beside the corpus; the bar.
-RANK, SPACE, ITEM_WEIGHT, COSINE = 96, 256, 100.0, 0.5
+#: Words of a block; terms of words outside the benchmark; words in a worker's table.
+STEP, HASHED, TABLE_SIZE = 32, 1 << 14, 1_000_000
+#: Terms in more than this share of passages have no weight, but for parts that would keep under KEPT of their words (a text
+#: that is repeated over and over), whose least weight is LEAST.
+MOST, KEPT, LEAST = 0.1, 0.5, 0.1
+#: Directions, and those that are drawn beside them; the bars; words of a part that is searched by its directions.
+RANK, BESIDE, LATENT, COSINE, LONG = 32, 8, 0.8, 0.5, 8
 #: Share of an item's words in order that makes a copy, and a paraphrase if this share of its answer is there too.
 COPY, PARAPHRASE, ANSWER = 0.85, 0.65, 0.75
+#: Distinct words and words of the items of one pass; passages that are scored at once; terms of a slab.
+GROUP_TERMS, GROUP_WORDS, AT_ONCE, SLAB = 200_000, 2_000_000, 4096, 1024
 
 
 def terms_of(text: str | None) -> list[str]:
     return TERM.findall((text or "").lower())
 
 
+class Terms(dict):
+    """Word -> term; words outside the benchmark are hashed behind its own."""
+
+    def __missing__(self, word: str) -> int:
+        term = self.size + zlib.crc32(word.encode("utf-8", "replace")) % HASHED
+        if len(self) < TABLE_SIZE + self.size:
+            self[word] = term
+        return term
+
+
 class Benchmark:
-    """The items' words, their parts of at most two blocks (as ids) and the vocabulary; beyond TERMS words, ids are hashes."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.ids = [i for i, t in items if terms_of(t)]
-        self.words = [w for _, t in items if (w := terms_of(t))]
-        vocabulary = sorted({w for t in self.words for w in t})
-        n = min(len(vocabulary), TERMS)
-        self.vocabulary = {w: i if len(vocabulary) <= TERMS else zlib.crc32(w.encode()) % n for i, w in enumerate(vocabulary)}
-        self.size = n
-        answers = [max(1, len(w) // 4) for w in self.words]
-        self.answers = [w[-n:] for w, n in zip(self.words, answers, strict=True)]
+    """The words of some items, their parts of at most two blocks (as terms) and the vocabulary."""
+
+    def __init__(self, items: list[tuple[int, list[str]]]):
+        self.ids, self.words = [i for i, _ in items], [w for _, w in items]
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in self.words for w in t}))}
+        self.size = len(self.vocabulary)
+        self.answers = [w[-max(1, len(w) // 4) :] for w in self.words]
         cut = [(i, np.array_split([self.vocabulary[x] for x in w], -(-len(w) // (2 * STEP)))) for i, w in enumerate(self.words)]
         self.parts, self.owner = [p for _, ps in cut for p in ps], np.array([i for i, ps in cut for _ in ps], np.int64)
 
-    def blocks(self, found: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
-        """Block and term of each word that is a term, and the number of blocks."""
-        get = self.vocabulary.get
-        ids = np.array([get(w, -1) for w in found], np.int64)
-        at = np.flatnonzero(ids >= 0)
-        return at // STEP, ids[at], (len(found) + STEP - 1) // STEP
-
-
-def coded(texts: DataFrame, bench: Benchmark) -> DataFrame:
-    """Write, once for all passes, of each text: number of blocks, and block and term of each term in it."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n", pa.int64()), ("block", pa.binary()), ("term", pa.binary())])
+    def terms(self) -> Terms:
+        table = Terms(self.vocabulary)
+        table.size = self.size
+        return table
+
+
+def groups(benchmark: DataFrame) -> Iterator[Benchmark]:
+    """The benchmark in groups that have a bound; at least one item is in each."""
+    held, distinct, size = [], set(), 0
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct().orderBy("item_id", "text")
+    for i, text in rows.toLocalIterator():
+        words = terms_of(text)
+        if held and (size + len(words) > GROUP_WORDS or len(distinct | set(words)) > GROUP_TERMS):
+            yield Benchmark(held)
+            held, distinct, size = [], set(), 0
+        if words:
+            held.append((i, words))
+            distinct.update(words)
+            size += len(words)
+    if held:
+        yield Benchmark(held)
+
+
+def coded(rows: DataFrame, bench: Benchmark) -> DataFrame:
+    """Write the rows, once for all passes, with the terms of their texts' words."""
+    schema = StructType.fromDDL("term binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = bench.terms().__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                got = [bench.blocks(terms_of(t)) for t in part.column(1).to_pylist()]
-                columns = [part.column(0), part.column(1), [g[2] for g in got], [g[0].astype("<i4").tobytes() for g in got], [g[1].astype("<u2").tobytes() for g in got]]
-                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+                terms = []
+                for t in part.column("text").to_pylist():
+                    found = terms_of(t)
+                    terms.append(np.fromiter(map(get, found), "<u4", len(found)).tobytes())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(terms, pa.binary())], names=[*part.schema.names, "term"])
 
-    return written(texts.mapInArrow(run, "doc_id long, text string, n long, block binary, term binary"), "coded")
+    return written(rows.mapInArrow(run, StructType([*rows.schema.fields, *schema.fields])), "coded")
 
 
-def blocks_of(n, block, term) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of many coded texts: block and term of each term in them, first block of each text (and one past the last)."""
-    starts = np.concatenate([[0], np.cumsum(n.to_numpy() + 1)])  # an empty block stands between texts
-    parts = block.to_pylist()
-    blocks = np.frombuffer(b"".join(parts), "<i4") + np.repeat(starts[:-1], [len(p) // 4 for p in parts])
-    return blocks, np.frombuffer(b"".join(term.to_pylist()), "<u2"), starts
+def blocks_of(terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of many coded texts: block and term of each word, first block of each text (and one past the last). An empty block
+    stands between texts, so that neighbouring blocks are of one text."""
+    parts = terms.to_pylist()
+    n = np.array([len(p) // 4 for p in parts], np.int64)
+    starts = np.concatenate([[0], np.cumsum((n + STEP - 1) // STEP + 1)])
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(starts[:-1], n) + within // STEP, np.frombuffer(b"".join(parts), "<u4").astype(np.int64), starts
 
 
-def project(block: np.ndarray, term: np.ndarray, n: int, vectors: np.ndarray) -> np.ndarray:
+def passages(block: np.ndarray, term: np.ndarray, n: int, vectors: np.ndarray) -> np.ndarray:
     """Sum of the terms' vectors over the two blocks of each of n passages: passage p is blocks p and p + 1."""
     out = np.zeros((n + 1, vectors.shape[1]), np.float32)
     if len(block):
@@ -99,17 +136,44 @@ def project(block: np.ndarray, term: np.ndarray, n: int, vectors: np.ndarray) ->
     return out[:-1] + out[1:]
 
 
-def summed(texts: DataFrame, width: int, add) -> np.ndarray | None:
-    """Sum over all coded texts: add(total, block, term, starts) adds to an array of width float64, one for each task."""
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 512):
+            yield blocks_of(batch.column("term").slice(at, 512))
+
+
+def frequencies(texts: DataFrame, size: int) -> np.ndarray:
+    """In how many passages each of `size` terms is, and the number of passages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                add(total, *blocks_of(*batch.slice(at, 512).columns))
+        total = np.zeros(size + 1)
+        for block, term, starts in slices(batches):
+            total[size] += starts[-1]
+            if not len(term):
+                continue
+            wide = int(starts[-1]) + 1
+            key = term * wide + block
+            key.sort()
+            key = key[np.r_[True, key[1:] != key[:-1]]]
+            at, block = key // wide, key % wide
+            # Two for each block of a term, less one for each pair of neighbours and for a text's first block.
+            total[:size] += 2 * np.bincount(at, minlength=size) - np.bincount(at[1:][key[1:] == key[:-1] + 1], minlength=size)
+            first = np.zeros(wide, bool)
+            first[starts[:-1]] = True
+            total[:size] -= np.bincount(at[first[block]], minlength=size)
         yield pa.RecordBatch.from_pydict({"k": pa.array([TaskContext.get().partitionId()], pa.int64()), "blob": [total.tobytes()]})
 
-    return tree_sum(texts.select("n", "block", "term").mapInArrow(run, "k long, blob binary"), width)
+    got = tree_sum(texts.select("term").mapInArrow(run, "k long, blob binary"), size + 1)
+    return np.ones(size + 1) if got is None or not got[-1] else got
+
+
+def weights(bench: Benchmark, df: np.ndarray) -> np.ndarray:
+    """IDF of each term."""
+    n, frequent, needed = df[-1], df[:-1] > MOST * df[-1], np.zeros(len(df) - 1, bool)
+    for t in bench.parts:
+        if frequent[t].mean() > 1 - KEPT:
+            needed[t] = True
+    return np.where(frequent & ~needed, 0.0, np.maximum(np.log((n + 1) / (df[:-1] + 1)), LEAST))
 
 
 def factor(z: np.ndarray, gauss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,177 +187,147 @@ def factor(z: np.ndarray, gauss: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return left, values
 
 
-def fit(texts: DataFrame, bench: Benchmark, rank: int, seed: int = 5) -> tuple[np.ndarray, Iterator[tuple[range, np.ndarray]]]:
-    """IDF weights of the terms, and for each group of parts weights x singular vectors (terms x directions) of the corpus' passages and these parts."""
-    v = bench.size
-
-    def frequency(total: np.ndarray, block: np.ndarray, term: np.ndarray, starts: np.ndarray) -> None:
-        """A term's passages: two for each of its blocks, less one for each pair of neighbours and for a first block."""
-        total[v] += starts[-1]
-        if not len(term):
-            return
-        key = term.astype(np.int64) * int(starts[-1] + 1) + block  # an empty block ends each text, so neighbours are of one text
-        key.sort()
-        key = key[np.r_[True, key[1:] != key[:-1]]]
-        at = key // int(starts[-1] + 1)
-        total[:v] += 2 * np.bincount(at, minlength=v)
-        total[:v] -= np.bincount(at[1:][key[1:] == key[:-1] + 1], minlength=v)
-        firsts = np.isin(key % int(starts[-1] + 1), starts[:-1])
-        total[:v] -= np.bincount(at[firsts], minlength=v)
-
-    df = summed(texts, v + 1, frequency)
-    if df is None or not df[-1]:
-        df = np.ones(v + 1)
-    n = df[-1]
-    frequent, needed = df[:v] > MOST * n, np.zeros(v, bool)
-    for t in bench.parts:
-        if frequent[t].mean() > 1 - KEPT:
-            needed[t] = True
-    idf = np.where(frequent & ~needed, 0.0, np.maximum(np.log((n + 1) / (df[:v] + 1)), LEAST))
-    rng = np.random.default_rng(seed)
-    width = min(v, rank + 16)
-    gauss = rng.standard_normal((v, width))
-    weighted = (idf[:, None] * gauss).astype(np.float32)
-    useful = idf > 0
-
-    def sketch(total: np.ndarray, block: np.ndarray, term: np.ndarray, starts: np.ndarray) -> None:
-        on = useful[term]
-        block, term = block[on], term[on]
-        if not len(term):
-            return
-        y = project(block, term, int(starts[-1]), weighted)
-        y[1:] += y[:-1].copy()  # a block counts in its own passage and in the one before
-        order = np.argsort(term, kind="stable")
-        t, b = term[order], block[order]
-        begins = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
-        total.reshape(v, width)[t[begins]] += np.add.reduceat(y[b], begins, axis=0) * idf[t[begins], None]
+def directions(texts: DataFrame, idf: np.ndarray, rank: int, seed: int = 5) -> np.ndarray:
+    """For each term its weight times the corpus' singular vectors, each divided by its value: rows of a passage's words sum
+    up to its place in the latent space."""
+    size, width = len(idf), min(len(idf), rank + BESIDE)
+    gauss = np.random.default_rng(seed).standard_normal((size, width))
+    weighted, useful = (idf[:, None] * gauss).astype(np.float32), idf > 0
 
-    z = summed(texts, v * width, sketch)
-    z = np.zeros((v, width)) if z is None else z.reshape(v, width)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((size, width))
+        for block, term, starts in slices(batches):
+            on = useful[term]
+            block, term = block[on], term[on]
+            if not len(term):
+                continue
+            y = passages(block, term, int(starts[-1]), weighted)
+            y[1:] += y[:-1].copy()  # a block counts in its own passage and in the one before
+            order = np.argsort(term.astype(np.uint32), kind="stable")
+            t, b = term[order], block[order]
+            begins = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+            total[t[begins]] += np.add.reduceat(y[b], begins, axis=0) * idf[t[begins], None]
+        for at in range(0, size, SLAB):
+            yield pa.RecordBatch.from_pydict({"slab": pa.array([at], pa.int64()), "k": pa.array([TaskContext.get().partitionId()], pa.int64()), "blob": [total[at : at + SLAB].tobytes()]})
+
+    z = np.zeros((size, width))
+    for at, blob in slab_sum(texts.select("term").mapInArrow(run, "slab long, k long, blob binary")):
+        z[at : at + SLAB] = np.frombuffer(blob).reshape(-1, width)
     left, values = factor(z, gauss)
-    corpus = left[:, :rank] * values[:rank]
-    # The parts join the corpus' directions with much weight, so that the space spans them wherever those lie.
-    weight = np.sqrt(ITEM_WEIGHT * max(np.linalg.norm(z), 1e-9) / np.linalg.norm(gauss))
-
-    def spaces() -> Iterator[tuple[range, np.ndarray]]:
-        for first in range(0, len(bench.parts), SPACE):
-            group = range(first, min(first + SPACE, len(bench.parts)))
-            most = min(v, rank + len(group))
-            gauss = rng.standard_normal((v, min(v, most + 16)))
-            z = corpus @ (corpus.T @ gauss)
-            for i in group:
-                t, k = np.unique(bench.parts[i], return_counts=True)
-                own = k * idf[t]
-                own *= weight / (np.linalg.norm(own) + 1e-30)
-                z[t] += np.outer(own, own @ gauss[t])
-            yield group, (idf[:, None] * factor(z, gauss)[0][:, :most]).astype(np.float32)
-
-    return idf, spaces()
+    keep = values[:rank] > 1e-4 * max(values.max(), 1e-12)
+    return (idf[:, None] * (left[:, :rank][:, keep] / values[:rank][keep])).astype(np.float32)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-20)
 
 
 class Index:
-    """For each term, the parts in whose latent score it weighs most; `slack` bounds each other term's weight by part.
-
-    A passage's score with a part is the sum of its terms' weights, so the sum over the postings plus slack for every
-    term bounds it from above. The spaces span their parts, so slack is next to nothing and the bound is the score.
-    """
-
-    def __init__(self, bench: Benchmark, idf: np.ndarray, spaces: Iterator[tuple[range, np.ndarray]]):
-        terms, parts, weights, slack, lengths = [], [], [], [], []
-        for group, vectors in spaces:
-            for i in group:
-                t, k = np.unique(bench.parts[i], return_counts=True)
-                length = np.sqrt((k * idf[t]) ** 2 @ np.ones(len(t)) + 1e-30)
-                score = vectors @ (k @ vectors[t] / length).astype(np.float32)
-                order = np.argpartition(-np.abs(score), len(t) - 1)
-                terms.append(order[: len(t)])
-                parts.append(np.full(len(t), i))
-                weights.append(score[order[: len(t)]])
-                slack.append(np.abs(score[order[len(t) :]]).max(initial=0.0))
-                lengths.append(length)
+    """Finds candidates of passages among the parts."""
+
+    def __init__(self, bench: Benchmark, idf: np.ndarray, space: np.ndarray, latent: float, cosine: float):
+        self.latent, self.cosine, self.space = latent, cosine, space
+        self.square = np.where(np.arange(len(idf)) < bench.size, idf, 0.0) ** 2  # only words of the benchmark are compared as they are
+        terms, parts, values, self.lengths, places = [], [], [], [], []
+        for i, part in enumerate(bench.parts):
+            t, k = np.unique(part, return_counts=True)
+            length = np.sqrt(((k * idf[t]) ** 2).sum() + 1e-30)
+            terms.append(t)
+            parts.append(np.full(len(t), i))
+            values.append(k * idf[t] ** 2 / length)
+            self.lengths.append(length)
+            places.append(k @ space[t] if len(part) >= LONG else np.zeros(space.shape[1]))
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
-        self.parts, self.weights = np.concatenate(parts)[order], np.concatenate(weights)[order]
-        self.begins = np.searchsorted(term[order], np.arange(bench.size + 1))
-        self.slack, self.lengths = np.array(slack), np.array(lengths)
-
-    def candidates(self, block: np.ndarray, term: np.ndarray, size: np.ndarray, cosine: float) -> Iterator[tuple[int, np.ndarray]]:
-        """Passages and their parts whose score reaches this share of the shorter length; size is the passages' length."""
-        wide, n = len(self.slack), len(size)
-        step = max(1, 4_000_000 // wide)
-        size = np.where(size > 0, size, np.inf)
+        self.parts, self.values = np.concatenate(parts)[order], np.concatenate(values)[order]
+        self.begins = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.lengths, self.places = np.array(self.lengths), unit(np.array(places)).astype(np.float32)
+
+    def candidates(self, block: np.ndarray, term: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Of n passages, each one with candidates, these, and which of them only the latent space has found."""
+        wide = len(self.lengths)
+        step = max(1, min(AT_ONCE, 8_000_000 // wide))
         for a in range(0, n, step):
             rows = min(step, n - a)
             lo, hi = np.searchsorted(block, [a, a + rows + 1])
             t, b = term[lo:hi], block[lo:hi] - a
-            k = self.begins[t.astype(np.int64) + 1] - self.begins[t]
+            near = unit(passages(b, t, rows, self.space)) @ self.places.T >= self.latent if self.space.shape[1] else np.zeros((rows, wide), bool)
+            weight = self.square[t]
+            t, b, weight = t[weight > 0], b[weight > 0], weight[weight > 0]
+            k = self.begins[t + 1] - self.begins[t]
             at = np.repeat(self.begins[t] - np.cumsum(k) + k, k) + np.arange(k.sum())
-            got = np.bincount(np.repeat(b, k) * wide + self.parts[at], self.weights[at], (rows + 1) * wide).reshape(rows + 1, wide)
-            count = np.bincount(b, minlength=rows + 1)
-            bound = got[:-1] + got[1:] + np.outer(count[:-1] + count[1:], self.slack)
-            p, i = np.nonzero((bound >= (cosine - 1e-4) * np.minimum.outer(size[a : a + rows], self.lengths)) & np.isfinite(size[a : a + rows, None]))
-            cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]]) if len(p) else []
-            for x, parts in zip(p[cuts], np.split(i, cuts[1:]), strict=True) if len(p) else ():
-                yield a + int(x), parts
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, cosine: float = COSINE) -> DataFrame:
-    """One row per document: contaminated, n_items, items (ids, ascending), best_overlap (share of an item's words in order)."""
-    items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna().distinct().orderBy("item_id", "text").collect()]
-    bench = Benchmark(items)
-    texts = id_text(docs, id_col, text_col)
-    texts = coded(texts, bench)
-    if bench.words:
-        idf, spaces = fit(texts.where("n > 0"), bench, min(bench.size, rank))
-        index = Index(bench, idf, spaces)
-        square = idf[:, None].astype(np.float32) ** 2
-        used = idf > 0
-
-    def check(found: list[str], near: dict[int, list[int]]) -> dict[int, float]:
-        """Items that the words around their passages hold, with the share of their words in order."""
-        out = {}
-        for i, at in near.items():
-            item, answer = bench.words[i], bench.answers[i]
-            for p in at:
-                if out.get(i) == 1.0:
-                    break
-                region = found[max(0, p * STEP - len(item)) : (p + 2) * STEP + len(item)]
-                share = common_subsequence(item, region) / len(item)
-                if share >= COPY or share >= PARAPHRASE and common_subsequence(answer, region) >= ANSWER * len(answer):
-                    out[i] = max(out.get(i, 0.0), share)
-        return out
-
-    def search(batch: pa.RecordBatch) -> list[dict[int, float]]:
-        hits: list[dict[int, list[int]]] = [{} for _ in range(batch.num_rows)]
-        if not bench.words:
-            return [{} for _ in hits]
-        block, term, starts = blocks_of(*batch.columns[2:])
-        on = used[term]
-        block, term, n = block[on], term[on], int(starts[-1])
-        size = np.sqrt(project(block, term, n, square)[:, 0])  # of the whole passage, not of its projection
-        for p, near in index.candidates(block, term, size, cosine):
-            d = int(np.searchsorted(starts, p, "right")) - 1
-            for i in np.unique(bench.owner[near]).tolist():
-                hits[d].setdefault(i, []).append(p - int(starts[d]))
-        return [check(terms_of(batch.column(1)[d].as_py()), h) if h else {} for d, h in enumerate(hits)]
-
-    def start():
-        def step(batch):
-            got = [g for at in range(0, batch.num_rows, 256) for g in search(batch.slice(at, 256))]
-            ids = [sorted({bench.ids[i] for i in g}) for g in got]
-            return {"doc_id": batch.column(0), "contaminated": [bool(g) for g in got], "n_items": [len(x) for x in ids], "items": ids, "best_overlap": [max(g.values(), default=0.0) for g in got]}
-
-        return step
-
-    return map_rows(texts, "doc_id long, contaminated boolean, n_items long, items array<long>, best_overlap double", start)
-
-
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that aren't contaminated. Rows with a null id are judged by a key of their text."""
-    from .jaccard import among
-
-    key = F.coalesce(F.col(id_col).cast("long"), F.xxhash64(F.col(text_col)))
-    rows = docs.withColumn("__key", key)
-    bad = written(find_leaks(rows, benchmark, "__key", text_col).where("contaminated").select("doc_id").distinct(), "leaks")
-    renamed = rows.select(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col("__key").alias("doc_id"))
-    return among(renamed, bad, "left_anti").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
+            got = np.bincount(np.repeat(b, k) * wide + self.parts[at], self.values[at], (rows + 1) * wide).reshape(rows + 1, wide)
+            size = np.bincount(b, weight, rows + 1)
+            size = np.sqrt(size[:-1] + size[1:])
+            got = got[:-1] + got[1:]
+            alike = (got >= (self.cosine - 1e-4) * np.minimum.outer(size, self.lengths)) & (got > 0)
+            p, i = np.nonzero(alike | near)
+            if len(p):
+                only = ~alike[p, i]
+                cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+                yield from zip((a + p[cuts]).tolist(), np.split(i, cuts[1:]), np.split(only, cuts[1:]), strict=True)
+
+
+def held(bench: Benchmark, found: list[str], near: dict[int, list[int]]) -> dict[int, float]:
+    """Items that the words around their passages hold, with the share of their words in order."""
+    out: dict[int, float] = {}
+    for i, at in near.items():
+        item, answer = bench.words[i], bench.answers[i]
+        for p in at:
+            if out.get(i) == 1.0:
+                break
+            region = found[max(0, p * STEP - len(item)) : (p + 2) * STEP + len(item)]
+            share = common_subsequence(item, region) / len(item)
+            if share >= COPY or share >= PARAPHRASE and common_subsequence(answer, region) >= ANSWER * len(answer):
+                out[i] = max(out.get(i, 0.0), share)
+    return out
+
+
+def judged(rows: DataFrame, benchmark: DataFrame, rank: int, latent: float, cosine: float) -> DataFrame:
+    """The rows (with a column text) and: items (ids, ascending), best_overlap, n_candidates, n_latent."""
+    fields = StructType.fromDDL("items array<long>, best_overlap double, n_candidates long, n_latent long")
+    rows = rows.select("*", F.expr("cast(array() as array<long>)").alias("items"), F.lit(0.0).alias("best_overlap"), F.lit(0).cast("long").alias("n_candidates"), F.lit(0).cast("long").alias("n_latent"))
+    for bench in groups(benchmark):
+        rows = coded(rows, bench)
+        idf = weights(bench, frequencies(rows, bench.size + HASHED))
+        index = Index(bench, idf, directions(rows, idf, rank), latent, cosine)
+
+        def run(batches: Iterator[pa.RecordBatch], bench=bench, index=index) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for lo in range(0, whole.num_rows, 256):
+                    batch = whole.slice(lo, 256)
+                    block, term, starts = blocks_of(batch.column("term"))
+                    hits: dict[int, dict[int, list[int]]] = {}
+                    more = np.zeros((2, batch.num_rows), np.int64)
+                    for p, parts, only in index.candidates(block, term, int(starts[-1])):
+                        d = int(np.searchsorted(starts, p, "right")) - 1
+                        more[:, d] += len(parts), only.sum()
+                        for i in np.unique(bench.owner[parts]).tolist():
+                            hits.setdefault(d, {}).setdefault(i, []).append(p - int(starts[d]))
+                    got = {d: held(bench, terms_of(batch.column("text")[d].as_py()), h) for d, h in hits.items()}
+                    items, best = batch.column("items").to_pylist(), batch.column("best_overlap").to_pylist()
+                    for d, g in got.items():
+                        items[d] = sorted({*items[d], *(bench.ids[i] for i in g)})
+                        best[d] = max([best[d], *g.values()])
+                    new = [pa.array(items, pa.list_(pa.int64())), pa.array(best, pa.float64()), *(pa.array(batch.column(c).to_numpy() + m) for c, m in zip(("n_candidates", "n_latent"), more, strict=True))]
+                    names = [c for c in batch.schema.names if c != "term"]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names[: -len(new)]), *new], names=names)
+
+        rows = rows.mapInArrow(run, StructType([f for f in rows.schema.fields if f.name != "term"]))
+    assert rows.schema.names[-len(fields) :] == fields.names
+    return rows
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, latent: float = LATENT, cosine: float = COSINE) -> DataFrame:
+    """One row per document: contaminated, n_items, items (ids, ascending), best_overlap (share of an item's words in order),
+    n_candidates (pairs of passage and part that were compared), n_latent (those that only the latent space has found)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    out = judged(rows, benchmark, rank, latent, cosine)
+    return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items", "best_overlap", "n_candidates", "n_latent")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int = RANK, latent: float = LATENT, cosine: float = COSINE) -> DataFrame:
+    """The rows of docs, with all columns, that aren't contaminated, each judged by itself, whatever its id."""
+    own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col(text_col).cast("string").alias("text"))
+    kept = judged(own, benchmark, rank, latent, cosine).where(F.size("items") == 0)
+    return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
