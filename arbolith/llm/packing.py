@@ -1,10 +1,12 @@
 """Token ids in fixed-width bit packing.
 
-A segment image holds whole documents: a header, the byte offset of each block of ids, the documents' ids and lengths,
-and the blocks, in each of which an id takes the fewest bits that hold the vocabulary. Blocks end on whole bytes, so
-any of them can be unpacked alone. Images are rows of a Parquet table in the shared folder, so that Spark's commit
-protocol guards them against lost tasks; export() writes the same images as plain files.
-Documents stand in ascending doc_id order (nulls first, ties by text), each with an end id; null text counts as empty.
+A segment holds whole documents: a head with their ids and lengths, and blocks of ids, in each of which an id takes the
+fewest bits that hold the vocabulary. Blocks end on whole bytes, so any of them can be unpacked alone. Head and blocks are
+rows of a Parquet table in the shared folder, so that Spark's commit protocol guards them against lost tasks, and a range of
+a document's ids is read from the head and the blocks that hold it. export() writes segments as plain files too: the head,
+the byte offset of each block, the blocks.
+Documents stand in ascending doc_id order (nulls first, ties by text), each with an end id; null text counts as empty; rows
+that repeat an id all stay. An empty table has no segments. A document of any length is in one segment.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, map_rows, written
+from ..sources.shared import written
+from .common import id_text
 
 MAGIC, HEAD = b"IDPACK1\0", "<8sIIQII"
 #: Ids in a block; ids after which a segment is closed.
@@ -55,16 +58,25 @@ def unpack(data, n: int, bits: int) -> np.ndarray:
     return np.packbits(lanes, axis=1, bitorder="little").view("<u4").ravel()
 
 
-def image(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int], bits: int) -> bytes:
-    blocks = [pack(ids[i : i + BLOCK], bits) for i in range(0, len(ids), BLOCK)]
-    offsets = np.cumsum([0, *map(len, blocks)]).astype("<u8")
+def packed(ids: np.ndarray, bits: int) -> list[bytes]:
+    return [pack(ids[i : i + BLOCK], bits) for i in range(0, len(ids), BLOCK)]
+
+
+def head(bits: int, n_ids: int, n_blocks: int, doc_ids: list[int | None], lengths: list[int]) -> tuple[bytes, bytes]:
+    """The fixed part of a head, and the documents."""
     known = np.array([d is not None for d in doc_ids], np.uint8)
     keys = np.array([d or 0 for d in doc_ids], "<i8")
-    return b"".join([struct.pack(HEAD, MAGIC, bits, BLOCK, len(ids), len(doc_ids), len(blocks)), offsets.tobytes(), keys.tobytes(), np.array(lengths, "<u8").tobytes(), known.tobytes(), *blocks])
+    return struct.pack(HEAD, MAGIC, bits, BLOCK, n_ids, len(doc_ids), n_blocks), b"".join([keys.tobytes(), np.array(lengths, "<u8").tobytes(), known.tobytes()])
+
+
+def image(top: bytes, documents: bytes, blocks: list[bytes]) -> bytes:
+    """A segment as one file; without blocks, its offsets are 0."""
+    sizes = [*map(len, blocks)] or [0] * struct.unpack(HEAD, top)[-1]
+    return b"".join([top, np.cumsum([0, *sizes]).astype("<u8").tobytes(), documents, *blocks])
 
 
 class Segment:
-    """Reads an image; ids(i, j) unpacks only the blocks that hold ids i to j."""
+    """Reads a segment; ids(i, j) unpacks only the blocks that hold ids i to j. `data` may lack the blocks at its end."""
 
     def __init__(self, data: bytes):
         magic, self.bits, self.block, self.n_ids, n_docs, n_blocks = struct.unpack_from(HEAD, data)
@@ -78,7 +90,8 @@ class Segment:
             at += out.nbytes
             return out
 
-        self.offsets, keys, self.lengths = part("<u8", n_blocks + 1).astype(int), part("<i8", n_docs), part("<u8", n_docs).astype(int)
+        self.offsets = part("<u8", n_blocks + 1).astype(int)
+        keys, self.lengths = part("<i8", n_docs), part("<u8", n_docs).astype(int)
         known = part("u1", n_docs)
         self.doc_ids = [int(k) if x else None for k, x in zip(keys, known, strict=True)]
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)]).astype(int)
@@ -187,22 +200,25 @@ def word_table(path: str) -> WordTable:
     return held.__dict__[path]
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the table of segment images and read it again: part, seg, first (ids before it in its part), n_ids, image."""
-    schema = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())])
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", bits: int | None = None) -> DataFrame:
+    """Write the table of segments and read it again. A head (block -1) has the ids before its segment in its part (`first`), the
+    least and greatest document id and, as data, the head without offsets; a block has the ids before it in its segment."""
+    schema = pa.schema([("part", pa.int32()), ("seg", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("data", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(tokenizer)
-        bits, end = width(max(table.vocabulary, end_id + 1)), np.array([end_id], "<u4").tobytes()
+        wide, end = bits or width(max(table.vocabulary, end_id + 1)), np.array([end_id], "<u4").tobytes()
         part, seg, first, held = TaskContext.get().partitionId(), 0, 0, []
 
         def close() -> pa.RecordBatch:
             nonlocal seg, first, held
             ids = np.frombuffer(b"".join(x for _, x in held), "<u4")
-            row = image(ids, [d for d, _ in held], [len(x) // 4 for _, x in held], bits)
-            out = pa.RecordBatch.from_pydict({"part": [part], "seg": [seg], "first": [first], "n_ids": [len(ids)], "image": [row]}, schema=schema)
+            blocks, known = packed(ids, wide), [d for d, _ in held if d is not None]
+            data = [b"".join(head(wide, len(ids), len(blocks), [d for d, _ in held], [len(x) // 4 for _, x in held])), *blocks]
+            n = len(data)
+            columns = [[part] * n, [seg] * n, range(-1, n - 1), [first, *range(0, len(ids), BLOCK)], [len(ids), *(min(BLOCK, len(ids) - i) for i in range(0, len(ids), BLOCK))], [min(known, default=None), *[None] * (n - 1)], [max(known, default=None), *[None] * (n - 1)], data]
             seg, first, held = seg + 1, first + len(ids), []
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
         size = 0
         for batch in batches:
@@ -218,13 +234,13 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "
             yield close()
 
     ordered = id_text(docs, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(run, "part int, seg int, first long, n_ids long, image binary"), "idpack")
+    return written(ordered.mapInArrow(run, "part int, seg int, block int, first long, n_ids long, low long, high long, data binary"), "idpack")
 
 
 def with_starts(segments: DataFrame) -> DataFrame:
-    """Add `start`, the ids before each segment over all parts. The driver sees one row for each part, no more."""
+    """Add `start`, for heads the ids before them over all parts. The driver sees one row for each part, no more."""
     spark = segments.sparkSession
-    totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
+    totals = segments.where("block = -1").groupBy("part").agg(F.sum("n_ids").alias("n")).orderBy("part").collect()
     before, rows = 0, []
     for r in totals:
         rows.append((r["part"], before))
@@ -233,34 +249,76 @@ def with_starts(segments: DataFrame) -> DataFrame:
     return segments.join(F.broadcast(starts), "part").withColumn("start", F.col("before") + F.col("first"))
 
 
+def whole(data: bytes, blocks: list[bytes]) -> Segment:
+    """A segment from its head's row and its blocks' rows."""
+    cut = struct.calcsize(HEAD)
+    return Segment(image(data[:cut], data[cut:], blocks))
+
+
 def read_documents(segments: DataFrame, with_ids: bool = False) -> DataFrame:
-    """One row per document from the images: doc_id, start, n_tokens, ids_crc32, and the ids on request."""
-
-    def start():
-        def step(batch):
-            out: dict[str, list] = {k: [] for k in ("doc_id", "start", "n_tokens", "ids_crc32", "ids")}
-            for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seg = Segment(data)
-                ids = seg.ids().astype("<u4")
-                out["doc_id"] += seg.doc_ids
-                out["start"] += [at + int(s) for s in seg.starts[:-1]]
-                out["n_tokens"] += [int(n) for n in seg.lengths]
-                each = [ids[i:j] for i, j in zip(seg.starts, seg.starts[1:], strict=False)]
-                out["ids_crc32"] += [zlib.crc32(x) for x in each]
-                if with_ids:
-                    out["ids"] += [x.astype(np.int32) for x in each]
-            return out
+    """One row per document from the segments: doc_id, start, n_tokens, ids_crc32, and the ids on request."""
+    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, bytes, list[bytes]] | None = None
+
+        def documents() -> pa.RecordBatch:
+            start, data, blocks = held
+            seg = whole(data, blocks)
+            ids = seg.ids().astype("<u4")
+            each = [ids[i:j] for i, j in zip(seg.starts, seg.starts[1:], strict=False)]
+            columns = [seg.doc_ids, start + seg.starts[:-1], seg.lengths, [zlib.crc32(x) for x in each], [x.astype(np.int32) for x in each]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=False)], names=[n for n, _ in fields])
+
+        for batch in batches:
+            for start, block, data in zip(*(batch.column(c).to_pylist() for c in ("start", "block", "data")), strict=True):
+                if block >= 0:
+                    held[2].append(data)
+                    continue
+                if held:
+                    yield documents()
+                held = (start, data, [])
+        if held:
+            yield documents()
 
-        return step
+    rows = with_starts(segments).select("part", "seg", "block", "start", "data").repartition("part", "seg").sortWithinPartitions("part", "seg", "block")
+    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
-    return map_rows(with_starts(segments).select("start", "image"), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids, start)
+
+def read_ids(segments: DataFrame, doc_id: int, i: int = 0, j: int | None = None) -> np.ndarray:
+    """Ids i to j of a document (the first one of that id): reads the head of its segment and the blocks that hold them, which
+    Parquet finds by the least and greatest values of its row groups and pages. KeyError if there is none."""
+    row = segments.where((F.col("block") == -1) & (F.col("low") <= doc_id) & (F.col("high") >= doc_id)).orderBy("part", "seg").limit(1).collect()
+    top = whole(row[0]["data"], []) if row else None
+    if not top or doc_id not in top.doc_ids:
+        raise KeyError(doc_id)
+    k = top.doc_ids.index(doc_id)
+    lo, hi = int(top.starts[k]) + max(i, 0), int(top.starts[k + 1] if j is None else min(top.starts[k] + j, top.starts[k + 1]))
+    if lo >= hi:
+        return np.zeros(0, np.uint32)
+    first, last = lo // top.block, (hi - 1) // top.block
+    rows = segments.where((F.col("part") == row[0]["part"]) & (F.col("seg") == row[0]["seg"]) & F.col("block").between(first, last)).orderBy("block").select("n_ids", "data").collect()
+    ids = np.concatenate([unpack(r["data"], r["n_ids"], top.bits) for r in rows])
+    return ids[lo - first * top.block : hi - first * top.block]
 
 
 def export(segments: DataFrame, folder: str) -> list[str]:
-    """Write the images as plain files part-segment.idpack in a local folder, one at a time."""
-    paths = []
-    for r in segments.orderBy("part", "seg").toLocalIterator():
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        (p := Path(folder, f"{r['part']:06d}-{r['seg']:06d}.idpack")).write_bytes(r["image"])
+    """Write the segments as plain files part-segment.idpack in a local folder of the driver, one at a time."""
+    paths, held = [], None
+    Path(folder).mkdir(parents=True, exist_ok=True)
+
+    def put(key: tuple[int, int], data: bytes, blocks: list[bytes]) -> None:
+        cut = struct.calcsize(HEAD)
+        (p := Path(folder, f"{key[0]:06d}-{key[1]:06d}.idpack")).write_bytes(image(data[:cut], data[cut:], blocks))
         paths.append(str(p))
+
+    for r in segments.orderBy("part", "seg", "block").toLocalIterator():
+        if r["block"] >= 0:
+            held[2].append(bytes(r["data"]))
+            continue
+        if held:
+            put(*held)
+        held = ((r["part"], r["seg"]), bytes(r["data"]), [])
+    if held:
+        put(*held)
     return paths
