@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from ..sources.shared import written
 
 #: Up to so many boilerplate lines in all, their table is broadcast (8 bytes each); beyond, it is joined by host and salt.
 BROADCAST_LINES, SALTS = 1_000_000, 64
@@ -38,20 +38,23 @@ def boilerplate(pages: DataFrame, ratio: float, least: int) -> DataFrame:
 
 
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, least: int = 5) -> DataFrame:
-    """All columns of docs with cleaned text, and __n_lines and __n_dropped. Lines on under `least` pages always stay."""
+    """All columns of docs with cleaned text, and __n_lines and __n_dropped. Lines on under `least` pages always stay.
+    Inside, columns have names of their own, so that none of docs can clash."""
     host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0null"))
-    found = written(boilerplate(docs.select(host.alias("host"), F.col(text_col).cast("string").alias("text")), ratio, least), "boilerplate")
+    text = F.col(text_col).cast("string")
+    found = written(boilerplate(docs.select(host.alias("host"), text.alias("text")), ratio, least), "boilerplate")
     size = found.agg(F.sum(F.size("lines"))).first()[0] or 0
-    rows = docs.withColumn("__host", host)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], host.alias("host"), text.alias("text"))
     if size <= BROADCAST_LINES:
-        joined = rows.join(F.broadcast(found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))), "__host", "left")
+        joined = rows.join(F.broadcast(found), "host", "left")
     else:
-        salted = found.select(F.col("host").alias("__host"), F.col("lines").alias("__lines"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-        joined = rows.withColumn("__salt", F.pmod(F.xxhash64(text_col), F.lit(SALTS)).cast("int")).join(salted, ["__host", "__salt"], "left")
-    lines = _lines(F.col(text_col).cast("string"))
-    kept = F.filter(lines, lambda x: F.col("__lines").isNull() | (F.trim(x) == "") | ~F.array_contains(F.col("__lines"), _key(x)))
-    out = joined.select(*docs.columns, F.size(lines).alias("__n_lines"), kept.alias("__kept"))
-    return out.select(*[F.array_join("__kept", "\n").alias(c) if c == text_col else c for c in docs.columns], F.col("__n_lines"), (F.col("__n_lines") - F.size("__kept")).alias("__n_dropped"))
+        salted = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    lines = _lines(F.col("text"))
+    kept = F.filter(lines, lambda x: F.col("lines").isNull() | (F.trim(x) == "") | ~F.array_contains(F.col("lines"), _key(x)))
+    out = joined.withColumn("kept", kept).withColumn("n", F.size(lines))
+    own = [F.array_join("kept", "\n").alias(c) if c == text_col else F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)]
+    return out.select(*own, F.col("n").alias("__n_lines"), (F.col("n") - F.size("kept")).alias("__n_dropped"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", **how) -> DataFrame:
