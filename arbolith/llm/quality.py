@@ -2,7 +2,9 @@
 
 Trees are grown from labelled rows on the driver, flattened into numpy node arrays, and score whole Arrow batches.
 On chosen features the score may only fall as the feature rises. Null and empty texts have no words and fail the base
-rule. Labels that are null don't count; without rows of both classes the base rule alone decides.
+rule. Labels that are null don't count, labels of one id count as their mean, at a tie as the lower class; without rows of both
+classes the base rule alone decides. Every row gives one row, rows that repeat an id and rows with a null id too; rows that
+repeat a labelled id are all learned from. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -133,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Only the sample's statistics come to the driver: max_labelled rows of 12 numbers. The sample's ids are broadcast.
     """
-    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna().dropDuplicates(["doc_id"])
+    rows = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna()
+    rows = rows.groupBy("doc_id").agg((F.avg("y") > 0.5).cast("double").alias("y"))
     share = max_labelled / max(1, rows.count())
     sample = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
@@ -175,4 +178,6 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of docs that quality_rules() keeps, with all their columns."""
     judge = quality_column(train(docs, labels, id_col, text_col, **how))
-    return docs.withColumn("__q", judge(F.col(text_col).cast("string"))).where("__q.kept").select(*docs.columns)
+    own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]
+    rows = docs.select(*own, judge(F.col(text_col).cast("string")).alias("q")).where("q.kept")
+    return rows.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
