@@ -1,14 +1,14 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Documents are cut into passages of two blocks of words, each block shared with the next passage. Terms are words: each word
-of the benchmark is one, other words share HASHED terms by a hash. Document frequencies and the TF-IDF matrix are over all
-passages of the corpus. Its singular vectors come from a distributed randomised SVD: tasks send A'(A G) for a Gaussian G in
-slabs of terms, which are summed as a tree, and a Nystroem step gives vectors and values.
-Items are cut into parts no longer than a passage. Candidates are the pairs of passage and part
-- whose cosine reaches `latent` in the space of the singular vectors, each divided by its value. There words that the corpus
-  uses alike are alike, so a part and a passage may meet that share few rare words;
-- whose dot product over the benchmark's words reaches `cosine` of the shorter one's squared length. It is exact, by an index
-  of the parts, so a verbatim copy, short or long, is a candidate whatever directions the corpus has.
+Documents are cut into passages of two blocks of words, each block shared with the next passage. Terms are the words of the
+benchmark. Document frequencies and the TF-IDF matrix are over all passages of the corpus. Its singular vectors come from a
+distributed randomised SVD: tasks send A'(A G) for a Gaussian G in slabs of terms, which are summed as a tree, and a Nystroem
+step gives vectors and values.
+Items are cut into parts no longer than a passage. The dot products of passages and parts, exact by an index of the parts, are
+held against the squared length of the shorter one. From `cosine` on a pair is a candidate, so a verbatim copy, short or long,
+is one whatever directions the corpus has. Between `floor` and `cosine` the latent space decides: a pair is a candidate if its
+cosine in the space of the singular vectors, each divided by its value, reaches `latent`. Words that the corpus uses alike are
+alike there, so a part and a passage are found that share words, but few of the rare ones.
 Of candidates, the longest common subsequence of the whole item with the words around the passage decides: nearly the whole
 item is a copy; most of it, with its answer (its last quarter) near complete, is a paraphrase.
 
@@ -23,7 +23,7 @@ what is broadcast (weights of the parts' words, and rank numbers for each term)
 from __future__ import annotations
 
 import re
-import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,13 +38,13 @@ from .common import slab_sum, tree_sum
 from .licenses import common_subsequence
 
 TERM = re.compile(r"[^\W_]+")
-#: Words of a block; terms of words outside the benchmark; words in a worker's table.
-STEP, HASHED, TABLE_SIZE = 32, 1 << 14, 1_000_000
+#: Words of a block; chunks in a task's table.
+STEP, TABLE_SIZE = 32, 400_000
 #: Terms in more than this share of passages have no weight, but for parts that would keep under KEPT of their words (a text
 #: that is repeated over and over), whose least weight is LEAST.
 MOST, KEPT, LEAST = 0.1, 0.5, 0.1
 #: Directions, and those that are drawn beside them; the bars; words of a part that is searched by its directions.
-RANK, BESIDE, LATENT, COSINE, LONG = 32, 8, 0.8, 0.5, 8
+RANK, BESIDE, LATENT, COSINE, FLOOR, LONG = 32, 8, 0.7, 0.5, 0.2, 8
 #: Share of an item's words in order that makes a copy, and a paraphrase if this share of its answer is there too.
 COPY, PARAPHRASE, ANSWER = 0.85, 0.65, 0.75
 #: Distinct words and words of the items of one pass; passages that are scored at once; terms of a slab.
@@ -56,13 +56,19 @@ def terms_of(text: str | None) -> list[str]:
 
 
 class Terms(dict):
-    """Word -> term; words outside the benchmark are hashed behind its own."""
+    """Chunk without blanks, in lower case -> the terms of its words (4 bytes each), `size` for words outside the benchmark.
+    Words never cross blanks, so each distinct chunk is cut once."""
 
-    def __missing__(self, word: str) -> int:
-        term = self.size + zlib.crc32(word.encode("utf-8", "replace")) % HASHED
-        if len(self) < TABLE_SIZE + self.size:
-            self[word] = term
-        return term
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
+
+    def __missing__(self, chunk: str) -> bytes:
+        get, size = self.vocabulary.get, len(self.vocabulary)
+        terms = array("I", [get(w, size) for w in TERM.findall(chunk)]).tobytes()
+        if len(self) < TABLE_SIZE:
+            self[chunk] = terms
+        return terms
 
 
 class Benchmark:
@@ -76,11 +82,6 @@ class Benchmark:
         cut = [(i, np.array_split([self.vocabulary[x] for x in w], -(-len(w) // (2 * STEP)))) for i, w in enumerate(self.words)]
         self.parts, self.owner = [p for _, ps in cut for p in ps], np.array([i for i, ps in cut for _ in ps], np.int64)
 
-    def terms(self) -> Terms:
-        table = Terms(self.vocabulary)
-        table.size = self.size
-        return table
-
 
 def groups(benchmark: DataFrame) -> Iterator[Benchmark]:
     """The benchmark in groups that have a bound; at least one item is in each."""
@@ -104,14 +105,11 @@ def coded(rows: DataFrame, bench: Benchmark) -> DataFrame:
     schema = StructType.fromDDL("term binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = bench.terms().__getitem__
+        get = Terms(bench.vocabulary).__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                terms = []
-                for t in part.column("text").to_pylist():
-                    found = terms_of(t)
-                    terms.append(np.fromiter(map(get, found), "<u4", len(found)).tobytes())
+                terms = [b"".join(map(get, t.lower().split())) if t else b"" for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(terms, pa.binary())], names=[*part.schema.names, "term"])
 
     return written(rows.mapInArrow(run, StructType([*rows.schema.fields, *schema.fields])), "coded")
@@ -136,18 +134,23 @@ def passages(block: np.ndarray, term: np.ndarray, n: int, vectors: np.ndarray) -
     return out[:-1] + out[1:]
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], used: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Words whose term is used, by many texts at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
-            yield blocks_of(batch.column("term").slice(at, 512))
+            block, term, starts = blocks_of(batch.column("term").slice(at, 512))
+            on = used[term]
+            yield block[on], term[on], starts
 
 
 def frequencies(texts: DataFrame, size: int) -> np.ndarray:
     """In how many passages each of `size` terms is, and the number of passages."""
 
+    used = np.arange(size + 1) < size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size + 1)
-        for block, term, starts in slices(batches):
+        for block, term, starts in slices(batches, used):
             total[size] += starts[-1]
             if not len(term):
                 continue
@@ -192,13 +195,11 @@ def directions(texts: DataFrame, idf: np.ndarray, rank: int, seed: int = 5) -> n
     up to its place in the latent space."""
     size, width = len(idf), min(len(idf), rank + BESIDE)
     gauss = np.random.default_rng(seed).standard_normal((size, width))
-    weighted, useful = (idf[:, None] * gauss).astype(np.float32), idf > 0
+    weighted, useful = (idf[:, None] * gauss).astype(np.float32), np.append(idf > 0, False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((size, width))
-        for block, term, starts in slices(batches):
-            on = useful[term]
-            block, term = block[on], term[on]
+        for block, term, starts in slices(batches, useful):
             if not len(term):
                 continue
             y = passages(block, term, int(starts[-1]), weighted)
@@ -225,9 +226,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 class Index:
     """Finds candidates of passages among the parts."""
 
-    def __init__(self, bench: Benchmark, idf: np.ndarray, space: np.ndarray, latent: float, cosine: float):
-        self.latent, self.cosine, self.space = latent, cosine, space
-        self.square = np.where(np.arange(len(idf)) < bench.size, idf, 0.0) ** 2  # only words of the benchmark are compared as they are
+    def __init__(self, bench: Benchmark, idf: np.ndarray, space: np.ndarray, latent: float, cosine: float, floor: float):
+        self.latent, self.cosine, self.floor, self.space = latent, cosine, min(floor, cosine), space
+        self.square = np.append(idf, 0.0) ** 2
         terms, parts, values, self.lengths, places = [], [], [], [], []
         for i, part in enumerate(bench.parts):
             t, k = np.unique(part, return_counts=True)
@@ -236,36 +237,47 @@ class Index:
             parts.append(np.full(len(t), i))
             values.append(k * idf[t] ** 2 / length)
             self.lengths.append(length)
-            places.append(k @ space[t] if len(part) >= LONG else np.zeros(space.shape[1]))
+            places.append(k @ space[t])
         term = np.concatenate(terms)
         order = np.argsort(term, kind="stable")
         self.parts, self.values = np.concatenate(parts)[order], np.concatenate(values)[order]
         self.begins = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.lengths, self.places = np.array(self.lengths), unit(np.array(places)).astype(np.float32)
+        self.lengths, self.places, self.long = np.array(self.lengths), unit(np.array(places)).astype(np.float32), np.array([len(p) >= LONG for p in bench.parts])
 
     def candidates(self, block: np.ndarray, term: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Of n passages, each one with candidates, these, and which of them only the latent space has found."""
+        """Of n passages, each one with candidates, these, and which of them the latent space has decided."""
         wide = len(self.lengths)
-        step = max(1, min(AT_ONCE, 8_000_000 // wide))
+        step = max(1, min(AT_ONCE, 2_000_000 // wide))
+        on = self.square[term] > 0
+        block, term = block[on], term[on]
         for a in range(0, n, step):
             rows = min(step, n - a)
             lo, hi = np.searchsorted(block, [a, a + rows + 1])
             t, b = term[lo:hi], block[lo:hi] - a
-            near = unit(passages(b, t, rows, self.space)) @ self.places.T >= self.latent if self.space.shape[1] else np.zeros((rows, wide), bool)
-            weight = self.square[t]
-            t, b, weight = t[weight > 0], b[weight > 0], weight[weight > 0]
             k = self.begins[t + 1] - self.begins[t]
             at = np.repeat(self.begins[t] - np.cumsum(k) + k, k) + np.arange(k.sum())
             got = np.bincount(np.repeat(b, k) * wide + self.parts[at], self.values[at], (rows + 1) * wide).reshape(rows + 1, wide)
-            size = np.bincount(b, weight, rows + 1)
-            size = np.sqrt(size[:-1] + size[1:])
             got = got[:-1] + got[1:]
-            alike = (got >= (self.cosine - 1e-4) * np.minimum.outer(size, self.lengths)) & (got > 0)
-            p, i = np.nonzero(alike | near)
+            size = np.bincount(b, self.square[t], rows + 1)
+            size = np.sqrt(size[:-1] + size[1:])
+            size[size == 0] = np.inf
+            p, i = np.nonzero((got >= (self.floor - 1e-4) * np.minimum.outer(size, self.lengths)) & (got > 0))
+            share = got[p, i] / np.minimum(size[p], self.lengths[i])
+            sure = share >= self.cosine - 1e-4
+            near = ~sure & self.long[i] & (share >= self.floor - 1e-4)
+            if near.any() and self.space.shape[1]:
+                some = np.zeros(rows + 1, bool)
+                some[p[near]] = some[p[near] + 1] = True
+                here = some[b]
+                place = unit(passages(b[here], t[here], rows, self.space))
+                near[near] = np.einsum("ij,ij->i", place[p[near]], self.places[i[near]]) >= self.latent
+            else:
+                near[:] = False
+            keep = sure | near
+            p, i, near = p[keep], i[keep], near[keep]
             if len(p):
-                only = ~alike[p, i]
                 cuts = np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
-                yield from zip((a + p[cuts]).tolist(), np.split(i, cuts[1:]), np.split(only, cuts[1:]), strict=True)
+                yield from zip((a + p[cuts]).tolist(), np.split(i, cuts[1:]), np.split(near, cuts[1:]), strict=True)
 
 
 def held(bench: Benchmark, found: list[str], near: dict[int, list[int]]) -> dict[int, float]:
@@ -283,14 +295,14 @@ def held(bench: Benchmark, found: list[str], near: dict[int, list[int]]) -> dict
     return out
 
 
-def judged(rows: DataFrame, benchmark: DataFrame, rank: int, latent: float, cosine: float) -> DataFrame:
+def judged(rows: DataFrame, benchmark: DataFrame, rank: int, latent: float, cosine: float, floor: float) -> DataFrame:
     """The rows (with a column text) and: items (ids, ascending), best_overlap, n_candidates, n_latent."""
     fields = StructType.fromDDL("items array<long>, best_overlap double, n_candidates long, n_latent long")
     rows = rows.select("*", F.expr("cast(array() as array<long>)").alias("items"), F.lit(0.0).alias("best_overlap"), F.lit(0).cast("long").alias("n_candidates"), F.lit(0).cast("long").alias("n_latent"))
     for bench in groups(benchmark):
         rows = coded(rows, bench)
-        idf = weights(bench, frequencies(rows, bench.size + HASHED))
-        index = Index(bench, idf, directions(rows, idf, rank), latent, cosine)
+        idf = weights(bench, frequencies(rows, bench.size))
+        index = Index(bench, idf, directions(rows, idf, rank), latent, cosine, floor)
 
         def run(batches: Iterator[pa.RecordBatch], bench=bench, index=index) -> Iterator[pa.RecordBatch]:
             for whole in batches:
@@ -318,16 +330,16 @@ def judged(rows: DataFrame, benchmark: DataFrame, rank: int, latent: float, cosi
     return rows
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, latent: float = LATENT, cosine: float = COSINE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", rank: int = RANK, latent: float = LATENT, cosine: float = COSINE, floor: float = FLOOR) -> DataFrame:
     """One row per document: contaminated, n_items, items (ids, ascending), best_overlap (share of an item's words in order),
-    n_candidates (pairs of passage and part that were compared), n_latent (those that only the latent space has found)."""
+    n_candidates (pairs of passage and part that were compared), n_latent (those that the latent space has decided)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = judged(rows, benchmark, rank, latent, cosine)
+    out = judged(rows, benchmark, rank, latent, cosine, floor)
     return out.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.size("items").cast("long").alias("n_items"), "items", "best_overlap", "n_candidates", "n_latent")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int = RANK, latent: float = LATENT, cosine: float = COSINE) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", rank: int = RANK, latent: float = LATENT, cosine: float = COSINE, floor: float = FLOOR) -> DataFrame:
     """The rows of docs, with all columns, that aren't contaminated, each judged by itself, whatever its id."""
     own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)], F.col(text_col).cast("string").alias("text"))
-    kept = judged(own, benchmark, rank, latent, cosine).where(F.size("items") == 0)
+    kept = judged(own, benchmark, rank, latent, cosine, floor).where(F.size("items") == 0)
     return kept.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

