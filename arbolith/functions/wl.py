@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def initial(label: Column, depth: Column) -> Column:
     kind = F.regexp_extract(label, r"^(Const|FVar|BVar|MVar|Sort)\(", 1)
     return F.concat(F.when(kind != "", kind).otherwise(label), F.lit("_d"), depth.cast("string"))
@@ -23,15 +24,20 @@ def next_labels(nodes: Column, labels: Column) -> Column:
     """One round: md5 of the own label and the sorted labels of the children."""
 
     def one(n: Column, i: Column) -> Column:
-        below = F.array_join(F.array_sort(F.transform(n["children"], lambda c: F.get(labels, c))), ",")
+        below = F.array_join(F.sort_array(F.transform(n["children"], lambda c: F.get(labels, c))), ",")
         return F.md5(F.concat(F.get(labels, i), F.when(F.size(n["children"]) == 0, "").otherwise(F.concat(F.lit("("), below, F.lit(")")))))
 
     return F.transform(nodes, one)
 
 
 def counted(labels: Column, prefix: str = "") -> Column:
-    """Entries (label with prefix, count) of an array."""
-    return F.transform(F.array_distinct(labels), lambda d: F.struct(F.concat(F.lit(prefix), d).alias("key"), F.size(F.filter(labels, lambda x: x == d)).alias("value")))
+    """Entries (label with prefix, count) of an array, from the runs of the sorted labels: a sort and two passes."""
+
+    def runs(s: Column) -> Column:
+        last = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
+        return let(last, lambda at: F.transform(at, lambda i, k: F.struct(F.concat(F.lit(prefix), F.get(s, i - 1)).alias("key"), (i - F.coalesce(F.get(at, k - 1), F.lit(0))).alias("value"))))
+
+    return F.when(F.size(labels) > 0, let(F.sort_array(labels), runs)).otherwise(F.expr("cast(array() as array<struct<key:string,value:int>>)"))
 
 
 def depth_of(nodes: Column) -> Column:
@@ -57,11 +63,13 @@ def encode(trees: DataFrame, rounds: int = 3, nodes: str = "nodes") -> DataFrame
 
 
 def dot(enc: str, target: dict[str, int]) -> Column:
-    """Dot product with a fixed histogram, which stays a literal of the plan."""
+    """Dot product with a fixed histogram, which stays a literal of the plan. A set finds the shared features, for a map is
+    searched from its front."""
     if not target:
         return F.lit(0).cast("bigint")
     look = F.map_from_arrays(F.array(*map(F.lit, target)), F.array(*map(F.lit, target.values())))
-    return F.aggregate(F.map_entries(enc), F.lit(0).cast("bigint"), lambda s, e: s + e["value"].cast("bigint") * F.coalesce(F.try_element_at(look, e["key"]), F.lit(0)))
+    shared = F.filter(F.map_entries(enc), lambda e: e["key"].isin(*target))
+    return F.aggregate(shared, F.lit(0).cast("bigint"), lambda s, e: s + e["value"].cast("bigint") * F.coalesce(F.try_element_at(look, e["key"]), F.lit(0)))
 
 
 def cosine(dot_: Column, norm2: Column, target_norm2: int) -> Column:
@@ -79,10 +87,14 @@ def const_names(nodes: Column) -> Column:
         rest = F.when(F.locate(",", x) > 0, F.trim(x.substr(F.lit(7), F.locate(",", x) - 7))).otherwise(F.lit(""))
         return F.when(seen == "", rest).when(seen.contains("inst"), F.lit("")).otherwise(seen)
 
-    return F.array_sort(F.array_distinct(F.filter(F.transform(labels, name), lambda x: x != "")))
+    return F.sort_array(F.array_distinct(F.filter(F.transform(labels, name), lambda x: x != "")))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
+
+def pretty(nodes: Column) -> Column:
+    """A line for each node, indented by its depth; nodes stand in pre-order."""
+    return F.array_join(F.transform(nodes, lambda n: F.concat(F.repeat(F.lit("  "), n["depth"]), n["label"])), "\n")

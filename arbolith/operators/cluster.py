@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import search
+
 #: The numerator of the inverse frequency, and the frequency above which a feature has one; others weigh 1.
 NUMERATOR, RARE = 330_000, 5
 
@@ -52,10 +54,27 @@ def cluster_counts(rows: DataFrame, by: str = "cluster_id") -> DataFrame:
     return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.asc_nulls_last(by))
 
 
-def nearest(centroids: list[tuple[int, list[float]]], point: list[float], n: int) -> list[int]:
-    """Ids of the n nearest centroids, by distance then id."""
-    far = sorted((sum((a - b) ** 2 for a, b in zip(c, point, strict=True)), i) for i, c in centroids)
-    return [i for _, i in far[:n]]
+def _distance(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v)
+
+
+def nearest(centers: DataFrame, point: list[float], n: int = 5500) -> DataFrame:
+    """cluster_id and distance of the n centers (cluster_id, center) nearest to a point, by distance then id."""
+    far = F.sqrt(_distance(F.col("center"), F.array(*[F.lit(float(x)) for x in point])))
+    return centers.select("cluster_id", far.alias("distance")).orderBy("distance", "cluster_id").limit(n)
+
+
+def nearest_center(rows: DataFrame, centers: DataFrame, vector: str, block: int = 4096) -> DataFrame:
+    """Add `nearest`, the id of the nearest center (cluster_id, center), of equals (to nine digits) the least id. Centers go out
+    in blocks of at most `block` as one row each, so the plan is the same for any number of them up to a block."""
+    blocks = max(1, -(-centers.count() // block))
+    out = rows.withColumn("__best", F.lit(None).cast("struct<d:double,id:bigint>")).withColumn("__one", F.lit(0))
+    at = F.pmod(F.hash("cluster_id"), F.lit(blocks))
+    for b in range(blocks):
+        held = centers.where(at == b).agg(F.collect_list(F.struct(F.col("cluster_id").cast("long").alias("id"), F.col("center").alias("c"))).alias("__centers")).withColumn("__one", F.lit(0))
+        one = F.array_min(F.transform("__centers", lambda x: F.struct(F.round(_distance(F.col(vector), x["c"]), 9).alias("d"), x["id"].alias("id"))))
+        out = out.join(F.broadcast(held), "__one").withColumn("__best", F.array_min(F.array_compact(F.array("__best", one)))).drop("__centers")
+    return out.withColumn("nearest", F.col("__best.id")).drop("__best", "__one")
 
 
 def pruned(corpus: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -68,15 +87,72 @@ def outside(corpus: DataFrame, clusters: DataFrame) -> DataFrame:
     return corpus.join(clusters, "cluster_id", "left_anti")
 
 
+def sampled(rows: DataFrame, n: int = 5000, seed: int = 42) -> DataFrame:
+    """n rows in the order of a digest of seed and name: random, and the same whatever the partitions are."""
+    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("name").cast("string"))), "name").limit(n)
+
+
 def with_top_up(corpus: DataFrame, clusters: DataFrame, top: int = 1500, sample: int = 5000, seed: int = 42) -> DataFrame:
     """The chosen clusters' rows, and a random sample of the others when those are under `top`."""
     chosen = pruned(corpus, clusters)
     if chosen.limit(top).count() >= top:
         return chosen
-    more = outside(corpus, clusters).orderBy(F.rand(seed), "name").limit(sample)
-    return chosen.unionByName(more)
+    return chosen.unionByName(sampled(outside(corpus, clusters), sample, seed))
+
+
+def pruned_search(corpus: DataFrame, target: search.Target, clusters: DataFrame, top: int = 1500, sample: int = 5000, seed: int = 42, ratio: float | None = None) -> DataFrame:
+    """Stage one over the chosen clusters of an encoded corpus with cluster_id. When they have under `top` rows in range, a
+    random sample of the other rows in range joins them, of which only rows with a score above 0 count."""
+    near = search.in_range(corpus, target, ratio)
+    rows = search.with_cosine(pruned(near, clusters), target)
+    if rows.limit(top).count() < top:
+        rows = rows.unionByName(search.with_cosine(sampled(outside(near, clusters), sample, seed), target).where("wl > 0").select(*rows.columns))
+    return rows.orderBy(F.desc("wl"), F.asc("name")).limit(top)
 
 
 def samples(corpus: DataFrame, clusters: DataFrame) -> DataFrame:
     """The least row of each chosen cluster."""
     return pruned(corpus, clusters).groupBy("cluster_id").agg(F.min("name").alias("name"))
+
+
+def save(model: PipelineModel, features: DataFrame, path: str) -> None:
+    """Keep the fitted PCA and k-means, and the feature map with its weights."""
+    model.write().overwrite().save(f"{path}/model")
+    features.write.mode("overwrite").parquet(f"{path}/features")
+
+
+def load(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
+    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/features")
+
+
+def centers(spark: SparkSession, model: PipelineModel) -> DataFrame:
+    """cluster_id and center (in the reduced space) of a fitted model."""
+    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.stages[-1].clusterCenters())]
+    return spark.createDataFrame(rows, "cluster_id int, center array<double>")
+
+
+def reduced(model: PipelineModel, vecs: DataFrame) -> DataFrame:
+    """name and the reduced vector, as an array."""
+    return model.stages[0].transform(vecs).select("name", vector_to_array("reduced").alias("reduced"))
+
+
+def job(enc: DataFrame, path: str, features: int = 5000, dims: int = 200, k: int = 2000, seed: int = 42) -> DataFrame:
+    """Feature map, vectors, PCA, k-means, all kept under `path`, and the ids: written as (name, cluster_id), which is returned.
+    Trees with an empty encoding are neither learned from nor assigned; they get a null id."""
+    known = enc.where(F.size("enc") > 0)
+    chosen = feature_map(document_frequency(known), features)
+    vecs = vectors(vector_entries(known, chosen), features)
+    model = fit(vecs, dims, k, seed)
+    save(model, chosen, path)
+    assign(model, vecs).join(enc.select("name"), "name", "right").write.mode("overwrite").parquet(f"{path}/clusters")
+    return enc.sparkSession.read.parquet(f"{path}/clusters")
+
+
+def choose(spark: SparkSession, path: str, target: search.Target, n: int = 5500) -> DataFrame:
+    """The clusters of a kept model nearest to a target, for pruned_search()."""
+    model, features = load(spark, path)
+    size = model.stages[0].pc.numRows
+    one = spark.createDataFrame([("", target.enc)], "name string, enc map<string,int>")
+    row = reduced(model, vectors(vector_entries(one, features), size)).first()
+    point = list(row["reduced"]) if row else [0.0] * model.stages[0].pc.numCols
+    return nearest(centers(spark, model), point, n).select("cluster_id")

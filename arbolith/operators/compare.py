@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Labels that cost little to insert or delete and nothing to change.
+#: Labels that cost little to insert or delete and nothing to change.
 CHEAP = ("BVar(", "FVar(", "MVar(", "Sort(", "Const(")
 
 
@@ -59,7 +59,7 @@ class Ordered:
 
 
 def edit_distance(t1, t2, unit: bool = False) -> float:
-    """Cheap leaves cost 0.2 to insert or delete, others 1; a change costs 0.4, nothing between equal subtrees or if
+    """Cheap leaves cost 0.2 to insert or delete, others 1; a change costs 0.4, nothing between equal subtrees or if
     either side is cheap. With unit all costs are 1."""
     ids: dict = {}
     a, b = Ordered(t1, ids), Ordered(t2, ids)

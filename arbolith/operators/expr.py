@@ -169,9 +169,13 @@ def drop_binders(e: Expr) -> Expr:
     return _ordered(e.kind, e.data, kids, now[0])
 
 
+#: Parts of names that mark noise.
+NOISE = ("inst", ".to", ".of", "HAdd.")
+
+
 def fold_noise(e: Expr) -> Expr:
     """An application of two constants becomes the one that is noise, the function first."""
-    noisy = lambda i: any(x in e.data[i][0] for x in ("inst", ".to", ".of", "HAdd."))
+    noisy = lambda i: any(x in e.data[i][0] for x in NOISE)
     now = list(range(len(e.kind)))
     kids = [list(k) for k in e.kids]
     for i in reversed(range(len(e.kind))):

@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -16,6 +21,10 @@ from . import compare, expr
 NODE = StructType([StructField("kind", StringType()), StructField("label", StringType()), StructField("depth", IntegerType()), StructField("parent", IntegerType()), StructField("children", ArrayType(IntegerType()))])
 #: Targets of more unsimplified nodes than this are ranked without edit distance; from LARGE nodes on the range is wider.
 EDIT_LIMIT, LARGE = 50, 600
+#: The weights of cosine, edit similarity, collapse match and Jaccard in the final score.
+COSINE, EDIT, COLLAPSE, JACCARD = 0.15, 0.40, 0.30, 0.15
+#: Longest expression of a request, in characters.
+LONGEST = 1000
 
 
 def bounds(n: float, ratio: float = 1.5, diff: float = 25) -> tuple[float, float]:
@@ -88,6 +97,11 @@ def stage1(corpus: DataFrame, target: Target, top: int = 1500, ratio: float | No
     return with_cosine(in_range(corpus, target, ratio), target).orderBy(F.desc("wl"), F.asc("name")).limit(top)
 
 
+def dealt(rows: DataFrame, least: int = 16) -> DataFrame:
+    """Deal out the few rows that a cut leaves in one partition, so that costly work on them runs in all tasks."""
+    return rows.repartition(max(least, rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def pair_scores(corpus: DataFrame, target: Target, edit: bool) -> DataFrame:
     """Add collapse, collapse_match, jaccard and, if asked, ted."""
     t = target.tree
@@ -100,16 +114,26 @@ def pair_scores(corpus: DataFrame, target: Target, edit: bool) -> DataFrame:
             rows.append((compare.collapse_score(t, c), compare.collapse_match(t, c), compare.edit_distance(t, c) if edit else None))
         return pd.DataFrame(rows, columns=["collapse", "collapse_match", "ted"]).astype({"ted": float})
 
-    out = corpus.withColumn("__s", judge.asNondeterministic()(F.expr("transform(nodes, n -> n.label)"), F.expr("transform(nodes, n -> n.children)")))
+    out = dealt(corpus).withColumn("__s", judge.asNondeterministic()(F.expr("transform(nodes, n -> n.label)"), F.expr("transform(nodes, n -> n.children)")))
     names = F.array(*map(F.lit, target.names)) if target.names else F.expr("cast(array() as array<string>)")
     return out.select(*corpus.columns, "__s.*", wl.jaccard(names, wl.const_names(F.col("nodes"))).alias("jaccard"))
 
 
+def legacy_distances(corpus: DataFrame, target: Target) -> DataFrame:
+    """Add distance: the unit-cost edit distance, infinite beyond the size ratio."""
+
+    @F.pandas_udf("double")
+    def far(labels: pd.Series, kids: pd.Series) -> pd.Series:
+        return pd.Series([compare.limited_distance(target.tree, (list(a), [list(x) for x in k])) for a, k in zip(labels, kids, strict=True)], dtype=float)
+
+    return dealt(corpus).withColumn("distance", far(F.expr("transform(nodes, n -> n.label)"), F.expr("transform(nodes, n -> n.children)")))
+
+
 def composite(target: Target, edit: bool) -> Column:
-    score = 0.15 * F.col("wl")
+    score = COSINE * F.col("wl")
     if edit:
-        score = score + 0.40 * (1 - F.col("ted") / F.greatest(F.lit(len(target.labels)), F.col("simp_node_count")))
-    return score + 0.30 * F.col("collapse") + 0.15 * F.col("jaccard")
+        score = score + EDIT * (1 - F.col("ted") / F.greatest(F.lit(len(target.labels)), F.col("simp_node_count")))
+    return score + COLLAPSE * F.col("collapse") + JACCARD * F.col("jaccard")
 
 
 def ranked(corpus: DataFrame, target: Target, top: int = 1500, ratio: float | None = None) -> DataFrame:
@@ -117,25 +141,118 @@ def ranked(corpus: DataFrame, target: Target, top: int = 1500, ratio: float | No
     return pair_scores(stage1(corpus, target, top, ratio), target, edit).withColumn("similarity", composite(target, edit))
 
 
-def search(corpus: DataFrame, target: Target, k: int = 20, node_ratio: float | None = None, top: int = 1500) -> DataFrame:
-    """The k most similar trees: name, similarity_score, statement, node_count. Rows without details go after the cut."""
-    if not 1 <= k <= 100:
+def check_request(k: int | None, node_ratio: float | None = None, expression: str | None = None) -> None:
+    """ValueError for a request out of bounds; an expression, if given, must not be empty or too long."""
+    if k is None or not 1 <= k <= 100:
         raise ValueError("k must lie between 1 and 100")
     if node_ratio is not None and not 1.0 <= node_ratio <= 2.0:
         raise ValueError("node_ratio must lie between 1.0 and 2.0")
+    if expression is not None and not expression.strip():
+        raise ValueError("the expression is empty")
+    if expression is not None and len(expression) > LONGEST:
+        raise ValueError(f"the expression is longer than {LONGEST} characters")
+
+
+def search(corpus: DataFrame, target: Target, k: int = 20, node_ratio: float | None = None, top: int = 1500) -> DataFrame:
+    """The k most similar trees: name, similarity_score, statement, node_count. Rows without details go after the cut."""
+    check_request(k, node_ratio)
     best = ranked(corpus, target, top, node_ratio).orderBy(F.desc("similarity"), F.asc("name")).limit(k)
     return best.where("statement_str IS NOT NULL AND node_count IS NOT NULL").select("name", F.col("similarity").alias("similarity_score"), F.col("statement_str").alias("statement"), "node_count")
 
 
-def batch_cosine(corpus: DataFrame, queries: DataFrame, ratio: float = 1.2, diff: float = 25) -> DataFrame:
-    """(query, name, wl) for many queries in one job: histograms meet on their features, only pairs in range and with
-    a shared feature arise."""
-    q = queries.select(F.col("name").alias("query"), F.col("simp_node_count").alias("qn"), F.col("norm2").alias("q2"), F.explode("enc").alias("feature", "qc"))
-    c = corpus.select("name", "simp_node_count", "norm2", F.explode("enc").alias("feature", "cc"))
-    lo, hi = F.greatest(F.lit(0), F.least(F.col("qn") / ratio, F.col("qn") - diff)), F.greatest(F.col("qn") * ratio, F.col("qn") + diff)
-    pairs = c.join(q, "feature").where(F.col("simp_node_count").between(lo, hi))
-    dots = pairs.groupBy("query", "name", "q2", "norm2").agg(F.sum(F.col("qc").cast("bigint") * F.col("cc")).alias("dot"))
-    return dots.select("query", "name", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("dot") / (F.sqrt("norm2") * F.sqrt("q2")))).alias("wl"))
+class Queries:
+    """Histograms of some queries, as postings by feature."""
+
+    def __init__(self, rows: list, ratio: float | None, diff: float):
+        self.names = pa.array([r["name"] for r in rows], pa.string())
+        self.norm = np.sqrt(np.array([r["norm2"] for r in rows], float))
+        at = [bounds(r["simp_node_count"], ratio or auto_ratio(r["node_count"]), diff) for r in rows]
+        self.low, self.high = np.array(at, float).reshape(-1, 2).T
+        features = sorted({f for r in rows for f in r["enc"]})
+        place = {f: i for i, f in enumerate(features)}
+        feature = np.array([place[f] for r in rows for f in r["enc"]], np.int64)
+        order = np.argsort(feature, kind="stable")
+        self.query = np.repeat(np.arange(len(rows)), [len(r["enc"]) for r in rows])[order]
+        self.count = np.array([n for r in rows for n in r["enc"].values()], float)[order]
+        self.begins = np.searchsorted(feature[order], np.arange(len(features) + 1))
+        self.features = pa.array(features, pa.string())
+
+    def scored(self, batch: pa.RecordBatch, least: float, top: int | None, cells: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+        """(query, name, wl) of the rows in range whose cosine is above `least`; of a chunk, the `top` of a query and their equals."""
+        wide = len(self.names)
+        step = max(1, cells // wide)
+        for lo in range(0, batch.num_rows, step):
+            part = batch.slice(lo, step)
+            keys, values = part.column("keys"), part.column("values")
+            size = pa.compute.list_value_length(keys).fill_null(0).to_numpy()
+            row = np.repeat(np.arange(part.num_rows), size)
+            feature = pa.compute.index_in(pa.compute.list_flatten(keys), self.features).fill_null(-1).to_numpy(zero_copy_only=False)
+            counts = pa.compute.list_flatten(values).to_numpy(zero_copy_only=False)
+            row, counts, feature = row[feature >= 0], counts[feature >= 0], feature[feature >= 0]
+            k = self.begins[feature + 1] - self.begins[feature]
+            at = np.repeat(self.begins[feature] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            dots = np.bincount(np.repeat(row, k) * wide + self.query[at], np.repeat(counts, k) * self.count[at], part.num_rows * wide).reshape(-1, wide)
+            norm, n = np.sqrt(part.column("norm2").to_numpy().astype(float)), part.column("simp_node_count").to_numpy()[:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                wl_ = np.where(dots > 0, np.clip(dots / (norm[:, None] * self.norm), 0.0, 1.0), 0.0)
+            fit = (n >= self.low) & (n <= self.high) & (wl_ > least)
+            if top and part.num_rows > top:
+                wl_ = np.where(fit, wl_, -1.0)
+                fit &= wl_ >= np.partition(wl_, -top, axis=0)[-top] - 1e-8
+            i, q = np.nonzero(fit)
+            yield pa.RecordBatch.from_pydict({"query": self.names.take(pa.array(q)), "name": part.column("name").take(pa.array(i)), "wl": pa.array(wl_[i, q])})
+
+
+def batch_cosine(corpus: DataFrame, queries: DataFrame, ratio: float | None = None, diff: float = 25, least: float = 0.0, top: int | None = None, block: int = 2048) -> DataFrame:
+    """(query, name, wl) for many queries (columns name, simp_node_count, node_count, norm2, enc) against a whole corpus.
+
+    Queries go out in blocks of `block`; each row of the corpus is scored against a whole block at once, without a shuffle.
+    Pairs whose cosine isn't above `least` are left out. With `top`, tasks keep the best so many of each query, and their
+    equals, of each chunk of rows; the cut over all of them is the caller's.
+    """
+    rows = corpus.select("name", "simp_node_count", "norm2", F.map_keys("enc").alias("keys"), F.map_values("enc").alias("values"))
+    parts, held = [], []
+
+    def part(rows_of: list) -> DataFrame:
+        q = Queries(rows_of, ratio, diff)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield from q.scored(batch, least, top)
+
+        return rows.mapInArrow(run, "query string, name string, wl double")
+
+    for r in queries.select("name", "simp_node_count", "node_count", "norm2", "enc").toLocalIterator():
+        held.append(r)
+        if len(held) == block:
+            parts.append(part(held))
+            held = []
+    if held or not parts:
+        parts.append(part(held)) if held else parts.append(rows.sparkSession.createDataFrame([], "query string, name string, wl double"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def batch_ranked(corpus: DataFrame, queries: DataFrame, top: int = 1500, ratio: float | None = None) -> DataFrame:
+    """The whole cascade for many queries in one job: query, name, wl, ted (null for long queries), collapse, jaccard, similarity
+    of each query's `top` rows by cosine (ties by name). Corpus and queries need nodes too."""
+    tree = lambda p: [F.expr("transform(nodes, n -> n.label)").alias(f"{p}labels"), F.expr("transform(nodes, n -> n.children)").alias(f"{p}kids"), wl.const_names(F.col("nodes")).alias(f"{p}names"), F.col("simp_node_count").alias(f"{p}size")]
+    pairs = batch_cosine(corpus, queries, ratio, least=-1.0, top=top)
+    near = pairs.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("wl"), "name"))).where(F.col("place") <= top).drop("place")
+    both = near.join(corpus.select("name", *tree("")), "name").join(queries.select(F.col("name").alias("query"), (F.col("node_count") <= EDIT_LIMIT).alias("edit"), *tree("q")), "query")
+
+    @F.pandas_udf("collapse double, ted double")
+    def judge(ql: pd.Series, qk: pd.Series, labels: pd.Series, kids: pd.Series, edit: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, ka, b, kb, e in zip(ql, qk, labels, kids, edit, strict=True):
+            t, c = (list(a), [list(x) for x in ka]), (list(b), [list(x) for x in kb])
+            rows.append((compare.collapse_score(t, c), compare.edit_distance(t, c) if e else None))
+        return pd.DataFrame(rows, columns=["collapse", "ted"]).astype(float)
+
+    n = corpus.sparkSession.sparkContext.defaultParallelism
+    both = both.repartition(max(16, n), "query", "name").withColumn("s", judge.asNondeterministic()("qlabels", "qkids", "labels", "kids", "edit"))
+    out = both.select("query", "name", "wl", F.when(F.col("edit"), F.col("s.ted")).alias("ted"), "s.collapse", wl.jaccard(F.col("qnames"), F.col("names")).alias("jaccard"), "size", "qsize")
+    edit = F.when(F.col("ted").isNotNull(), EDIT * (1 - F.col("ted") / F.greatest("qsize", "size"))).otherwise(0.0)
+    return out.withColumn("similarity", COSINE * F.col("wl") + edit + COLLAPSE * F.col("collapse") + JACCARD * F.col("jaccard")).drop("size", "qsize")
 
 
 def competition_rank(scored: DataFrame, score: str = "wl", by: str = "query") -> DataFrame:

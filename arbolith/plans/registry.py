@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import wl
-from ..operators import cluster, compare, expr, search
+from ..operators import cluster, expr, search
 from ..sources import fixtures, store
 from ..sources.fixtures import NODES_SQL, read
+from ..sources.shared import written
+from . import evaluate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -58,14 +60,24 @@ def trees(spark, d):
     return fixtures.order_trees(spark, d)
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def encoded(spark, d):
-    return wl.encode(trees(spark, d))
+    """The search table of the order trees, written at its first use in a session, as an encoding job would before any search."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TABLES:
+        _TABLES[key] = written(wl.encode(trees(spark, d).sortWithinPartitions("simp_node_count", "name")), "search-table")
+    return _TABLES[key]
+
+
+def least_name(spark, d) -> str:
+    return encoded(spark, d).agg(F.min("name")).first()[0]
 
 
 def target_of(spark, d) -> search.Target:
-    """The tree of the least name. Orders are few columns wide, so only one order's lines are read for it."""
-    rows = trees(spark, d)
-    return search.Target.of(rows.orderBy("name").limit(1))
+    """The tree of the least name, out of the search table by its name."""
+    return search.Target.of(encoded(spark, d).where(F.col("name") == least_name(spark, d)).select("name", "nodes", "node_count"))
 
 
 def long_target(t: search.Target) -> search.Target:
@@ -75,7 +87,7 @@ def long_target(t: search.Target) -> search.Target:
 
 @query(NODES + " SELECT t.name, t.simp_node_count FROM trees t, (SELECT * FROM trees WHERE name = (SELECT min(name) FROM trees)) q WHERE t.simp_node_count BETWEEN greatest(0, least(q.simp_node_count / CAST(1.2 AS DOUBLE), q.simp_node_count - 25)) AND greatest(q.simp_node_count * CAST(1.2 AS DOUBLE), q.simp_node_count + 25)")
 def size_range_filter(spark, d):
-    return search.in_range(trees(spark, d), target_of(spark, d), 1.2).select("name", "simp_node_count")
+    return search.in_range(encoded(spark, d), target_of(spark, d), 1.2).select("name", "simp_node_count")
 
 
 @query("SELECT event_id, props FROM events WHERE props IS NOT NULL AND trim(props) <> 'null'")
@@ -96,7 +108,7 @@ def wl_round(spark, d):
 
 @query(HISTOGRAM + " SELECT name, md5(string_agg(feature || ':' || CAST(cnt AS VARCHAR), ',' ORDER BY feature)) AS digest FROM hist GROUP BY name")
 def wl_encode(spark, d):
-    return encoded(spark, d).select("name", F.md5(F.array_join(F.transform(F.array_sort(F.map_entries("enc")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")).alias("digest"))
+    return wl.encode(trees(spark, d)).select("name", F.md5(F.array_join(F.transform(F.array_sort(F.map_entries("enc")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")).alias("digest"))
 
 
 @query(HISTOGRAM + " SELECT feature, count(*) AS trees, CAST(sum(cnt) AS BIGINT) AS total FROM hist GROUP BY feature")
@@ -121,14 +133,14 @@ _SIZE = "(t.simp_node_count * CAST((SELECT simp_node_count FROM trees WHERE name
 @query(ROUNDS + f", target AS (SELECT min(name) AS name FROM trees), {_SUM} SELECT t.name, round(coalesce(k0.dot, 0) / {_SIZE} + coalesce(k1.dot, 0) / {_SIZE} + coalesce(k2.dot, 0) / {_SIZE}, 9) AS kernel FROM trees t LEFT JOIN k0 ON k0.name = t.name LEFT JOIN k1 ON k1.name = t.name LEFT JOIN k2 ON k2.name = t.name")
 def wl_kernel_sum(spark, d):
     """The unnormalised kernel: raw labels and two rounds, each dot product over the product of sizes."""
-    base = trees(spark, d)
+    base = encoded(spark, d).select("name", "nodes")
 
     def per(df: DataFrame) -> DataFrame:
         all_ = lambda n, x0: wl.let(wl.next_labels(n, x0), lambda x1: F.array(*map(wl.counted, (x0, x1, wl.next_labels(n, x1)))))
         rows = df.withColumn("h", wl.let(F.col("nodes"), lambda n: wl.let(wl.initial_labels(n), lambda x: all_(n, x))))
         return rows.select("name", F.size("nodes").alias("n"), *[F.map_from_entries(F.col("h")[r]).alias(f"h{r}") for r in range(3)])
 
-    t, out = per(base.orderBy("name").limit(1)).first(), per(base)
+    t, out = per(base.where(F.col("name") == least_name(spark, d))).first(), per(base)
     kernel = sum((wl.dot(f"h{r}", t[f"h{r}"]) / (F.col("n") * F.lit(float(t["n"]))) for r in range(3)), F.lit(0.0))
     return out.select("name", F.round(kernel, 9).alias("kernel"))
 
@@ -171,7 +183,9 @@ def const_jaccard(spark, d):
     return search.pair_scores(search.stage1(encoded(spark, d), t, ratio=1.2), t, False).select("name", F.round("jaccard", 9).alias("jaccard"))
 
 
-@query()
+@query(f"""WITH {NODES_SQL}, d AS (SELECT ok, count(DISTINCT flag || ' ' || prt || ' ' || psize) + count(DISTINCT flag || ' ' || prt) + count(DISTINCT flag) + count(DISTINCT prt) + count(DISTINCT psize) AS n FROM ol GROUP BY ok)
+    SELECT t.name, CAST(o.n + 2 + d.n + CASE WHEN st = 'P' THEN 3 ELSE 1 END AS INTEGER) AS distinct_parts, CAST(t.node_count - (o.n + 2 + d.n + CASE WHEN st = 'P' THEN 3 ELSE 1 END) AS INTEGER) AS repeated
+    FROM ords o JOIN d ON d.ok = o.ok JOIN trees t ON t.name = o.name""")
 def subexpr_counts(spark, d):
     """Sub-expressions that occur twice or more in an order's expression."""
 
@@ -207,8 +221,7 @@ def competition_rank(spark, d):
 def target_position(spark, d):
     top = search.stage1(encoded(spark, d), target_of(spark, d), ratio=1.2)
     at = top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("wl"), "name")))
-    name = trees(spark, d).agg(F.min("name")).first()[0]
-    return at.where(F.col("name") == name).agg(F.min("pos").cast("long").alias("pos"))
+    return at.where(F.col("name") == least_name(spark, d)).agg(F.min("pos").cast("long").alias("pos"))
 
 
 @query(DOTS + " SELECT coalesce(round(min(wl), 6), 0.0) AS least, coalesce(round(max(wl), 6), 0.0) AS most, coalesce(round(avg(wl), 6), 0.0) AS mean, count(*) AS n FROM top")
@@ -276,32 +289,39 @@ def null_aware_anti(spark, d):
     far AS (SELECT e.vec_id, c.label, sum((e.x - c.x) * (e.x - c.x)) AS dist FROM e JOIN c ON c.i = e.i GROUP BY e.vec_id, c.label)
     SELECT vec_id, label AS nearest FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(dist, 9), label) AS r FROM far) WHERE r = 1""")
 def nearest_centroid(spark, d):
-    """Each vector's nearest label mean; the means are as many as labels, and each row scans them once."""
+    """Each vector's nearest label mean."""
     e = read(spark, d, "embeddings")
     mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    rows = mean.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).orderBy("label").collect()
-    far = [F.struct(F.round(F.aggregate(F.zip_with(F.col("embedding"), F.array(*[F.lit(float(p["x"])) for p in r["c"]]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v), 9).alias("d"), F.lit(r["label"]).alias("label")) for r in rows]
-    return e.select("vec_id", F.array_min(F.array(*far))["label"].alias("nearest"))
+    means = mean.groupBy(F.col("label").alias("cluster_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("center"))
+    return cluster.nearest_center(e, written(means, "centers"), "embedding").select("vec_id", "nearest")
 
 
-@query("SELECT event_id, trim(replace(event_type, chr(10), ' ')) AS name, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS k FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY event_id")
+@query("SELECT cluster_id, round(sqrt(sum((e.x - c.x) * (e.x - c.x))), 6) AS distance FROM (SELECT label AS cluster_id, i, avg(x) AS x FROM (SELECT label, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY label, i) c JOIN (SELECT unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) e USING (i) GROUP BY cluster_id ORDER BY sqrt(sum((e.x - c.x) * (e.x - c.x))), cluster_id LIMIT 5")
+def nearest_clusters(spark, d):
+    """The five label means nearest to the first vector."""
+    e = read(spark, d, "embeddings")
+    mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = mean.groupBy(F.col("label").alias("cluster_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("center"))
+    point = e.orderBy("vec_id").select("embedding").first()[0]
+    return cluster.nearest(means, list(point), 5).withColumn("distance", F.round("distance", 6))
+
+
+@query("SELECT event_id AS id, event_type || ' ' || CAST(user_id AS VARCHAR) AS name, 'at ' || CAST(event_id AS VARCHAR) AS tactic, trim(replace(props, chr(10), ' ')) AS goal, props AS expr_json FROM events WHERE event_type = (SELECT min(event_type) FROM events) ORDER BY event_id")
 def json_log_projection(spark, d):
-    e = read(spark, d, "events")
-    kind = e.agg(F.min("event_type")).first()[0]
-    return e.where(F.col("event_type") == kind).select("event_id", F.trim(F.replace("event_type", F.lit("\n"), F.lit(" "))).alias("name"), F.get_json_object("props", "$.k").alias("k")).orderBy("event_id")
+    kind = read(spark, d, "events").agg(F.min("event_type")).first()[0]
+    return store.json_log(fixtures.event_log(spark, d), kind)
 
 
 @query(DOTS + " SELECT n.name, t.statement_str, CAST(t.node_count AS INTEGER) AS node_count FROM (SELECT * FROM near ORDER BY wl DESC, name LIMIT 50) n JOIN trees t ON t.name = n.name")
 def details_lookup(spark, d):
     base = encoded(spark, d)
-    return store.details(search.stage1(base, target_of(spark, d), 50, 1.2).select("name"), trees(spark, d)).select("name", "statement_str", "node_count")
+    return store.details(search.stage1(base, target_of(spark, d), 50, 1.2).select("name"), base).select("name", "statement_str", "node_count")
 
 
 @query(NODES + ", q AS (SELECT name AS qn, node_count AS m FROM trees WHERE name = (SELECT min(name) FROM trees)) SELECT count(*) AS total, count(*) FILTER (WHERE name = qn) AS found, CAST(max(CASE WHEN name = qn THEN node_count END) AS INTEGER) AS target_nodes, count(*) FILTER (WHERE node_count BETWEEN m / CAST(1.2 AS DOUBLE) AND m * CAST(1.2 AS DOUBLE)) AS in_range, count(*) FILTER (WHERE name = qn AND node_count BETWEEN m / CAST(1.2 AS DOUBLE) AND m * CAST(1.2 AS DOUBLE)) AS found_in_range FROM trees, q")
 def existence_audit(spark, d):
-    t = trees(spark, d)
-    one = t.orderBy("name").limit(1).select("name", "node_count").first()
-    return store.audit(t, one["name"], one["node_count"])
+    t, name = encoded(spark, d), least_name(spark, d)
+    return store.audit(t, name, t.where(F.col("name") == name).select("node_count").first()[0])
 
 
 @query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
@@ -322,17 +342,26 @@ def topk_display_strings(spark, d):
     return search.display(top).select("names", F.col("wl_scores").alias("scores"))
 
 
-@query("""WITH t AS (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS name, lang, string_split(text, chr(10)) AS ls FROM documents WHERE n_chars <= 2000),
+@query("""WITH t AS (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS name, lang, string_split(text, chr(10)) AS ls FROM documents),
     l AS (SELECT name, unnest(ls) AS line FROM t), w AS (SELECT name, count(*) AS n_lines, CAST(sum(len(list_filter(string_split_regex(line, '[ \\t]+'), lambda x: x <> ''))) AS BIGINT) AS n_words FROM l GROUP BY name)
     SELECT name, n_lines + n_words + 1 AS n FROM w""")
 def doc_tree_sizes(spark, d):
     return fixtures.doc_trees(spark, d).select("name", F.size("nodes").cast("long").alias("n"))
 
 
-@query()
+@query("""WITH t AS (SELECT 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS name, lang, string_split(text, chr(10)) AS ls FROM documents),
+    l AS (SELECT name, lang, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM t), ws AS (SELECT name, lang, i, list_filter(string_split_regex(line, '[ \\t]+'), lambda x: x <> '') AS w FROM l),
+    words AS (SELECT name, i, 'Lit(' || unnest(w) || ')_d2' AS l FROM ws), sorted AS (SELECT name, i, string_agg(l, ',' ORDER BY l) AS ls FROM words GROUP BY name, i),
+    labels AS (SELECT name, md5(l) AS h FROM words UNION ALL SELECT ws.name, md5('Line_d1' || coalesce('(' || ls || ')', '')) FROM ws LEFT JOIN sorted s ON s.name = ws.name AND s.i = ws.i
+        UNION ALL SELECT name, md5('Doc(' || any_value(lang) || ')_d0(' || string_agg('Line_d1', ',') || ')') FROM ws GROUP BY name),
+    hist AS (SELECT name, h, count(*) AS cnt FROM labels GROUP BY name, h), size AS (SELECT name, CAST(sum(cnt) AS BIGINT) AS n, CAST(sum(cnt * cnt) AS BIGINT) AS norm2 FROM hist GROUP BY name),
+    q AS (SELECT *, CASE WHEN n >= 600 THEN 1.8 ELSE 1.2 END::DOUBLE AS r FROM size WHERE name = (SELECT min(name) FROM size)),
+    dot AS (SELECT h.name, CAST(sum(h.cnt * x.cnt) AS BIGINT) AS dot FROM hist h JOIN hist x ON x.h = h.h WHERE x.name = (SELECT name FROM q) GROUP BY h.name)
+    SELECT s.name, round(least(1.0, coalesce(dot, 0) / (sqrt(s.norm2::DOUBLE) * sqrt(q.norm2::DOUBLE))), 9) AS wl FROM size s JOIN q ON s.n BETWEEN greatest(0, least(q.n / q.r, q.n - 25)) AND greatest(q.n * q.r, q.n + 25) LEFT JOIN dot ON dot.name = s.name
+    ORDER BY least(1.0, coalesce(dot, 0) / (sqrt(s.norm2::DOUBLE) * sqrt(q.norm2::DOUBLE))) DESC, s.name LIMIT 20""")
 def doc_near_duplicates(spark, d):
     """Documents nearest to the first one, as word trees."""
-    docs = fixtures.doc_trees(spark, d, None).withColumn("simp_node_count", F.size("nodes")).withColumn("node_count", F.size("nodes"))
+    docs = fixtures.doc_trees(spark, d).withColumn("simp_node_count", F.size("nodes")).withColumn("node_count", F.size("nodes"))
     first = read(spark, d, "documents").agg(F.min("doc_id")).first()[0]
     t = search.Target.of(docs.where(F.col("name") == F.lit(f"d{first:012d}")), 1)
     return search.stage1(wl.encode(docs, 1), t, 20).select("name", F.round("wl", 9).alias("wl"))
@@ -355,15 +384,52 @@ def search_e2e(spark, d):
     return search.search(encoded(spark, d), target_of(spark, d))
 
 
-@query()
+def stated(enc: DataFrame) -> DataFrame:
+    """The stated query set: orders whose key is divisible by 20."""
+    return enc.where("cast(substr(name, 2) as bigint) % 20 = 0")
+
+
+@query(NORMS + """, q AS (SELECT t.name, t.simp_node_count AS n, CASE WHEN t.node_count >= 600 THEN 1.8 ELSE 1.2 END::DOUBLE AS r, o.norm2 FROM trees t JOIN norms o ON o.name = t.name WHERE CAST(substr(t.name, 2) AS BIGINT) % 20 = 0),
+    shared AS (SELECT x.name AS query, h.name, CAST(sum(x.cnt * h.cnt) AS BIGINT) AS dot FROM hist x JOIN q ON q.name = x.name JOIN hist h ON h.feature = x.feature JOIN trees t ON t.name = h.name
+        WHERE t.simp_node_count BETWEEN greatest(0, least(q.n / q.r, q.n - 25)) AND greatest(q.n * q.r, q.n + 25) GROUP BY x.name, h.name),
+    scored AS (SELECT s.query, s.name, round(least(1.0, s.dot / (sqrt(o.norm2::DOUBLE) * sqrt(q.norm2::DOUBLE))), 9) AS wl FROM shared s JOIN q ON q.name = s.query JOIN norms o ON o.name = s.name)
+    SELECT query, name, wl, CAST(rank AS INTEGER) AS rank FROM (SELECT *, rank() OVER (PARTITION BY query ORDER BY wl DESC) AS rank FROM scored) WHERE rank <= 10""")
 def batch_search(spark, d):
-    """Ranks for a set of stated queries (orders whose key is divisible by 1000) in one job."""
+    """The ten best ranks of each stated query among all trees, in one job."""
     enc = encoded(spark, d)
-    pairs = search.batch_cosine(enc, enc.where("cast(substr(name, 2) as bigint) % 1000 = 0"))
-    return search.competition_rank(pairs).where("rank <= 10").select("query", "name", F.round("wl", 9).alias("wl"), "rank")
+    pairs = search.batch_cosine(enc, stated(enc), top=10).withColumn("wl", F.round("wl", 9))
+    return search.competition_rank(pairs).where("rank <= 10").select("query", "name", "wl", "rank")
 
 
-@query()
+@query(RECURSIVE + WALK + JACCARD + f", e AS (SELECT t.name, {search.COSINE} * t.wl + {search.COLLAPSE} * (CAST(coalesce(c.raw, 0) AS DOUBLE) / t.simp_node_count) + {search.JACCARD} * j.jaccard AS s FROM top t LEFT JOIN collapse c ON c.name = t.name JOIN jac j ON j.name = t.name)" + """
+    SELECT (SELECT name FROM target) AS "Target Name", string_agg(name, '; ' ORDER BY s DESC, name) FILTER (WHERE p <= 10) AS "Top 10 Names", CAST(min(CASE WHEN name = (SELECT name FROM target) THEN r END) AS VARCHAR) AS "Target Rank" FROM (SELECT *, rank() OVER (ORDER BY s DESC) AS r, row_number() OVER (ORDER BY s DESC, name) AS p FROM e)""")
+def evaluation_report(spark, d):
+    """A batch evaluation of one target without edit distances."""
+    enc = encoded(spark, d)
+    one = enc.where(F.col("name") == least_name(spark, d)).withColumn("node_count", F.lit(search.EDIT_LIMIT + 1))
+    return evaluate.report_many(enc, one).select("Target Name", "Top 10 Names", "Target Rank")
+
+
+@query(NORMS + """, c AS (SELECT h.name, h.feature FROM hist h), own AS (SELECT t.*, CASE WHEN t.simp_node_count % 3 = 0 THEN NULL ELSE t.simp_node_count % 7 END AS cluster_id FROM trees t)
+    SELECT name FROM own WHERE cluster_id IN (1, 2) AND simp_node_count BETWEEN (SELECT greatest(0, least(simp_node_count / CAST(1.2 AS DOUBLE), simp_node_count - 25)) FROM trees WHERE name = (SELECT name FROM target)) AND (SELECT greatest(simp_node_count * CAST(1.2 AS DOUBLE), simp_node_count + 25) FROM trees WHERE name = (SELECT name FROM target))""")
+def cluster_pruned_search(spark, d):
+    """Stage one over two clusters (here by size), with a cut that takes all their rows."""
+    enc = encoded(spark, d).withColumn("cluster_id", F.when(F.col("simp_node_count") % 3 != 0, F.col("simp_node_count") % 7))
+    chosen = spark.createDataFrame([(1,), (2,)], "cluster_id int")
+    n = enc.count()
+    rows = cluster.pruned_search(enc, target_of(spark, d), chosen, top=n, sample=0, ratio=1.2)
+    return rows.select("name")
+
+
+@query(NODES + """, l AS (SELECT name, i, n, count(*) OVER (PARTITION BY name, flag, prt, psize) > 1 AS whole, count(*) OVER (PARTITION BY name, flag, prt) > 1 AS pair, count(*) OVER (PARTITION BY name, psize) > 1 AS size, flag, prt, psize FROM ol),
+    t AS (SELECT name, i, 1 AS p, CASE WHEN whole THEN 'l' || flag || ' ' || prt || ' ' || psize END AS k, CASE WHEN NOT whole THEN 'App' END AS x FROM l
+        UNION ALL SELECT name, i, 2, CASE WHEN pair THEN 'c' || flag || ' ' || prt END, CASE WHEN NOT pair THEN 'App Const(' || flag || ', [''u'']) Const(' || prt || ', [])' END FROM l WHERE NOT whole
+        UNION ALL SELECT name, i, 3, CASE WHEN size THEN 's' || psize END, CASE WHEN NOT size THEN 'Lit(' || psize || ')' END FROM l WHERE NOT whole),
+    f AS (SELECT *, CASE WHEN k IS NOT NULL THEN min(i * 4 + p) OVER (PARTITION BY name, k) END AS first FROM t),
+    v AS (SELECT *, dense_rank() OVER (PARTITION BY name, k IS NULL ORDER BY first) - 1 AS v FROM f),
+    lines_ AS (SELECT name, string_agg(CASE WHEN k IS NULL THEN x ELSE 'FVar(v' || CAST(v AS VARCHAR) || ')' END, ' ' ORDER BY i, p) AS x, CAST(sum(CASE WHEN k IS NOT NULL OR p <> 2 THEN 1 ELSE 3 END) AS BIGINT) AS m FROM v GROUP BY name)
+    SELECT o.name, CAST(m + o.n + CASE WHEN st = 'P' THEN 5 ELSE 3 END AS INTEGER) AS node_count, CAST(m + o.n + CASE WHEN st = 'P' THEN 5 ELSE 1 END AS INTEGER) AS simp_node_count,
+        CASE WHEN st = 'P' THEN 'ForallE App Const(inst' || pr || ', []) Sort(P) ' ELSE '' END || repeat('App ', o.n) || 'Const(Order.' || pr || ', []) ' || x AS labels FROM ords o JOIN lines_ l ON l.name = o.name""")
 def cse_normalize(spark, d):
     rows = search.parse_trees(fixtures.order_json(spark, d), normalized=False)
     return rows.select("name", "node_count", "simp_node_count", F.array_join(F.transform("nodes", lambda n: n["label"]), " ").alias("labels"))
@@ -376,27 +442,21 @@ def pca_kmeans_assign(spark, d):
     return cluster.assign(cluster.fit(vecs, 8, 10), vecs)
 
 
-@query()
+@query("SELECT vec_id AS name, label AS cluster_id FROM embeddings WHERE label = 0 UNION ALL SELECT * FROM (SELECT vec_id, label FROM embeddings WHERE label <> 0 OR label IS NULL ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT (SELECT CASE WHEN count(*) >= 1500 THEN 0 ELSE 5000 END FROM embeddings WHERE label = 0))")
 def random_topup(spark, d):
     rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("name"), F.col("label").alias("cluster_id"))
-    return cluster.with_top_up(rows, rows.where("cluster_id = 0").select("cluster_id").distinct(), 1500, 100)
+    return cluster.with_top_up(rows, rows.where("cluster_id = 0").select("cluster_id").distinct())
 
 
-@query()
+@query(NODES + " SELECT name, string_agg(repeat('  ', depth) || label, chr(10) ORDER BY id) AS text FROM nodes GROUP BY name")
 def pretty_print(spark, d):
-    show = F.udf(lambda labels, kids: expr.pretty(labels, kids), "string")
-    return trees(spark, d).select("name", show(F.expr("transform(nodes, n -> n.label)"), F.expr("transform(nodes, n -> n.children)")).alias("text"))
+    return encoded(spark, d).select("name", wl.pretty(F.col("nodes")).alias("text"))
 
 
 @query()
 def legacy_edit_distance(spark, d):
     t = target_of(spark, d)
-
-    @F.udf("double")
-    def far(labels, kids):
-        return compare.limited_distance(t.tree, (labels, kids))
-
-    return search.stage1(encoded(spark, d), t, 200).select("name", far(F.expr("transform(nodes, n -> n.label)"), F.expr("transform(nodes, n -> n.children)")).alias("distance"))
+    return search.legacy_distances(search.stage1(encoded(spark, d), t), t).select("name", "distance")
 
 
 def queries():

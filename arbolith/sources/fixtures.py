@@ -54,10 +54,15 @@ def order_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_lines(spark, sf_dir).select("name", F.expr(f"""concat('{{"forallE":{{"binderName":"c","binderType":', {binder}, ',"body":', {body}, ',"binderInfo":"default"}}}}')""").alias("expr_json"))
 
 
-def doc_trees(spark: SparkSession, sf_dir: str, most: int | None = 2000) -> DataFrame:
-    """Doc -> Line -> Lit(word) trees of documents of up to `most` characters, or of all."""
+def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as rows of a JSON log: id and data."""
+    data = "to_json(named_struct('commandSyntaxKind', event_type, 'appFnName', concat(event_type, '\n', cast(user_id as string)), 'exactStxReprint', concat(' at ', cast(event_id as string), '\n'), 'mainGoalTypeStr', props, 'mainGoalTypeJson', props))"
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.expr(data).alias("data"))
+
+
+def doc_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doc -> Line -> Lit(word) trees of all documents."""
     docs = read(spark, sf_dir, "documents")
-    docs = docs if most is None else docs.where(F.col("n_chars") <= most)
     words = "transform(split(text, '\\n'), l -> filter(split(l, '[ \\t]+'), w -> w <> ''))"
     starts = "transform(ws, (l, i) -> 1 + aggregate(slice(ws, 1, i), 0, (s, x) -> s + 1 + size(x)))"
     leaf = "cast(array() as array<int>)"

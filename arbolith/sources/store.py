@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import wl
 from ..operators.search import parse_trees
 
+# Columns of the theorem table and of the evaluation CSV.
 THEOREMS = "name STRING, expr_json STRING, statement_str STRING, node_count INT, simp_node_count INT"
 CSV_COLUMNS = ("Target Name", "Top 10 Names", "Top 10 Edit Similarities", "Top 10 WL Scores", "Top 10 Ranks", "Target Rank", "Is Target in Top 10")
 
@@ -35,6 +36,29 @@ def encode_job(trees: DataFrame, path: str, k: int) -> DataFrame:
     return spark.read.parquet(f"{path}/wl_encodings").where(F.col("k") == k)
 
 
+def search_table(trees: DataFrame, path: str, k: int = 3) -> DataFrame:
+    """Write trees with their encodings of depth k as one table, sorted by size within files, so that a range filter skips row
+    groups and no search has to join or encode. Row-local but for the sort within partitions."""
+    wl.encode(trees.sortWithinPartitions("simp_node_count", "name"), k).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return trees.sparkSession.read.parquet(path)
+
+
+def joined(theorems: DataFrame, encodings: DataFrame) -> DataFrame:
+    """Theorems with stored encodings, by name; rows without an encoding, or with an empty table on either side, go."""
+    return theorems.join(encodings.drop("k"), "name")
+
+
+def write_clusters(assigned: DataFrame, path: str) -> DataFrame:
+    """Write (name, cluster_id), which replaces what was there."""
+    assigned.select("name", "cluster_id").write.mode("overwrite").parquet(path)
+    return assigned.sparkSession.read.parquet(path)
+
+
+def with_clusters(table: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Add cluster_id by name; null for names that have none."""
+    return table.join(clusters.select("name", "cluster_id"), "name", "left")
+
+
 def upsert(table: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
     """Latest row of each key over both; at equal versions the new one."""
     both = table.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)))
@@ -73,7 +97,8 @@ def export(results: DataFrame, path: str, kind: str = "json") -> None:
 
 
 def json_log(log: DataFrame, kind: str, id_col: str = "id", data: str = "data") -> DataFrame:
-    """Benchmark queries out of a JSON log: five paths, blanks instead of line ends, one kind only, by id."""
+    """Benchmark queries out of a JSON log: five paths, blanks instead of line ends, one kind only, by id. Rows without JSON, or
+    with another kind or none, go; paths that are absent give nulls."""
     at = lambda p: F.get_json_object(data, f"$.{p}")
     flat = lambda p: F.trim(F.replace(at(p), F.lit("\n"), F.lit(" ")))
     rows = log.where(at("commandSyntaxKind") == kind)

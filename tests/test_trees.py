@@ -198,9 +198,6 @@ def test_streaming(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out/trees")).count() == 7 and spark.read.parquet(str(tmp_path / "out/errors")).count() == 1
 
 
-def test_nearest():
-    assert cluster.nearest([(0, [0.0, 0.0]), (1, [1.0, 1.0]), (2, [5.0, 5.0])], [1.2, 1.0], 2) == [1, 0]
-
 
 def test_near_duplicates_of_long_documents(spark, sf, tmp_path):
     text = "\n".join(" ".join(f"w{k}" for k in range(j, j + 20)) for j in range(60))
@@ -213,3 +210,180 @@ def test_near_duplicates_of_long_documents(spark, sf, tmp_path):
 
 def test_pretty_print_is_of_all_trees(spark, sf):
     assert registry.queries()["pretty_print"](spark, sf).count() == registry.trees(spark, sf).count() > 5
+
+
+def theorems(spark, more=()):
+    return spark.createDataFrame([(k, json.dumps(v), k.lower()) for k, v in T.items()] + list(more), "name string, expr_json string, statement_str string")
+
+
+@pytest.fixture(scope="module")
+def kept(spark, tmp_path_factory):
+    from arbolith import api
+
+    path = str(tmp_path_factory.mktemp("store"))
+    assert api.build(spark, theorems(spark, [("bad", "{}", "x")]), path) == {"theorems": 7, "errors": 1}
+    return path
+
+
+def test_api(spark, kept, capsys, tmp_path):
+    from arbolith import api
+    from arbolith.__main__ import main
+
+    e = lam("forallE", "a", C("Nat"), lam("forallE", "b", C("Nat"), E("", add(b(1), b(0)), add(b(0), b(1)))))
+    rows = api.find_similar(spark, kept, json.dumps(e), 3)
+    assert [r["name"] for r in rows][:2] == ["T1", "T2"] and rows[0]["similarity_score"] == 1.0 and rows[1]["similarity_score"] == 0.9262 and set(rows[0]) == {"name", "similarity_score", "statement", "node_count"}
+    for bad in (("", 3), ("  ", 3), ("{}", 3), (json.dumps(e), 0), (json.dumps(e), None)):
+        with pytest.raises(ValueError):
+            api.find_similar(spark, kept, *bad)
+    with pytest.raises(ValueError):
+        search.check_request(1, None, "x" * 1001)
+    (tmp_path / "q.json").write_text(json.dumps({"input_str": "x", "your_expr": e}))
+    assert json.loads(search.load_json(str(tmp_path / "q.json"))) == e
+    assert main(["search", "--store", kept, "--expr-json", str(tmp_path / "q.json"), "-k", "2"], spark) == 0
+    assert capsys.readouterr().out.split("\n")[0].endswith("1.0000 T1: t1")
+    assert main(["search", "--store", kept, "--expr-json", str(tmp_path / "q.json"), "-k", "0"], spark) == 2
+    assert main(["evaluate", "--store", kept, "--names", "T1", "T3", "--report", str(tmp_path / "r")], spark) == 0
+    assert json.loads(capsys.readouterr().out)["recall_1"] == 1.0
+
+
+def test_batch_is_single(spark, corpus):
+    """Many targets in one job get what each gets alone."""
+    from arbolith.plans import evaluate
+
+    names = ["T1", "T3", "T5", "T6"]
+    rows = corpus.where("name <> 'T4'")  # its tree is that of T1
+    many = {(r["query"], r["name"]): r for r in search.batch_ranked(rows, rows.where(rows.name.isin(*names))).collect()}
+    reports = {r["Target Name"]: r for r in evaluate.report_many(rows, rows.where(rows.name.isin(*names))).collect()}
+    assert len(reports) == 4
+    for n in names:
+        t = search.Target.of(rows.where(f"name = '{n}'").select("name", "nodes", "node_count"))
+        alone = search.ranked(rows, t).collect()
+        assert len(alone) == sum(q == n for q, _ in many)
+        for r in alone:
+            got = many[n, r["name"]]
+            assert all(got[c] == pytest.approx(r[c]) for c in ("wl", "ted", "collapse", "jaccard", "similarity"))
+        assert reports[n].asDict() == evaluate.report(rows, t, n).first().asDict()
+    assert search.batch_cosine(rows, rows.limit(0)).count() == 0
+    few = search.batch_cosine(rows, rows, block=2, top=1).collect()
+    assert {(r["query"], r["name"]) for r in few if r["query"] in ("T1", "T3")} >= {("T1", "T1"), ("T1", "T2"), ("T3", "T3")}
+
+
+def test_pruned_search(spark, corpus):
+    from pyspark.sql import functions as F
+
+    t = search.Target.of(corpus.where("name = 'T1'").select("name", "nodes", "node_count"))
+    rows = corpus.withColumn("cluster_id", F.when(F.col("name").isin("T1", "T5"), 1).when(F.col("name") == "T2", 2))
+    one = spark.createDataFrame([(1,)], "cluster_id int")
+    assert {r["name"] for r in cluster.pruned_search(rows, t, one, top=2).collect()} == {"T1", "T5"}
+    more = {r["name"] for r in cluster.pruned_search(rows, t, one, top=10).collect()}
+    assert more == {"T1", "T5", "T2", "T3", "T4", "T7"}  # T6 is outside the clusters, and its score is 0
+    assert {r["name"] for r in cluster.samples(rows, one).collect()} == {"T1"}
+    assert cluster.sampled(rows, 3).collect() == cluster.sampled(rows.repartition(5), 3).collect()
+
+
+def test_clustering_job(spark, kept, tmp_path):
+    from arbolith import api
+
+    got = {r["name"]: r["cluster_id"] for r in api.cluster_job(spark, kept, features=20, dims=3, k=3).collect()}
+    assert set(got) == set(T) and got["T6"] is None and got["T1"] is not None and got["T1"] == got["T4"] == got["T2"]
+    e = json.dumps(lam("forallE", "a", C("Nat"), lam("forallE", "b", C("Nat"), E("", add(b(1), b(0)), add(b(0), b(1))))))
+    assert api.find_pruned(spark, kept, e, clusters=1, top=1).first()["name"] in ("T1", "T2", "T4")
+    assert store.write_clusters(spark.createDataFrame([("a", 1)], "name string, cluster_id int"), str(tmp_path / "c")).count() == 1
+
+
+def test_nearest_center_in_blocks(spark):
+    rng = random.Random(2)
+    points = [(i, [rng.random() for _ in range(4)]) for i in range(50)]
+    middles = [(i, [rng.random() for _ in range(4)]) for i in range(11)] + [(20, [0.0] * 4)]
+    rows, centers = spark.createDataFrame(points, "best long, v array<double>"), spark.createDataFrame(middles, "cluster_id long, center array<double>")
+    far = lambda a, c: sum((x - y) ** 2 for x, y in zip(a, c, strict=True))
+    for block in (4096, 3):
+        got = {r["best"]: r["nearest"] for r in cluster.nearest_center(rows, centers, "v", block).collect()}
+        assert got == {i: min(middles, key=lambda m: (round(far(p, m[1]), 9), m[0]))[0] for i, p in points}
+    near = cluster.nearest(centers, points[0][1], 3).collect()
+    assert [r["cluster_id"] for r in near] == [i for i, _ in sorted(middles, key=lambda m: far(points[0][1], m[1]))[:3]]
+
+
+def test_store_pieces(spark, kept, tmp_path, corpus):
+    both = store.joined(spark.read.parquet(f"{kept}/theorems"), spark.read.parquet(f"{kept}/wl_encodings").where("k = 3"))
+    assert both.count() == 7 and {"expr_json", "enc", "norm2"} <= set(both.columns)
+    enc = spark.createDataFrame([("a", {"x": 1}, 3), ("b", {}, 4), ("c", None, 5)], "name string, enc map<string,int>, cluster_id int")
+    assert {r["name"]: (r["enc"], r["cluster_id"]) for r in store.clean(enc).collect()} == {"a": ({"x": 1}, 3), "b": ({}, None), "c": ({}, None)}
+    assert store.ensure_column(enc, "cluster_id", "int") is enc and dict(store.ensure_column(enc, "extra", "double").dtypes)["extra"] == "double"
+    spark.sql("DROP TABLE IF EXISTS arbolith_encodings")
+    for _ in range(2):
+        store.create_table(spark, "arbolith_encodings")
+    assert spark.table("arbolith_encodings").columns == ["theorem_name", "enc", "tree_depth"]
+    spark.sql("DROP TABLE arbolith_encodings")
+    log = spark.createDataFrame([(2, json.dumps({"commandSyntaxKind": "k", "appFnName": "f\ng ", "exactStxReprint": "s", "mainGoalTypeStr": "g", "mainGoalTypeJson": {"const": 1}})), (1, '{"commandSyntaxKind":"other"}'), (3, None), (4, "no json"), (0, '{"commandSyntaxKind":"k"}')], "id long, data string")
+    assert [tuple(r) for r in store.json_log(log, "k").collect()] == [(0, None, None, None, None), (2, "f g", "s", "g", '{"const":1}')]
+    t = search.Target.of(corpus.where("name = 'T1'").select("name", "nodes", "node_count"))
+    store.export(search.search(corpus, t, 2), f"{tmp_path}/json")
+    assert set(json.loads(spark.read.text(f"{tmp_path}/json").first()[0])) == {"name", "similarity_score", "statement", "node_count"}
+    with pytest.raises(Exception):  # noqa: B017  no such driver
+        store.jdbc(spark, "jdbc:none://x", "t", driver="none").count()
+
+
+def test_limited_distance():
+    one, two, five = (["a"], [[]]), (["a", "b"], [[1], []]), (["a"] * 5, [[1, 2, 3, 4], [], [], [], []])
+    # Nodes are alike where their subtrees are, so a root whose children differ costs a change too.
+    assert compare.limited_distance(one, two) == float("inf") and compare.limited_distance(one, one) == 0 and compare.limited_distance(five, (["a"] * 4, [[1, 2, 3], [], [], []])) == 2
+    assert compare.edit_distance(five, one, unit=True) == 4
+
+
+def plain_unit(t1, t2):
+    old, compare.CHEAP = compare.CHEAP, ()
+    try:
+        from functools import cache
+
+        sub = lambda t, i: (t[0][i], tuple(sub(t, k) for k in t[1][i]))
+
+        @cache
+        def far(f, g):
+            if not f or not g:
+                return sum(1 + far(x[1], ()) if g == () else 1 + far((), x[1]) for x in f or g) if f or g else 0
+            x, y = f[-1], g[-1]
+            return min(far(f[:-1] + x[1], g) + 1, far(f, g[:-1] + y[1]) + 1, far(f[:-1], g[:-1]) + far(x[1], y[1]) + (x != y))
+
+        return far((sub(t1, 0),), (sub(t2, 0),))
+    finally:
+        compare.CHEAP = old
+
+
+@pytest.fixture(scope="module")
+def small_orders(spark, sf, tmp_path_factory):
+    """Orders of one or two lines, whose distances a plain recursion can find."""
+    path = str(tmp_path_factory.mktemp("orders"))
+    part, line, orders = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("part", "lineitem", "orders"))
+    some = orders.orderBy("o_orderkey").limit(30)
+    line.where("l_linenumber <= 1 + l_orderkey % 2").join(some.selectExpr("o_orderkey as l_orderkey"), "l_orderkey", "left_semi").write.parquet(f"{path}/lineitem.parquet")
+    some.write.parquet(f"{path}/orders.parquet")
+    part.write.parquet(f"{path}/part.parquet")
+    return path
+
+
+def test_distance_queries(spark, small_orders):
+    """tree_edit_distance, legacy_edit_distance, composite_full and search_e2e against plain recursions over the same trees."""
+    rows = {r["name"]: r for r in registry.encoded(spark, small_orders).collect()}
+    tree = lambda r: ([n["label"] for n in r["nodes"]], [list(n["children"]) for n in r["nodes"]])
+    first = rows[min(rows)]
+    t = tree(first)
+    ask = lambda q, c: {r["name"]: r[c] for r in registry.queries()[q](spark, small_orders).collect()}
+    ted = ask("tree_edit_distance", "ted")
+    assert set(ted) == set(rows) and all(v == pytest.approx(plain_distance(t, tree(rows[n]))) for n, v in ted.items())
+    for n, v in ask("legacy_edit_distance", "distance").items():
+        a, c = len(t[0]), len(rows[n]["nodes"])
+        assert v == (float("inf") if max(a, c) / min(a, c) > 1.5 else plain_unit(t, tree(rows[n])))
+
+    def full(r):
+        dot = sum(v * r["enc"].get(k, 0) for k, v in first["enc"].items())
+        cos = dot / ((first["norm2"] ** 0.5) * (r["norm2"] ** 0.5))
+        names = lambda x: {m[1] for l in tree(x)[0] if (m := __import__("re").match(r"Const\((\w+)", l)) and "inst" not in m[1]}  # noqa: E731, E741
+        both, either = names(first) & names(r), names(first) | names(r)
+        return 0.15 * cos + 0.4 * (1 - ted[r["name"]] / max(len(t[0]), len(r["nodes"]))) + 0.3 * compare.collapse_score(t, tree(r)) + 0.15 * len(both) / len(either)
+
+    want = {n: full(r) for n, r in rows.items()}
+    got = ask("composite_full", "similarity")
+    assert set(got) == set(want) and all(v == pytest.approx(want[n]) for n, v in got.items())
+    best = [r["name"] for r in registry.queries()["search_e2e"](spark, small_orders).collect()]
+    assert best == [n for n, _ in sorted(want.items(), key=lambda x: (-round(x[1], 12), x[0]))][:20]
