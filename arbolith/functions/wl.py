@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .wl_batch import NAMED, histograms
 
-def initial(label: Column, depth: Column) -> Column:
-    kind = F.regexp_extract(label, r"^(Const|FVar|BVar|MVar|Sort)\(", 1)
-    return F.concat(F.when(kind != "", kind).otherwise(label), F.lit("_d"), depth.cast("string"))
+
+def initial(kind: Column, label: Column, depth: Column) -> Column:
+    return F.concat(F.when(kind.isin(*NAMED), kind).otherwise(label), F.lit("_d"), depth.cast("string"))
 
 
 def initial_labels(nodes: Column) -> Column:
-    return F.transform(nodes, lambda n: initial(n["label"], n["depth"]))
+    return F.transform(nodes, lambda n: initial(n["kind"], n["label"], n["depth"]))
 
 
 def let(value: Column, body) -> Column:
@@ -25,23 +27,36 @@ def next_labels(nodes: Column, labels: Column) -> Column:
 
     def one(n: Column, i: Column) -> Column:
         below = F.array_join(F.sort_array(F.transform(n["children"], lambda c: F.get(labels, c))), ",")
-        return F.md5(F.concat(F.get(labels, i), F.when(F.size(n["children"]) == 0, "").otherwise(F.concat(F.lit("("), below, F.lit(")")))))
+        own = F.get(labels, i)
+        return F.md5(F.when(F.size(n["children"]) == 0, own).otherwise(F.concat(own, F.lit("("), below, F.lit(")"))))
 
     return F.transform(nodes, one)
 
 
+#: Labels up to which they are counted by looking each one up, which has less overhead for few than going through runs.
+FEW = 128
+
+
 def counted(labels: Column, prefix: str = "") -> Column:
-    """Entries (label with prefix, count) of an array, from the runs of the sorted labels: a sort and two passes."""
+    """Entries (label with prefix, count) of an array, from the sorted labels: the places where each label begins."""
+
+    def entries(s: Column, d: Column, at: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(at, k + 1), F.size(s) + 1)
+        return F.transform(d, lambda x, k: F.struct(F.concat(F.lit(prefix), x).alias("key"), (end(k) - F.get(at, k)).cast("int").alias("value")))
 
-    def runs(s: Column) -> Column:
-        last = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i) != F.get(s, i - 1)))
-        return let(last, lambda at: F.transform(at, lambda i, k: F.struct(F.concat(F.lit(prefix), F.get(s, i - 1)).alias("key"), (i - F.coalesce(F.get(at, k - 1), F.lit(0))).alias("value"))))
+    def few(s: Column) -> Column:
+        return let(F.array_distinct(s), lambda d: let(F.transform(d, lambda x: F.array_position(s, x)), lambda at: entries(s, d, at)))
 
-    return F.when(F.size(labels) > 0, let(F.sort_array(labels), runs)).otherwise(F.expr("cast(array() as array<struct<key:string,value:int>>)"))
+    def many(s: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(1).cast("bigint"), F.size(s).cast("bigint")), lambda i: (i == 1) | (F.get(s, i.cast("int") - 1) != F.get(s, i.cast("int") - 2)))
+        return let(F.array_distinct(s), lambda d: let(first, lambda at: entries(s, d, at)))
+
+    none = F.expr("cast(array() as array<struct<key:string,value:int>>)")
+    return let(F.sort_array(labels), lambda s: F.when(F.size(s) == 0, none).when(F.size(s) <= FEW, few(s)).otherwise(many(s)))
 
 
 def depth_of(nodes: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(nodes, lambda n: n["depth"])), F.lit(0))
+    return F.coalesce(F.array_max(nodes["depth"]), F.lit(0))
 
 
 def histogram(nodes: Column, rounds: int) -> Column:
@@ -57,8 +72,13 @@ def histogram(nodes: Column, rounds: int) -> Column:
 
 
 def encode(trees: DataFrame, rounds: int = 3, nodes: str = "nodes") -> DataFrame:
-    """Add enc (map feature -> count), norm2 and tree_depth. Row-local: no shuffle."""
-    out = trees.withColumn("tree_depth", depth_of(F.col(nodes))).withColumn("enc", F.map_from_entries(histogram(F.col(nodes), rounds)))
+    """Add enc (map feature -> count), norm2 and tree_depth. Row-local: no shuffle. Equal to histogram(), in Arrow batches."""
+
+    @F.arrow_udf("map<string,int>")
+    def enc(batch: pa.Array) -> pa.Array:
+        return histograms(batch, rounds)
+
+    out = trees.withColumn("tree_depth", depth_of(F.col(nodes))).withColumn("enc", enc(F.col(nodes)))
     return out.withColumn("norm2", F.aggregate(F.map_values("enc"), F.lit(0).cast("bigint"), lambda s, v: s + v.cast("bigint") * v))
 
 

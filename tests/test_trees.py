@@ -67,6 +67,29 @@ def test_pairs(corpus, name):
             assert [round(r[k], 6) for k in ("wl", "ted", "collapse", "jaccard", "similarity")] == [cos, ted, collapse, jac, full], (a, b)
 
 
+def test_batch_histograms(spark):
+    """The Arrow encoder equals the Column functions on random trees, wide and deep ones, and null."""
+    from pyspark.sql import functions as F
+
+    from arbolith.functions import wl
+
+    rng = random.Random(3)
+    rows = [(-1, None)]
+    for i in range(120):
+        labels, kids = random_tree(rng, rng.choice([1, 2, 5, 30, 150]))
+        if i % 10 == 0:
+            labels, kids = ["Doc", *[f"Lit({rng.randrange(9)})" for _ in range(300)]], [list(range(1, 301)), *[[] for _ in range(300)]]
+        depth = [0] * len(labels)
+        for k, ks in enumerate(kids):
+            for c in ks:
+                depth[c] = depth[k] + 1
+        rows.append((i, [(x.split("(")[0], x, depth[k], 0, kids[k]) for k, x in enumerate(labels)]))
+    df = spark.createDataFrame(rows, "id long, nodes array<struct<kind:string,label:string,depth:int,parent:int,children:array<int>>>").repartition(3)
+    got = wl.encode(df, 3).withColumn("plain", F.map_from_entries(wl.histogram(F.col("nodes"), 3))).select("id", "enc", "plain", "tree_depth").collect()
+    assert len(got) == 121 and all(r["enc"] == r["plain"] for r in got if r["id"] >= 0) and [r["enc"] for r in got if r["id"] < 0] == [None]
+    assert wl.encode(df.limit(0)).count() == 0
+
+
 def test_search(corpus):
     t = search.Target.of(corpus.where("name = 'T1'").select("name", "nodes", "node_count"))
     rows = search.search(corpus, t, 3).collect()
