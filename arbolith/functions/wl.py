@@ -72,13 +72,14 @@ def histogram(nodes: Column, rounds: int) -> Column:
 
 
 def encode(trees: DataFrame, rounds: int = 3, nodes: str = "nodes") -> DataFrame:
-    """Add enc (map feature -> count), norm2 and tree_depth. Row-local: no shuffle. Equal to histogram(), in Arrow batches."""
+    """Add enc (map feature -> count), norm2 and tree_depth. Row-local: no shuffle. Equal to histogram(), in Arrow batches.
+    Each tree is encoded once, whatever reads enc; so filters aren't moved before it, and belong there."""
 
     @F.arrow_udf("map<string,int>")
     def enc(batch: pa.Array) -> pa.Array:
         return histograms(batch, rounds)
 
-    out = trees.withColumn("tree_depth", depth_of(F.col(nodes))).withColumn("enc", enc(F.col(nodes)))
+    out = trees.withColumn("tree_depth", depth_of(F.col(nodes))).withColumn("enc", enc.asNondeterministic()(F.col(nodes)))
     return out.withColumn("norm2", F.aggregate(F.map_values("enc"), F.lit(0).cast("bigint"), lambda s, v: s + v.cast("bigint") * v))
 
 
