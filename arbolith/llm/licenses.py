@@ -2,7 +2,9 @@
 
 A text's words are aligned with each template: words that occur once on either side are anchors, the longest increasing
 run of them is kept, and the gaps between them are aligned the same way; a gap without anchors gets its longest common
-subsequence. Coverage is the share of the template's words that were aligned. Null and empty texts match nothing.
+subsequence. Coverage is the share of the template's words that were aligned. Null and empty texts match nothing. Every row
+gives one row, rows that repeat an id and rows with a null id too; of regions of equal coverage the first counts, of
+templates of equal coverage the longest is the best. Other columns stay out. An empty table gives no rows.
 """
 
 from __future__ import annotations

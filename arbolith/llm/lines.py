@@ -3,7 +3,8 @@
 A line is boilerplate on a host when the share of the host's pages that hold it exceeds a ratio. Lines are compared
 without blanks at their ends; lines of blanks only stay. A page counts once for a line however often it repeats it.
 Lines are known by a 64-bit hash: only a clash with one of a host's few boilerplate lines could drop a wrong line.
-Null text counts as empty, a null host as a host of its own. A page whose lines all go keeps its row, with empty text.
+Null text counts as empty, a null host as a host of its own. A page whose lines all go keeps its row, with empty text. Rows
+that repeat count as pages of their own; a line just at the ratio stays. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 No piece of the vocabulary has a white-space marker after another character, so merges never cross the start of a run
 of markers. A text is cut there, each distinct chunk is segmented once in a task, and ids are joined back by position.
-Null and empty texts have no ids. Every row gives one row.
+Null and empty texts have no ids. Every row gives one row, rows that repeat an id and rows with a null id too; an empty table
+gives none. Other columns stay out.
 """
 
 from __future__ import annotations

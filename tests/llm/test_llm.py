@@ -795,6 +795,43 @@ def test_attention_model():
         assert abs(whole[0] - plain) < 2e-3
 
 
+def test_long_texts(spark, sf):
+    """A text of over a megabyte beside short ones, through every operator of documents."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    rng = np.random.default_rng(21)
+    words_ = leaks_text(rng, 160_000)
+    words_[100_000:100_000] = licenses.TEMPLATES["MIT"].split() + ["password=abcdefghijkl12"]
+    long = "\n".join(" ".join(words_[i : i + 25]) for i in range(0, len(words_), 25))
+    assert len(long) > 1_000_000
+    rows_ = [(1, long, "h"), (2, long + " tail", "h"), (3, "short text", "h"), (4, long, None)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string").repartition(2)
+    of = lambda out: {r["doc_id"]: r for r in out.collect()}
+    assert of(licenses.scan_licenses(df))[1]["best_license"] == "MIT" and of(secrets.scan_secrets(df))[1]["n_assign"] == 1
+    sp = sentencepiece.SentencePieceProcessor(model_file=tokenizer("piece_bpe_32k.model"))
+    assert of(pieces.encode_pieces(df, tokenizer("piece_bpe_32k.model")))[1]["ids_sha256"] == sha(",".join(map(str, sp.encode(long))))
+    ids = [*Tokenizer.from_file(tokenizer("word_bpe_49k.json")).encode(long, add_special_tokens=False).ids, 2]
+    assert of(packing.read_documents(packing.pack_documents(df, tokenizer("word_bpe_49k.json"), 2)))[1]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+    scored = of(attention.score_documents(df))
+    assert scored[1]["n_tokens"] == len(long.split()) + 1 and scored[1]["score"] == pytest.approx(scored[4]["score"], rel=1e-3)
+    assert {d: r["class_id"] for d, r in of(jaccard.jaccard_classes(df)).items()} == {1: 1, 2: 1, 3: 3, 4: 1}
+    assert of(lines.line_dedup(df))[1]["text"] == long
+    assert of(quality.quality_rules(df, spark.read.parquet(f"{sf}/labels.parquet")))[1]["n_words"] == len(long.split())
+    bench = spark.createDataFrame([(0, " ".join(words_[150_000:150_030]))], "item_id long, text string")
+    assert {d for d, r in of(leaks.find_leaks(df, bench)).items() if r["contaminated"]} == {1, 2, 4}
+
+
+def test_conflicting_labels(spark, sf):
+    """Labels of one id count as their mean, at a tie as the lower class, in whatever order they come."""
+    docs_, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    tie = labels.unionByName(labels.selectExpr("doc_id", *[f"1 - {c} AS {c}" if c == "quality" else c for c in labels.columns if c != "doc_id"]))
+    assert quality.train(docs_, tie) is None  # all are of the lower class
+    most = tie.unionByName(labels)
+    one, two = quality.train(docs_, most), quality.train(docs_, most.orderBy("quality").repartition(7))
+    assert (one.value == two.value).all() and (one.value == quality.train(docs_, labels).value).all()
+
+
 def test_empty(spark, sf):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
