@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention, jaccard, leaks, licenses, lines, packing, pieces, quality, quotes, secrets
+from . import attention, jaccard, leaks, licenses, lines, packing, pieces, quality, quotes, runs, secrets
 from .files import tokenizer
 
 
@@ -54,6 +54,10 @@ def op10_quotation_linking(spark, sf_dir):
     return quotes.link_quotes(_read(spark, sf_dir, "conversations"))
 
 
+def op11_periodic_runs(spark, sf_dir):
+    return runs.periodic_runs(_read(spark, sf_dir, "documents"), rewrite=runs.repeat_tail)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
