@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention, jaccard, leaks, licenses, lines, packing, pieces, quality, quotes, runs, secrets
+from . import attention, jaccard, leaks, licenses, lines, packing, phrases, pieces, quality, quotes, runs, secrets
 from .files import tokenizer
 
 
@@ -58,9 +58,13 @@ def op11_periodic_runs(spark, sf_dir):
     return runs.periodic_runs(_read(spark, sf_dir, "documents"), rewrite=runs.repeat_tail)
 
 
+def op12_phrase_mining(spark, sf_dir):
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": lines.LINE_DEDUP_SQL}
+    return {"op8_line_dedup": lines.LINE_DEDUP_SQL, "op12_phrase_mining": phrases.COLLOCATIONS_SQL}
