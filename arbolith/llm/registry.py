@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attention, jaccard, leaks, licenses, lines, packing, phrases, pieces, quality, quotes, runs, secrets
+from . import attention, jaccard, leaks, licenses, lines, packing, phrases, pieces, quality, quotes, runs, secrets, toxicity
 from .files import tokenizer
 
 
@@ -62,6 +62,10 @@ def op12_phrase_mining(spark, sf_dir):
     return phrases.collocations(_read(spark, sf_dir, "documents"))
 
 
+def op13_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
