@@ -55,12 +55,16 @@ def tokens(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
-def disguised(text: str, words: Iterable[str]) -> list[str]:
-    """Words as they read once letters written as digits or apart are put right."""
-    odd = [w for w in words if not w.isalpha() and not w.isdigit()]
-    if "$" in text or "@" in text:
-        odd += [w for w in re.findall(r"[\w$@]{4,}", text.lower()) if "$" in w or "@" in w]
-    return [w.translate(table) for w in odd for table in LEET] + [re.sub(r"[ .*-]", "", m).lower() for m in SPACED.findall(text)]
+def plain(word: str) -> list[str]:
+    """A word as it reads once letters written as digits or signs are put right; nothing if it has none, or only such."""
+    return [] if word.isalpha() or word.isdigit() else [word.translate(table) for table in LEET]
+
+
+def disguised(text: str) -> bool:
+    """Whether an insult is written with signs as letters, or letter by letter."""
+    signs = re.findall(r"[\w$@]{4,}", text.lower()) if "$" in text or "@" in text else []
+    apart = (re.sub(r"[ .*-]", "", m).lower() for m in SPACED.findall(text))
+    return any(p in INSULTS for w in signs if "$" in w or "@" in w for p in plain(w)) or any(i in m for m in apart for i in INSULTS)
 
 
 class Lexicon:
@@ -70,34 +74,44 @@ class Lexicon:
         self.entries = [*sorted(INSULTS), *found]
         self.index = {e: i for i, e in enumerate(self.entries)}
         self.rates = np.full(len(self.entries), 1e-6) if rates is None else rates
+        self.heads = {e.rstrip("*")[:SHORTEST] for e in self.entries}
         self.lengths = sorted({len(e) - 1 for e in self.entries if e[-1] == "*"})
         fixed, groups = len(INSULTS), int(np.clip(len(found) // 4, 3, GROUPS))
         self.group = np.array([i % 2 if i < fixed else 2 + (i - fixed) % groups for i in range(len(self.entries))])
         #: Two halves of the list, groups of found entries, disguises, shouting, exclamations; the last one votes clean.
         self.voters = 2 + groups + 4
         self.width = len(self.entries) + 6
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def of(self, word: str) -> tuple[int, ...]:
-        """The entries that a word is or begins with."""
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            get = self.index.get
-            got = tuple(i for i in (get(word), *[get(word[:k] + "*") for k in self.lengths if k <= len(word)]) if i is not None)
-            self.known[word] = got
-        return got
+        self.known: dict[str, tuple[tuple[int, ...], bool, bool] | None] = {}
+
+    def _learn(self, word: str) -> tuple[tuple[int, ...], bool, bool] | None:
+        """Of a word: the entries that it is or begins with, whether it is an insult in disguise, whether it is one letter. None if
+        nothing of this."""
+        get = self.index.get
+        got = tuple(i for i in (get(word), *[get(word[:k] + "*") for k in self.lengths if k <= len(word)]) if i is not None)
+        hidden = any(p in INSULTS for p in plain(word))
+        return (got, hidden, len(word) == 1) if got or hidden or len(word) == 1 else None
 
     def counts(self, text: str) -> tuple[dict[int, int], int, bool]:
         """Counts of entries, number of words, and whether a disguised word is an insult of the list."""
-        words = tokens(text)
-        hits: Counter[int] = Counter()
-        for got in map(self.of, words):
-            if got:
-                hits.update(got)
-        hidden = [w for w in disguised(text, words) if w in INSULTS]
-        return dict(hits), len(words), bool(hidden)
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        words = Counter(tokens(text))
+        heads = self.heads
+        for w in words:
+            if w not in known:
+                known[w] = self._learn(w) if w[:SHORTEST] in heads or len(w) == 1 or not w.isalpha() else None
+        hits: dict[int, int] = {}
+        hidden, single = False, 0
+        for (_, n), of in zip(words.items(), map(known.__getitem__, words), strict=True):
+            if of:
+                for i in of[0]:
+                    hits[i] = hits.get(i, 0) + n
+                hidden |= of[1]
+                single += of[2] * n
+        if single >= 4 or "$" in text or "@" in text:
+            hidden |= disguised(text)
+        return hits, words.total(), hidden
 
     def features(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Weighed counts (evidence against chance of each entry, their sum and largest, and signs of the whole text), and votes:
@@ -113,8 +127,9 @@ class Lexicon:
             x[at] = np.minimum(s, 8.0) / 8.0
             x[e], x[e + 1] = min(s[s >= FOUND].sum(), 40.0) / 40.0, min(s.max(), 12.0) / 12.0
             votes[self.group[at[s >= FOUND]]] = 1
-        letters = sum(map(str.isalpha, text[:20_000])) or 1
-        upper, marks = sum(map(str.isupper, text[:20_000])) / letters, text.count("!")
+        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)  # A-Z and a-z stand for all letters
+        large = int(np.count_nonzero((raw >= 65) & (raw <= 90)))
+        upper, marks = large / max(1, large + int(np.count_nonzero((raw >= 97) & (raw <= 122)))), text.count("!")
         x[e + 2], x[e + 3], x[e + 4], x[e + 5] = hidden, upper, min(marks / max(n, 1), 1.0), 1.0
         v = self.voters
         votes[v - 4], votes[v - 3], votes[v - 2] = hidden, n >= 5 and upper > 0.5, marks > 3 and marks > n / 20
