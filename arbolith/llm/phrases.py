@@ -84,9 +84,12 @@ class Buckets:
         self.bits, self.counts = bits, np.zeros(1 << bits, np.uint8)
 
     def add(self, hashes: np.ndarray) -> None:
-        at, n = np.unique(hashes >> np.uint64(64 - self.bits), return_counts=True)
-        at = at.astype(np.int64)
-        self.counts[at] = np.minimum(self.counts[at] + n, 255).astype(np.uint8)
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        if len(self.counts) <= 8 * len(at):  # counting all buckets takes less than sorting
+            self.counts = np.minimum(np.bincount(at, minlength=len(self.counts)) + self.counts, 255).astype(np.uint8)
+        else:
+            at, n = np.unique(at, return_counts=True)
+            self.counts[at] = np.minimum(self.counts[at] + n, 255).astype(np.uint8)
 
     def rows(self, task: int) -> Iterator[dict]:
         for k, slab in enumerate(self.counts.reshape(-1, min(SLAB, len(self.counts)))):
@@ -134,6 +137,19 @@ def bitmap(parts: DataFrame, bits: int, least: int) -> Bitmap:
     return Bitmap(bits, packed)
 
 
+class Numbers(dict):
+    """Words numbered in the order in which they are first looked up."""
+
+    def __init__(self, known: dict[bytes, int]):
+        super().__init__(known)
+        self.words = [b""] * len(known)
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self.words)
+        self.words.append(word)
+        return n
+
+
 class Scan:
     """One task's work of pass k over the texts of one language."""
 
@@ -144,21 +160,20 @@ class Scan:
         self._renew()
 
     def _renew(self) -> None:
-        self.numbers: dict[bytes, int] = {END: 0}
-        self.words, self.hashes, self.counts = [b""], np.zeros(1, np.uint64), np.zeros(1, np.int64)
+        self.numbers = Numbers({END: 0})
+        self.words, self.hashes, self.counts = self.numbers.words, np.zeros(1, np.uint64), np.zeros(1, np.int64)
+        self.live = np.zeros(1, np.int64)  # a word's own number, or 0: one that isn't frequent ends a piece
 
     def add(self, text: bytes) -> None:
         found = cut(text)
-        numbers = self.numbers
-        new = [w for w in dict.fromkeys(found) if w not in numbers]
+        ids = np.fromiter(map(self.numbers.__getitem__, found), np.int64, len(found))
+        new = self.words[len(self.live) :]
         if new:
             h = np.fromiter(map(self.hash.word, new), np.uint64, len(new))
-            keep = self.frequent.has(h) if self.frequent else np.ones(len(new), bool)
-            at = np.where(keep, len(self.words) + np.cumsum(keep) - 1, 0)  # a word that isn't frequent ends a piece
-            numbers.update(zip(new, at.tolist(), strict=True))
-            self.words += [w for w, ok in zip(new, keep.tolist(), strict=True) if ok]
-            self.hashes = np.concatenate([self.hashes, h[keep]])
-        self.held.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
+            at = np.arange(len(self.live), len(self.words))
+            self.live = np.concatenate([self.live, np.where(self.frequent.has(h), at, 0) if self.frequent else at])
+            self.hashes = np.concatenate([self.hashes, h])
+        self.held.append(self.live[ids])
         self.held.append(np.zeros(1, np.int64))
         self.size += len(found) + 1
 
