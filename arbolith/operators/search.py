@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions import wl
-from . import compare, expr
+from . import compare, expr, topk
 
 NODE = StructType([StructField("kind", StringType()), StructField("label", StringType()), StructField("depth", IntegerType()), StructField("parent", IntegerType()), StructField("children", ArrayType(IntegerType()))])
 #: Targets of more unsimplified nodes than this are ranked without edit distance; from LARGE nodes on the range is wider.
@@ -160,83 +155,19 @@ def search(corpus: DataFrame, target: Target, k: int = 20, node_ratio: float | N
     return best.where("statement_str IS NOT NULL AND node_count IS NOT NULL").select("name", F.col("similarity").alias("similarity_score"), F.col("statement_str").alias("statement"), "node_count")
 
 
-class Queries:
-    """Histograms of some queries, as postings by feature."""
-
-    def __init__(self, rows: list, ratio: float | None, diff: float):
-        self.names = pa.array([r["name"] for r in rows], pa.string())
-        self.norm = np.sqrt(np.array([r["norm2"] for r in rows], float))
-        at = [bounds(r["simp_node_count"], ratio or auto_ratio(r["node_count"]), diff) for r in rows]
-        self.low, self.high = np.array(at, float).reshape(-1, 2).T
-        features = sorted({f for r in rows for f in r["enc"]})
-        place = {f: i for i, f in enumerate(features)}
-        feature = np.array([place[f] for r in rows for f in r["enc"]], np.int64)
-        order = np.argsort(feature, kind="stable")
-        self.query = np.repeat(np.arange(len(rows)), [len(r["enc"]) for r in rows])[order]
-        self.count = np.array([n for r in rows for n in r["enc"].values()], float)[order]
-        self.begins = np.searchsorted(feature[order], np.arange(len(features) + 1))
-        self.features = pa.array(features, pa.string())
-
-    def scored(self, batch: pa.RecordBatch, least: float, top: int | None, cells: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-        """(query, name, wl) of the rows in range whose cosine is above `least`; of a chunk, the `top` of a query and their equals."""
-        wide = len(self.names)
-        step = max(1, cells // wide)
-        for lo in range(0, batch.num_rows, step):
-            part = batch.slice(lo, step)
-            keys, values = part.column("keys"), part.column("values")
-            size = pa.compute.list_value_length(keys).fill_null(0).to_numpy()
-            row = np.repeat(np.arange(part.num_rows), size)
-            feature = pa.compute.index_in(pa.compute.list_flatten(keys), self.features).fill_null(-1).to_numpy(zero_copy_only=False)
-            counts = pa.compute.list_flatten(values).to_numpy(zero_copy_only=False)
-            row, counts, feature = row[feature >= 0], counts[feature >= 0], feature[feature >= 0]
-            k = self.begins[feature + 1] - self.begins[feature]
-            at = np.repeat(self.begins[feature] - np.cumsum(k) + k, k) + np.arange(k.sum())
-            dots = np.bincount(np.repeat(row, k) * wide + self.query[at], np.repeat(counts, k) * self.count[at], part.num_rows * wide).reshape(-1, wide)
-            norm, n = np.sqrt(part.column("norm2").to_numpy().astype(float)), part.column("simp_node_count").to_numpy()[:, None]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                wl_ = np.where(dots > 0, np.clip(dots / (norm[:, None] * self.norm), 0.0, 1.0), 0.0)
-            fit = (n >= self.low) & (n <= self.high) & (wl_ > least)
-            if top and part.num_rows > top:
-                wl_ = np.where(fit, wl_, -1.0)
-                fit &= wl_ >= np.partition(wl_, -top, axis=0)[-top] - 1e-8
-            i, q = np.nonzero(fit)
-            yield pa.RecordBatch.from_pydict({"query": self.names.take(pa.array(q)), "name": part.column("name").take(pa.array(i)), "wl": pa.array(wl_[i, q])})
-
-
-def batch_cosine(corpus: DataFrame, queries: DataFrame, ratio: float | None = None, diff: float = 25, least: float = 0.0, top: int | None = None, block: int = 2048) -> DataFrame:
-    """(query, name, wl) for many queries (columns name, simp_node_count, node_count, norm2, enc) against a whole corpus.
-
-    Queries go out in blocks of `block`; each row of the corpus is scored against a whole block at once, without a shuffle.
-    Pairs whose cosine isn't above `least` are left out. With `top`, tasks keep the best so many of each query, and their
-    equals, of each chunk of rows; the cut over all of them is the caller's.
-    """
-    rows = corpus.select("name", "simp_node_count", "norm2", F.map_keys("enc").alias("keys"), F.map_values("enc").alias("values"))
-    parts, held = [], []
-
-    def part(rows_of: list) -> DataFrame:
-        q = Queries(rows_of, ratio, diff)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield from q.scored(batch, least, top)
-
-        return rows.mapInArrow(run, "query string, name string, wl double")
-
-    for r in queries.select("name", "simp_node_count", "node_count", "norm2", "enc").toLocalIterator():
-        held.append(r)
-        if len(held) == block:
-            parts.append(part(held))
-            held = []
-    if held or not parts:
-        parts.append(part(held)) if held else parts.append(rows.sparkSession.createDataFrame([], "query string, name string, wl double"))
-    return reduce(DataFrame.unionByName, parts)
+def batch_cosine(corpus: DataFrame, queries: DataFrame, ratio: float | None = None, diff: float = 25, top: int | None = None, zeros: bool = False, **how) -> DataFrame:
+    """(query, name, wl) for many queries (columns name, simp_node_count, node_count, norm2, enc) against a whole corpus: pairs in
+    range that share a feature. With `top`, the best so many rows of each query and their equals are among them, and rows that no
+    bound could rule out; the cut over all of them is the caller's. With `zeros`, queries of fewer pairs get rows that share nothing."""
+    ranges = topk.window(F.col("simp_node_count"), F.col("node_count"), ratio, diff, LARGE, (1.2, 1.8))
+    return topk.topk_join(corpus, queries, top, ranges, zeros, **how).where("query IS NOT NULL").drop("scored")
 
 
 def batch_ranked(corpus: DataFrame, queries: DataFrame, top: int = 1500, ratio: float | None = None) -> DataFrame:
     """The whole cascade for many queries in one job: query, name, wl, ted (null for long queries), collapse, jaccard, similarity
     of each query's `top` rows by cosine (ties by name). Corpus and queries need nodes too."""
     tree = lambda p: [F.expr("transform(nodes, n -> n.label)").alias(f"{p}labels"), F.expr("transform(nodes, n -> n.children)").alias(f"{p}kids"), wl.const_names(F.col("nodes")).alias(f"{p}names"), F.col("simp_node_count").alias(f"{p}size")]
-    pairs = batch_cosine(corpus, queries, ratio, least=-1.0, top=top)
+    pairs = batch_cosine(corpus, queries, ratio, top=top, zeros=True)
     near = pairs.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("wl"), "name"))).where(F.col("place") <= top).drop("place")
     both = near.join(corpus.select("name", *tree("")), "name").join(queries.select(F.col("name").alias("query"), (F.col("node_count") <= EDIT_LIMIT).alias("edit"), *tree("q")), "query")
 

@@ -287,7 +287,7 @@ def test_batch_is_single(spark, corpus):
             assert all(got[c] == pytest.approx(r[c]) for c in ("wl", "ted", "collapse", "jaccard", "similarity"))
         assert reports[n].asDict() == evaluate.report(rows, t, n).first().asDict()
     assert search.batch_cosine(rows, rows.limit(0)).count() == 0
-    few = search.batch_cosine(rows, rows, block=2, top=1).collect()
+    few = search.batch_cosine(rows, rows, block=2, top=1, rows=3).collect()
     assert {(r["query"], r["name"]) for r in few if r["query"] in ("T1", "T3")} >= {("T1", "T1"), ("T1", "T2"), ("T3", "T3")}
 
 
