@@ -21,23 +21,25 @@ def build(spark: SparkSession, theorems: DataFrame, path: str, k: int = 3) -> di
 def find_similar(spark: SparkSession, path: str, expr_json: str, k: int = 20, node_ratio: float | None = None) -> list[dict]:
     """The k theorems most similar to an expression, which is given as JSON: name, similarity_score to four decimals, statement,
     node_count. ValueError for a request out of bounds or an expression that can't be read."""
-    search.check_request(k, node_ratio)
-    if not expr_json or not expr_json.strip():
-        raise ValueError("the expression is empty")
+    search.check_request(k, node_ratio, expr_json or "")
     rows = search.search(spark.read.parquet(f"{path}/search"), search.Target.from_json(spark, expr_json), k, node_ratio)
     return [{**r.asDict(), "similarity_score": round(r["similarity_score"], 4)} for r in rows.collect()]
 
 
 def cluster_job(spark: SparkSession, path: str, features: int = 5000, dims: int = 200, k: int = 2000) -> DataFrame:
-    """Cluster the search table; the model and the ids are kept."""
-    return cluster.job(spark.read.parquet(f"{path}/search"), f"{path}/clustering", features, dims, k)
+    """Cluster the search table; the model, the ids and the table by clusters are kept."""
+    table = spark.read.parquet(f"{path}/search")
+    ids = cluster.job(table, f"{path}/clustering", features, dims, k)
+    cluster.write_partitioned(store.with_clusters(table, ids), f"{path}/clustering/lists")
+    return ids
 
 
 def find_pruned(spark: SparkSession, path: str, expr_json: str, clusters: int = 5500, top: int = 1500) -> DataFrame:
-    """Stage one over the clusters nearest to an expression, topped up by a sample."""
+    """Stage one over the clusters nearest to an expression, topped up by a sample. Only the chosen clusters' files are read, others
+    for the sample alone."""
     target = search.Target.from_json(spark, expr_json)
-    corpus = store.with_clusters(spark.read.parquet(f"{path}/search"), spark.read.parquet(f"{path}/clustering/clusters"))
-    return cluster.pruned_search(corpus, target, cluster.choose(spark, f"{path}/clustering", target, clusters), top)
+    ids = cluster.choose(cluster.load(spark, f"{path}/clustering"), target, clusters)
+    return cluster.partitioned_search(spark.read.parquet(f"{path}/clustering/lists"), target, ids, top)
 
 
 def evaluate_names(spark: SparkSession, path: str, names: list[str], report: str, top: int = 1500) -> dict[str, float]:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import search
+from ..sources.shared import written
+from . import reduce, search, topk
 
 #: The numerator of the inverse frequency, and the frequency above which a feature has one; others weigh 1.
 NUMERATOR, RARE = 330_000, 5
@@ -35,19 +35,31 @@ def vector_entries(enc: DataFrame, features: DataFrame) -> DataFrame:
     return enc.select("name", F.explode("enc").alias("feature", "cnt")).join(features, "feature").select("name", "idx", (F.col("cnt") * F.col("weight")).alias("value"))
 
 
-def vectors(entries: DataFrame, size: int) -> DataFrame:
-    """Dense vectors, for the size of a feature map."""
-    own = entries.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("idx", "value"))).alias("m"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return own.select("name", array_to_vector(dense).alias("vector"))
+@dataclass
+class Model:
+    """Feature map (feature, df, idx, weight), principal components of weighed counts, and centres in their space."""
+
+    features: DataFrame
+    components: reduce.Components
+    centers: np.ndarray
 
+    def reduced(self, enc: DataFrame) -> DataFrame:
+        """(name, reduced) of encodings (name, enc); those without a known feature are left out."""
+        return self.components.apply(reduce.sparse(vector_entries(enc, self.features)))
 
-def fit(vecs: DataFrame, dims: int = 200, k: int = 2000, seed: int = 42) -> PipelineModel:
-    return Pipeline(stages=[PCA(k=dims, inputCol="vector", outputCol="reduced"), KMeans(k=k, seed=seed, featuresCol="reduced", predictionCol="cluster_id")]).fit(vecs)
+    def assign(self, enc: DataFrame) -> DataFrame:
+        """(name, cluster_id) by the nearest centre."""
+        return reduce.assigned(self.reduced(enc), self.centers).select("name", "cluster_id")
 
 
-def assign(model: PipelineModel, vecs: DataFrame) -> DataFrame:
-    return model.transform(vecs).select("name", "cluster_id")
+def fit(enc: DataFrame, features: int = 5000, dims: int = 200, k: int = 2000, seed: int = 42) -> tuple[Model, DataFrame]:
+    """Feature map, randomised components and mini-batch k-means of encodings; and the reduced vectors, written."""
+    chosen = written(feature_map(document_frequency(enc), features), "features")
+    rows = written(reduce.sparse(vector_entries(enc, chosen)), "sparse")
+    size = chosen.count()
+    parts = reduce.components(rows, max(1, size), min(dims, max(1, size)), seed=seed)
+    low = written(parts.apply(rows), "reduced")
+    return Model(chosen, parts, reduce.mini_batch_means(low, k, seed=seed)), low
 
 
 def cluster_counts(rows: DataFrame, by: str = "cluster_id") -> DataFrame:
@@ -115,44 +127,62 @@ def samples(corpus: DataFrame, clusters: DataFrame) -> DataFrame:
     return pruned(corpus, clusters).groupBy("cluster_id").agg(F.min("name").alias("name"))
 
 
-def save(model: PipelineModel, features: DataFrame, path: str) -> None:
-    """Keep the fitted PCA and k-means, and the feature map with its weights."""
-    model.write().overwrite().save(f"{path}/model")
-    features.write.mode("overwrite").parquet(f"{path}/features")
+def save(model: Model, path: str) -> None:
+    """Keep the feature map with its weights, the components and the centres."""
+    spark = model.features.sparkSession
+    model.features.write.mode("overwrite").parquet(f"{path}/features")
+    model.components.save(spark, f"{path}/components")
+    spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(model.centers)], "cluster_id int, center array<double>").write.mode("overwrite").parquet(f"{path}/centers")
 
 
-def load(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
-    return PipelineModel.load(f"{path}/model"), spark.read.parquet(f"{path}/features")
+def load(spark: SparkSession, path: str) -> Model:
+    centers = sorted(spark.read.parquet(f"{path}/centers").collect())
+    return Model(spark.read.parquet(f"{path}/features"), reduce.Components.load(spark, f"{path}/components"), np.array([r["center"] for r in centers]))
 
 
-def centers(spark: SparkSession, model: PipelineModel) -> DataFrame:
-    """cluster_id and center (in the reduced space) of a fitted model."""
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.stages[-1].clusterCenters())]
-    return spark.createDataFrame(rows, "cluster_id int, center array<double>")
+def job(enc: DataFrame, path: str, features: int = 5000, dims: int = 200, k: int = 2000, seed: int = 42) -> DataFrame:
+    """Fit, keep the model under `path`, and write (name, cluster_id), which is returned. Trees with an empty encoding are neither
+    learned from nor assigned; they get a null id."""
+    model, low = fit(enc.where(F.size("enc") > 0), features, dims, k, seed)
+    save(model, path)
+    ids = reduce.assigned(low, model.centers).select("name", "cluster_id")
+    ids.join(enc.select("name"), "name", "right").write.mode("overwrite").parquet(f"{path}/clusters")
+    return enc.sparkSession.read.parquet(f"{path}/clusters")
 
 
-def reduced(model: PipelineModel, vecs: DataFrame) -> DataFrame:
-    """name and the reduced vector, as an array."""
-    return model.stages[0].transform(vecs).select("name", vector_to_array("reduced").alias("reduced"))
+def choose(model: Model, target: search.Target, n: int = 5500) -> list[int]:
+    """The ids of the n clusters nearest to a target, by distance then id."""
+    one = model.features.sparkSession.createDataFrame([("", target.enc)], "name string, enc map<string,int>")
+    row = model.reduced(one).first()
+    point = np.array(row["reduced"]) if row else -model.components.offset
+    far = np.round(((model.centers - point) ** 2).sum(1), 9)
+    return [int(i) for i in np.argsort(far, kind="stable")[:n]]
 
 
-def job(enc: DataFrame, path: str, features: int = 5000, dims: int = 200, k: int = 2000, seed: int = 42) -> DataFrame:
-    """Feature map, vectors, PCA, k-means, all kept under `path`, and the ids: written as (name, cluster_id), which is returned.
-    Trees with an empty encoding are neither learned from nor assigned; they get a null id."""
-    known = enc.where(F.size("enc") > 0)
-    chosen = feature_map(document_frequency(known), features)
-    vecs = vectors(vector_entries(known, chosen), features)
-    model = fit(vecs, dims, k, seed)
-    save(model, chosen, path)
-    assign(model, vecs).join(enc.select("name"), "name", "right").write.mode("overwrite").parquet(f"{path}/clusters")
-    return enc.sparkSession.read.parquet(f"{path}/clusters")
+def write_partitioned(rows: DataFrame, path: str) -> DataFrame:
+    """Write a search table with cluster_id as inverted lists: a folder for each cluster, so that a search opens the chosen ones only,
+    each sorted by size. A cluster of many rows is dealt out to several files, and small ones share a task."""
+    even = rows.hint("rebalance", "cluster_id").sortWithinPartitions("cluster_id", "simp_node_count", "name")
+    even.write.mode("overwrite").option("compression", "zstd").partitionBy("cluster_id").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
+def partitioned_search(table: DataFrame, target: search.Target, clusters: list[int], top: int = 1500, sample: int = 5000, seed: int = 42, ratio: float | None = None) -> DataFrame:
+    """pruned_search() over a partitioned table: the ids are literals, so that Spark prunes the folders before it lists a file. Other
+    clusters are read only when the chosen ones have under `top` rows in range."""
+    near = search.in_range(table, target, ratio)
+    rows = search.with_cosine(near.where(F.col("cluster_id").isin(clusters)), target)
+    if sample and rows.limit(top).count() < top:
+        rest = near.where(F.col("cluster_id").isNull() | ~F.col("cluster_id").isin(clusters))
+        rows = rows.unionByName(search.with_cosine(sampled(rest, sample, seed), target).where("wl > 0").select(*rows.columns))
+    return rows.orderBy(F.desc("wl"), F.asc("name")).limit(top)
 
 
-def choose(spark: SparkSession, path: str, target: search.Target, n: int = 5500) -> DataFrame:
-    """The clusters of a kept model nearest to a target, for pruned_search()."""
-    model, features = load(spark, path)
-    size = model.stages[0].pc.numRows
-    one = spark.createDataFrame([("", target.enc)], "name string, enc map<string,int>")
-    row = reduced(model, vectors(vector_entries(one, features), size)).first()
-    point = list(row["reduced"]) if row else [0.0] * model.stages[0].pc.numCols
-    return nearest(centers(spark, model), point, n).select("cluster_id")
+def lead(enc: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(name, cluster_id) by the leader (name, cluster_id and an encoding's columns) of greatest cosine, to nine digits, of equals the
+    least name; null for trees that share nothing with any."""
+    pairs = topk.topk_join(leaders, enc, 1, (F.lit(0.0), F.lit(1e18))).where("query IS NOT NULL")
+    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("wl", 9)), "name"))
+    first = pairs.withColumn("r", best).where("r = 1").select(F.col("name").alias("leader"), F.col("query").alias("name"))
+    ids = first.join(leaders.select(F.col("name").alias("leader"), "cluster_id"), "leader").select("name", "cluster_id")
+    return enc.select("name").join(ids, "name", "left")

@@ -11,7 +11,7 @@ from ..functions import wl
 from ..operators import cluster, expr, search
 from ..sources import fixtures, store
 from ..sources.fixtures import NODES_SQL, read
-from ..sources.shared import written
+from ..sources.shared import fresh, written
 from . import evaluate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -410,15 +410,23 @@ def evaluation_report(spark, d):
     return evaluate.report_many(enc, one).select("Target Name", "Top 10 Names", "Target Rank")
 
 
-@query(NORMS + """, c AS (SELECT h.name, h.feature FROM hist h), own AS (SELECT t.*, CASE WHEN t.simp_node_count % 3 = 0 THEN NULL ELSE t.simp_node_count % 7 END AS cluster_id FROM trees t)
-    SELECT name FROM own WHERE cluster_id IN (1, 2) AND simp_node_count BETWEEN (SELECT greatest(0, least(simp_node_count / CAST(1.2 AS DOUBLE), simp_node_count - 25)) FROM trees WHERE name = (SELECT name FROM target)) AND (SELECT greatest(simp_node_count * CAST(1.2 AS DOUBLE), simp_node_count + 25) FROM trees WHERE name = (SELECT name FROM target))""")
+LEADERS, PROBES = 16, 4
+
+
+@query(DOTS + f""", leaders AS (SELECT name, CAST(row_number() OVER (ORDER BY md5('42:' || name), name) - 1 AS INTEGER) AS cluster_id FROM trees ORDER BY cluster_id LIMIT {LEADERS}),
+    led AS (SELECT h.name, l.name AS leader, l.cluster_id, CAST(sum(h.cnt * x.cnt) AS BIGINT) AS dot FROM leaders l JOIN hist x ON x.name = l.name JOIN hist h ON h.feature = x.feature GROUP BY ALL),
+    close AS (SELECT d.name, d.leader, d.cluster_id, round(least(1.0, d.dot / (sqrt(a.norm2::DOUBLE) * sqrt(b.norm2::DOUBLE))), 9) AS wl FROM led d JOIN norms a ON a.name = d.name JOIN norms b ON b.name = d.leader),
+    own AS (SELECT name, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY wl DESC, leader) AS r FROM close) WHERE r = 1),
+    chosen AS (SELECT cluster_id FROM leaders l LEFT JOIN (SELECT name, round(wl, 9) AS wl FROM cosines) c ON c.name = l.name ORDER BY c.wl DESC, l.name LIMIT {PROBES})
+    SELECT n.name, o.cluster_id, round(n.wl, 9) AS wl FROM near n JOIN own o ON o.name = n.name WHERE o.cluster_id IN (SELECT cluster_id FROM chosen) ORDER BY n.wl DESC, n.name LIMIT 20""")
 def cluster_pruned_search(spark, d):
-    """Stage one over two clusters (here by size), with a cut that takes all their rows."""
-    enc = encoded(spark, d).withColumn("cluster_id", F.when(F.col("simp_node_count") % 3 != 0, F.col("simp_node_count") % 7))
-    chosen = spark.createDataFrame([(1,), (2,)], "cluster_id int")
-    n = enc.count()
-    rows = cluster.pruned_search(enc, target_of(spark, d), chosen, top=n, sample=0, ratio=1.2)
-    return rows.select("name")
+    """The twenty best of the four clusters nearest to the target, of sixteen around sampled leaders, in a table partitioned by cluster."""
+    enc, t = encoded(spark, d), target_of(spark, d)
+    at = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit("42:"), F.col("name"))), "name")) - 1
+    leaders = written(cluster.sampled(enc, LEADERS).withColumn("cluster_id", at), "leaders")
+    table = cluster.write_partitioned(store.with_clusters(enc, cluster.lead(enc, leaders)), fresh(spark, "lists"))
+    ids = [r["cluster_id"] for r in search.with_cosine(leaders, t).orderBy(F.desc(F.round("wl", 9)), "name").limit(PROBES).collect()]
+    return cluster.partitioned_search(table, t, ids, top=20, sample=0, ratio=1.2).select("name", "cluster_id", F.round("wl", 9).alias("wl"))
 
 
 @query(NODES + """, l AS (SELECT name, i, n, count(*) OVER (PARTITION BY name, flag, prt, psize) > 1 AS whole, count(*) OVER (PARTITION BY name, flag, prt) > 1 AS pair, count(*) OVER (PARTITION BY name, psize) > 1 AS size, flag, prt, psize FROM ol),
@@ -437,9 +445,9 @@ def cse_normalize(spark, d):
 
 @query()
 def pca_kmeans_assign(spark, d):
-    enc = encoded(spark, d)
-    vecs = cluster.vectors(cluster.vector_entries(enc, cluster.feature_map(cluster.document_frequency(enc), 64)), 64).persist()
-    return cluster.assign(cluster.fit(vecs, 8, 10), vecs)
+    """Components and k-means of all trees, with the operators' own sizes."""
+    model, low = cluster.fit(encoded(spark, d).where(F.size("enc") > 0).select("name", "enc"))
+    return cluster.reduce.assigned(low, model.centers).select("name", "cluster_id")
 
 
 @query("SELECT vec_id AS name, label AS cluster_id FROM embeddings WHERE label = 0 UNION ALL SELECT * FROM (SELECT vec_id, label FROM embeddings WHERE label <> 0 OR label IS NULL ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id LIMIT (SELECT CASE WHEN count(*) >= 1500 THEN 0 ELSE 5000 END FROM embeddings WHERE label = 0))")

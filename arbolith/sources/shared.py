@@ -24,13 +24,19 @@ def _folder(spark: SparkSession, path: str):
     return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has written to; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
+    return path
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it again, which cuts the lineage. The table goes when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.option("compression", compression).parquet(path)
-    folder, files = _folder(spark, path)
-    files.deleteOnExit(folder)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

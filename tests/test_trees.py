@@ -311,9 +311,44 @@ def test_clustering_job(spark, kept, tmp_path):
     assert set(got) == set(T) and got["T6"] is None and got["T1"] is not None and got["T1"] == got["T4"] == got["T2"]
     e = json.dumps(lam("forallE", "a", C("Nat"), lam("forallE", "b", C("Nat"), E("", add(b(1), b(0)), add(b(0), b(1))))))
     assert api.find_pruned(spark, kept, e, clusters=1, top=1).first()["name"] in ("T1", "T2", "T4")
+    plan = spark.read.parquet(f"{kept}/clustering/lists").where("cluster_id IN (0, 1)")._jdf.queryExecution().toString()
+    assert "cluster_id" in plan[plan.index("PartitionFilters") :].split("]")[0]
+    with pytest.raises(ValueError):
+        api.find_similar(spark, kept, "x" * 1001)
     assert store.write_clusters(spark.createDataFrame([("a", 1)], "name string, cluster_id int"), str(tmp_path / "c")).count() == 1
 
 
+def test_partitioned_search(spark, sf, tmp_path):
+    """Files of the chosen clusters only are read, scores are those of a full search, and few of its best rows are missed."""
+    from pyspark.sql import functions as F
+
+    enc, t = registry.encoded(spark, sf), registry.target_of(spark, sf)
+    model, low = cluster.fit(enc.select("name", "enc"), 300, 12, 20)
+    ids = cluster.reduce.assigned(low, model.centers).select("name", "cluster_id")
+    table = cluster.write_partitioned(store.with_clusters(enc, ids), str(tmp_path / "lists"))
+    chosen = cluster.choose(model, t, 5)
+    assert len(chosen) == 5 and set(chosen) < set(range(20))
+    rows = cluster.partitioned_search(table, t, chosen, top=20, sample=0)
+    plan = rows._jdf.queryExecution().toString()
+    assert "cluster_id" in plan[plan.rindex("PartitionFilters") :].split("]")[0]
+    full = {r["name"]: r["wl"] for r in search.stage1(enc, t, 10_000).collect()}
+    got = {r["name"]: r["wl"] for r in rows.collect()}
+    assert all(full[n] == w for n, w in got.items())
+    best = sorted(full.values(), reverse=True)[:20]
+    assert sum(w >= best[-1] for w in got.values()) >= 14
+    more = cluster.partitioned_search(table, t, chosen[:1], top=10_000, sample=10_000)
+    assert {r["name"] for r in more.collect()} >= {n for n, w in full.items() if w > 0}
+    cluster.save(model, str(tmp_path / "model"))
+    assert cluster.choose(cluster.load(spark, str(tmp_path / "model")), t, 5) == chosen
+    read = {f for r in table.where(table.cluster_id.isin(chosen)).select(F.input_file_name().alias("f")).distinct().collect() for f in [r["f"]]}
+    assert 0 < len(read) < len(table.inputFiles())
+    for f in (tmp_path / "lists").glob("cluster_id=*/*.parquet"):  # a search doesn't even open the other clusters' files
+        if f.parent.name not in {f"cluster_id={c}" for c in chosen}:
+            f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
+            f.write_bytes(b"none")
+    assert {r["name"]: r["wl"] for r in cluster.partitioned_search(table, t, chosen, top=20, sample=0).collect()} == got
+
+
 def test_nearest_center_in_blocks(spark):
     rng = random.Random(2)
     points = [(i, [rng.random() for _ in range(4)]) for i in range(50)]
