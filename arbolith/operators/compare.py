@@ -88,6 +88,31 @@ def edit_distance(t1, t2, unit: bool = False) -> float:
     return float(tree[-1, -1])
 
 
+def least_distance(t1, t2) -> float:
+    """A lower bound of edit_distance() from counts alone. Of the larger tree as many nodes go as it has more, cheap ones first. Its other
+    costly nodes are changed, unless they meet one of the other tree's cheap nodes or an equal subtree; so are the other tree's,
+    or they are new, which costs more."""
+    ids: dict = {}
+
+    def counts(tree):
+        labels, kids = tree
+        same, costly, cheap = [0] * len(labels), {}, 0
+        for i in reversed(range(len(labels))):
+            same[i] = ids.setdefault((labels[i], tuple(same[k] for k in kids[i])), len(ids))
+            if labels[i].startswith(CHEAP):
+                cheap += 1
+            else:
+                costly[same[i]] = costly.get(same[i], 0) + 1
+        return costly, cheap
+
+    (a, a_cheap), (b, b_cheap) = sorted(map(counts, (t1, t2)), key=lambda c: -(sum(c[0].values()) + c[1]))
+    a_costly, b_costly = sum(a.values()), sum(b.values())
+    equal = sum(min(n, b.get(k, 0)) for k, n in a.items())
+    more = a_costly + a_cheap - b_costly - b_cheap
+    gone = max(0, more - a_cheap)
+    return gone + 0.2 * (more - gone) + 0.4 * max(0, a_costly - gone - b_cheap - equal, b_costly - a_cheap - equal)
+
+
 def limited_distance(t1, t2, most: float = 1.5) -> float:
     """Unit-cost distance, infinite beyond a ratio of sizes."""
     n, m = len(t1[0]), len(t2[0])

@@ -136,6 +136,53 @@ def ranked(corpus: DataFrame, target: Target, top: int = 1500, ratio: float | No
     return pair_scores(stage1(corpus, target, top, ratio), target, edit).withColumn("similarity", composite(target, edit))
 
 
+def with_bound(corpus: DataFrame, target: Target) -> DataFrame:
+    """Add collapse, jaccard and `bound`, the best similarity that the row can have: its score with a lower bound of the edit distance."""
+    t = target.tree
+
+    @F.pandas_udf("collapse double, least double")
+    def judge(labels: pd.Series, kids: pd.Series) -> pd.DataFrame:
+        rows = []
+        for a, k in zip(labels, kids, strict=True):
+            c = (list(a), [list(x) for x in k])
+            rows.append((compare.collapse_score(t, c), compare.least_distance(t, c)))
+        return pd.DataFrame(rows, columns=["collapse", "least"]).astype(float)
+
+    out = dealt(corpus).withColumn("__s", judge.asNondeterministic()(F.expr("transform(nodes, n -> n.label)"), F.expr("transform(nodes, n -> n.children)")))
+    names = F.array(*map(F.lit, target.names)) if target.names else F.expr("cast(array() as array<string>)")
+    both = out.select(*corpus.columns, "__s.collapse", F.col("__s.least").alias("ted"), wl.jaccard(names, wl.const_names(F.col("nodes"))).alias("jaccard"))
+    return both.withColumn("bound", composite(target, True)).drop("ted")
+
+
+def with_distance(corpus: DataFrame, target: Target) -> DataFrame:
+    """Add ted and similarity to rows of with_bound()."""
+
+    @F.pandas_udf("double")
+    def far(labels: pd.Series, kids: pd.Series) -> pd.Series:
+        return pd.Series([compare.edit_distance(target.tree, (list(a), [list(x) for x in k])) for a, k in zip(labels, kids, strict=True)], dtype=float)
+
+    out = dealt(corpus).withColumn("ted", far.asNondeterministic()(F.expr("transform(nodes, n -> n.label)"), F.expr("transform(nodes, n -> n.children)")))
+    return out.withColumn("similarity", composite(target, True))
+
+
+def best_ranked(corpus: DataFrame, target: Target, k: int, top: int = 1500, ratio: float | None = None, first: int = 48) -> tuple[DataFrame, int, int]:
+    """The k best rows of ranked(), and how many edit distances were computed for how many rows.
+
+    Distances are found for the rows of greatest bound first; the k-th best score among them is a bar that all others whose bound
+    lies below it can't pass, so theirs are never computed. At most `top` rows are held.
+    """
+    near = stage1(corpus, target, top, ratio)
+    if target.node_count > EDIT_LIMIT:
+        return pair_scores(near, target, False).withColumn("similarity", composite(target, False)).orderBy(F.desc("similarity"), F.asc("name")).limit(k), 0, 0
+    at = F.row_number().over(Window.orderBy(F.desc("bound"), F.asc("name")))
+    rows = with_bound(near, target).withColumn("__at", at).persist()
+    head = with_distance(rows.where(F.col("__at") <= max(first, 2 * k)), target).persist()
+    bar = head.orderBy(F.desc("similarity")).limit(k).agg(F.count("*").alias("n"), F.min("similarity").alias("s")).first()
+    rest = rows.where(F.col("__at") > max(first, 2 * k)).where(F.col("bound") >= (bar["s"] - 1e-9 if bar["n"] == k else float("-inf")))
+    out = head.unionByName(with_distance(rest, target)).drop("__at", "bound").orderBy(F.desc("similarity"), F.asc("name")).limit(k)
+    return out, head.count() + rest.count(), rows.count()
+
+
 def check_request(k: int | None, node_ratio: float | None = None, expression: str | None = None) -> None:
     """ValueError for a request out of bounds; an expression, if given, must not be empty or too long."""
     if k is None or not 1 <= k <= 100:
@@ -151,7 +198,7 @@ def check_request(k: int | None, node_ratio: float | None = None, expression: st
 def search(corpus: DataFrame, target: Target, k: int = 20, node_ratio: float | None = None, top: int = 1500) -> DataFrame:
     """The k most similar trees: name, similarity_score, statement, node_count. Rows without details go after the cut."""
     check_request(k, node_ratio)
-    best = ranked(corpus, target, top, node_ratio).orderBy(F.desc("similarity"), F.asc("name")).limit(k)
+    best, _, _ = best_ranked(corpus, target, k, top, node_ratio)
     return best.where("statement_str IS NOT NULL AND node_count IS NOT NULL").select("name", F.col("similarity").alias("similarity_score"), F.col("statement_str").alias("statement"), "node_count")
 
 

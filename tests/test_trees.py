@@ -186,6 +186,33 @@ def test_edit_distance():
         assert compare.edit_distance(x, x) == 0 and compare.collapse_score(x, x) == 1
 
 
+def test_least_distance():
+    """Never above the distance, and of use: on average a good part of it."""
+    rng = random.Random(9)
+    share = []
+    for _ in range(400):
+        x, y = random_tree(rng, rng.randint(1, 25)), random_tree(rng, rng.randint(1, 25))
+        low, far = compare.least_distance(x, y), compare.edit_distance(x, y)
+        assert 0 <= low <= far + 1e-9 and compare.least_distance(x, x) == 0 and low == pytest.approx(compare.least_distance(y, x))
+        share.append(low / far if far else 1.0)
+    assert sum(share) / len(share) > 0.5
+
+
+def test_best_ranked(spark, sf, corpus):
+    """The same rows and scores as with all distances, of which some are spared."""
+    enc, spared = registry.encoded(spark, sf), 0
+    names = [r["name"] for r in enc.where("node_count <= 50").orderBy("name").limit(3).collect()]
+    for table, name, k in [(enc, n, 20) for n in names] + [(enc, names[0], 1), (corpus, "T1", 3), (corpus, "T1", 100)]:
+        t = search.Target.of(table.where(f"name = '{name}'").select("name", "nodes", "node_count"))
+        out, computed, held = search.best_ranked(table, t, k)
+        order = lambda r: (-round(r["similarity"], 12), r["name"])
+        want = sorted(search.ranked(table, t).collect(), key=order)[:k]
+        got = sorted(out.collect(), key=order)
+        assert [(r["name"], pytest.approx(r["similarity"]), r["ted"]) for r in want] == [(r["name"], r["similarity"], pytest.approx(r["ted"])) for r in got]
+        spared += held - computed
+    assert spared > 0
+
+
 def test_ir_metrics(spark):
     r = search.ir_metrics(spark.createDataFrame([(1,), (3,), (None,), (7,), (20,)], "rank int")).first()
     assert [round(r[k], 6) for k in ("recall_1", "recall_5", "recall_10", "precision_5", "f1_5", "f1_10", "ndcg_5", "ndcg_10", "mrr")] == [0.2, 0.4, 0.6, 0.08, 0.133333, 0.109091, 0.3, 0.366667, 0.305238]
