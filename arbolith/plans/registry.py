@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import sql as functions
 from ..functions import wl
 from ..operators import cluster, expr, search
-from ..sources import fixtures, store
+from ..sources import fixtures, keyed, store
 from ..sources.fixtures import NODES_SQL, read
 from ..sources.shared import fresh, written
 from . import evaluate
@@ -330,6 +331,24 @@ def upsert_latest(spark, d):
     return store.upsert(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), "user_id", "event_id")
 
 
+@query("SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def keyed_upsert(spark, d):
+    """Each user's latest event out of a keyed table that gets the events in three writes, one of them twice."""
+    e = read(spark, d, "events").select("user_id", "event_type", "event_id")
+    table = keyed.KeyedTable.create(spark, fresh(spark, "keyed"), e.schema, "user_id", "event_id", buckets=32)
+    for k in (1, 0, 2, 0):
+        table = table.upsert(e.where(F.col("event_id") % 3 == k), write=f"events-{k}")
+    return table.read()
+
+
+@query(DOTS + " SELECT name, round(wl, 9) AS wl FROM cosines")
+def sql_wl_cosine(spark, d):
+    """wl_cosine, in SQL over SQL functions alone."""
+    functions.register(spark)
+    enc, t = encoded(spark, d), least_name(spark, d)
+    return spark.sql("SELECT a.name, round(wl_cosine(a.enc, b.enc), 9) AS wl FROM {enc} a JOIN (SELECT enc FROM {enc} WHERE name = {t}) b ON TRUE", enc=enc, t=t)
+
+
 @query("SELECT vec_id, label FROM embeddings WHERE label % 3 = 0 UNION ALL SELECT vec_id, label FROM embeddings WHERE vec_id % 10 = 1")
 def union_candidates(spark, d):
     e = read(spark, d, "embeddings").select("vec_id", "label")
@@ -443,6 +462,14 @@ def cse_normalize(spark, d):
     return rows.select("name", "node_count", "simp_node_count", F.array_join(F.transform("nodes", lambda n: n["label"]), " ").alias("labels"))
 
 
+@query("SELECT name, CAST(simp_node_count AS BIGINT) AS n, labels FROM (" + SQL["cse_normalize"] + ")")
+def sql_tree_nodes(spark, d):
+    """Each order's nodes after all rewrites, out of the table function."""
+    functions.register(spark)
+    return spark.sql("""SELECT name, count(*) AS n, array_join(transform(array_sort(collect_list(struct(id, label))), x -> x.label), ' ') AS labels
+                        FROM tree_nodes(TABLE(SELECT name, expr_json FROM {trees})) GROUP BY name""", trees=fixtures.order_json(spark, d))
+
+
 @query()
 def pca_kmeans_assign(spark, d):
     """Components and k-means of all trees, with the operators' own sizes."""
