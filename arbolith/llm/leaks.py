@@ -8,7 +8,8 @@ Items are cut into parts no longer than a passage. The dot products of passages
 held against the squared length of the shorter one. From `cosine` on a pair is a candidate, so a verbatim copy, short or long,
 is one whatever directions the corpus has. Between `floor` and `cosine` the latent space decides: a pair is a candidate if its
 cosine in the space of the singular vectors, each divided by its value, reaches `latent`. Words that the corpus uses alike are
-alike there, so a part and a passage are found that share words, but few of the rare ones.
+alike there, so a part and a passage are found that share words, but few of the rare ones. Parts of under LONG words have too few
+for a place in that space to say anything, and are candidates from `cosine` on only.
 Of candidates, the longest common subsequence of the whole item with the words around the passage decides: nearly the whole
 item is a copy; most of it, with its answer (its last quarter) near complete, is a paraphrase.
 
@@ -89,7 +90,7 @@ def groups(benchmark: DataFrame) -> Iterator[Benchmark]:
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct().orderBy("item_id", "text")
     for i, text in rows.toLocalIterator():
         words = terms_of(text)
-        if held and (size + len(words) > GROUP_WORDS or len(distinct | set(words)) > GROUP_TERMS):
+        if held and (size + len(words) > GROUP_WORDS or len(distinct) + sum(w not in distinct for w in set(words)) > GROUP_TERMS):
             yield Benchmark(held)
             held, distinct, size = [], set(), 0
         if words:

@@ -3,7 +3,8 @@
 Lines that begin with '>' marks are quotes, nested as deep as they have marks. Lines of one depth in a row form a
 passage. Passages and their lines are normalised (blanks folded, lower case) and hashed. The first message of the
 conversation that holds such a passage or line unquoted is the original. A message answers the original of its
-outermost quotes: whole passages count before lines, longer ones before shorter, later originals before earlier.
+outermost quotes that have one, however deep they are: whole passages count before lines, longer ones before shorter, later
+originals before earlier.
 A message without a linked quote begins a thread. Conversations are ordered by thread, then by turn.
 Null texts count as empty; rows with a null conversation or turn come back unlinked, with null positions; repeated rows
 stay and share links, and get positions of their own in the order of role and text.
@@ -78,8 +79,7 @@ def quote_links(rows: DataFrame) -> DataFrame:
 def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per message: conv_id, turn, role, text without quotes, n_quotes, parent_turn, thread_turn, depth, position."""
     rows = written(parsed(messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))), "messages")
-    outer = quote_links(rows).where("depth = 1")
-    best = outer.groupBy("conv_id", "turn").agg(F.max(F.struct("whole", "lines", "original")).alias("b"))
+    best = quote_links(rows).groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("depth")).alias("outer"), "whole", "lines", "original")).alias("b"))
     links = written(best.select("conv_id", "turn", F.col("b.original").alias("parent_turn"), F.col("b.original").alias("top"), F.lit(1).alias("depth")), "links")
     while True:  # each round doubles the length of the chains that are followed
         up = links.select("conv_id", F.col("turn").alias("top"), F.col("top").alias("next"), F.col("depth").alias("more"))
@@ -103,7 +103,8 @@ def positions(rows: DataFrame) -> DataFrame:
     large = large.withColumn("large", before(["conv_id"], ["a"])).drop("n")
     small = small.withColumn("small", before(["conv_id", "a"], ["thread_turn", "b"])).drop("n")
     starts = small.join(large, ["conv_id", "a"]).withColumn("start", F.col("small") + F.col("large")).drop("small", "large")
-    at = F.row_number().over(Window.partitionBy("conv_id", "a", "thread_turn", "b").orderBy("turn", "role", "text"))
+    apart = F.when(F.col("conv_id").isNull() | F.col("turn").isNull(), F.monotonically_increasing_id()).otherwise(0)  # these get no position
+    at = F.row_number().over(Window.partitionBy("conv_id", "a", "thread_turn", "b", apart).orderBy("turn", "role", "text"))
     return rows.withColumn("at", at).join(starts, ["conv_id", "a", "thread_turn", "b"], "left").select("conv_id", "turn", "role", "text", "n_quotes", "parent_turn", "thread_turn", "depth", (F.col("start") + F.col("at") - 1).cast("long").alias("position"))
 
 

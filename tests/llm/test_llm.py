@@ -511,18 +511,27 @@ def plain_links(messages):
                 runs.append((d, [x]))
         own = [" ".join(xs) for d, xs in runs if d == 0] + [x for d, xs in runs if d == 0 for x in xs] + [" ".join(x for d, x in rows if d == 0)]
         said.append([plain_key(x) for x in own if plain_key(x)])
-        asked.append([(1, len(xs), plain_key(" ".join(xs))) for d, xs in runs if d == 1] + [(0, 1, plain_key(x)) for d, xs in runs if d == 1 for x in xs])
+        asked.append([(-d, 1, len(xs), plain_key(" ".join(xs))) for d, xs in runs if d] + [(-d, 0, 1, plain_key(x)) for d, xs in runs if d for x in xs])
     out = []
     for t, quotes_ in enumerate(asked):
         found = []
-        for whole, n, k in quotes_:
+        for outer, whole, n, k in quotes_:
             first = next((u for u in range(len(messages)) if k and k in said[u]), None)
             if first is not None and first < t:
-                found.append((whole, n, first))
-        out.append(max(found)[2] if found else None)
+                found.append((outer, whole, n, first))
+        out.append(max(found)[3] if found else None)
     return out
 
 
+def test_quotes_nested_only(spark):
+    """A quote two deep links where no outer one does, and yields to one that does; rows without a turn are spread and unlinked."""
+    rows = [(1, 0, "u", "How do I sort a list?"), (1, 1, "a", ">> How do I sort a list?"), (1, 2, "u", "other words"), (1, 3, "a", "> other words\n>> How do I sort a list?\nso"), (1, 4, "a", "> unknown\n>> other words")]
+    rows += [(None, None, "u", "same")] * 300 + [(1, None, "u", "> other words")] * 3
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    assert [r["parent_turn"] for r in sorted((r for r in got if r["turn"] is not None), key=lambda r: r["turn"])] == [None, 0, None, 2, 2]
+    assert len(got) == len(rows) and all(r["position"] is None and r["parent_turn"] is None for r in got if r["turn"] is None)
+
+
 def test_quotes_brute_force(spark):
     """Random conversations whose messages quote whole messages, single lines, and quotes in quotes."""
     rng = np.random.default_rng(12)
@@ -535,7 +544,7 @@ def test_quotes_brute_force(spark):
                 old = texts[int(rng.integers(len(texts)))].split("\n")
                 if rng.random() < 0.4:
                     old = [old[int(rng.integers(len(old)))]]
-                marks = ">" if rng.random() < 0.5 else " > "
+                marks = [">", " > ", ">> ", "> > >"][int(rng.integers(4))]  # some are nested only
                 quoted = [marks + (x.upper() if rng.random() < 0.1 else x) for x in old]
                 own = quoted + own if rng.random() < 0.8 else own + quoted + [f"tail {c} {t}"]
             texts.append("\n".join(own))
