@@ -12,7 +12,7 @@ from ..functions import wl
 from ..operators import cluster, expr, search
 from ..sources import fixtures, keyed, store
 from ..sources.fixtures import NODES_SQL, read
-from ..sources.shared import fresh, written
+from ..sources.shared import fresh, stamp, written
 from . import evaluate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,12 +61,13 @@ def trees(spark, d):
     return fixtures.order_trees(spark, d)
 
 
-_TABLES: dict[tuple[str, str], DataFrame] = {}
+_TABLES: dict[tuple, DataFrame] = {}
 
 
 def encoded(spark, d):
-    """The search table of the order trees, written at its first use in a session, as an encoding job would before any search."""
-    key = (spark.sparkContext.applicationId, d)
+    """The search table of the order trees, written at its first use in a session, as an encoding job would before any search; anew if
+    the tables under the path have changed since."""
+    key = (spark.sparkContext.applicationId, d, *(stamp(spark, f"{d}/{t}.parquet") for t in ("orders", "lineitem", "part")))
     if key not in _TABLES:
         _TABLES[key] = written(wl.encode(trees(spark, d).sortWithinPartitions("simp_node_count", "name")), "search-table")
     return _TABLES[key]

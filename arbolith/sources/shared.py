@@ -32,6 +32,13 @@ def fresh(spark: SparkSession, name: str) -> str:
     return path
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Bytes and latest change of what lies at a path."""
+    folder, files = _folder(spark, path)
+    found = files.listStatus(folder)
+    return sum(f.getLen() for f in found), max((f.getModificationTime() for f in found), default=0)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write a table to the shared folder and read it again, which cuts the lineage. The table goes when the driver ends."""
     spark = df.sparkSession
