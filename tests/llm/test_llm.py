@@ -137,7 +137,7 @@ for name, f in [*registry.queries().items(), ("pipeline", corpus_pipeline.run)]:
     import os
 
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=900, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
-    assert out.returncode == 0 and len(out.stdout.split()) == 11, out.stderr[-3000:]
+    assert out.returncode == 0 and len(out.stdout.split()) == 14, out.stderr[-3000:]
 
 
 def test_word_table(monkeypatch):
