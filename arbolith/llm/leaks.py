@@ -8,8 +8,7 @@ Items are cut into parts no longer than a passage. The dot products of passages
 held against the squared length of the shorter one. From `cosine` on a pair is a candidate, so a verbatim copy, short or long,
 is one whatever directions the corpus has. Between `floor` and `cosine` the latent space decides: a pair is a candidate if its
 cosine in the space of the singular vectors, each divided by its value, reaches `latent`. Words that the corpus uses alike are
-alike there, so a part and a passage are found that share words, but few of the rare ones. Parts of under LONG words have too few
-for a place in that space to say anything, and are candidates from `cosine` on only.
+alike there, so a part and a passage are found that share words, but few of the rare ones.
 Of candidates, the longest common subsequence of the whole item with the words around the passage decides: nearly the whole
 item is a copy; most of it, with its answer (its last quarter) near complete, is a paraphrase.
 
@@ -44,12 +43,12 @@ STEP, TABLE_SIZE = 32, 400_000
 #: Terms in more than this share of passages have no weight, but for parts that would keep under KEPT of their words (a text
 #: that is repeated over and over), whose least weight is LEAST.
 MOST, KEPT, LEAST = 0.1, 0.5, 0.1
-#: Directions, and those that are drawn beside them; the bars; words of a part that is searched by its directions.
-RANK, BESIDE, LATENT, COSINE, FLOOR, LONG = 32, 8, 0.7, 0.5, 0.2, 8
+#: Directions, and those that are drawn beside them; the bars.
+RANK, BESIDE, LATENT, COSINE, FLOOR = 32, 8, 0.5, 0.5, 0.2
 #: Share of an item's words in order that makes a copy, and a paraphrase if this share of its answer is there too.
 COPY, PARAPHRASE, ANSWER = 0.85, 0.65, 0.75
-#: Distinct words and words of the items of one pass; passages that are scored at once; terms of a slab.
-GROUP_TERMS, GROUP_WORDS, AT_ONCE, SLAB = 200_000, 2_000_000, 4096, 1024
+#: Distinct words and words of the items of one pass; passages that are scored at once; places of a tile; terms of a slab.
+GROUP_TERMS, GROUP_WORDS, AT_ONCE, TILE, SPARE, SLAB = 200_000, 2_000_000, 4096, 60_000, 0.5, 1024
 
 
 def terms_of(text: str | None) -> list[str]:
@@ -224,48 +223,97 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-20)
 
 
+class Postings:
+    """Index of the parts whose lengths are within a factor of 1.4 (numbers `members`). Lengths near each other make bars near
+    each other, which the words of a passage are held against."""
+
+    def __init__(self, size: int, members: np.ndarray, lengths: np.ndarray, term: np.ndarray, part: np.ndarray, value: np.ndarray):
+        self.members, self.lengths, self.least = members, lengths[members], lengths[members].min()
+        key = term * len(members) + np.searchsorted(members, part)
+        order = np.argsort(key)
+        self.keys, self.values = key[order], value[order]
+        self.parts, self.begins = self.keys % len(members), np.searchsorted(self.keys, np.arange(size + 2) * len(members))
+        self.top = np.zeros(size + 1)
+        np.maximum.at(self.top, term, value)
+
+
 class Index:
-    """Finds candidates of passages among the parts."""
+    """Finds candidates of passages among the parts. Of each passage the words that are in
+    the most parts are left out for as long as, all together, they can't reach the bar; only parts of its other words are met."""
 
     def __init__(self, bench: Benchmark, idf: np.ndarray, space: np.ndarray, latent: float, cosine: float, floor: float):
         self.latent, self.cosine, self.floor, self.space = latent, cosine, min(floor, cosine), space
         self.square = np.append(idf, 0.0) ** 2
-        terms, parts, values, self.lengths, places = [], [], [], [], []
+        terms, parts, values, lengths, places = [], [], [], [], []
         for i, part in enumerate(bench.parts):
             t, k = np.unique(part, return_counts=True)
             length = np.sqrt(((k * idf[t]) ** 2).sum() + 1e-30)
             terms.append(t)
             parts.append(np.full(len(t), i))
             values.append(k * idf[t] ** 2 / length)
-            self.lengths.append(length)
+            lengths.append(length)
             places.append(k @ space[t])
-        term = np.concatenate(terms)
-        order = np.argsort(term, kind="stable")
-        self.parts, self.values = np.concatenate(parts)[order], np.concatenate(values)[order]
-        self.begins = np.searchsorted(term[order], np.arange(len(idf) + 1))
-        self.lengths, self.places, self.long = np.array(self.lengths), unit(np.array(places)).astype(np.float32), np.array([len(p) >= LONG for p in bench.parts])
+        self.lengths, self.places = np.array(lengths), unit(np.array(places)).astype(np.float32)
+        term, part, value = np.concatenate(terms), np.concatenate(parts), np.concatenate(values)
+        scale = np.floor(2 * np.log2(self.lengths))
+        self.classes = []
+        for c in np.unique(scale):
+            mine = (scale == c)[part] & (value > 0)
+            self.classes.append(Postings(len(idf), np.flatnonzero(scale == c), self.lengths, term[mine], part[mine], value[mine]))
+
+    def search(self, of: Postings, p: np.ndarray, term: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of passage and part from the floor on, with their products: from the words `term` of passages p."""
+        wide, bar = len(of.members), (self.floor - 1e-4) * np.minimum(size, of.least)
+        many = of.begins[term + 1] - of.begins[term]
+        order = np.flatnonzero(many)
+        order = order[np.lexsort((-many[order], p[order]))]
+        p, term, many = p[order], term[order], many[order]
+        most, first = np.cumsum(of.top[term]), np.searchsorted(p, p)
+        most -= (most - of.top[term])[first]
+        rest = most < SPARE * bar[p]
+        rest_p, rest_term = p[rest], term[rest]
+        beyond = np.bincount(rest_p, of.top[rest_term], len(size))
+        p, term, many = p[~rest], term[~rest], many[~rest]
+        rows = max(1, TILE // wide)
+        for a in np.unique(p // rows) * rows:
+            lo, hi = np.searchsorted(p, [a, a + rows])
+            t, k = term[lo:hi], many[lo:hi]
+            at = np.repeat(of.begins[t] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            got = np.bincount(np.repeat((p[lo:hi] - a) * wide, k) + of.parts[at], of.values[at])
+            least = np.maximum(bar - beyond, 1e-30)[a : a + rows]
+            key = np.flatnonzero(got >= np.repeat(least, wide)[: len(got)])
+            q, i, got = a + key // wide, key % wide, got[key]
+            needed = (self.floor - 1e-4) * np.minimum(size[q], of.lengths[i])
+            some = got + beyond[q] >= needed
+            q, i, got, needed = q[some], i[some], got[some], needed[some]
+            begin = np.searchsorted(rest_p, q)
+            k = np.searchsorted(rest_p, q, "right") - begin
+            at = np.repeat(begin - np.cumsum(k) + k, k) + np.arange(k.sum())
+            key = rest_term[at] * wide + np.repeat(i, k)
+            at = np.minimum(np.searchsorted(of.keys, key), len(of.keys) - 1)
+            got += np.bincount(np.repeat(np.arange(len(q)), k), np.where(of.keys[at] == key, of.values[at], 0.0), len(q))
+            some = got >= needed
+            yield q[some], of.members[i[some]], got[some]
 
     def candidates(self, block: np.ndarray, term: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Of n passages, each one with candidates, these, and which of them the latent space has decided."""
-        wide = len(self.lengths)
-        step = max(1, min(AT_ONCE, 2_000_000 // wide))
         on = self.square[term] > 0
         block, term = block[on], term[on]
-        for a in range(0, n, step):
-            rows = min(step, n - a)
+        for a in range(0, n, AT_ONCE):
+            rows = min(AT_ONCE, n - a)
             lo, hi = np.searchsorted(block, [a, a + rows + 1])
             t, b = term[lo:hi], block[lo:hi] - a
-            k = self.begins[t + 1] - self.begins[t]
-            at = np.repeat(self.begins[t] - np.cumsum(k) + k, k) + np.arange(k.sum())
-            got = np.bincount(np.repeat(b, k) * wide + self.parts[at], self.values[at], (rows + 1) * wide).reshape(rows + 1, wide)
-            got = got[:-1] + got[1:]
-            size = np.bincount(b, self.square[t], rows + 1)
-            size = np.sqrt(size[:-1] + size[1:])
-            size[size == 0] = np.inf
-            p, i = np.nonzero((got >= (self.floor - 1e-4) * np.minimum.outer(size, self.lengths)) & (got > 0))
-            share = got[p, i] / np.minimum(size[p], self.lengths[i])
-            sure = share >= self.cosine - 1e-4
-            near = ~sure & self.long[i] & (share >= self.floor - 1e-4)
+            own, before = b < rows, b > 0  # a word is in the passage of its block and in the one before
+            p, w = np.r_[b[own], b[before] - 1], np.r_[t[own], t[before]]
+            size = np.sqrt(np.bincount(p, self.square[w], rows))
+            found = [f for c in self.classes for f in self.search(c, p, w, size)]
+            if not found:
+                continue
+            p, i, got = map(np.concatenate, zip(*found, strict=True))
+            order = np.lexsort((i, p))
+            p, i, got = p[order], i[order], got[order]
+            sure = got >= (self.cosine - 1e-4) * np.minimum(size[p], self.lengths[i])
+            near = ~sure
             if near.any() and self.space.shape[1]:
                 some = np.zeros(rows + 1, bool)
                 some[p[near]] = some[p[near] + 1] = True

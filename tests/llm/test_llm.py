@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -366,10 +367,10 @@ def leaks_text(rng, n, size=8000):
     return [f"term{int(x)}" for x in np.exp(rng.random(n) * np.log(size))]
 
 
-def found_leaks(spark, texts, items):
+def found_leaks(spark, texts, items, **bars):
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").repartition(4)
-    return {r["doc_id"]: set(r["items"]) for r in leaks.find_leaks(df, bench).collect()}
+    return {r["doc_id"]: set(r["items"]) for r in leaks.find_leaks(df, bench, **bars).collect()}
 
 
 @pytest.mark.parametrize("n", [300, 1500, 5000])
@@ -389,7 +390,7 @@ def test_leaks_many_items(spark, n):
 
 
 def test_leaks_latent(spark, monkeypatch):
-    """Words that only the corpus shows to be alike lead to paraphrases without the item's rare words; at random directions they don't."""
+    """Words that only the corpus shows to be alike lead to paraphrases without the item's rare words; at random directions they don't, at a bar of 0.7."""
     rng = np.random.default_rng(9)
 
     def text(topic, n, names="ab"):
@@ -401,13 +402,54 @@ def test_leaks_latent(spark, monkeypatch):
         names = set(rng.choice(30, 14, replace=False).tolist())
         items.append([f"a{i % 4}n{int(rng.integers(1000))}" if k in names else f"t{i % 4}w{int(rng.integers(150))}" for k in range(40)])
         texts.append([*text(i % 4, 80), *(f"b{w[1:]}" if w[0] == "a" else w for w in items[i]), *text(i % 4, 60)])
-    got = found_leaks(spark, texts, items)
+    got = found_leaks(spark, texts, items, latent=0.7)
     assert np.mean([i in got[500 + i] for i in range(60)]) >= 0.9 and not any(got[i] for i in range(500))
     monkeypatch.setattr(leaks, "factor", lambda z, gauss: (np.linalg.qr(np.random.default_rng(1).standard_normal(z.shape))[0], np.ones(z.shape[1])))
-    got = found_leaks(spark, texts, items)
+    got = found_leaks(spark, texts, items, latent=0.7)
     assert np.mean([i in got[500 + i] for i in range(60)]) <= 0.6
 
 
+@pytest.mark.parametrize("floor", [0.0, 0.2, 0.5])
+def test_leaks_index(floor):
+    """The pruned search finds the pairs of a dense table, with short, long, repeated and common parts among them."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: np.minimum(rng.zipf(1.3, n), 900) - 1
+    bench = leaks.Benchmark([(i, [f"w{x}" for x in draw(int(rng.integers(1, 150)))]) for i in range(300)])
+    idf = np.where(rng.random(bench.size) < 0.1, 0.0, rng.random(bench.size) * 8)
+    index = leaks.Index(bench, idf, np.zeros((bench.size, 0), np.float32), 2.0, floor, floor)
+    term = np.minimum(draw(3000), bench.size)
+    block, n = np.arange(3000) // leaks.STEP, 94
+    got = {(p, i) for p, parts, _ in index.candidates(block, term, n) for i in parts.tolist()}
+    square, dot = np.append(idf, 0.0) ** 2, np.zeros((n, len(bench.parts)))
+    length = np.array([np.sqrt((np.bincount(t, minlength=bench.size) ** 2 * idf**2).sum()) for t in bench.parts])
+    size = np.zeros(n)
+    for p in range(n):
+        words = np.bincount(term[(block == p) | (block == p + 1)], minlength=bench.size + 1)
+        size[p] = np.sqrt((words * square).sum())
+        dot[p] = [(words[:-1] * np.bincount(t, minlength=bench.size) * idf**2).sum() for t in bench.parts] / np.maximum(length, 1e-15)
+    share = dot / np.maximum(np.minimum.outer(size, length), 1e-15)
+    want = {(int(p), int(i)) for p, i in zip(*np.nonzero((share >= floor) & (dot > 1e-9)), strict=True)}
+    assert want and want <= got and all(share[x] >= floor - 2e-4 for x in got)
+
+
+def test_leaks_rare_words_replaced(spark, docs):
+    """Parts of real texts, 13 of the rarest of whose first 30 words are replaced by common ones: what the rule accepts is found."""
+    rng, texts = np.random.default_rng(3), [(r["doc_id"], leaks.terms_of(r["text"])) for r in docs.select("doc_id", "text").orderBy("doc_id").collect()]
+    df = Counter(w for _, t in texts for w in set(t))
+    common, pool, items, home = [w for w, _ in df.most_common(2000)], [(d, t) for d, t in texts if len(t) >= 60], [], []
+    while len(items) < 100:
+        d, t = pool[rng.integers(len(pool))]
+        at = int(rng.integers(0, len(t) - 40))
+        item = list(t[at : at + 40])
+        for j in sorted(range(30), key=lambda j, item=tuple(item): df[item[j]])[:13]:
+            item[j] = common[rng.integers(len(common))]
+        items.append(item)
+        home.append(d)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {r["doc_id"]: set(r["items"]) for r in leaks.find_leaks(docs, bench).collect()}
+    assert sum(i in got[d] for i, d in enumerate(home)) >= 95
+
+
 def plain_leaks(texts, items):
     """Each item is held against all of each text."""
     out = []
