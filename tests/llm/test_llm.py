@@ -747,6 +747,33 @@ def test_attention_beats_base_large(spark, sf):
     assert own > base + 0.2
 
 
+def test_attention_layout(spark, sf, monkeypatch):
+    """The model follows from the rows, however many partitions they are in, with one shard and with several."""
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    for tokens in (attention.SHARD, 8_000):
+        monkeypatch.setattr(attention, "fit", lambda *a, fit=FIT, tokens=tokens: fit(*a, tokens=tokens))
+        of = lambda n: {r["doc_id"]: r["score"] for r in attention.score_documents(df.repartition(n, "doc_id")).collect()}
+        one, some, many = of(1), of(8), of(64)
+        assert all(abs(one[d] - s) <= 1e-3 * max(1, abs(s)) for other in (some, many) for d, s in other.items())
+
+
+FIT = attention.fit
+
+
+def test_attention_chosen(spark):
+    """Of each text one window at least and about one in `every`; each in one round, one shard and whole."""
+    rng = np.random.default_rng(2)
+    counts = rng.integers(1, 50, 400).astype(float)
+    classes = attention.Classes(counts, rng.integers(0, 3, (400, 2 * attention.NEAR)).astype(np.float32))
+    texts = [rng.integers(0, 400, n).astype("<u2").tobytes() for n in (1, 5, 16, 17, 400, 9_000)]
+    df = spark.createDataFrame([(i, True, bytearray(t), bytearray(t)) for i, t in enumerate(texts)], "doc_id long, train boolean, first binary, last binary")
+    windows = sum(-(-len(t) // 2 // attention.FRESH) for t in texts)
+    for every, n in ((1, windows), (4, None)):
+        got = [r for k in range(3) for r in attention.chosen(df, classes, "<u2", every, 3, k, 5).collect()]
+        assert len({(r["place"], bytes(r["blob"])) for r in got}) == len(got) and {r["shard"] for r in got} == set(range(5))
+        assert len(got) == n if n else abs(len(got) - windows / 4) < 8
+
+
 def test_attention_windows(spark, monkeypatch):
     """The rounds train on each window of each training text once."""
     rows = [(i, " ".join(f"w{k}" for k in range(i % 300))) for i in range(600)]
