@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sql as functions
 from ..functions import wl
-from ..operators import cluster, expr, search
+from ..operators import cluster, expr, relational, search
 from ..sources import fixtures, keyed, store
 from ..sources.fixtures import NODES_SQL, read
 from ..sources.shared import fresh, stamp, written
@@ -118,6 +118,12 @@ def wl_histogram(spark, d):
     return encoded(spark, d).select(F.explode("enc").alias("feature", "cnt")).groupBy("feature").agg(F.count("*").alias("trees"), F.sum("cnt").alias("total"))
 
 
+@query(HISTOGRAM + " SELECT feature, count(*) AS trees, CAST(sum(cnt) AS BIGINT) AS total FROM hist GROUP BY feature")
+def wl_histogram_nodes(spark, d):
+    """The same from a row for each node, for trees larger than a row."""
+    return relational.encode_nodes(relational.nodes_of(trees(spark, d))).groupBy("feature").agg(F.count("*").alias("trees"), F.sum("n").alias("total"))
+
+
 @query(DOTS + " SELECT name, dot, norm2 FROM dots")
 def wl_dot_norms(spark, d):
     return search.with_cosine(encoded(spark, d), target_of(spark, d)).select("name", "dot", "norm2")
