@@ -10,13 +10,16 @@ import json
 import sys
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
 
 #: Constructor: JSON key, fields of its children in order.
 SHAPE = {
     "BVar": ("bvar", ()), "FVar": ("fvar", ()), "MVar": ("mvar", ()), "Sort": ("sort", ()), "Const": ("const", ()), "App": ("app", ("fn", "arg")), "Lam": ("lam", ("binderType", "body")),
     "ForallE": ("forallE", ("binderType", "body")), "LetE": ("letE", ("type", "value", "body")), "Lit": ("lit", ()), "MData": ("mdata", ("expr",)), "Proj": ("proj", ("struct",)),
 }
-KIND = {key: kind for kind, (key, _) in SHAPE.items()}
 ATOMS = frozenset(("BVar", "FVar", "MVar", "Sort", "Const"))
 
 
@@ -37,24 +40,28 @@ def _plain(x):
     return next(iter(x.values())) if isinstance(x, dict) and len(x) == 1 else x
 
 
-def _payload(kind: str, v):
-    if kind == "BVar":
-        if not isinstance(v, dict) or "deBruijnIndex" not in v:
-            raise ValueError("bvar without deBruijnIndex")
-        return v["deBruijnIndex"]
-    if kind in ("FVar", "MVar", "Sort"):
-        return str(_plain(v))
-    if kind == "Const":
-        return v["declName"], tuple(map(str, v.get("us", ())))
-    if kind in ("Lam", "ForallE"):
-        return v["binderName"], v.get("binderInfo")
-    if kind == "LetE":
-        return v["declName"], v.get("nonDep")
-    if kind == "Lit":
-        return str(v["literal"])
-    if kind == "MData":
-        return json.dumps(v.get("data"), sort_keys=True)
-    return (v.get("typeName"), v.get("idx")) if kind == "Proj" else None
+def _index(v):
+    if not isinstance(v, dict) or "deBruijnIndex" not in v:
+        raise ValueError("bvar without deBruijnIndex")
+    return v["deBruijnIndex"]
+
+
+def _name(v):
+    return str(_plain(v))
+
+
+def _binder(v):
+    return v["binderName"], v.get("binderInfo")
+
+
+#: JSON key: constructor, how its own data are read (None: it has none), fields of its children from the last.
+READ = {
+    SHAPE[kind][0]: (kind, read, SHAPE[kind][1][::-1])
+    for kind, read in {
+        "BVar": _index, "FVar": _name, "MVar": _name, "Sort": _name, "Const": lambda v: (v["declName"], tuple(map(str, v.get("us", ())))), "App": None, "Lam": _binder, "ForallE": _binder,
+        "LetE": lambda v: (v["declName"], v.get("nonDep")), "Lit": lambda v: str(v["literal"]), "MData": lambda v: json.dumps(v.get("data"), sort_keys=True), "Proj": lambda v: (v.get("typeName"), v.get("idx")),
+    }.items()
+}
 
 
 def parse(text: str) -> Expr:
@@ -62,16 +69,20 @@ def parse(text: str) -> Expr:
     if sys.getrecursionlimit() < 20_000:
         sys.setrecursionlimit(20_000)  # for json, whose scanner recurses
     out, work = Expr(), [(json.loads(text), -1)]
+    kinds, data, kids = out.kind, out.data, out.kids
     while work:
         obj, parent = work.pop()
         key = next(iter(obj), None) if isinstance(obj, dict) else None
-        if key not in KIND:
+        if key not in READ:
             raise ValueError(f"unknown expression {key!r}")
-        kind, v = KIND[key], obj[key]
-        me = out.add(kind, _payload(kind, v))
+        (kind, read, fields), v, me = READ[key], obj[key], len(kinds)
+        data.append(read(v) if read else None)
+        kinds.append(kind)
+        kids.append([])
         if parent >= 0:
-            out.kids[parent].append(me)
-        work += [(v[f], me) for f in reversed(SHAPE[kind][1])]
+            kids[parent].append(me)
+        for f in fields:
+            work.append((v[f], me))
     return out
 
 
@@ -160,6 +171,8 @@ def share(e: Expr) -> Expr:
 
 def drop_binders(e: Expr) -> Expr:
     """The normal form without universal quantifiers over atoms, in one bottom-up pass."""
+    if "ForallE" not in e.kind:
+        return e
     now = list(range(len(e.kind)))
     kids = [list(k) for k in e.kids]
     for i in reversed(range(len(e.kind))):
@@ -196,14 +209,50 @@ def label(kind: str, d) -> str:
     return f"{kind}({d})" if kind in ("BVar", "FVar", "MVar", "Sort", "Lit") else kind
 
 
-def pack(e: Expr) -> list[dict]:
+def places(e: Expr) -> tuple[list[int], list[int]]:
+    """Depth and parent of each node; parents stand before their children."""
     depth, parent = [0] * len(e.kind), [-1] * len(e.kind)
     for i, ks in enumerate(e.kids):
         for k in ks:
             depth[k], parent[k] = depth[i] + 1, i
+    return depth, parent
+
+
+def pack(e: Expr) -> list[dict]:
+    depth, parent = places(e)
     return [{"kind": k, "label": label(k, d), "depth": depth[i], "parent": parent[i], "children": list(e.kids[i])} for i, (k, d) in enumerate(zip(e.kind, e.data, strict=True))]
 
 
+class Packed:
+    """Many trees as flat columns, which become an Arrow array of what pack() gives for each."""
+
+    def __init__(self):
+        self.kind, self.label, self.depth, self.parent, self.children, self.arity, self.size = [], [], [], [], [], [], []
+
+    def add(self, e: Expr) -> None:
+        labels = list(map(label, e.kind, e.data))
+        "".join(labels).encode()  # half of a surrogate pair fails here, and only this tree
+        depth, parent = places(e)
+        self.kind += e.kind
+        self.label += labels
+        self.depth += depth
+        self.parent += parent
+        self.children += chain.from_iterable(e.kids)
+        self.arity += map(len, e.kids)
+        self.size.append(len(e.kind))
+
+    def skip(self) -> None:
+        """A null tree."""
+        self.size.append(None)
+
+    def array(self) -> pa.Array:
+        ends = lambda sizes: pa.array(np.cumsum([0, *sizes]), pa.int32())
+        ints = lambda x: pa.array(x, pa.int32())
+        nodes = {"kind": pa.array(self.kind, pa.string()), "label": pa.array(self.label, pa.string()), "depth": ints(self.depth), "parent": ints(self.parent), "children": pa.ListArray.from_arrays(ends(self.arity), ints(self.children))}
+        null = pa.array([n is None for n in self.size], pa.bool_())
+        return pa.ListArray.from_arrays(ends(n or 0 for n in self.size), pa.StructArray.from_arrays(list(nodes.values()), list(nodes)), mask=null)
+
+
 def pretty(labels: list[str], kids: list[list[int]]) -> str:
     out, work = [], [(0, 0)]
     while work:

@@ -6,6 +6,7 @@ import json
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -34,17 +35,21 @@ def auto_ratio(node_count: int) -> float:
 def parse_trees(theorems: DataFrame, json_col: str = "expr_json", normalized: bool = True) -> DataFrame:
     """Add node_count, simp_node_count, nodes (simplified) and error. Rows that fail have a null tree and say why."""
 
-    @F.pandas_udf(StructType([StructField("node_count", IntegerType()), StructField("nodes", ArrayType(NODE)), StructField("error", StringType())]))
-    def read(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
+    @F.arrow_udf(StructType([StructField("node_count", IntegerType()), StructField("nodes", ArrayType(NODE)), StructField("error", StringType())]))
+    def read(texts: pa.Array) -> pa.Array:
+        trees, counts, errors = expr.Packed(), [], []
+        for t in texts.to_pylist():
             try:
                 e = expr.parse(t)
                 e = e if normalized else expr.normalize(e)
-                rows.append((len(e.kind), expr.pack(expr.drop_binders(e)), None))
+                trees.add(expr.drop_binders(e))
+                counts.append(len(e.kind))
+                errors.append(None)
             except Exception as x:  # noqa: BLE001  a malformed row is set apart, not the query's end
-                rows.append((None, None, f"{type(x).__name__}: {x}"))
-        return pd.DataFrame(rows, columns=["node_count", "nodes", "error"], dtype=object)
+                trees.skip()
+                counts.append(None)
+                errors.append(f"{type(x).__name__}: {x}".encode(errors="replace").decode())
+        return pa.StructArray.from_arrays([pa.array(counts, pa.int32()), trees.array(), pa.array(errors, pa.string())], ["node_count", "nodes", "error"])
 
     out = theorems.withColumn("__t", read.asNondeterministic()(json_col))
     return out.select(*theorems.columns, "__t.node_count", F.when(F.col("__t.nodes").isNotNull(), F.size("__t.nodes")).alias("simp_node_count"), "__t.nodes", "__t.error")

@@ -178,6 +178,27 @@ def plain_distance(t1, t2):
     return far((a,), (c,))
 
 
+def test_packed():
+    """Flat columns of many trees are what pack() gives for each; skipped trees are null, and an empty batch is none."""
+    trees = [expr.parse(json.dumps(v)) for v in T.values()] + [expr.parse(_text(300))]
+    rows = expr.Packed()
+    assert rows.array().to_pylist() == []
+    for e in trees:
+        rows.add(e)
+        rows.skip()
+    assert rows.array().to_pylist() == [x for e in trees for x in (expr.pack(e), None)]
+
+
+def test_malformed_rows(spark):
+    """Rows that can't be read, half a surrogate pair among them, are set apart and leave their batch alone."""
+    bad = {"none": None, "text": "{", "kind": '{"loop": 1}', "half": '{"lit": {"literal": "\\ud800"}}', "bound": '{"bvar": {"deBruijnIndex": 0}}'}
+    rows = spark.createDataFrame([("good", json.dumps(T["T1"])), *bad.items()], "name string, expr_json string").coalesce(1)
+    got = {r["name"]: r for r in search.parse_trees(rows, normalized=False).collect()}
+    assert got["good"]["error"] is None and got["good"]["node_count"] == got["good"]["simp_node_count"] == len(got["good"]["nodes"]) > 1
+    for name in bad:
+        assert got[name]["error"] and got[name]["nodes"] is None and got[name]["node_count"] is None and got[name]["simp_node_count"] is None, name
+
+
 def test_edit_distance():
     rng = random.Random(1)
     for _ in range(150):
