@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from . import reduce, search, topk
+from . import reduce, search
 
 #: The numerator of the inverse frequency, and the frequency above which a feature has one; others weigh 1.
 NUMERATOR, RARE = 330_000, 5
@@ -35,6 +38,37 @@ def vector_entries(enc: DataFrame, features: DataFrame) -> DataFrame:
     return enc.select("name", F.explode("enc").alias("feature", "cnt")).join(features, "feature").select("name", "idx", (F.col("cnt") * F.col("weight")).alias("value"))
 
 
+def entries_of(encs: pa.Array, known: pa.Array, absent: int = -1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, place among the known features and count of each entry of an array of maps, in order."""
+    at = encs.offsets.to_numpy()
+    size = np.diff(at)
+    if encs.null_count:
+        size = np.where(encs.is_null().to_numpy(zero_copy_only=False), 0, size)
+    row = np.repeat(np.arange(len(encs)), size)
+    take = slice(int(at[0]), int(at[-1])) if not encs.null_count else np.arange(size.sum()) + np.repeat(at[:-1] - np.cumsum(size) + size, size)
+    place = pc.index_in(encs.keys, known).fill_null(absent).to_numpy(zero_copy_only=False)[take].astype(np.int64)
+    return row, place, encs.items.to_numpy(zero_copy_only=False)[take].astype(float)
+
+
+def sparse_rows(enc: DataFrame, features: DataFrame) -> DataFrame:
+    """reduce.sparse(vector_entries()) without moving a row: the features, a bounded number of them, go out to all tasks. Rows without
+    a known feature are left out."""
+    held = sorted((r["idx"], r["feature"], float(r["weight"])) for r in features.select("idx", "feature", "weight").toLocalIterator())
+    known, idx, weight = pa.array([f for _, f, _ in held], pa.string()), np.array([i for i, _, _ in held], np.int32), np.array([w for _, _, w in held])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, at, value = entries_of(batch.column("enc"), known)
+            row, at, value = row[at >= 0], at[at >= 0], value[at >= 0]
+            order = np.lexsort((at, row))
+            row, at, value = row[order], at[order], value[order]
+            rows, n = np.unique(row, return_counts=True)
+            ends = pa.array(np.r_[0, np.cumsum(n)], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("name").take(pa.array(rows)), pa.ListArray.from_arrays(ends, pa.array(idx[at], pa.int32())), pa.ListArray.from_arrays(ends, pa.array(value * weight[at], pa.float64()))], names=["name", "idx", "value"])
+
+    return enc.select(F.col("name").cast("string"), "enc").where("enc IS NOT NULL").mapInArrow(run, "name string, idx array<int>, value array<double>")
+
+
 @dataclass
 class Model:
     """Feature map (feature, df, idx, weight), principal components of weighed counts, and centres in their space."""
@@ -45,7 +79,7 @@ class Model:
 
     def reduced(self, enc: DataFrame) -> DataFrame:
         """(name, reduced) of encodings (name, enc); those without a known feature are left out."""
-        return self.components.apply(reduce.sparse(vector_entries(enc, self.features)))
+        return self.components.apply(sparse_rows(enc, self.features))
 
     def assign(self, enc: DataFrame) -> DataFrame:
         """(name, cluster_id) by the nearest centre."""
@@ -55,10 +89,10 @@ class Model:
 def fit(enc: DataFrame, features: int = 5000, dims: int = 200, k: int = 2000, seed: int = 42) -> tuple[Model, DataFrame]:
     """Feature map, randomised components and mini-batch k-means of encodings; and the reduced vectors, written."""
     chosen = written(feature_map(document_frequency(enc), features), "features")
-    rows = written(reduce.sparse(vector_entries(enc, chosen)), "sparse")
+    rows = written(sparse_rows(enc, chosen), "sparse")
     size = chosen.count()
     parts = reduce.components(rows, max(1, size), min(dims, max(1, size)), seed=seed)
-    low = written(parts.apply(rows), "reduced")
+    low = reduce.paged(parts.apply(rows), seed=seed)
     return Model(chosen, parts, reduce.mini_batch_means(low, k, seed=seed)), low
 
 
@@ -159,10 +193,11 @@ def choose(model: Model, target: search.Target, n: int = 5500) -> list[int]:
     return [int(i) for i in np.argsort(far, kind="stable")[:n]]
 
 
-def write_partitioned(rows: DataFrame, path: str) -> DataFrame:
+def write_partitioned(rows: DataFrame, path: str, deal: bool = True) -> DataFrame:
     """Write a search table with cluster_id as inverted lists: a folder for each cluster, so that a search opens the chosen ones only,
-    each sorted by size. A cluster of many rows is dealt out to several files, and small ones share a task."""
-    even = rows.hint("rebalance", "cluster_id").sortWithinPartitions("cluster_id", "simp_node_count", "name")
+    each sorted by size. A cluster of many rows is dealt out to several files, and small ones share a task. Without `deal`, for few clusters, no row moves
+    and each task writes a file for each cluster it has."""
+    even = (rows.hint("rebalance", "cluster_id") if deal else rows).sortWithinPartitions("cluster_id", "simp_node_count", "name")
     even.write.mode("overwrite").option("compression", "zstd").partitionBy("cluster_id").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
@@ -178,11 +213,36 @@ def partitioned_search(table: DataFrame, target: search.Target, clusters: list[i
     return rows.orderBy(F.desc("wl"), F.asc("name")).limit(top)
 
 
+def led(enc: DataFrame, leaders: DataFrame) -> DataFrame:
+    """Add cluster_id, that of the leader (name, cluster_id and an encoding's columns) of greatest cosine, to nine digits, of equals the
+    least name; null for trees that share nothing with any. Leaders go out to all tasks (they are few), and rows stay where they are."""
+    held = sorted(((r["name"], r["cluster_id"], r["norm2"], dict(r["enc"])) for r in leaders.where("enc IS NOT NULL").select("name", "cluster_id", "norm2", "enc").toLocalIterator()), key=lambda r: r[0])
+    if not held:
+        return enc.withColumn("cluster_id", F.lit(None).cast("int"))
+    features = list(dict.fromkeys(f for r in held for f in r[3]))
+    place = {f: i for i, f in enumerate(features)}
+    counts = np.zeros((len(features) + 1, len(held)))  # the last row is for features that no leader has
+    for k, r in enumerate(held):
+        counts[[place[f] for f in r[3]], k] = list(r[3].values())
+    norms, known = np.sqrt([float(r[2]) for r in held]), pa.array(features, pa.string())
+
+    @F.arrow_udf("array<double>")
+    def cosines(encs: pa.Array, norm2: pa.Array) -> pa.Array:
+        row, at, value = entries_of(encs, known, len(features))
+        dots = np.zeros((len(encs), len(held)))
+        begins = np.flatnonzero(np.r_[True, np.diff(row) > 0]) if len(row) else row
+        if len(row):
+            dots[row[begins]] = np.add.reduceat(value[:, None] * counts[at], begins, axis=0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            wl = np.clip(dots / (norms * np.sqrt(norm2.fill_null(0).to_numpy(zero_copy_only=False).astype(float))[:, None]), 0.0, 1.0)
+        flat = pa.array(wl.ravel(), mask=dots.ravel() <= 0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, wl.size + 1, len(held)), pa.int32()), flat)
+
+    best = F.array_min(F.transform("__wl", lambda w, i: F.when(w.isNotNull(), F.struct((-F.round(w, 9)).alias("d"), i.alias("i")))))
+    ids = F.array(*[F.lit(r[1]) for r in held])
+    return enc.withColumn("__wl", cosines.asNondeterministic()("enc", "norm2")).withColumn("cluster_id", F.get(ids, best["i"])).drop("__wl")
+
+
 def lead(enc: DataFrame, leaders: DataFrame) -> DataFrame:
-    """(name, cluster_id) by the leader (name, cluster_id and an encoding's columns) of greatest cosine, to nine digits, of equals the
-    least name; null for trees that share nothing with any."""
-    pairs = topk.topk_join(leaders, enc, 1, (F.lit(0.0), F.lit(1e18))).where("query IS NOT NULL")
-    best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("wl", 9)), "name"))
-    first = pairs.withColumn("r", best).where("r = 1").select(F.col("name").alias("leader"), F.col("query").alias("name"))
-    ids = first.join(leaders.select(F.col("name").alias("leader"), "cluster_id"), "leader").select("name", "cluster_id")
-    return enc.select("name").join(ids, "name", "left")
+    """(name, cluster_id) of led()."""
+    return led(enc.select("name", "enc", "norm2"), leaders).select("name", "cluster_id")

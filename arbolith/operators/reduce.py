@@ -10,10 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import forget, written
+from ..sources.shared import forget, fresh, written
 
 #: Rows of a block of matrix work; numbers of a slab in which sums meet; slabs that are summed at once.
 BLOCK, SLAB, FAN = 1024, 1 << 16, 32
@@ -170,19 +170,31 @@ def seeds(x: np.ndarray, k: int, rng: np.random.Generator, tries: int = 4, round
     return centers
 
 
+def page_of(pages: int, seed: int) -> Column:
+    return F.pmod(F.xxhash64("name", F.lit(seed)), F.lit(pages))
+
+
+def paged(reduced: DataFrame, pages: int = 10, seed: int = 42) -> DataFrame:
+    """Write reduced rows in a folder for each page, so that a step of mini_batch_means() with the same pages and seed reads its own."""
+    path = fresh(reduced.sparkSession, "reduced")
+    reduced.withColumn("page", page_of(pages, seed).cast("int")).write.option("compression", "zstd").partitionBy("page").parquet(path)
+    return reduced.sparkSession.read.schema("name string, reduced array<double>, page int").parquet(path)
+
+
 def mini_batch_means(reduced: DataFrame, k: int, pages: int = 10, rounds: int = 3, sample: int | None = None, starts: int | None = None, seed: int = 42) -> np.ndarray:
     """k centres: seeded on a bounded sample (10 k rows, by a digest of the name; the best of some starts, 1000 / k of them up to
     8 unless told otherwise, for many centres differ less between starts and cost more), then moved by page after page of the rows. A page's
     rows are assigned in parallel; each centre moves to the running mean of the rows it has had in this round over the pages, so
     that every round ends with means of whole assignments."""
-    chosen = reduced.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("name"))), "name").limit(sample or 10 * k)
-    start = np.array([r["reduced"] for r in chosen.select("reduced").toLocalIterator()], float)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("name")))
+    chosen = reduced.select("name", digest.alias("digest")).orderBy("digest", "name").limit(sample or 10 * k)
+    start = np.array([r["reduced"] for r in reduced.join(F.broadcast(chosen), "name").orderBy("digest", "name").limit(sample or 10 * k).select("reduced").toLocalIterator()], float)
     if not len(start):
         return np.zeros((0, 0))
     rng = np.random.default_rng(seed)
     centers = min((seeds(start, k, rng) for _ in range(starts or max(1, min(8, 1000 // k)))), key=lambda c: nearest(start, c)[1].sum())
     k, dims = centers.shape
-    page = F.pmod(F.xxhash64("name", F.lit(seed)), F.lit(pages))
+    page = F.col("page") if "page" in reduced.columns else page_of(pages, seed)
 
     def step(part: DataFrame, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         def work(b: pa.RecordBatch) -> Iterator[np.ndarray]:
