@@ -16,9 +16,15 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import written
 
-#: Rows and queries of a block; up to so many distinct sizes their table is broadcast (16 bytes each).
-ROWS, QUERIES, BROADCAST = 20_000, 2_048, 1_000_000
-SLACK = 1e-9
+#: Rows and queries of a block; queries of a block at most, where there are PAIRS pairs of blocks even so; up to so many distinct sizes their table is broadcast (16 bytes each).
+ROWS, QUERIES, MOST, BROADCAST = 20_000, 2_048, 16_384, 1_000_000
+SLACK, PAIRS = 1e-9, 64
+
+
+def block_size(row_blocks: int, queries: int) -> int:
+    """Queries of a block. Rows are sent once for each block of queries, so blocks grow as long as there is work for PAIRS tasks."""
+    return int(min(MOST, max(QUERIES, queries * row_blocks // PAIRS)))
+
 SCHEMA = "query string, name string, wl double, scored long"
 
 
@@ -140,7 +146,7 @@ def _placed(df: DataFrame, table: list[tuple[int, int, int]], band: str) -> Data
     return joined.withColumnRenamed("band", band).withColumn("block", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int"))
 
 
-def topk_join(corpus: DataFrame, queries: DataFrame, top: int | None, ranges: tuple[Column, Column], zeros: bool = False, rows: int = ROWS, block: int = QUERIES) -> DataFrame:
+def topk_join(corpus: DataFrame, queries: DataFrame, top: int | None, ranges: tuple[Column, Column], zeros: bool = False, rows: int = ROWS, block: int | None = None) -> DataFrame:
     """(query, name, wl, scored) of the pairs in range that share a feature. With `top`, of each query its so many best rows are among
     them, with their equals, and more that single blocks couldn't rule out: the cut over all is the caller's. With `zeros`, queries
     of fewer pairs also get rows that share nothing, the least names first. Rows without a query count scored pairs.
@@ -152,7 +158,9 @@ def topk_join(corpus: DataFrame, queries: DataFrame, top: int | None, ranges: tu
     own = [F.col("simp_node_count").cast("int").alias("size"), F.col("norm2").cast("long").alias("norm2"), F.map_keys("enc").alias("keys"), F.map_values("enc").alias("values")]
     left = corpus.where("enc IS NOT NULL AND simp_node_count IS NOT NULL").select("name", *own)
     right = queries.where("enc IS NOT NULL AND simp_node_count IS NOT NULL").select("name", *own, ranges[0].cast("double").alias("low"), ranges[1].cast("double").alias("high"))
-    row_bands, query_bands = bands(_sizes(left), rows), bands(_sizes(right), block)
+    row_bands, query_sizes = bands(_sizes(left), rows), _sizes(right)
+    row_blocks = sum({b: k for _, b, k in row_bands}.values())
+    query_bands = bands(query_sizes, block or block_size(row_blocks, sum(n for _, n in query_sizes)))
     left = _placed(left, row_bands, "band").drop("blocks")
     right = written(_placed(right, query_bands, "q").drop("blocks").withColumn("bar", F.lit(None).cast("double")), "queries")
     # The bands that each block of queries reaches lie side by side.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from arbolith.functions import sql as functions
 from arbolith.functions import wl
-from arbolith.operators import cluster, reduce
+from arbolith.operators import cluster, reduce, relational, topk
 from arbolith.sources import fixtures
 
 
@@ -70,3 +70,20 @@ def test_pages_are_folders(spark):
     held = reduce.paged(df, 4, 42)
     assert "PartitionFilters: [isnotnull(page" in held.where(F.col("page") == 1)._jdf.queryExecution().executedPlan().toString()
     assert abs(reduce.mini_batch_means(held, 5, pages=4) - reduce.mini_batch_means(df, 5, pages=4)).max() < 1e-9
+
+
+def test_nodes_in_one_shuffle(spark, sf, monkeypatch):
+    """Trees that fit in a task are dealt out once; larger ones still give the same."""
+    rows = relational.nodes_of(fixtures.order_trees(spark, sf))
+    want = {(r["name"], r["key"], r["value"]) for r in fixtures.order_trees(spark, sf, 3).select("name", F.explode("enc")).collect()}
+    monkeypatch.setattr(relational, "BATCH", 500)
+    whole = relational.encode_nodes(rows)
+    assert whole._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 2  # of order lines, and of nodes
+    assert {tuple(r) for r in whole.collect()} == want
+    monkeypatch.setattr(relational, "WHOLE", 30)
+    assert {tuple(r) for r in relational.encode_nodes(rows).collect()} == want
+
+
+def test_query_blocks_grow():
+    """Rows are sent once for each block of queries; at six times sf0.1 three blocks of queries meet, not twenty-two."""
+    assert topk.block_size(1, 100) == topk.QUERIES and topk.block_size(45, 44_000) == topk.MOST
