@@ -1,6 +1,7 @@
 """Order trees out of sorted lines, and what is done with encodings without moving a row."""
 
 import math
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -87,3 +88,11 @@ def test_nodes_in_one_shuffle(spark, sf, monkeypatch):
 def test_query_blocks_grow():
     """Rows are sent once for each block of queries; at six times sf0.1 three blocks of queries meet, not twenty-two."""
     assert topk.block_size(1, 100) == topk.QUERIES and topk.block_size(45, 44_000) == topk.MOST
+
+
+def test_label_counts(spark, sf):
+    """Raw labels and rounds are counted as the Column functions count them, whatever the depth."""
+    df = fixtures.order_trees(spark, sf).limit(40)
+    first = wl.initial_labels(F.col("nodes"))
+    both = df.withColumn("a", first).withColumn("b", wl.next_labels(F.col("nodes"), F.col("a"))).withColumn("h", wl.label_counts(F.col("nodes"), 1)).collect()
+    assert both and all(dict(r["h"]) == Counter([f"0_{x}" for x in r["a"]] + [f"1_{x}" for x in r["b"]]) for r in both)
