@@ -2,11 +2,13 @@
 
 import math
 from collections import Counter
+from inspect import signature
 
 from pyspark.sql import functions as F
 
 from arbolith.functions import sql as functions
 from arbolith.functions import wl
+from arbolith.llm import attention
 from arbolith.operators import cluster, reduce, relational, topk
 from arbolith.sources import fixtures
 
@@ -96,3 +98,8 @@ def test_label_counts(spark, sf):
     first = wl.initial_labels(F.col("nodes"))
     both = df.withColumn("a", first).withColumn("b", wl.next_labels(F.col("nodes"), F.col("a"))).withColumn("h", wl.label_counts(F.col("nodes"), 1)).collect()
     assert both and all(dict(r["h"]) == Counter([f"0_{x}" for x in r["a"]] + [f"1_{x}" for x in r["b"]]) for r in both)
+
+
+def test_every_window_is_learned_from():
+    """No window of a training text is left out unless a caller says so."""
+    assert attention.EVERY == 1 and signature(attention.score_documents).parameters["every"].default == signature(attention.fit).parameters["every"].default == 1
