@@ -1,15 +1,18 @@
 """Order trees out of sorted lines, and what is done with encodings without moving a row."""
 
 import math
+import random
 from collections import Counter
 from inspect import signature
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from arbolith.functions import sql as functions
-from arbolith.functions import wl
+from arbolith.functions import wl, wl_batch
 from arbolith.llm import attention
-from arbolith.operators import cluster, reduce, relational, topk
+from arbolith.operators import cluster, reduce, relational, search, topk
+from arbolith.plans import registry
 from arbolith.sources import fixtures
 
 
@@ -103,3 +106,63 @@ def test_label_counts(spark, sf):
 def test_every_window_is_learned_from():
     """No window of a training text is left out unless a caller says so."""
     assert attention.EVERY == 1 and signature(attention.score_documents).parameters["every"].default == signature(attention.fit).parameters["every"].default == 1
+
+
+def test_dots_in_numbers(spark, sf):
+    """Dot products and lengths without texts are those of histograms, whatever the order and number of children."""
+    rng = random.Random(5)
+
+    def tree():
+        nodes = [{"kind": "App", "label": "App", "depth": 0, "parent": -1, "children": []}]
+        for i in range(1, rng.randrange(2, 30)):
+            p = rng.randrange(max(0, i - 4), i)
+            nodes[p]["children"].append(i)
+            nodes.append({"kind": "Lit", "label": f"Lit({rng.randrange(2)})", "depth": nodes[p]["depth"] + 1, "parent": p, "children": []})
+        return nodes
+
+    trees = [*([n.asDict() for n in r["nodes"]] for r in fixtures.order_trees(spark, sf).limit(30).collect()), *(tree() for _ in range(60)), []]
+    packed = pa.array(trees, wl_batch.NODES)
+    encs = [dict(e) for e in wl_batch.histograms(packed, 3).to_pylist()]
+    for t in (0, 40, 70):
+        dot, norm2 = wl_batch.dots(packed, packed.slice(t, 1), 3)
+        assert norm2.tolist() == [sum(v * v for v in e.values()) for e in encs]
+        assert dot.tolist() == [sum(v * encs[t].get(k, 0) for k, v in e.items()) for e in encs]
+
+
+def test_cut_before_trees(spark, sf, tmp_path, monkeypatch):
+    """A search of one tree keeps no table of all trees; orders of one key that differ are each judged, and the cut is that of stage 1."""
+    for t in ("orders", "lineitem", "part"):
+        df = fixtures.read(spark, sf, t)
+        (df.unionByName(df.where("o_orderkey % 2 = 0").withColumn("o_orderstatus", F.lit("P"))) if t == "orders" else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    path = str(tmp_path)
+    enc, t = fixtures.order_trees(spark, path, 3).cache(), registry.target_of(spark, path)
+    monkeypatch.setattr(registry, "encoded", None)
+    monkeypatch.setattr(registry, "encodings", None)
+    for top in (7, 150):
+        want = search.stage1(enc, t, top).collect()
+        got = search.stage1(registry.nearby(spark, path, t, top), t, top)
+        assert [(r["name"], r["wl"]) for r in got.collect()] == [(r["name"], r["wl"]) for r in want]
+    for q in ("competition_rank", "tree_edit_distance", "composite_full", "topk_display_strings"):
+        assert registry.queries()[q](spark, path).count() > 0
+
+
+def test_lines_are_dealt_once(spark, sf):
+    """Lines move by order once, before the join with orders, which then moves only orders."""
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        plan = fixtures.order_lines(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert plan.count("hashpartitioning(l_orderkey") == 1 and plan.count("hashpartitioning(o_orderkey") == 1
+
+
+def test_least_tree_beyond_the_first_names(spark, sf, tmp_path):
+    """Where none of the first names has lines, the least of all others is found."""
+    for t in ("orders", "lineitem", "part"):
+        df = fixtures.read(spark, sf, t)
+        (df.where("l_orderkey > 40") if t == "lineitem" else df).write.parquet(f"{tmp_path}/{t}.parquet")
+    want = min(r["name"] for r in fixtures.order_trees(spark, str(tmp_path)).collect())
+    assert [fixtures.least_tree(spark, str(tmp_path), many=n).first()["name"] for n in (3, 1000)] == [want] * 2
