@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from arbolith.functions import sql as functions
 from arbolith.functions import wl, wl_batch
 from arbolith.llm import attention
-from arbolith.operators import cluster, reduce, relational, search, topk
+from arbolith.operators import cluster, expr, reduce, relational, search, topk
 from arbolith.plans import registry
 from arbolith.sources import fixtures
 
@@ -166,3 +166,14 @@ def test_least_tree_beyond_the_first_names(spark, sf, tmp_path):
         (df.where("l_orderkey > 40") if t == "lineitem" else df).write.parquet(f"{tmp_path}/{t}.parquet")
     want = min(r["name"] for r in fixtures.order_trees(spark, str(tmp_path)).collect())
     assert [fixtures.least_tree(spark, str(tmp_path), many=n).first()["name"] for n in (3, 1000)] == [want] * 2
+
+
+def test_table_function_sets_texts_apart(spark):
+    """Half of a surrogate pair in one text costs that text alone, and what needs no rewrite isn't made anew."""
+    functions.register(spark)
+    text = lambda x: '{"app":{"fn":{"const":{"declName":"%s","us":[]}},"arg":{"sort":{"u":"P"}}}}' % x  # noqa: E731, UP031
+    rows = spark.createDataFrame([("a", text("f")), ("b", text("\\ud800")), ("c", text("g"))], "name string, json string")
+    got = spark.sql("SELECT name, label FROM tree_nodes(TABLE(SELECT name, json FROM {rows})) WHERE id = 1", rows=rows)
+    assert sorted(map(tuple, got.collect())) == [("a", "Const(f, [])"), ("c", "Const(g, [])")]
+    e = expr.parse(text("f"))
+    assert expr.drop_binders(expr.normalize(e)) is e
