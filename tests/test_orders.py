@@ -177,3 +177,18 @@ def test_table_function_sets_texts_apart(spark):
     assert sorted(map(tuple, got.collect())) == [("a", "Const(f, [])"), ("c", "Const(g, [])")]
     e = expr.parse(text("f"))
     assert expr.drop_binders(expr.normalize(e)) is e
+
+
+def test_entries_without_encodings(spark, sf, monkeypatch):
+    """Frequencies and weighed entries of batches of trees are those of encodings, which no table or explode holds."""
+    monkeypatch.setattr(fixtures, "LINES", 50)
+    enc = fixtures.order_trees(spark, sf, 3).select("name", "enc")
+    df = registry.frequencies(spark, sf)
+    assert {tuple(r) for r in df.collect()} == {tuple(r) for r in cluster.document_frequency(enc).collect()}
+    chosen = cluster.feature_map(df, 40).cache()
+    flat = lambda x: {(r["name"], r["idx"]): round(r["value"], 9) for r in x.collect()}
+    assert flat(fixtures.order_entries(spark, sf, chosen)) == flat(cluster.vector_entries(enc, chosen))
+    monkeypatch.setattr(registry, "encoded", None)
+    monkeypatch.setattr(registry, "encodings", None)
+    plan = registry.queries()["tfidf_vector_long"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Join" in plan
