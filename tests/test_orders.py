@@ -192,3 +192,23 @@ def test_entries_without_encodings(spark, sf, monkeypatch):
     monkeypatch.setattr(registry, "encodings", None)
     plan = registry.queries()["tfidf_vector_long"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "Join" in plan
+
+
+def test_batches_in_slices(spark, sf, monkeypatch):
+    """A batch of long trees is taken in parts of bounded nodes, with the same histograms and dot products."""
+    trees = fixtures.order_trees(spark, sf).limit(40).cache()
+    t = trees.orderBy("name").first()["nodes"]
+    packed = pa.array([[n.asDict() for n in r["nodes"]] for r in trees.collect()] + [None, []], wl_batch.NODES)
+    parts = list(wl_batch.slices(packed, 60))
+    assert sum(map(len, parts)) == 42 and len(parts) > 5 and all(len(p) == 1 or len(p.flatten()) <= 60 for p in parts)
+    flat = lambda df: {(r["name"], r["norm2"], r["dot"]) for r in df.collect()}
+    whole = flat(wl.encode(trees).withColumn("dot", wl.dot("enc", dict(wl.encode(trees).orderBy("name").first()["enc"]))))
+    monkeypatch.setattr(wl_batch, "AT_ONCE", 60)
+    assert flat(wl.with_dots(trees, t)) == whole
+
+
+def test_report_of_one_target_makes_no_table(spark, sf, monkeypatch):
+    """The report's corpus is what stage 1 keeps: trees of all orders are neither written nor shuffled."""
+    monkeypatch.setattr(registry, "encoded", None)
+    monkeypatch.setattr(registry, "encodings", None)
+    assert registry.queries()["evaluation_report"](spark, sf).count() == 1
