@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from inspect import signature
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -212,3 +213,28 @@ def test_report_of_one_target_makes_no_table(spark, sf, monkeypatch):
     monkeypatch.setattr(registry, "encoded", None)
     monkeypatch.setattr(registry, "encodings", None)
     assert registry.queries()["evaluation_report"](spark, sf).count() == 1
+
+
+def test_scores_without_names(spark, sf):
+    """A search of one tree counts labels in numbers, of lines that carry no names of constants, and finds what full trees would give."""
+    lines = fixtures.order_lines(spark, sf, names=False)
+    assert lines.columns == ["own", "key", "status", "size"]
+    o = fixtures.Orders.of(lines.where("key < 400").toArrow())
+    whole = fixtures.Orders.of(fixtures.order_lines(spark, sf).where("key < 400").toArrow())
+    trees = fixtures.packed(whole)
+    place = {k: i for i, k in enumerate(whole.key.to_pylist())}
+    own = [place[k] for k in o.key.to_pylist()]
+    for t in (0, 5):
+        got = wl_batch.flat_dots(fixtures.flat(o), wl_batch.Flat.of(trees.slice(t, 1)), 3)
+        want = wl_batch.dots(trees, trees.slice(t, 1), 3)
+        assert all(g.tolist() == w[own].tolist() for g, w in zip(got, want, strict=True))
+
+
+def test_renumbered():
+    """Keys of a narrow and of a wide range get numbers that tell apart what differs, and nothing else."""
+    rng = random.Random(3)
+    for bound in (1, 50, 1 << 40):
+        key = np.array([rng.randrange(bound) for _ in range(300)] * 2)
+        found, number = wl_batch.renumbered(key, bound)
+        assert found[number].tolist() == key.tolist() and len(set(found.tolist())) == len(found) == len(set(key.tolist()))
+    assert [x.tolist() for x in wl_batch.renumbered(np.zeros(0, np.int64), 7)] == [[], []]
