@@ -50,6 +50,10 @@ SHARD, TASKS = 2_000_000, 10_000
 BLOCK_BYTES, PAIRS = 18_000_000, 4_000_000
 
 
+#: 1 where a fresh position of a full window may look.
+CAUSAL = (np.arange(WINDOW)[None] <= (WINDOW - FRESH + np.arange(FRESH))[:, None]).astype(np.float32)
+
+
 def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
@@ -72,27 +76,32 @@ class Net:
     @staticmethod
     def mask(pad: np.ndarray) -> np.ndarray:
         """1 where a fresh position may look: not at later inputs, nor at padding before the text."""
-        j = np.arange(WINDOW)
-        causal = j[None] <= (WINDOW - FRESH + np.arange(FRESH))[:, None]
-        return (causal[None] & (j >= pad[:, None])[:, None]).astype(np.float32)
+        return CAUSAL[None] * (np.arange(WINDOW) >= pad[:, None])[:, None]
 
     def loss(self, x: np.ndarray, y: np.ndarray, pad: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy of the classes and its gradients. x holds first and last symbols: (windows, WINDOW, 2)."""
         w, scale, many = self.w, np.float32(WIDTH**-0.5), len(x)
         flat = lambda t: t.reshape(-1, t.shape[-1])
-        e = w["e"][x[:, :, 0]]
-        e += w["l"][x[:, :, 1]]
+        ones = np.ones(max(many * FRESH, WINDOW, len(w["b"])), np.float32)  # sums of rows and columns are products with these
+        every = ones[: many * FRESH]
+        first, last = np.ascontiguousarray(x[:, :, 0]), np.ascontiguousarray(x[:, :, 1])
+        e = np.take(w["e"], first, axis=0)
+        e += np.take(w["l"], last, axis=0)
         e += w["p"]
         e2, eq = flat(e), flat(e[:, -FRESH:])
-        kv = e2 @ np.c_[w["k"], w["v"]]  # large products of flat arrays; only the attention itself is one for each window
-        k, v = np.ascontiguousarray(kv[:, :WIDTH]).reshape(many, WINDOW, WIDTH), np.ascontiguousarray(kv[:, WIDTH:]).reshape(many, WINDOW, WIDTH)
+        wkv = np.concatenate([w["k"], w["v"]], axis=1)
+        kv = (e2 @ wkv).reshape(many, WINDOW, 2 * WIDTH)  # large products of flat arrays; only the attention itself is one for each window
+        k, v = np.ascontiguousarray(kv[:, :, :WIDTH]), np.ascontiguousarray(kv[:, :, WIDTH:])
         q = (eq @ (w["q"] * scale)).reshape(many, FRESH, WIDTH)
         a = q @ k.transpose(0, 2, 1)
-        a -= a.max(2, keepdims=True)
+        if a.max() > 40 or a.min() < -40:
+            a -= a.max(2, keepdims=True)
         np.exp(a, out=a)
-        a *= self.mask(pad)
-        a += np.float32(1e-30)
-        a /= a.sum(2, keepdims=True)
+        a *= CAUSAL
+        if (some := np.flatnonzero(pad)).size:
+            a[some] *= self.mask(pad[some])
+        # What is masked stays 0: as small numbers, products of its gradients would be denormal, which take many times as long.
+        a *= 1 / (flat(a) @ ones[:WINDOW] + np.float32(1e-30)).reshape(many, FRESH, 1)
         o = flat(a @ v)
         h0 = o @ w["o"]
         h0 += eq
@@ -101,48 +110,70 @@ class Net:
         np.maximum(h, 0, out=h)
         p = h @ w["u"]
         p += w["b"]
-        p -= p.max(1, keepdims=True)
+        if p.max() > 60 or p.min() < -60:
+            p -= p.max(1, keepdims=True)
         np.exp(p, out=p)
-        p /= p.sum(1, keepdims=True)
+        total = p @ ones[: p.shape[1]]
         y = y.ravel()
         n = np.flatnonzero(y >= 0)
-        loss = float(-np.log(p[n, y[n]] + 1e-30).mean()) if len(n) else 0.0
-        p[n, y[n]] -= 1
+        at = n * p.shape[1] + y[n]
+        loss = float(-np.log(p.ravel()[at] / total[n] + 1e-30).mean()) if len(n) else 0.0
+        share = np.float32(1 / max(1, len(n)))
+        each = share / total
         if len(n) < len(y):
-            p[y < 0] = 0
-        p *= np.float32(1 / max(1, len(n)))
-        grad = {"u": h.T @ p, "b": p.sum(0)}
+            each[y < 0] = 0
+        p *= each[:, None]
+        p.ravel()[at] -= share
+        grad = {"u": h.T @ p, "b": every @ p}
         dz = p @ w["u"].T
         dz *= h > 0
-        grad |= {"w1": h0.T @ dz, "b1": dz.sum(0)}
+        grad |= {"w1": h0.T @ dz, "b1": every @ dz}
         dh = dz @ w["w1"].T
         grad["o"] = o.T @ dh
-        do = (dh @ w["o"].T).reshape(many, FRESH, WIDTH)
+        do = dh @ w["o"].T
+        inner = np.einsum("ij,ij->i", do, o).reshape(many, FRESH, 1)  # over a row, weights times their gradients
+        do = do.reshape(many, FRESH, WIDTH)
         ds = do @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ do
-        ds -= (a * ds).sum(2, keepdims=True)
+        ds -= inner
         ds *= a
-        dq, dk = flat(ds @ k) * scale, ds.transpose(0, 2, 1) @ q
-        dkv = np.concatenate([flat(dk), flat(dv)], axis=1)
+        dq = flat(ds @ k)
+        dq *= scale
+        dkv = np.concatenate([flat(ds.transpose(0, 2, 1) @ q), flat(a.transpose(0, 2, 1) @ do)], axis=1)
         both = e2.T @ dkv
         grad |= {"q": eq.T @ dq, "k": both[:, :WIDTH], "v": both[:, WIDTH:]}
-        de = (dkv @ np.c_[w["k"], w["v"]].T).reshape(many, WINDOW, WIDTH)
-        de[:, -FRESH:] += (dh + dq @ w["q"].T).reshape(many, FRESH, WIDTH)
+        de = (dkv @ wkv.T).reshape(many, WINDOW, WIDTH)
+        dh += dq @ w["q"].T
+        de[:, -FRESH:] += dh.reshape(many, FRESH, WIDTH)
         grad["p"] = de.sum(0)
         de = flat(de)
-        for name, part in (("e", 0), ("l", 1)):
-            grad[name] = rows_sum(x[:, :, part].ravel(), de, len(w[name]))
+        for name, symbols in (("e", first), ("l", last)):
+            grad[name] = rows_sum(symbols.ravel(), de, len(w[name]))
         return loss, grad
 
     def step(self, x: np.ndarray, y: np.ndarray, pad: np.ndarray, moments: dict) -> None:
-        """One step of Adam; moments holds its state."""
+        """One step of Adam; moments holds its state. Weights and moments are rows of one array, of which the weights are views."""
         _, grad = self.loss(x, y, pad)
-        t = moments["t"] = moments.get("t", 0) + 1
-        for k, g in grad.items():
-            m, s = moments.setdefault(k, (np.zeros_like(g), np.zeros_like(g)))
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            self.w[k] -= (RATE * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        if not moments:
+            names = sorted(self.w)
+            flat = np.concatenate([self.w[k].ravel() for k in names])
+            ends = np.cumsum([self.w[k].size for k in names]).tolist()
+            self.w = {k: flat[hi - self.w[k].size : hi].reshape(self.w[k].shape) for k, hi in zip(names, ends, strict=True)}
+            moments |= {"t": 0, "w": flat, "m": np.zeros_like(flat), "s": np.zeros_like(flat), "names": names}
+        m, s = moments["m"], moments["s"]
+        t = moments["t"] = moments["t"] + 1
+        g = np.concatenate([grad[k].ravel() for k in moments["names"]])
+        m *= np.float32(0.9)
+        m += np.float32(0.1) * g
+        g *= g
+        g *= np.float32(0.01)
+        s *= np.float32(0.99)
+        s += g
+        np.multiply(s, np.float32(1 / (1 - 0.99**t)), out=g)
+        np.sqrt(g, out=g)
+        g += np.float32(1e-8)
+        np.divide(m, g, out=g)
+        g *= np.float32(RATE / (1 - 0.9**t))
+        moments["w"] -= g
 
     def windows(self, x: np.ndarray, l: np.ndarray, y: np.ndarray, pad: np.ndarray) -> np.ndarray:
         """Log10 probability of each window's targets, summed; keys, values and queries are looked up, not multiplied."""
@@ -198,11 +229,7 @@ class Net:
 
 def rows_sum(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """Sum of the rows of each index, as a table of n rows."""
-    out = np.zeros((n, rows.shape[1]), np.float32)
-    order = np.argsort(at, kind="stable")
-    begins = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
-    out[at[order[begins]]] = np.add.reduceat(rows[order], begins, axis=0)
-    return out
+    return np.stack([np.bincount(at, c, n) for c in rows.T.astype(float, order="C")]).T.astype(np.float32, order="C")
 
 
 def cut(first: list[np.ndarray], last: list[np.ndarray], classes: list[np.ndarray], start: int) -> tuple[np.ndarray, ...]:
@@ -502,11 +529,24 @@ def chosen(rows: DataFrame, classes: Classes, kind: str, every: int, rounds: int
                 wx, wl, wy = x[i + np.arange(WINDOW)].astype("<i2"), l[i + np.arange(WINDOW)].astype("<i2"), y[i + np.arange(WINDOW - FRESH, WINDOW)].astype("<i2")
                 blob = np.concatenate([wx, wl, wy, pad[mine, None].astype("<i2")], 1)
                 shard = (again // np.uint64(rounds) % np.uint64(shards)).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(shard), "place": pa.array(again.view(np.int64)), "blob": pa.array([w.tobytes() for w in blob], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(shard), "place": pa.array(again.view(np.int64)), "blob": binaries(blob)})
 
     return rows.where("train").select("doc_id", "first", "last").mapInArrow(run, "shard int, place long, blob binary")
 
 
+def binaries(rows: np.ndarray) -> pa.Array:
+    """The rows of a table as binary values."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def table_of(column: pa.Array, kind: str) -> np.ndarray:
+    """Binary values of one length as rows of a table, not copied."""
+    begin, end = np.frombuffer(column.buffers()[1], np.int32)[[column.offset, column.offset + len(column)]].tolist()
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(column.buffers()[2], kind, (end - begin) // size, begin).reshape(len(column), -1)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Numbers of 64 bits, of which like ones come out unlike (the finish of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -532,14 +572,14 @@ def fit(rows: DataFrame, counts: np.ndarray, kind: str, every: int = EVERY, roun
     flat = np.concatenate([net.w[k].ravel() for k in names]).astype(float)
     for r in range(rounds):
         def run(batches: Iterator[pa.RecordBatch], flat=flat, r=r) -> Iterator[pa.RecordBatch]:
-            total, own, moments, rng, now, held = np.zeros(width), None, {}, None, None, []
+            total, own, moments, rng, now, held, many = np.zeros(width), None, {}, None, None, [], 0
 
             def train() -> None:
-                nonlocal held
+                nonlocal held, many
                 if not held:
                     return
-                w = np.frombuffer(b"".join(held), "<i2").reshape(len(held), -1).astype(np.int64)
-                x, y, pad, held = np.stack([w[:, :WINDOW], w[:, WINDOW : 2 * WINDOW]], 2), w[:, 2 * WINDOW : -1], w[:, -1], []
+                w = np.concatenate(held).astype(np.int64)
+                x, y, pad, held, many = np.stack([w[:, :WINDOW], w[:, WINDOW : 2 * WINDOW]], 2), w[:, 2 * WINDOW : -1], w[:, -1], [], 0
                 order = rng.permutation(len(x))
                 for at in range(0, len(order), BATCH):
                     i = order[at : at + BATCH]
@@ -554,14 +594,20 @@ def fit(rows: DataFrame, counts: np.ndarray, kind: str, every: int = EVERY, roun
 
             used = 0
             for batch in batches:
-                for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("blob").to_pylist(), strict=True):
-                    if shard != now:
+                if not batch.num_rows:
+                    continue
+                of, w = batch.column("shard").to_numpy(), table_of(batch.column("blob"), "<i2")
+                lo = 0
+                for hi in [*(np.flatnonzero(np.diff(of)) + 1).tolist(), len(w)]:
+                    if (shard := int(of[lo])) != now:
                         close()
                         own, moments, rng, now = unpack(flat), {}, np.random.default_rng([r, shard]), shard
-                    held.append(blob)
-                    used += 1
-                    if len(held) >= SHARE:
-                        train()
+                    while lo < hi:
+                        n = min(hi - lo, SHARE - many)
+                        held.append(w[lo : lo + n])
+                        lo, many, used = lo + n, many + n, used + n
+                        if many >= SHARE:
+                            train()
             close()
             yield pa.RecordBatch.from_pydict({"k": pa.array([TaskContext.get().partitionId()], pa.int64()), "blob": [total.astype(float).tobytes()]})
 

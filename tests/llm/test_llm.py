@@ -917,3 +917,21 @@ def test_empty(spark, sf):
                 quality.quality_rules(none, labels), jaccard.jaccard_classes(none), licenses.scan_licenses(none), attention.score_documents(none)):
         assert out.count() == 0
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_masked_inputs_have_no_part():
+    """What no position may look at gets no gradient, not even a tiny one; one window alone is a batch too, and batches of binary values come
+    back as they went."""
+    rng = np.random.default_rng(2)
+    net = attention.Net.new(20, np.full(12, 1 / 12), rng)
+    net.w["u"] = rng.standard_normal(net.w["u"].shape).astype(np.float32)
+    back = attention.WINDOW - attention.FRESH
+    x = rng.integers(0, 19, size=(5, attention.WINDOW, 2))
+    y, pad = rng.integers(0, 12, size=(5, attention.FRESH)), np.array([back, 0, 3, 0, 0])
+    x[0, :back] = 19  # a symbol that nothing else holds
+    _, grad = net.loss(x, y, pad)
+    assert not grad["e"][19].any() and not grad["l"][19].any() and grad["e"][:19].any()
+    alone, g = net.loss(x[:1], y[:1], pad[:1])
+    assert alone > 0 and all(np.isfinite(v).all() and v.shape == net.w[k].shape for k, v in g.items())
+    rows = rng.integers(0, 99, (7, 5)).astype("<i2")
+    assert (attention.table_of(attention.binaries(rows).slice(2, 4), "<i2") == rows[2:6]).all()
