@@ -57,15 +57,20 @@ def terms_of(text: str | None) -> list[str]:
 
 class Terms(dict):
     """Chunk without blanks, in lower case -> the terms of its words (4 bytes each), `size` for words outside the benchmark.
-    Words never cross blanks, so each distinct chunk is cut once."""
+    Words never cross blanks, so each distinct chunk is cut once. A chunk of letters and digits, or of these and one last sign, is one word."""
 
     def __init__(self, vocabulary: dict[str, int]):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.codes = {w: array("I", [i]).tobytes() for w, i in vocabulary.items()}
+        self.outside = array("I", [len(vocabulary)]).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        get, size = self.vocabulary.get, len(self.vocabulary)
-        terms = array("I", [get(w, size) for w in TERM.findall(chunk)]).tobytes()
+        if chunk.isalnum():
+            terms = self.codes.get(chunk, self.outside)
+        elif chunk[:-1].isalnum():
+            terms = self.codes.get(chunk[:-1], self.outside)
+        else:
+            terms = b"".join([self.codes.get(w, self.outside) for w in TERM.findall(chunk)])
         if len(self) < TABLE_SIZE:
             self[chunk] = terms
         return terms

@@ -935,3 +935,14 @@ def test_masked_inputs_have_no_part():
     assert alone > 0 and all(np.isfinite(v).all() and v.shape == net.w[k].shape for k, v in g.items())
     rows = rng.integers(0, 99, (7, 5)).astype("<i2")
     assert (attention.table_of(attention.binaries(rows).slice(2, 4), "<i2") == rows[2:6]).all()
+
+
+def test_terms_of_plain_chunks(monkeypatch):
+    """Chunks that are one word are coded without a search, and as a search would; others too."""
+    chunks = ["word", "word.", "wörd,", "x_y", "_", "a-b", "--", "3٣²", "é", "word_", "_word", "ab..", "(ab)", "ß", "", "."]
+    vocabulary = {w: i for i, w in enumerate(sorted({w for c in chunks[:9] for w in leaks.TERM.findall(c)}))}
+    want = {c: [vocabulary.get(w, len(vocabulary)) for w in leaks.TERM.findall(c)] for c in chunks}
+    terms = leaks.Terms(vocabulary)
+    assert {c: np.frombuffer(terms[c], "<u4").tolist() for c in chunks} == want
+    monkeypatch.setattr(leaks, "TERM", None)
+    assert [len(leaks.Terms(vocabulary)[c]) for c in ("word", "wörd,", "unknown")] == [4, 4, 4]
