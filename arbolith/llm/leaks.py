@@ -23,11 +23,13 @@ what is broadcast (weights of the parts' words, and rank numbers for each term)
 from __future__ import annotations
 
 import re
+import string
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,15 +78,49 @@ class Terms(dict):
         return terms
 
 
+class Coder:
+    """Terms of the words of many texts at once (4 bytes each). Texts are split at ASCII blanks, which no word crosses and around which
+    letters are lowered alike; distinct chunks, without marks at their ends, are looked up. One of ASCII letters and digits is one
+    word; what else a chunk may be is left to Terms."""
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.rest, self.size = Terms(vocabulary), len(vocabulary)
+        self.words, self.numbers = pa.array(list(vocabulary), pa.string()), np.append(np.fromiter(vocabulary.values(), np.uint32, len(vocabulary)), np.uint32(self.size))
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+        chunks = split.flatten().dictionary_encode()
+        found = pc.ascii_trim(chunks.dictionary, characters=string.punctuation)
+        terms = self.numbers[pc.fill_null(pc.index_in(found, value_set=self.words), self.size).to_numpy(zero_copy_only=False)]
+        other = np.flatnonzero(~pc.ascii_is_alnum(found).to_numpy(zero_copy_only=False))
+        codes = [self.rest[c.lower()] for c in found.take(pa.array(other)).to_numpy(zero_copy_only=False)]
+        many = np.ones(len(terms), np.int64)
+        many[other] = [len(c) // 4 for c in codes]
+        begin = np.cumsum(many) - many
+        flat = np.repeat(terms, many)
+        inside = np.zeros(len(terms), bool)
+        inside[other] = True
+        flat[np.repeat(inside, many)] = np.frombuffer(b"".join(codes), np.uint32)
+        at = chunks.indices.to_numpy()
+        k = many[at]
+        ends = np.concatenate([[0], np.cumsum(k)])
+        out = flat[np.repeat(begin[at] - ends[:-1], k) + np.arange(ends[-1])]
+        offsets = ends[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(offsets * 4), pa.py_buffer(out)])
+
+
 class Benchmark:
-    """The words of some items, their parts of at most two blocks (as terms) and the vocabulary."""
+    """The words of some items (as terms), their parts of at most two blocks and the vocabulary. `last`: no other items follow."""
 
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.ids, self.words = [i for i, _ in items], [w for _, w in items]
-        self.vocabulary = {w: i for i, w in enumerate(sorted({w for t in self.words for w in t}))}
+    def __init__(self, items: list[tuple[int, list[str]]], last: bool = True):
+        self.ids, self.last = [i for i, _ in items], last
+        self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, t in items for w in t}))}
         self.size = len(self.vocabulary)
-        self.answers = [w[-max(1, len(w) // 4) :] for w in self.words]
-        cut = [(i, np.array_split([self.vocabulary[x] for x in w], -(-len(w) // (2 * STEP)))) for i, w in enumerate(self.words)]
+        self.words = [np.array([self.vocabulary[x] for x in w], np.uint32) for _, w in items]
+        self.answers = [w[-max(1, len(w) // 4) :].tolist() for w in self.words]
+        self.counts = [np.unique(w, return_counts=True) for w in self.words]
+        self.spot = np.full(self.size + 1, -1, np.int32)  # where held() notes the places of an item's words, and takes them out again
+        cut = [(i, np.array_split(w, -(-len(w) // (2 * STEP)))) for i, w in enumerate(self.words)]
         self.parts, self.owner = [p for _, ps in cut for p in ps], np.array([i for i, ps in cut for _ in ps], np.int64)
 
 
@@ -94,8 +130,8 @@ def groups(benchmark: DataFrame) -> Iterator[Benchmark]:
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct().orderBy("item_id", "text")
     for i, text in rows.toLocalIterator():
         words = terms_of(text)
-        if held and (size + len(words) > GROUP_WORDS or len(distinct) + sum(w not in distinct for w in set(words)) > GROUP_TERMS):
-            yield Benchmark(held)
+        if words and held and (size + len(words) > GROUP_WORDS or len(distinct) + sum(w not in distinct for w in set(words)) > GROUP_TERMS):
+            yield Benchmark(held, last=False)
             held, distinct, size = [], set(), 0
         if words:
             held.append((i, words))
@@ -106,18 +142,17 @@ def groups(benchmark: DataFrame) -> Iterator[Benchmark]:
 
 
 def coded(rows: DataFrame, bench: Benchmark) -> DataFrame:
-    """Write the rows, once for all passes, with the terms of their texts' words."""
-    schema = StructType.fromDDL("term binary")
+    """Write the rows, once for all passes, with the terms of their texts' words, and with the texts if other items follow."""
+    fields = [f for f in rows.schema.fields if f.name != "text" or not bench.last]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = Terms(bench.vocabulary).__getitem__
+        code = Coder(bench.vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                terms = [b"".join(map(get, t.lower().split())) if t else b"" for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(terms, pa.binary())], names=[*part.schema.names, "term"])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), code(part.column("text")).cast(pa.binary())], names=[*(f.name for f in fields), "term"])
 
-    return written(rows.mapInArrow(run, StructType([*rows.schema.fields, *schema.fields])), "coded")
+    return written(rows.mapInArrow(run, StructType([*fields, *StructType.fromDDL("term binary").fields])), "coded")
 
 
 def blocks_of(terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -334,16 +369,27 @@ class Index:
                 yield from zip((a + p[cuts]).tolist(), np.split(i, cuts[1:]), np.split(near, cuts[1:]), strict=True)
 
 
-def held(bench: Benchmark, found: list[str], near: dict[int, list[int]]) -> dict[int, float]:
-    """Items that the words around their passages hold, with the share of their words in order."""
+def held(bench: Benchmark, found: np.ndarray, near: dict[int, list[int]]) -> dict[int, float]:
+    """Items that the words (as terms) around their passages hold, with the share of their words in order. Words of no item have no
+    part in it, and order is looked for only where enough of an item's words are, each as often as the item has it at most."""
     out: dict[int, float] = {}
     for i, at in near.items():
-        item, answer = bench.words[i], bench.answers[i]
-        for p in at:
+        item, answer, (own, many) = bench.words[i], bench.answers[i], bench.counts[i]
+        p = np.array(at) * STEP
+        begin = max(0, int(p[0]) - len(item))
+        bench.spot[own] = np.arange(len(own))
+        spots = bench.spot[found[begin : int(p[-1]) + 2 * STEP + len(item)]]
+        bench.spot[own] = -1
+        where = np.flatnonzero(spots >= 0)
+        spots = spots[where]
+        where += begin
+        for a, b in np.searchsorted(where, [p - len(item), p + 2 * STEP + len(item)]).T.tolist():
             if out.get(i) == 1.0:
                 break
-            region = found[max(0, p * STEP - len(item)) : (p + 2) * STEP + len(item)]
-            share = common_subsequence(item, region) / len(item)
+            if b - a < PARAPHRASE * len(item) - 1 or np.minimum(np.bincount(spots[a:b], minlength=len(own)), many).sum() < PARAPHRASE * len(item) - 1e-6:
+                continue
+            region = found[where[a:b]].tolist()
+            share = common_subsequence(item.tolist(), region) / len(item)
             if share >= COPY or share >= PARAPHRASE and common_subsequence(answer, region) >= ANSWER * len(answer):
                 out[i] = max(out.get(i, 0.0), share)
     return out
@@ -370,7 +416,7 @@ def judged(rows: DataFrame, benchmark: DataFrame, rank: int, latent: float, cosi
                         more[:, d] += len(parts), only.sum()
                         for i in np.unique(bench.owner[parts]).tolist():
                             hits.setdefault(d, {}).setdefault(i, []).append(p - int(starts[d]))
-                    got = {d: held(bench, terms_of(batch.column("text")[d].as_py()), h) for d, h in hits.items()}
+                    got = {d: held(bench, np.frombuffer(batch.column("term")[d].as_py(), np.uint32).astype(np.int64), h) for d, h in hits.items()}
                     items, best = batch.column("items").to_pylist(), batch.column("best_overlap").to_pylist()
                     for d, g in got.items():
                         items[d] = sorted({*items[d], *(bench.ids[i] for i in g)})

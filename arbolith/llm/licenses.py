@@ -42,9 +42,9 @@ def tokens(text: str) -> list[str]:
     return [w.strip(".-+") or w for w in TOKEN.findall(text.lower())]
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
+def common_subsequence(a: list, b: list) -> int:
     """Length of the longest common subsequence, with the rows of the table as bits of one integer."""
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, w in enumerate(a):
         where[w] = where.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1

@@ -946,3 +946,49 @@ def test_terms_of_plain_chunks(monkeypatch):
     assert {c: np.frombuffer(terms[c], "<u4").tolist() for c in chunks} == want
     monkeypatch.setattr(leaks, "TERM", None)
     assert [len(leaks.Terms(vocabulary)[c]) for c in ("word", "wörd,", "unknown")] == [4, 4, 4]
+
+
+def test_terms_of_many_texts():
+    """Texts coded together, whatever blanks, marks and letters are in them, have the terms of each alone."""
+    import random
+
+    import pyarrow as pa
+
+    rnd, pool = random.Random(1), [*" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2003\u3000", *"abcXYZ019__..--(),;'\"", *"ΣσςΑÉßİıǅ٣²½漢字\xad\u200b\u0301ﬁ"]
+    texts = [None, "", " ", "\x1c", "--", *("".join(rnd.choices(pool, k=rnd.randint(0, 60))) for _ in range(3000))]
+    vocabulary = {w: i for i, w in enumerate(sorted({w for t in texts[::3] for w in leaks.terms_of(t)}))}
+    code, want = leaks.Coder(vocabulary), [[vocabulary.get(w, len(vocabulary)) for w in leaks.terms_of(t)] for t in texts]
+    column = pa.array(texts, pa.string())
+    got = [np.frombuffer(t, "<u4").tolist() for at in range(0, len(texts), 512) for t in code(column.slice(at, 512)).to_pylist()]
+    assert got == want and code(column.slice(0, 0)).to_pylist() == []
+
+
+def test_leaks_judged_on_terms(spark, monkeypatch):
+    """The last pass takes no texts along, and candidates are judged by their terms: no text is cut into words again, and order is looked
+    for only where enough of the item's words are; what is found is what the whole comparison of words finds."""
+    rng = np.random.default_rng(12)
+    items = [(i, leaks_text(rng, 20 + i % 60, 300)) for i in range(80)]
+    bench = leaks.Benchmark(items)
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    assert leaks.coded(df, bench).columns == ["doc_id", "term"]
+    assert leaks.coded(df, leaks.Benchmark(items, last=False)).columns == ["doc_id", "text", "term"]
+    want, got, calls = [], [], []
+    for k in range(60):
+        item = items[k % len(items)][1]
+        kept = [w for j, w in enumerate(item) if j % (k % 5 + 2)]
+        found = [*leaks_text(rng, 40 + k, 300), *(item if k % 3 else kept), *leaks_text(rng, 70, 300)]
+        near = {i: list(range(0, len(found) // leaks.STEP)) for i in (k % len(items), (7 * k + 3) % len(items))}
+        out: dict[int, float] = {}
+        for i, at in near.items():
+            w = items[i][1]
+            for p in at:
+                region = found[max(0, p * leaks.STEP - len(w)) : (p + 2) * leaks.STEP + len(w)]
+                share, answer = leaks.common_subsequence(w, region) / len(w), w[-max(1, len(w) // 4) :]
+                if share >= leaks.COPY or share >= leaks.PARAPHRASE and leaks.common_subsequence(answer, region) >= leaks.ANSWER * len(answer):
+                    out[i] = max(out.get(i, 0.0), share)
+        want.append(out)
+        with monkeypatch.context() as m:
+            m.setattr(leaks, "terms_of", None)
+            m.setattr(leaks, "common_subsequence", lambda a, b, plain=leaks.common_subsequence: calls.append(1) or plain(a, b))
+            got.append(leaks.held(bench, np.array([bench.vocabulary.get(w, bench.size) for w in found]), near))
+    assert got == want and sum(map(len, want)) > 40 and len(calls) < sum(len(at) for at in near.values()) * 60 and (bench.spot == -1).all()
