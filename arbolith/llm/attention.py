@@ -27,11 +27,11 @@ Sums of exponentials are over values less than the largest one, so nothing is cl
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,8 +46,8 @@ WINDOW, FRESH, WIDTH, HIDDEN, CLASSES, OWN, SINGLE, NEAR = 32, 16, 16, 32, 64, 9
 EVERY, SHARE, ROUNDS, RATE, BATCH = 1, 8_192, 3, 6e-3, 64
 #: Training tokens of a shard; partitions of shards at most (a task trains its shards one after the other).
 SHARD, TASKS = 2_000_000, 10_000
-#: Characters of text in a block; id pairs that are held at once (8 bytes and 8 for their counts).
-BLOCK_BYTES, PAIRS = 18_000_000, 4_000_000
+#: Characters of text in a block; id pairs that are held at once (8 bytes and 8 for their counts); blocks' words that are put together.
+BLOCK_BYTES, PAIRS, WORDS = 18_000_000, 4_000_000, 1_000_000
 
 
 #: 1 where a fresh position of a full window may look.
@@ -90,8 +90,7 @@ class Net:
         e += w["p"]
         e2, eq = flat(e), flat(e[:, -FRESH:])
         wkv = np.concatenate([w["k"], w["v"]], axis=1)
-        kv = (e2 @ wkv).reshape(many, WINDOW, 2 * WIDTH)  # large products of flat arrays; only the attention itself is one for each window
-        k, v = np.ascontiguousarray(kv[:, :, :WIDTH]), np.ascontiguousarray(kv[:, :, WIDTH:])
+        k, v = ((e2 @ w[c]).reshape(many, WINDOW, WIDTH) for c in "kv")  # large products of flat arrays; only the attention itself is one for each window
         q = (eq @ (w["q"] * scale)).reshape(many, FRESH, WIDTH)
         a = q @ k.transpose(0, 2, 1)
         if a.max() > 40 or a.min() < -40:
@@ -144,7 +143,7 @@ class Net:
         de = (dkv @ wkv.T).reshape(many, WINDOW, WIDTH)
         dh += dq @ w["q"].T
         de[:, -FRESH:] += dh.reshape(many, FRESH, WIDTH)
-        grad["p"] = de.sum(0)
+        grad["p"] = (ones[:many] @ de.reshape(many, -1)).reshape(WINDOW, WIDTH)
         de = flat(de)
         for name, symbols in (("e", first), ("l", last)):
             grad[name] = rows_sum(symbols.ravel(), de, len(w[name]))
@@ -210,12 +209,14 @@ class Net:
 
     def scores(self, first: list[np.ndarray], last: list[np.ndarray], classes: list[np.ndarray], chunk: int = 128) -> np.ndarray:
         """Log10 probability of each text's classes."""
-        x, l, y, begin, pad, owner = cut(first, last, classes, len(self.w["e"]) - 1)
+        return self.sums(*cut(first, last, classes, len(self.w["e"]) - 1), len(first), chunk)
+
+    def sums(self, x: np.ndarray, l: np.ndarray, y: np.ndarray, begin: np.ndarray, pad: np.ndarray, owner: np.ndarray, many: int, chunk: int = 128) -> np.ndarray:
+        """The same of texts that are cut."""
         got = [np.zeros(0)]
         for i in range(0, len(begin), chunk):
-            at = begin[i : i + chunk, None]
-            got.append(self.windows(x[at + np.arange(WINDOW)], l[at + np.arange(WINDOW)], y[at + np.arange(WINDOW - FRESH, WINDOW)], pad[i : i + chunk]))
-        return np.bincount(owner, np.concatenate(got), len(first))
+            got.append(self.windows(*window_rows(x, l, y, begin[i : i + chunk]), pad[i : i + chunk]))
+        return np.bincount(owner, np.concatenate(got), many)
 
     def plain(self, first: np.ndarray, last: np.ndarray, at: int, target: int) -> float:
         """The same for one target, from the inputs it may see, which begin at position `at` of their window."""
@@ -228,25 +229,43 @@ class Net:
 
 
 def rows_sum(at: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """Sum of the rows of each index, as a table of n rows."""
-    return np.stack([np.bincount(at, c, n) for c in rows.T.astype(float, order="C")]).T.astype(np.float32, order="C")
+    """Sum of the rows of each index (below 2^16), as a table of n rows."""
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # by digits, which is for 16 bits only
+    at = at[order]
+    begin = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    out[at[begin]] = np.add.reduceat(np.take(rows, order, axis=0), begin, axis=0)
+    return out
 
 
 def cut(first: list[np.ndarray], last: list[np.ndarray], classes: list[np.ndarray], start: int) -> tuple[np.ndarray, ...]:
     """Inputs (each before its target) and targets of texts in a row, and of each window its begin there, padding in front, text."""
+    return laid(*(np.concatenate([np.zeros(0, np.int32), *c]) for c in (first, last, classes)), np.array([len(c) for c in classes], np.int64), start)
+
+
+def laid(first: np.ndarray, last: np.ndarray, classes: np.ndarray, n: np.ndarray, start: int) -> tuple[np.ndarray, ...]:
+    """The same for texts that follow each other, of n tokens each."""
     back = WINDOW - FRESH
-    n = np.array([len(c) for c in classes], np.int64)
     each = (n + FRESH - 1) // FRESH
     at = np.concatenate([[0], np.cumsum(back + each * FRESH)])
     x, l, y = (np.full(at[-1], v, np.int32) for v in (start, start, -1))
-    for f, g, c, i in zip(first, last, classes, at, strict=False):
-        x[i + back + 1 : i + back + len(f)], l[i + back + 1 : i + back + len(f)] = f[:-1], g[:-1]
-        y[i + back : i + back + len(c)] = c
+    place = np.arange(len(classes)) + np.repeat(at[:-1] + back - np.cumsum(n) + n, n)
+    y[place] = classes
+    inner = np.ones(len(classes), bool)
+    inner[np.cumsum(n)[n > 0] - 1] = False  # a text's last token is no input
+    place = place[inner] + 1
+    x[place], l[place] = first[inner], last[inner]
     owner = np.repeat(np.arange(len(n)), each)
     k = np.arange(len(owner)) - np.repeat(np.cumsum(each) - each, each)
     return x, l, y, at[owner] + k * FRESH, np.maximum(back - k * FRESH, 0), owner
 
 
+def window_rows(x: np.ndarray, l: np.ndarray, y: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs and fresh targets of the windows with these begins."""
+    views = np.lib.stride_tricks.sliding_window_view
+    return views(x, WINDOW)[begin], views(l, WINDOW)[begin], views(y, FRESH)[begin + (WINDOW - FRESH)]
+
+
 class Classes:
     """Class and input symbol of each id, and log10 P(id | class), from counts of first ids and of their neighbours."""
 
@@ -286,51 +305,56 @@ def by_count(counts: np.ndarray) -> np.ndarray:
     return np.lexsort((np.arange(len(counts)), -counts))
 
 
-class Numbered(dict):
-    """Numbers words by their first occurrence."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words of the base score each text has, and these: A-Z are lowered, and texts split at the six ASCII blanks."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    many, found = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten()
+    empty = pc.equal(pc.binary_length(found), 0)  # before a blank at a text's begin, and after one at its end
+    some = np.flatnonzero(empty.to_numpy(zero_copy_only=False))
+    if len(some):
+        many -= np.bincount(np.searchsorted(np.cumsum(many), some, "right"), minlength=len(many))
+        found = found.filter(pc.invert(empty))
+    return many, found
 
 
-def lowered(text: str) -> list[bytes]:
-    """The words of the base score: bytes.lower() changes A-Z only."""
-    return text.encode("utf-8", "replace").lower().split()
+def parts_of(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that lie in a row in an array, each up to its end (in numbers of the array)."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends * data.itemsize).astype(np.int32)), pa.py_buffer(data)])
 
 
 def gather(docs: DataFrame) -> DataFrame:
     """The one pass over texts. kind 0: a text (k: its id, n: 1 if for training) as numbers of its block's words; 1: a block's
-    distinct word (k: its number, n: its count in training texts)."""
+    distinct word (k: its number, by first occurrence, n: its count in training texts)."""
     schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
 
-    def rows(kind: int, block: int, k, n, blobs: list[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([kind] * len(blobs), [block] * len(blobs), k, n, blobs), schema, strict=True)], schema=schema)
+    def rows(kind: int, block: int, k, n, blobs: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip((np.full(len(blobs), kind), np.full(len(blobs), block), k, n, blobs), schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, table, seen, size = TaskContext.get().partitionId() << 32, Numbered(), [], 0
-
-        def words() -> Iterator[pa.RecordBatch]:
-            counts = np.bincount(np.concatenate([np.zeros(0, np.int64), *seen]), minlength=len(table))
-            keys = list(table)
+        block, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def close() -> Iterator[pa.RecordBatch]:
+            coded = pa.chunked_array([words for *_, words in held], pa.string()).dictionary_encode()
+            keys = coded.chunk(0).dictionary.cast(pa.binary())  # one for all chunks
+            counts = np.zeros(len(keys), np.int64)
+            for (ids, training, many, _), chunk in zip(held, coded.chunks, strict=True):
+                codes = chunk.indices.to_numpy().astype("<u4")
+                counts += np.bincount(codes[np.repeat(training, many)], minlength=len(keys))
+                yield rows(0, block, ids, training.astype(np.int64), parts_of(codes, np.cumsum(many)))
             for at in range(0, len(keys), 50_000):
-                yield rows(1, block, np.arange(at, min(at + 50_000, len(keys))), counts[at : at + 50_000], keys[at : at + 50_000])
+                yield rows(1, block, np.arange(at, min(at + 50_000, len(keys))), counts[at : at + 50_000], keys.slice(at, 50_000))
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                ids, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                coded = []
-                for d, t in zip(ids, texts, strict=True):
-                    found = lowered(t)
-                    coded.append(np.fromiter(map(table.__getitem__, found), np.uint32, len(found)))
-                    size += len(t)
-                    if not held_out(d):
-                        seen.append(coded[-1])
-                yield rows(0, block, ids, [int(not held_out(d)) for d in ids], [c.tobytes() for c in coded])
+                ids, texts = batch.slice(at, 256).columns
+                many, words = split(texts)
+                size += pc.sum(pc.utf8_length(texts)).as_py()
+                held.append((ids, np.array([not held_out(d) for d in ids.to_pylist()]), many, words))
                 if size >= BLOCK_BYTES:
-                    yield from words()
-                    block, table, seen, size = block + 1, Numbered(), [], 0
-        yield from words()
+                    yield from close()
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield from close()
 
     return written(docs.mapInArrow(run, "kind int, block long, k long, n long, blob binary"), "gathered")
 
@@ -344,7 +368,7 @@ def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         if word is not None and last.equals(word):
             rest.append(table)
             continue
-        cut = int(np.flatnonzero(pa.compute.equal(batch.column("word"), last).to_numpy(zero_copy_only=False))[0])
+        cut = int(np.flatnonzero(pc.equal(batch.column("word"), last).to_numpy(zero_copy_only=False))[0])
         out = pa.concat_tables([*rest, table.slice(0, cut)])
         rest, word = [table.slice(cut)], last
         if out.num_rows:
@@ -354,26 +378,25 @@ def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def coded(words: DataFrame, path: str, vocabulary: int) -> DataFrame:
-    """The blocks' words (at, i) with the word's count in all training texts, its first and last id and its ids; `lead` is true
-    for one row of each word. Each distinct word is counted and segmented once, in one shuffle. A word without ids has an
-    id of its own."""
-    fields = [("at", pa.int64()), ("i", pa.int64()), ("n", pa.int64()), ("lead", pa.bool_()), ("first", pa.int32()), ("last", pa.int32()), ("ids", pa.binary())]
+    """Each distinct word: its count in all training texts, its first and last id and its ids, and the blocks that hold it (at) with
+    its number there (i). It is counted and segmented once, in one shuffle. A word without ids has an id of its own."""
+    fields = [("n", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("ids", pa.binary()), ("at", pa.binary()), ("i", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, none = word_table(path), np.array([vocabulary + 1], "<u4").tobytes()
         for rows in runs_of(b for b in batches if b.num_rows):
             word = rows["word"].combine_chunks()
-            lead = np.r_[True, pa.compute.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)]
-            of = np.cumsum(lead) - 1
-            found = word.filter(pa.array(lead)).to_pylist()
-            ids = [c or none for at in range(0, len(found), 1024) for c in table.chunks([w.decode() for w in found[at : at + 1024]])]
-            first, last = (np.frombuffer(b"".join(c[s] for c in ids), "<u4").astype(np.int32)[of] for s in (slice(0, 4), slice(-4, None)))
-            n = np.bincount(of, rows["n"].to_numpy()).astype(np.int64)[of]
-            columns = [rows["at"].combine_chunks(), rows["i"].combine_chunks(), n, lead, first, last, pa.array(ids, pa.binary()).take(pa.array(of))]
-            yield from pa.table([pa.array(c, t) if isinstance(c, np.ndarray) else c for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields]).to_batches(max_chunksize=50_000)
+            lead = np.r_[True, pc.not_equal(word.slice(1), word.slice(0, len(word) - 1)).to_numpy(zero_copy_only=False)]
+            begin = np.flatnonzero(lead)
+            found = word.take(pa.array(begin)).cast(pa.string()).to_numpy(zero_copy_only=False).tolist()
+            ids = [c or none for at in range(0, len(found), 1024) for c in table.chunks(found[at : at + 1024])]
+            first, last = (np.frombuffer(b"".join([c[s] for c in ids]), "<u4").astype(np.int32) for s in (slice(0, 4), slice(-4, None)))
+            ends = np.append(begin[1:], len(word))
+            columns = [pa.array(np.add.reduceat(rows["n"].to_numpy(), begin)), pa.array(first), pa.array(last), pa.array(ids, pa.binary()), parts_of(rows["at"].to_numpy(), ends), parts_of(rows["i"].to_numpy().astype("<u4"), ends)]
+            yield from pa.table(columns, schema=pa.schema(fields)).to_batches(max_chunksize=50_000)
 
     dealt = words.repartition("word").sortWithinPartitions("word")
-    return written(dealt.mapInArrow(run, "at long, i long, n long, lead boolean, first int, last int, ids binary"), "words")
+    return written(dealt.mapInArrow(run, "n long, first int, last int, ids binary, at binary, i binary"), "words")
 
 
 def transitions(codes: list[bytes], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -394,7 +417,7 @@ def id_pairs(vocab: DataFrame, vocabulary: int) -> DataFrame:
             key, n = np.unique(a * (vocabulary + 2) + b, return_counts=True)
             yield pa.RecordBatch.from_pydict({"a": pa.array(key // (vocabulary + 2)), "b": pa.array(key % (vocabulary + 2)), "n": pa.array(n, pa.int64())})
 
-    return written(vocab.where("lead AND n > 0").select("ids").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
+    return written(vocab.where("n > 0").select("ids").mapInArrow(run, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n")), "pairs")
 
 
 def dense(rows: DataFrame, key: str, size: int) -> list[np.ndarray]:
@@ -406,9 +429,10 @@ def dense(rows: DataFrame, key: str, size: int) -> list[np.ndarray]:
     return out
 
 
-def with_spelling(vocab: DataFrame, vocabulary: int) -> DataFrame:
+def with_spelling(vocab: DataFrame, vocabulary: int, then: Callable | None = None, schema: str | None = None) -> DataFrame:
     """Add q: log10 P(ids after the first one, end | first id) by a bigram of ids over distinct words, smoothed by how many
-    ids an id follows. The table of pairs is sent out in ranges of `a` of at most PAIRS pairs or one id, one after the other."""
+    ids an id follows. The table of pairs is sent out in ranges of `a` of at most PAIRS pairs or one id, one after the other. `then` makes other batches, of that schema, of
+    the last ones."""
     size = vocabulary + 2
     pairs = id_pairs(vocab, vocabulary)
     seen, kinds = dense(pairs.groupBy("a").agg(F.sum("n").alias("n"), F.count("*").alias("m")), "a", size)
@@ -432,12 +456,17 @@ def with_spelling(vocab: DataFrame, vocabulary: int) -> DataFrame:
                 a, b, word = transitions(batch.column("ids").to_pylist(), vocabulary)
                 mine = (a >= lo) & (a < hi) & (a <= vocabulary)
                 a, b, word = a[mine], b[mine], word[mine]
-                at = np.minimum(np.searchsorted(key[:-1], a * size + b), len(key) - 2) if len(key) > 1 else np.zeros(len(a), np.int64)
-                times = np.where(key[at] == a * size + b, n[at], 0)
+                pair = a * size + b
+                order = np.argsort(pair)  # pairs in order are found in places near each other
+                a, b, word, pair = a[order], b[order], word[order], pair[order]
+                at = np.minimum(np.searchsorted(key[:-1], pair), len(key) - 2) if len(key) > 1 else np.zeros(len(a), np.int64)
+                times = np.where(key[at] == pair, n[at], 0)
                 p = (times + (kinds[a] + 0.5) * low[b]) / (seen[a] + kinds[a] + 0.5)
                 q = batch.column("q").to_numpy() + np.bincount(word, np.log10(p), batch.num_rows)
                 yield batch.set_column(batch.schema.get_field_index("q"), "q", pa.array(q))
 
+        if then and hi == size:
+            return out.mapInArrow(lambda batches, run=run: then(run(batches)), schema)
         out = out.mapInArrow(run, out.schema)
     return out
 
@@ -446,16 +475,40 @@ def blobs(arrays: list[np.ndarray], kind: str) -> list[bytes]:
     return [x.astype(kind).tobytes() for x in arrays]
 
 
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is known of each block's words: a few rows for each block (at), with the words' numbers there and columns as arrays."""
+    kinds, held, size = {"n": "<i8", "first": "<i4", "last": "<i4", "q": "<f8"}, [], 0
+
+    def close() -> pa.RecordBatch:
+        at, i, *columns = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(at, kind="stable")
+        at = at[order]
+        ends = np.append(np.flatnonzero(np.diff(at)) + 1, len(at))
+        return pa.RecordBatch.from_arrays([pa.array(at[ends - 1]), *(parts_of(c[order], ends) for c in (i, *columns))], names=["at", "i", *kinds])
+
+    for batch in batches:
+        at, i = (np.frombuffer(b"".join(batch.column(c).to_pylist()), t) for c, t in (("at", "<i8"), ("i", "<u4")))
+        many = pc.binary_length(batch.column("i")).to_numpy() // 4
+        held.append((at, i, *(np.repeat(batch.column(c).to_numpy(), many).astype(t, copy=False) for c, t in kinds.items())))
+        size += len(at)
+        if size >= WORDS:
+            yield close()
+            held, size = [], 0
+    if size:
+        yield close()
+
+
 def counted(got: DataFrame, vocab: DataFrame, totals: dict, kind: str, vocabulary: int) -> DataFrame:
     """One row per text: what the counts say of it, and its tokens' first and last ids."""
     of, kinds, ends, train = totals["of"], totals["kinds"], totals["ends"], totals["train"]
     below = train + 0.1 * (totals["distinct"] + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        k = right["i"].to_numpy()
+        read = lambda c, t: np.frombuffer(b"".join(right[c].to_pylist()), t)
+        k = read("i", "<u4").astype(np.int64)
         n, q, first, last = (np.zeros(len(k) + 1, t) for t in (np.int64, float, np.int64, np.int64))
-        for a, c, end in ((n, "n", ends), (q, "q", 0.0), (first, "first", vocabulary), (last, "last", vocabulary)):
-            a[k], a[-1] = right[c].to_numpy(), end
+        for a, c, t, end in ((n, "n", "<i8", ends), (q, "q", "<f8", 0.0), (first, "first", "<i4", vocabulary), (last, "last", "<i4", vocabulary)):
+            a[k], a[-1] = read(c, t), end
         logs, known = np.log10((n + 0.1) / below), n > 0
         some = of[first] + kinds[first] > 0
         rest = np.where(some, np.log10((n + kinds[first] * 10.0**q + 1e-300) / np.where(some, of[first] + kinds[first], 1.0)), q)
@@ -467,7 +520,7 @@ def counted(got: DataFrame, vocab: DataFrame, totals: dict, kind: str, vocabular
                 out[c].append(v)
         return pa.table({"doc_id": left["k"], "train": pa.array(left["n"].to_numpy() > 0), **{c: pa.array(v, t) for (c, v), t in zip(out.items(), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary()), strict=True)}})
 
-    words = vocab.select("at", "i", "n", "first", "last", "q")
+    words = with_spelling(vocab, vocabulary, by_block, "at long, i binary, n binary, first binary, last binary, q binary")
     texts = got.where("kind = 0").select("block", "k", "n", "blob")
     schema = "doc_id long, train boolean, n_tokens long, n_known long, base_score double, rest double, first binary, last binary"
     return written(texts.groupBy("block").cogroup(words.groupBy("at")).applyInArrow(score, schema), "counted")
@@ -502,10 +555,11 @@ def neighbours(rows: DataFrame, counts: np.ndarray, kind: str) -> np.ndarray:
     return seen.reshape(-1, 2 * NEAR)
 
 
-def sequences(batch: pa.RecordBatch, classes: Classes, kind: str) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
-    """Symbols of first and last ids and classes of the texts of a batch (columns first, last)."""
-    first, last = ([np.frombuffer(x, kind) for x in batch.column(c).to_pylist()] for c in ("first", "last"))
-    return [classes.symbol[x] for x in first], [classes.symbol[x] for x in last], [classes.of[x] for x in first]
+def sequences(batch: pa.RecordBatch, classes: Classes, kind: str) -> tuple[tuple[np.ndarray, ...], np.ndarray, np.ndarray]:
+    """The texts of a batch (columns first, last) cut in windows; their first ids in a row, and how many each has."""
+    first, last = (np.frombuffer(b"".join(batch.column(c).to_pylist()), kind) for c in ("first", "last"))
+    n = pc.binary_length(batch.column("first")).to_numpy().astype(np.int64) // np.dtype(kind).itemsize
+    return laid(classes.symbol[first], classes.symbol[last], classes.of[first], n, OWN + CLASSES), first, n
 
 
 def chosen(rows: DataFrame, classes: Classes, kind: str, every: int, rounds: int, r: int, shards: int) -> DataFrame:
@@ -516,7 +570,7 @@ def chosen(rows: DataFrame, classes: Classes, kind: str, every: int, rounds: int
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                x, l, y, begin, pad, owner = cut(*sequences(part, classes, kind), OWN + CLASSES)
+                (x, l, y, begin, pad, owner), *_ = sequences(part, classes, kind)
                 if not len(begin):
                     continue
                 first = np.searchsorted(owner, owner)
@@ -525,9 +579,8 @@ def chosen(rows: DataFrame, classes: Classes, kind: str, every: int, rounds: int
                 again = mixed(mark + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 picked = np.ones(len(begin), bool) if every == 1 else (place == 0) | ((place + mark.astype(np.int64)) % every == 0)
                 mine = picked & (again % np.uint64(rounds) == r)
-                i, again = begin[mine, None], again[mine]
-                wx, wl, wy = x[i + np.arange(WINDOW)].astype("<i2"), l[i + np.arange(WINDOW)].astype("<i2"), y[i + np.arange(WINDOW - FRESH, WINDOW)].astype("<i2")
-                blob = np.concatenate([wx, wl, wy, pad[mine, None].astype("<i2")], 1)
+                again = again[mine]
+                blob = np.concatenate([*window_rows(*(c.astype("<i2") for c in (x, l, y)), begin[mine]), pad[mine, None].astype("<i2")], 1)
                 shard = (again // np.uint64(rounds) % np.uint64(shards)).astype(np.int32)
                 yield pa.RecordBatch.from_pydict({"shard": pa.array(shard), "place": pa.array(again.view(np.int64)), "blob": binaries(blob)})
 
@@ -626,9 +679,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     got = gather(id_text(docs, id_col, text_col))
     vocab = coded(got.where("kind = 1").select(F.col("block").alias("at"), F.col("k").alias("i"), "n", F.col("blob").alias("word")), path, vocabulary)
     ends = got.where("kind = 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    of, kinds = dense(vocab.where("lead").groupBy("first").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("kinds")), "first", vocabulary + 2)
+    of, kinds = dense(vocab.groupBy("first").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("kinds")), "first", vocabulary + 2)
     totals = {"of": of, "kinds": kinds, "ends": ends, "train": int(of.sum()) + ends, "distinct": int(kinds.sum()) + (ends > 0)}
-    rows = counted(got, with_spelling(vocab, vocabulary), totals, kind, vocabulary)
+    rows = counted(got, vocab, totals, kind, vocabulary)
     forget(got)
     forget(vocab)
     counts = of.copy()
@@ -641,10 +694,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             marks = [np.zeros(0)]
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                x, l, y = sequences(part, classes, kind)
-                marks.append(net.scores(x, l, y) + [classes.within[np.frombuffer(f, kind)].sum() for f in part.column("first").to_pylist()])
+                windows, first, n = sequences(part, classes, kind)
+                marks.append(net.sums(*windows, len(n)) + np.bincount(np.repeat(np.arange(len(n)), n), classes.within[first], len(n)))
             total = np.concatenate(marks) + batch.column("rest").to_numpy()
-            columns = {"doc_id": batch.column("doc_id"), "held_out": pa.compute.invert(batch.column("train")), "n_tokens": batch.column("n_tokens"), "n_known": batch.column("n_known"), "train_tokens": pa.array([train] * batch.num_rows, pa.int64()), "base_score": batch.column("base_score"), "score": pa.array(total)}
+            columns = {"doc_id": batch.column("doc_id"), "held_out": pc.invert(batch.column("train")), "n_tokens": batch.column("n_tokens"), "n_known": batch.column("n_known"), "train_tokens": pa.array([train] * batch.num_rows, pa.int64()), "base_score": batch.column("base_score"), "score": pa.array(total)}
             yield pa.RecordBatch.from_pydict(columns)
 
     return rows.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -992,3 +992,34 @@ def test_leaks_judged_on_terms(spark, monkeypatch):
             m.setattr(leaks, "common_subsequence", lambda a, b, plain=leaks.common_subsequence: calls.append(1) or plain(a, b))
             got.append(leaks.held(bench, np.array([bench.vocabulary.get(w, bench.size) for w in found]), near))
     assert got == want and sum(map(len, want)) > 40 and len(calls) < sum(len(at) for at in near.values()) * 60 and (bench.spot == -1).all()
+
+
+def test_attention_texts_in_blocks(spark, monkeypatch):
+    """Texts of a block are coded together as each alone would be, over slices and blocks; a distinct word is one row, with its blocks; blocks
+    get back what is known of their words in few rows."""
+    from collections import Counter
+
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("aAbÀ Z\t\n\x0b\x1c\x85\u2003"), rng.integers(0, 40))) for _ in range(700)]
+    df = spark.createDataFrame([(i if i % 50 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(attention, "BLOCK_BYTES", 3000)
+    got = attention.gather(df).toPandas()
+    lower = lambda t: t.encode().lower().split()
+    table = {b: g.set_index("k")["blob"].to_dict() for b, g in got[got.kind == 1].groupby("block")}
+    back = Counter((None if np.isnan(r.k) else int(r.k), tuple(bytes(table[r.block][i]) for i in np.frombuffer(r.blob, "<u4"))) for r in got[got.kind == 0].itertuples() if len(r.blob) or r.block is not None)
+    assert len(table) > 3 and back == Counter((i if i % 50 else None, tuple(lower(t))) for i, t in enumerate(texts))
+    words_ = Counter(w for i, t in enumerate(texts) if not attention.held_out(i if i % 50 else None) for w in lower(t))
+    want = Counter()
+    for r in got[got.kind == 1].itertuples():
+        want[bytes(r.blob)] += r.n
+    assert +want == words_ and all(list(t) == list(range(len(t))) for t in table.values())
+    path = tokenizer("word_bpe_49k.json")
+    rows_ = spark.createDataFrame(got[got.kind == 1].rename(columns={"block": "at", "k": "i", "blob": "word"})[["at", "i", "n", "word"]].astype({"i": "int64"}), "at long, i long, n long, word binary")
+    vocab = attention.coded(rows_, path, attention.WordTable(path).vocabulary)
+    assert vocab.count() == len(want)
+    schema = "at long, i binary, n binary, first binary, last binary, q binary"
+    blocks = attention.with_spelling(vocab, attention.WordTable(path).vocabulary, attention.by_block, schema).collect()
+    plain = attention.with_spelling(vocab, attention.WordTable(path).vocabulary).collect()
+    known = {(a, i): (r["n"], r["first"], r["last"], r["q"]) for r in plain for a, i in zip(np.frombuffer(r["at"], "<i8").tolist(), np.frombuffer(r["i"], "<u4").tolist(), strict=True)}
+    found = {(r["at"], k[0]): k[1:] for r in blocks for k in zip(*(np.frombuffer(r[c], t).tolist() for c, t in (("i", "<u4"), ("n", "<i8"), ("first", "<i4"), ("last", "<i4"), ("q", "<f8"))), strict=True)}
+    assert found == known and set(known) == {(b, i) for b, t in table.items() for i in t}
