@@ -334,11 +334,11 @@ def gather(docs: DataFrame) -> DataFrame:
         block, held, size = TaskContext.get().partitionId() << 32, [], 0
 
         def close() -> Iterator[pa.RecordBatch]:
-            coded = pa.chunked_array([words for *_, words in held], pa.string()).dictionary_encode()
-            keys = coded.chunk(0).dictionary.cast(pa.binary())  # one for all chunks
-            counts = np.zeros(len(keys), np.int64)
-            for (ids, training, many, _), chunk in zip(held, coded.chunks, strict=True):
-                codes = chunk.indices.to_numpy().astype("<u4")
+            coded = pa.chunked_array([words for *_, words in held if len(words)], pa.string()).dictionary_encode()
+            keys = coded.chunk(0).dictionary.cast(pa.binary()) if len(coded) else pa.array([], pa.binary())  # one for all chunks
+            counts, chunks = np.zeros(len(keys), np.int64), iter(coded.chunks)
+            for ids, training, many, words in held:
+                codes = next(chunks).indices.to_numpy().astype("<u4") if len(words) else np.zeros(0, "<u4")
                 counts += np.bincount(codes[np.repeat(training, many)], minlength=len(keys))
                 yield rows(0, block, ids, training.astype(np.int64), parts_of(codes, np.cumsum(many)))
             for at in range(0, len(keys), 50_000):

@@ -1001,10 +1001,13 @@ def test_attention_texts_in_blocks(spark, monkeypatch):
 
     rng = np.random.default_rng(8)
     texts = ["".join(rng.choice(list("aAbÀ Z\t\n\x0b\x1c\x85\u2003"), rng.integers(0, 40))) for _ in range(700)]
-    df = spark.createDataFrame([(i if i % 50 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(2)
+    texts[300:300] = [""] * 400 + [" "] * 200  # slices without words
+    df = spark.createDataFrame([(i if i % 50 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
     monkeypatch.setattr(attention, "BLOCK_BYTES", 3000)
     got = attention.gather(df).toPandas()
     lower = lambda t: t.encode().lower().split()
+    blank = df.where("doc_id BETWEEN 310 AND 340").repartition(1)
+    assert attention.gather(blank).selectExpr("sum(kind)", "count(*)").first() == (0, blank.count())
     table = {b: g.set_index("k")["blob"].to_dict() for b, g in got[got.kind == 1].groupby("block")}
     back = Counter((None if np.isnan(r.k) else int(r.k), tuple(bytes(table[r.block][i]) for i in np.frombuffer(r.blob, "<u4"))) for r in got[got.kind == 0].itertuples() if len(r.blob) or r.block is not None)
     assert len(table) > 3 and back == Counter((i if i % 50 else None, tuple(lower(t))) for i, t in enumerate(texts))
