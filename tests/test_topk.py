@@ -3,6 +3,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,6 +72,27 @@ def test_pruning(spark):
     assert topk.topk_join(df, q, None, ranges).where("query IS NOT NULL").count() == sum(len(v) for v in brute(rows, [r for r in rows if int(r[0][1:]) % 20 == 0]).values())
 
 
+def test_bars_of_own_size(spark):
+    """A query's bar comes from all blocks of its own size, whatever other sizes are in its block of queries: only its best rows are left."""
+    rows = [(f"n{size}_{i:03d}", size, size, 100 * 100 + i * i, {"c": 100, "x": i}) for size in (10, 60) for i in range(1, 301)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    q = df.where("name LIKE '%50'")
+    ranges = topk.window(F.col("simp_node_count"), F.col("node_count"), None, 24, search.LARGE, (1.2, 1.8))
+    out = topk.topk_join(df, q, 3, ranges, rows=100, block=100).where("query IS NOT NULL").collect()
+    assert len(out) == 3 * q.count() and {r["query"] for r in out} == {r["name"] for r in out if r["wl"] > 1 - 1e-9}
+
+
+def test_terms_and_groups():
+    """Features that always occur together are one list of postings; those of all rows none, and rows that differ in nothing else one group."""
+    enc = [{"a": 2, "b": 1, **{f"{k}{i % 10}": 1 for k in "xyz"}} for i in range(100)]
+    table = pa.table({"name": [f"n{i}" for i in range(100)], "size": [5] * 100, "norm2": [8] * 100, "keys": [list(e) for e in enc], "values": [list(e.values()) for e in enc]})
+    index = topk.Index(table, table.slice(0, 10))
+    assert len(index.begins) == 11 and len(index.post_row) == 100 and len(index.group_size) == 1
+    dots = index.common(0, 10)[3][index.group_shape][index.group] + index.sums(3)
+    got = dict(zip(index.names.to_pylist(), dots.tolist(), strict=True))
+    assert got == {f"n{i}": 8.0 if i % 10 == 3 else 5.0 for i in range(100)}
+
+
 def test_blocks_are_bounded():
     sizes = [(s, 10) for s in range(50)] + [(50, 1000), (51, 1), (52, 1)]
     got = topk.bands(sizes, 100)
