@@ -1,6 +1,6 @@
 """Randomised principal components of sparse rows, and mini-batch k-means: both as sums over blocks of rows.
 
-Rows are (name, idx array<int>, value array<double>). A task holds one block of rows at a time, restricted to the features in it;
+Rows are (name, idx array<int>, value array<double>). A task holds one batch of rows at a time, restricted to the features in it;
 what tasks make are sums of a size that follows from the model (features x directions, centres x directions), not from the rows.
 """
 
@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import forget, fresh, written
+from .topk import leads
 
 #: Rows of a block of matrix work; numbers of a slab in which sums meet; slabs that are summed at once.
 BLOCK, SLAB, FAN = 1024, 1 << 16, 32
+#: The part of a batch's rows above which a column is dense; entries of other columns that are added at once.
+DENSE, ENTRIES = 1 / 32, 256
 
 
 def sparse(entries: DataFrame) -> DataFrame:
@@ -58,16 +61,51 @@ def summed(rows: DataFrame, work: Callable[[pa.RecordBatch], Iterator[np.ndarray
     return out
 
 
-def blocks(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    """(rows, features, matrix) of blocks of a batch: the features that occur in the block, and its values at them."""
-    for at in range(0, batch.num_rows, BLOCK):
-        part = batch.slice(at, BLOCK)
-        size = np.fromiter((len(x) if x.is_valid else 0 for x in part.column("idx")), np.int64, part.num_rows)
-        idx, value = part.column("idx").flatten().to_numpy(zero_copy_only=False), part.column("value").flatten().to_numpy(zero_copy_only=False)
-        features, place = np.unique(idx, return_inverse=True)
-        m = np.zeros((part.num_rows, len(features)))
-        m[np.repeat(np.arange(part.num_rows), size), place] = value
-        yield slice(at, at + part.num_rows), features.astype(np.int64), m
+class Columns:
+    """A batch of sparse rows by columns. Features with the same values in the same rows are one column; columns of more than a DENSE
+    part of the rows are a matrix, and the others entries."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        size = np.fromiter((len(x) if x.is_valid else 0 for x in batch.column("idx")), np.int64, batch.num_rows) if batch.column("idx").null_count else np.diff(batch.column("idx").offsets.to_numpy())
+        idx, value = batch.column("idx").flatten().to_numpy(zero_copy_only=False), batch.column("value").flatten().to_numpy(zero_copy_only=False)
+        order = np.argsort(idx, kind="stable")
+        row, value = np.repeat(np.arange(batch.num_rows), size)[order], value[order]
+        features, begins = np.unique(idx[order], return_index=True)
+        begins = np.r_[begins, len(row)]
+        columns, column = np.unique(leads(begins, row, value), return_inverse=True)
+        n = (begins[1:] - begins[:-1])[columns]
+        self.dense = n > DENSE * batch.num_rows
+        self.matrix = np.zeros((batch.num_rows, int(self.dense.sum())))
+        for i, c in enumerate(columns[self.dense].tolist()):
+            span = slice(begins[c], begins[c + 1])
+            self.matrix[row[span], i] = value[span]
+        n = n[~self.dense]
+        at = np.arange(n.sum()) + np.repeat(begins[columns[~self.dense]] - np.cumsum(n) + n, n)
+        self.features, self.column = features.astype(np.int64), column.ravel()
+        self.row, self.value, self.entry = row[at], value[at], np.repeat(np.flatnonzero(~self.dense), n)
+        self.by_row = np.argsort(self.row, kind="stable")
+
+    def _added(self, out: np.ndarray, to: np.ndarray, of: np.ndarray, value: np.ndarray, rows: np.ndarray) -> None:
+        """Add rows[of] times value to out at `to`, which ascends, some entries at once."""
+        for k in range(0, len(to), ENTRIES):
+            part = slice(k, k + ENTRIES)
+            begins = np.flatnonzero(np.r_[True, to[part][1:] != to[part][:-1]])
+            out[to[part][begins]] += np.add.reduceat(rows[of[part]] * value[part][:, None], begins, axis=0)
+
+    def times(self, q: np.ndarray) -> np.ndarray:
+        """The rows times the features' rows of q."""
+        order = np.argsort(self.column, kind="stable")
+        own = np.add.reduceat(q[self.features[order]], np.searchsorted(self.column[order], np.arange(len(self.dense))), axis=0) if len(order) else np.zeros((0, q.shape[1]))
+        out = self.matrix @ own[self.dense]
+        self._added(out, self.row[self.by_row], self.entry[self.by_row], self.value[self.by_row], own)
+        return out
+
+    def back(self, y: np.ndarray) -> np.ndarray:
+        """The transposed rows times y: a row for each of `features`."""
+        out = np.zeros((len(self.dense), y.shape[1]))
+        out[self.dense] = self.matrix.T @ y
+        self._added(out, self.entry, self.row, self.value, y)
+        return out[self.column]
 
 
 class Components:
@@ -83,11 +121,10 @@ class Components:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for rows_, features, m in blocks(b):
-                    y = m @ directions[features] - offset
-                    flat = pa.array(y.ravel())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1]), pa.int32()), flat)
-                    yield pa.RecordBatch.from_arrays([b.column("name").slice(rows_.start, rows_.stop - rows_.start), lists], names=["name", "reduced"])
+                if b.num_rows:
+                    y = Columns(b).times(directions) - offset
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, y.size + 1, y.shape[1]), pa.int32()), pa.array(y.ravel()))
+                    yield pa.RecordBatch.from_arrays([b.column("name"), lists], names=["name", "reduced"])
 
         return rows.select("name", "idx", "value").mapInArrow(run, "name string, reduced array<double>")
 
@@ -107,16 +144,17 @@ def components(rows: DataFrame, features: int, dims: int, over: int = 10, passes
     one pass more gives the covariance within their space. The driver holds features x (dims + over) numbers."""
     n = rows.count()
     wide = min(dims + over, features)
-    mean = summed(rows, lambda b: (np.bincount(f, m.sum(0), features) for _, f, m in blocks(b)), features) / max(1, n)
+    mean = summed(rows, lambda b: [np.bincount(b.column("idx").flatten().to_numpy(), b.column("value").flatten().to_numpy(), features)], features) / max(1, n)
     basis = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, wide)))[0]
 
     def covered(q: np.ndarray) -> np.ndarray:
         """The centred covariance times q."""
 
         def work(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-            for _, f, m in blocks(b):
+            if b.num_rows:
+                c = Columns(b)
                 out = np.zeros((features, wide))
-                out[f] = m.T @ (m @ q[f])
+                out[c.features] = c.back(c.times(q))
                 yield out
 
         return summed(rows, work, features * wide).reshape(features, wide) / max(1, n) - np.outer(mean, mean @ q)
@@ -137,15 +175,24 @@ def _vectors(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nearest centre of each row, of equals the first, and the squared distance, by matrix blocks."""
-    half = 0.5 * (centers**2).sum(1)
-    at, far = np.zeros(len(x), np.int64), np.zeros(len(x))
+    """The nearest centre of each row, of equals the first, and the squared distance, by matrix blocks. Single precision tells most
+    rows' centre; rows for which another one is within its error are looked at in double precision."""
+    half, norm = 0.5 * (centers**2).sum(1), (x**2).sum(1)
+    single = np.ascontiguousarray(np.c_[-centers, half].T, np.float32)
+    # Twice the most that rounding can move a sum of so many products.
+    error = 4 * (x.shape[1] + 4) * 2.0**-24 * (np.sqrt(norm) * np.sqrt(2 * half.max()) + half.max())
+    at = np.zeros(len(x), np.int64)
     for i in range(0, len(x), BLOCK):
         part = x[i : i + BLOCK]
-        d = half - part @ centers.T
-        at[i : i + BLOCK] = d.argmin(1)
-        far[i : i + BLOCK] = np.maximum(2 * d.min(1) + (part**2).sum(1), 0.0)
-    return at, far
+        d = np.c_[part, np.ones(len(part))].astype(np.float32) @ single
+        own = d.argmin(1)
+        least = d[np.arange(len(part)), own] + error[i : i + BLOCK]
+        # Where single precision has no number or no room for it, nothing is told.
+        open_ = np.flatnonzero(~(np.count_nonzero(d <= least.astype(np.float32)[:, None], axis=1) == 1))
+        if len(open_):
+            own[open_] = (half - part[open_] @ centers.T).argmin(1)
+        at[i : i + BLOCK] = own
+    return at, np.maximum(norm - 2 * np.einsum("ij,ij->i", x, centers[at]) + 2 * half[at], 0.0)
 
 
 def seeds(x: np.ndarray, k: int, rng: np.random.Generator, tries: int = 4, rounds: int = 3) -> np.ndarray:

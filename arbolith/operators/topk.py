@@ -52,7 +52,7 @@ def leads(begins: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> np.ndarra
     sum are compared whole."""
     n = np.diff(begins)
     known = np.random.default_rng(7).integers(1, 1 << 62, int(rows.max(initial=0)) + 1)
-    sums = np.diff(np.r_[0, np.cumsum(known[rows] * counts.astype(np.int64))][begins])  # wraps, for all alike
+    sums = np.diff(np.r_[0, np.cumsum(known[rows] * counts.view(np.int64))][begins])  # wraps, for all alike
     order = np.lexsort((sums, n))
     new = np.r_[True, (np.diff(n[order]) != 0) | (np.diff(sums[order]) != 0)]
     lead = np.empty(len(n), np.int64)

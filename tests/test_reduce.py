@@ -1,6 +1,7 @@
 """Randomised components and mini-batch k-means against numpy and the library's k-means."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,33 @@ def test_edges(spark):
     assert reduce.components(empty, 5, 2).directions.shape == (5, 2)
     assert reduce.summed(same.where(F.lit(False)), lambda b: iter(()), 3).tolist() == [0, 0, 0]
     assert pytest.approx(0) == reduce.nearest(np.ones((1, 2)), np.ones((3, 2)))[1][0]
+
+
+def test_columns(monkeypatch):
+    """Features that always occur together are one column of the work; products are those of the whole matrix."""
+    rng = np.random.default_rng(5)
+    m = np.where(rng.random((300, 40)) < 0.05, rng.random((300, 40)), 0.0)
+    m[:, :4], m[:, 10:14], m[7] = rng.random((300, 4)), m[:, 14:15], 0.0
+    rows = [np.flatnonzero(r) for r in m]
+    lists = [pa.array([x.tolist() for x in rows], pa.list_(pa.int32())), pa.array([r[x].tolist() for r, x in zip(m, rows, strict=True)], pa.list_(pa.float64()))]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(300)]), *lists], names=["name", "idx", "value"]).slice(3, 290)
+    q, m = rng.random((40, 6)), m[3:293]
+    for entries in (7, 256):
+        monkeypatch.setattr(reduce, "ENTRIES", entries)
+        c = reduce.Columns(batch)
+        assert len(c.dense) == len(c.features) - 4 and 4 <= c.dense.sum() < 36
+        assert np.allclose(c.times(q), m @ q)
+        assert np.allclose(c.back(m @ q), (m.T @ (m @ q))[c.features])
+
+
+def test_nearest_in_single_precision():
+    """Centres that only double precision tells apart, equal ones, and numbers too great for single precision."""
+    rng = np.random.default_rng(6)
+    centers = rng.standard_normal((50, 20))
+    centers[9], centers[20] = centers[3], centers[30] + 1e-9
+    x = np.r_[centers, centers + 1e-6 * rng.standard_normal((50, 20)), rng.standard_normal((500, 20))]
+    for scale in (1.0, 1e25):
+        far = ((x[:, None] - centers) ** 2).sum(2)
+        at, d = reduce.nearest(x * scale, centers * scale)
+        assert np.allclose(np.sqrt(d) / scale, np.sqrt(far.min(1)), atol=1e-6) and 9 not in at
+        assert (at[100:] == far[100:].argmin(1)).all()
