@@ -79,6 +79,16 @@ def test_pages_are_folders(spark):
     assert abs(reduce.mini_batch_means(held, 5, pages=4) - reduce.mini_batch_means(df, 5, pages=4)).max() < 1e-9
 
 
+def test_sql_cosine_without_a_table(spark, sf, monkeypatch):
+    """The trees are scored in the pass that encodes them, with the lengths that it finds."""
+    monkeypatch.setattr(registry, "encodings", None)
+    found = registry.sql_wl_cosine(spark, sf)
+    assert "wl_norm2" not in (plan := found._jdf.queryExecution().toString()) and plan.count("map_zip_with") and "encodings-" not in plan
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in registry.wl_cosine(spark, sf).collect()}
+    row = spark.sql("SELECT wl_ratio(3L, 9L, 4L) AS w, wl_ratio(0L, 0L, 4L) AS z, wl_ratio(9L, 4L, 4L) AS o").first()
+    assert tuple(row) == (0.5, 0.0, 1.0)
+
+
 def test_nodes_in_one_shuffle(spark, sf, monkeypatch):
     """Trees that fit in a task are dealt out once; larger ones still give the same."""
     rows = relational.nodes_of(fixtures.order_trees(spark, sf))
